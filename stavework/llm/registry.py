@@ -1,7 +1,7 @@
 """The queries of this subpackage and the DuckDB equivalents of those that SQL can express."""
 
-from . import byte_bpe
+from . import byte_bpe, secrets
 
-MODULES = (byte_bpe,)
+MODULES = (byte_bpe, secrets)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
