@@ -1,7 +1,7 @@
 """The queries of this subpackage and the DuckDB equivalents of those that SQL can express."""
 
-from . import byte_bpe, chat, quality, secrets, toxicity, urls
+from . import byte_bpe, chat, quality, secrets, simhash, toxicity, urls
 
-MODULES = (urls, byte_bpe, chat, toxicity, quality, secrets)
+MODULES = (urls, byte_bpe, chat, toxicity, simhash, quality, secrets)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
