@@ -30,17 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read again, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; only a session without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex[:8]}")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
 
-    The folder is the session's spark.checkpoint.dir; only a session without one gets a temporary folder.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex[:8]}"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def clean_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of any name can't clash with those that an operator adds."""
-    return df.select(*[F.col(n) for n in names])
