@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are compared lower-cased (A-Z) and without the characters of ``PUNCTUATION``. A mask says which positions of a window
+Words are compared lower-cased and without the characters of ``PUNCTUATION``. A mask says which positions of a window
 of words are hashed and which are ignored, so a substituted word at an ignored position leaves the hash alone. Hashes
 of all windows of the benchmark items and of the texts are joined; around every hit the item is laid over the text, and it
 is a leak if ``MIN_OVERLAP`` consecutive words of the item (all, if it has fewer) agree with the text in a share of at
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table, words
+from .common import table, words
 
 MASKS = ("11111", "110111", "1001111", "11010011")
 MIN_OVERLAP, SIMILARITY, BLOCK_WORDS, CHUNK_WORDS = 10, 0.8, 400_000, 1 << 20
@@ -34,7 +34,7 @@ ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) | 1 for i in range(1
 
 
 def word_hashes(text: Column) -> Column:
-    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + PUNCTUATION, UPPER.lower())
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
     return F.transform(words(plain), lambda w: F.xxhash64(w))
 
 
