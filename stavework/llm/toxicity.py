@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED = 2_500, 7_500
 BITS, MIN_TEXTS, MIN_SHARE, MIN_Z, EPOCHS, RATE, DECAY, BATCH, SEED = 20, 4, 0.02, 6.0, 40, 0.05, 1e-4, 1024, 7
 CACHE_SIZE = 400_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -69,36 +69,49 @@ def featurise(docs: DataFrame) -> DataFrame:
 
 
 class Rows:
-    """Sparse binary rows over the kept features."""
+    """Sparse binary rows: the features of all of them, and each one's end."""
 
-    def __init__(self, rows: list[np.ndarray], index: np.ndarray):
-        kept = [x[x >= 0] for x in (index[np.asarray(r, np.int64)] for r in rows)]
-        self.flat = np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)
-        self.ends = np.cumsum([len(x) for x in kept], dtype=np.int64)
-        self.kept = kept
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.flat, self.ends = flat, ends
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def counts(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.int64)
+        for i in range(0, len(self.flat), 1 << 20):
+            out += np.bincount(self.flat[i : i + (1 << 20)], minlength=1 << BITS)
+        return out
+
+    def kept(self, index: np.ndarray) -> Rows:
+        """Only the features that index has a number for, by that number."""
+        new = index[self.flat]
+        return Rows(new[new >= 0], np.concatenate([[0], np.cumsum(new >= 0)])[self.ends])
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features and row numbers of the chosen rows."""
-        parts = [self.kept[i] for i in which]
-        return np.concatenate([*parts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        begins = np.concatenate([[0], self.ends[:-1]])
+        n = (self.ends - begins)[which]
+        at = np.repeat(begins[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.flat[at], np.repeat(np.arange(len(which)), n)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def train(positive: list, unlabelled: list, prior: float) -> tuple[np.ndarray, float]:
+def train(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]:
     """Weights by feature id, and the bias."""
     weights = np.zeros(1 << BITS, np.float32)
-    if not positive or not unlabelled:
-        return weights, -30.0 if not positive else 30.0 * (2 * prior - 1)
-    in_p, in_u = (np.bincount(np.concatenate([np.asarray(x, np.int64) for x in rows]), minlength=1 << BITS) for rows in (positive, unlabelled))
+    if not len(positive) or not len(unlabelled):
+        return weights, 30.0 * (2 * prior - 1) if len(positive) else -30.0
+    in_p, in_u = positive.counts(), unlabelled.counts()
     expected = (in_p + in_u) * (len(positive) / (len(positive) + len(unlabelled)))
     # Among very many rare features some are more common in positives by chance: only those beyond MIN_Z are learnt.
     common = np.flatnonzero((in_p >= max(MIN_TEXTS, MIN_SHARE * len(positive))) & (in_p - expected >= MIN_Z * np.sqrt(expected)))
-    index = np.full(1 << BITS, -1, np.int64)
+    index = np.full(1 << BITS, -1, np.int32)
     index[common] = np.arange(len(common))
-    p, u = Rows(positive, index), Rows(unlabelled, index)
+    p, u = positive.kept(index), unlabelled.kept(index)
     w, b = np.zeros(len(common)), np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     random = np.random.default_rng(SEED)
@@ -134,10 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     ids = rows.select("doc_id").join(toxic, "doc_id", "left").select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), F.xxhash64("doc_id").alias("h"))
     picked = [ids.filter(ids.positive if yes else ~ids.positive).orderBy("h", "doc_id").limit(most) for yes, most in ((True, MAX_POSITIVE), (False, MAX_UNLABELLED))]
     sample = picked[0].union(picked[1]).select("doc_id", "positive").dropDuplicates(["doc_id"])  # at most MAX_POSITIVE + MAX_UNLABELLED rows
-    found = featurise(rows.join(F.broadcast(sample), "doc_id")).toArrow()
-    features = [np.asarray(x, np.int64) for x in found.column("features").to_pylist()]
-    yes = found.column("positive").to_pylist()
-    return train([x for x, y in zip(features, yes) if y], [x for x, y in zip(features, yes) if not y], n_toxic / n if n else 0.0)
+    found = featurise(rows.join(F.broadcast(sample), "doc_id")).toArrow().combine_chunks()
+    lists = found.column("features").combine_chunks()
+    flat, offsets, yes = lists.values.to_numpy(), lists.offsets.to_numpy(), found.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+    n_features = np.diff(offsets)
+    each = np.repeat(yes, n_features)
+    return train(Rows(flat[each], np.cumsum(n_features[yes])), Rows(flat[~each], np.cumsum(n_features[~yes])), n_toxic / n if n else 0.0)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
