@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import scalars, scores
+
+MODULES = (scalars, scores)
 FLAGSHIP = "c15_playback_timeline"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
