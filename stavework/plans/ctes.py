@@ -92,4 +92,22 @@ SELECT p.*, s.length_, s.start_, s.active_divisions, coalesce(sum(s.length_) OVE
     "spine_rows": """
 SELECT *, coalesce(sum(advance) OVER (PARTITION BY score_id, measure_idx ORDER BY div_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(8 * graces) OVER (PARTITION BY score_id, measure_idx ORDER BY div_) AS x FROM (
   SELECT score_id, measure_idx, onset AS div_, greatest(12, 6 * max(CASE WHEN is_grace THEN 0 ELSE duration END)) AS advance, count(*) FILTER (is_grace) AS graces FROM timed WHERE tag = 'note' GROUP BY ALL)""",
+    "midi_notes": """
+SELECT file_id, track, note, last_tick AS start, tick AS end_, last_velocity AS velocity, seq AS end_seq FROM (
+  SELECT *, lag(on_) OVER w AS last_on, lag(tick) OVER w AS last_tick, lag(velocity) OVER w AS last_velocity FROM (SELECT *, type = 'noteOn' AND velocity > 0 AS on_ FROM midi_events) WINDOW w AS (PARTITION BY track, note ORDER BY seq))
+WHERE NOT on_ AND last_on""",
+    "midi_graces": """
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY start, note, end_seq) AS i, dense_rank() OVER (PARTITION BY track ORDER BY start) AS t FROM midi_notes),
+a AS (SELECT s.*, end_ - start < 480 AS short, end_ - start > 480 AS normal, first_value(CASE WHEN end_ - start >= 480 THEN start END IGNORE NULLS) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS main_start FROM s),
+b AS (SELECT *, short AND coalesce(main_start <= start + 15360, false) AND (t = 1 OR row_number() OVER (PARTITION BY track, t ORDER BY note, end_seq) = 1) AS able FROM a),
+k AS (SELECT track, t, bool_or(normal) AS n, bool_or(able) AS e FROM b GROUP BY ALL),
+c AS (SELECT track, t, true AS open, n, e FROM k WHERE t = 1 UNION ALL SELECT k.track, k.t, c.n OR (c.open AND c.e), k.n, k.e FROM c JOIN k ON k.track = c.track AND k.t = c.t + 1)
+SELECT b.*, able AND open AS is_grace FROM b JOIN c ON c.track = b.track AND c.t = b.t""",
+    "midi_parts": """
+SELECT file_id, track, note, start, end_seq, m AS measure_idx, greatest(qs, m * 15360) AS part_start, least(qe, m * 15360 + 15360) AS part_end, m < (qe - 1) // 15360 AS tie_start, m > qs // 15360 AS tie_stop FROM (
+  SELECT *, unnest(range(qs // 15360, (qe - 1) // 15360 + 1)) AS m FROM (SELECT *, CAST(floor(start / 960.0 + 0.5) * 960 AS BIGINT) AS qs, CAST(greatest(floor(end_ / 960.0 + 0.5) * 960, floor(start / 960.0 + 0.5) * 960 + 960) AS BIGINT) AS qe FROM midi_graces WHERE NOT is_grace))""",
+    "midi_slots": """
+SELECT *, coalesce(list_filter([16, 12, 8, 6, 4, 3, 2, 1], lambda x: x <= space)[1], 1) AS display, coalesce(list_filter([16, 12, 8, 6, 4, 3, 2, 1], lambda x: x <= least(actual, space))[1], 1) AS rhythmic FROM (
+  SELECT track, measure_idx, start, n_notes, floor((low_end - start) / 960.0 + 0.5) AS actual, floor((coalesce(lead(start) OVER (PARTITION BY track, measure_idx ORDER BY start), (measure_idx + 1) * 15360) - start) / 960.0 + 0.5) AS space FROM (
+    SELECT track, measure_idx, part_start AS start, arg_min(part_end, (note, end_seq)) AS low_end, count(*) AS n_notes FROM midi_parts GROUP BY ALL))""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalars, scores
+from . import midi, scalars, scores
 
-MODULES = (scalars, scores)
+MODULES = (scalars, scores, midi)
 FLAGSHIP = "c15_playback_timeline"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
