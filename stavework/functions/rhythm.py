@@ -15,10 +15,7 @@ GRID = 5040
 
 
 def by_name(name: Column, values: dict) -> Column:
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(name == k, v).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), name)
 
 
 def half_up(x: Column) -> Column:

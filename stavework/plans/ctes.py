@@ -110,4 +110,29 @@ SELECT file_id, track, note, start, end_seq, m AS measure_idx, greatest(qs, m *
 SELECT *, coalesce(list_filter([16, 12, 8, 6, 4, 3, 2, 1], lambda x: x <= space)[1], 1) AS display, coalesce(list_filter([16, 12, 8, 6, 4, 3, 2, 1], lambda x: x <= least(actual, space))[1], 1) AS rhythmic FROM (
   SELECT track, measure_idx, start, n_notes, floor((low_end - start) / 960.0 + 0.5) AS actual, floor((coalesce(lead(start) OVER (PARTITION BY track, measure_idx ORDER BY start), (measure_idx + 1) * 15360) - start) / 960.0 + 0.5) AS space FROM (
     SELECT track, measure_idx, part_start AS start, arg_min(part_end, (note, end_seq)) AS low_end, count(*) AS n_notes FROM midi_parts GROUP BY ALL))""",
+    "toks": """
+SELECT *, coalesce(sum(CASE WHEN emitted THEN 1 ELSE 0 END) OVER w, 0) AS note_idx FROM (
+  SELECT *, cls = 'note' AND duration IS NOT NULL AND (starts_with(rhythm, 'rest_') OR pitch NOT IN ('.', '_')) AS emitted FROM (
+    SELECT *, coalesce(sum(CASE WHEN cls = 'bar' THEN 1 ELSE 0 END) OVER w, 0) AS measure_idx, CASE WHEN cls = 'note' THEN CASE WHEN rhythm = 'rest_2m' THEN 'whole' WHEN ends_with(rhythm, '..') THEN NULL
+      ELSE CASE regexp_extract(rhythm, '_([0-9]+)', 1) WHEN '4' THEN 'quarter' WHEN '8' THEN 'eighth' WHEN '16' THEN 'sixteenth' END END END AS duration, ends_with(rhythm, '.') AS dotted, contains(rhythm, 'G') AND cls = 'note' AS grace FROM (
+      SELECT *, CASE WHEN rhythm IN ('barline', 'repeatStart', 'repeatEnd') THEN 'bar' WHEN rhythm = 'chord' THEN 'chord' WHEN starts_with(rhythm, 'note_') OR starts_with(rhythm, 'rest_') THEN 'note' ELSE 'other' END AS cls FROM omr_tokens)
+    WINDOW w AS (PARTITION BY staff_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+WINDOW w AS (PARTITION BY staff_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "omr_notes": """
+SELECT page_id, staff_idx, note_idx, pos, CASE WHEN starts_with(rhythm, 'rest_') THEN 'rest' ELSE pitch END AS pitch, CASE lift WHEN '#' THEN 'sharp' WHEN '##' THEN 'double_sharp' WHEN 'N' THEN 'natural' WHEN 'b' THEN 'flat' WHEN 'bb' THEN 'double_flat' END AS accidental,
+  duration, dotted, measure_idx, prev = 'chord' AS chord, grace, slur IN ('slurStart', 'slurStart_slurStop') AND NOT starts_with(rhythm, 'rest_') AS slur_start, slur IN ('slurStop', 'slurStart_slurStop') AND NOT starts_with(rhythm, 'rest_') AS slur_stop,
+  CASE WHEN dotted THEN floor([4, 2, 1, 16][p] * 1.5 + 0.5) ELSE [4, 2, 1, 16][p] END AS divs
+FROM (SELECT *, coalesce(lag(cls) OVER (PARTITION BY staff_idx ORDER BY pos), '') AS prev, list_position(['quarter', 'eighth', 'sixteenth', 'whole'], duration) AS p FROM toks WHERE cls <> 'other') WHERE emitted""",
+    "attrs": """
+SELECT page_id, staff_idx, note_idx, pos, CASE WHEN starts_with(rhythm, 'clef_') THEN substr(rhythm, 6) END AS clef, CASE WHEN starts_with(rhythm, 'keySig') THEN CAST(substr(rhythm, 14) AS INT) END AS fifths,
+  CASE WHEN starts_with(rhythm, 'timeSig') THEN CAST(substr(rhythm, 15) AS INT) END AS number, sum(CASE WHEN cls = 'note' THEN 1 ELSE 0 END) OVER (PARTITION BY staff_idx ORDER BY pos) AS heard, cls FROM toks""",
+    "changes": """
+SELECT a.*, t.measure_idx FROM (SELECT page_id, staff_idx, note_idx, arg_min(clef, pos) FILTER (clef IS NOT NULL) AS clef, arg_min(fifths, pos) FILTER (fifths IS NOT NULL) AS fifths,
+  CASE WHEN count(number) = 2 THEN arg_min(number, pos) FILTER (number IS NOT NULL) END AS beats, CASE WHEN count(number) = 2 THEN arg_max(number, pos) FILTER (number IS NOT NULL) END AS beat_type FROM attrs WHERE cls = 'other' GROUP BY ALL) a
+JOIN toks t ON t.staff_idx = a.staff_idx AND t.note_idx = a.note_idx AND t.emitted WHERE a.note_idx > 0 AND (clef IS NOT NULL OR fifths IS NOT NULL OR beats IS NOT NULL)""",
+    "opening": """
+SELECT s.*, clef, fifths, beats, beat_type FROM (SELECT DISTINCT page_id, staff_idx FROM omr_tokens) s LEFT JOIN (SELECT staff_idx, arg_min(clef, pos) FILTER (clef IS NOT NULL) AS clef, arg_min(fifths, pos) FILTER (fifths IS NOT NULL) AS fifths,
+  CASE WHEN count(number) = 2 THEN arg_min(number, pos) FILTER (number IS NOT NULL) END AS beats, CASE WHEN count(number) = 2 THEN arg_max(number, pos) FILTER (number IS NOT NULL) END AS beat_type FROM attrs WHERE heard = 0 GROUP BY staff_idx) USING (staff_idx)""",
+    "page_starts": """
+SELECT *, page_id % 2 AS doc_id, coalesce(sum(span) OVER (PARTITION BY page_id % 2 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_ FROM (SELECT page_id, max(measure_idx) + 1 AS span FROM omr_notes GROUP BY page_id)""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import midi, scalars, scores
+from . import midi, omr, scalars, scores
 
-MODULES = (scalars, scores, midi)
+MODULES = (scalars, scores, midi, omr)
 FLAGSHIP = "c15_playback_timeline"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
