@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .common import shared_folder, table, words
 
 MAGIC, VERSION, BLOCK, SEGMENT, END = b"SVTC", 1, 2048, 1 << 22, 1
 ORDER1_BITS, ORDER2_BITS, REBUILD, STEP_UP, TRUST = 10, 11, 64, 24, 57344
-CACHE_SIZE = 600_000
+CACHE_SIZE = 1_000_000
 U = np.uint64
 
 
@@ -239,27 +240,34 @@ class WordEncoder:
 
         gc.disable()  # the cache makes many objects and no cycles
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # of the words met so far; the ids of all of them lie in one array
+        self.flat, self.begin, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        found = [e.ids for i in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch_fast(fresh[i : i + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
 
     def __call__(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end, and the texts' lengths."""
         n_words = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_SIZE:
-            self.cache.clear()
+        fresh = [w for w in distinct if w not in self.number]
+        if len(self.number) + len(fresh) > CACHE_SIZE:
+            self.forget()
             fresh = distinct
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = np.array(e.ids, np.uint16)
-        each = [self.cache[w] for w in distinct]
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat, begin = np.concatenate([*each, np.zeros(0, np.uint16)]), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        word = coded.indices.to_numpy().astype(np.int64)
-        n = sizes[word]
-        ids = flat[np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        if fresh:
+            self.learn(fresh)
+        of = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        n = self.size[of]
+        ids = self.flat[np.repeat(self.begin[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(n_words)]  # of each text, among the ids without ends
         return np.insert(ids, ends, np.uint16(END)), np.diff(ends, prepend=0) + 1
 
@@ -285,8 +293,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                rows = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 2048):
+                rows = batch.slice(i, 2048)
                 new, n_each = encoder(rows.column(1))
                 doc_ids += rows.column(0).to_pylist()
                 lengths.append(n_each)
