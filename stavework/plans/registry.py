@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import midi, omr, scalars, scores
+from . import lookups, midi, omr, profiles, scalars, scores
 
-MODULES = (scalars, scores, midi, omr)
+MODULES = (scalars, scores, midi, omr, lookups, profiles)
 FLAGSHIP = "c15_playback_timeline"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
