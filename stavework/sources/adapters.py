@@ -119,3 +119,16 @@ def probs(spark: SparkSession, folder: str) -> DataFrame:
 
 def edit_log(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).select(F.col("user_id").alias("doc_id"), F.col("us").alias("seq"), F.col("event_type").alias("coalesce_key"), "k")
+
+
+def recovered_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures as a recogniser might have read them: some lost, some with another key or meter."""
+    k = F.col("order_key")
+    kept = measures(spark, folder).filter(k % 37 != 5)
+    return kept.withColumn("fifths", F.when(k % 13 == 0, F.col("fifths") + 1).otherwise(F.col("fifths"))).withColumn("beats", F.when(k % 17 == 0, F.col("beats") + 1).otherwise(F.col("beats")))
+
+
+def edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits of scores: a measure, an element, and a number to take arguments from."""
+    k = F.col("k")
+    return _events(spark, folder).select(F.col("user_id").alias("score_id"), F.col("us").alias("seq"), (k % 10).alias("measure_idx"), (F.floor(k / 10) % 7).cast("int").alias("elem_idx"), k)
