@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import diffs, edits, lookups, midi, omr, profiles, scalars, scores
+from . import diffs, documents, edits, lookups, midi, omr, profiles, scalars, scores
 
-MODULES = (scalars, scores, midi, omr, lookups, profiles, diffs, edits)
+MODULES = (scalars, scores, midi, omr, lookups, profiles, diffs, edits, documents)
 FLAGSHIP = "c15_playback_timeline"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
