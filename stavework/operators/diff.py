@@ -80,13 +80,14 @@ def aligned(source: DataFrame, recovered: DataFrame) -> DataFrame:
     equal = source.select("score_id", "idx").join(same, "score_id").select("score_id", C("idx").alias("s_idx"), C("idx").alias("r_idx"))
 
     def pair(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s, r = s.sort_values("idx"), r.sort_values("idx")
-        score_id = (s if len(s) else r)["score_id"].iloc[0]
-        found = align(list(s["k"]), list(r["k"]))
+        s, r = s.sort_values("idx"), r.sort_values("r_idx")
+        score_id = s["score_id"].iloc[0] if len(s) else r["r_score_id"].iloc[0]
+        found = align(list(s["k"]), list(r["r_k"]))
         return pd.DataFrame({"score_id": score_id, "s_idx": pd.array([i if i >= 0 else None for i, _ in found], "Int64"), "r_idx": pd.array([j if j >= 0 else None for _, j in found], "Int64")})
 
     rest = lambda df: df.join(same, "score_id", "left_anti").select("score_id", "idx", key.alias("k"))
-    different = rest(source).groupBy("score_id").cogroup(rest(recovered).groupBy("score_id")).applyInPandas(pair, "score_id long, s_idx long, r_idx long")
+    other = rest(recovered).select(C("score_id").alias("r_score_id"), C("idx").alias("r_idx"), C("k").alias("r_k"))  # names of its own: both sides may be one table
+    different = rest(source).groupBy("score_id").cogroup(other.groupBy("r_score_id")).applyInPandas(pair, "score_id long, s_idx long, r_idx long")
     return equal.select("score_id", C("s_idx").cast("long"), C("r_idx").cast("long")).unionByName(different)
 
 
