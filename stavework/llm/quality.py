@@ -21,8 +21,8 @@ from .common import SPACES, table, words
 
 MIN_WORDS, MAX_REPEATED, MIN_KEPT = 50, 0.5, 0.5
 SYMBOLS = "#*$%&|<>"
-#: A sentence's end, closing quotes and brackets included.
-SENTENCE_END = r"""[.!?…:;。！？'"”’»)\]][\x20\x09-\x0D]*$"""
+#: What a sentence ends with, closing quotes and brackets included.
+SENTENCE_END = """.!?…:;。！？'"”’»)]"""
 NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(?:home|menu|about(?: us)?|contact(?: us)?|log ?in|log ?out|sign (?:in|up)|register|search|next|previous|back to top|skip to (?:main )?content|share(?: this)?|subscribe|sitemap|site map)[\x20\x09-\x0D.!:»>|]*$"
 BOILERPLATE = r"(?i)\b(?:all rights reserved|cookie (?:policy|settings|consent)|(?:uses?|accept(?: all)?) cookies|enable javascript|javascript is (?:disabled|required)|terms of (?:use|service)|privacy policy|click here|read more|copyright (?:©|\(c\))|lorem ipsum|powered by|follow us on)"
 
@@ -41,12 +41,15 @@ def word_chars(text: Column) -> Column:
 
 
 def good_line(line: Column) -> Column:
-    plain = F.translate(line, SPACES, " " * len(SPACES))
-    n_words = F.char_length(F.trim(plain)) - F.char_length(F.replace(F.trim(plain), F.lit(" "), F.lit(""))) + 1
+    """Whether a line has no word or breaks no rule; the cheap parts of a rule stand before those that they spare."""
+    last = F.substring(F.rtrim(line, F.lit(" " + SPACES)), -1, 1)
+    ends = (last != "") & (F.instr(F.lit(SENTENCE_END), last) > 0)
+    navigation = line.rlike(r"(?:[|»•>].*){3}") | line.rlike(NAVIGATION)
+    plain = F.trim(F.translate(line, SPACES, " " * len(SPACES)))
+    n_words = F.char_length(plain) - F.char_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
     bangs = (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    navigation = (n_symbols(F.translate(line, "»•", "||")) >= 3) & line.rlike(r"(?:[|»•>].*){3}") | line.rlike(NAVIGATION)
-    decorated = (n_symbols(line) * 2 > n_words) & (n_symbols(line) > 2) | (bangs * 3 > n_words) & (bangs > 2)
-    return (F.trim(plain) == "") | line.rlike(SENTENCE_END) & ~decorated & ~navigation & ~line.rlike(BOILERPLATE)
+    decorated = (n_symbols(line) > 2) & (n_symbols(line) * 2 > n_words) | F.contains(line, F.lit("!!")) & (bangs > 2) & (bangs * 3 > n_words)
+    return ~line.rlike(r"[^\x20\x09-\x0D]") | ends & ~decorated & ~navigation & ~line.rlike(BOILERPLATE)
 
 
 def clean_text(text: Column) -> Column:
@@ -77,39 +80,43 @@ def n_repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, 0).otherwise(let(hashes, lambda h: of_hashes(w, h)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with a column ``quality``: every base measure, the cleaned text, and both verdicts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    full = F.filter(F.split(text, "\n"), lambda x: word_chars(x) > 0)
-    w = words(text)
-    out = docs.withColumn("quality", F.struct(
+def measured(text: Column) -> Column:
+    """Every base measure, the cleaned text, and both verdicts, as one structure that is computed once."""
+    text = F.coalesce(text, F.lit(""))
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    base = let(words(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         word_chars(text).cast("long").alias("word_chars"),
         n_symbols(text).cast("long").alias("n_symbols"),
         let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(w, n_repeated_words).cast("long").alias("n_repeat_words"),
+        n_repeated_words(w).cast("long").alias("n_repeat_words"),
         clean_text(text).alias("cleaned"),
     ))
-    q = F.col("quality")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > int(100 * MAX_REPEATED) * q["n_words"])
-    kept = ~failed & (word_chars(q["cleaned"]) >= MIN_KEPT * q["word_chars"])
-    return out.withColumn("quality", q.withField("base_failed", failed).withField("kept", kept))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned")
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > int(100 * MAX_REPEATED) * q["n_words"])
+        kept = ~failed & (word_chars(q["cleaned"]) >= MIN_KEPT * q["word_chars"])
+        return F.struct(*[q[n].alias(n) for n in names], failed.alias("base_failed"), kept.alias("kept"))
+
+    return let(base, judged)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id and what was measured."""
     q = F.col("quality")
-    return measured(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    found = docs.select(F.col("doc_id").cast("long"), measured(F.col("text")).alias("quality"))
+    return found.select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, in the columns of docs, with cleaned texts and, if there is one, n_chars set anew."""
     names = docs.columns
-    one = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col("text"))
-    kept = measured(one).filter(F.col("quality")["kept"])
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col("text"))
+    kept = rows.select("row", F.explode(F.filter(F.array(measured(F.col("text"))), lambda q: q["kept"])).alias("quality"))
     q = F.col("quality")["cleaned"]
     new = {"text": q, "n_chars": F.char_length(q).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+    return kept.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +137,10 @@ m AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g
         length(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '))) AS shown,
         length(replace(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' ', '')) AS bare,
         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms,
-        length(line) - length(regexp_replace(line, '[#*$%&|<>»•]', '', 'g')) AS seps,
         (length(line) - length(replace(line, '!!', ''))) / 2.0 AS bangs FROM l),
-k AS (SELECT doc_id, chars, line, regexp_matches(line, '{SENTENCE_END.replace("'", "''")}')
+k AS (SELECT doc_id, chars, line, regexp_matches(line, '[.!?…:;。！？''"”’»)\]][\x20\x09-\x0D]*$')
         AND NOT ((syms * 2 > shown - bare + 1 AND syms > 2) OR (bangs * 3 > shown - bare + 1 AND bangs > 2))
-        AND NOT ((seps >= 3 AND regexp_matches(line, '(?:[|»•>].*){{3}}')) OR regexp_matches(line, '{NAVIGATION}'))
+        AND NOT (regexp_matches(line, '(?:[|»•>].*){{3}}') OR regexp_matches(line, '{NAVIGATION}'))
         AND NOT regexp_matches(line, '{BOILERPLATE}') AS good FROM m WHERE chars > 0),
 s AS (SELECT doc_id, sum(CASE WHEN good THEN chars ELSE 0 END) AS good_chars, sum(chars) AS word_chars, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
 a AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
