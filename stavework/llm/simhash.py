@@ -265,9 +265,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The documents whose id is their component's, in the columns of docs; of repeated rows with that id one stays."""
-    kept = near_duplicates(docs, k).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
+    """The documents whose id is their component's, in the columns of docs; of repeated rows with that id one stays. Documents without an id
+    stay only if they are near no other, and then as one row."""
+    kept = near_duplicates(docs, k).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
     return one.dropDuplicates(["doc_id"])
 
 
