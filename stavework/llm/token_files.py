@@ -200,7 +200,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     coded = Encoder(n_blocks).run(rows, sizes)
     sums = np.array([zlib.crc32(rows[i, :n].astype("<u4").tobytes()) for i, n in enumerate(sizes)], "<u4")
     head = MAGIC + struct.pack("<HIIQ", VERSION, BLOCK, len(doc_ids), len(ids))
-    known = np.packbits([x is not None for x in doc_ids]).tobytes()
+    known = np.packbits(np.array([x is not None for x in doc_ids], bool)).tobytes()
     return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), known, lengths.astype("<i8").tobytes(), np.array([len(c) // 2 for c in coded], "<u4").tobytes(), sums.tobytes(), *coded])
 
 

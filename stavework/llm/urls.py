@@ -32,7 +32,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def longest_rule(host: Column, path: Column, rules: tuple) -> Column:
     """The longest rule that fits, as (verdict, rule); null without one. The rules are a short list."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         of_host, slash, of_path = rule.partition("/")
         fits = ((host == of_host) | F.endswith(host, F.lit("." + of_host))) & F.startswith(path, F.lit(slash + of_path))
