@@ -14,7 +14,7 @@ interpolated with the bigram share by ``BIGRAM_WEIGHT``.
 Exact counts, for the base score: those of the head are broadcast, tokens of other words meet the table of counts in a
 join, whose keys have fewer than ``N / HEAD`` rows each, so that none is hot.
 
-Cases: a null or empty text is one end; repeated rows with one doc_id are one text of the sum of both; without any
+Cases: a null or empty text is one end; every row is a text of its own, also where ids are null or repeated; without any
 training text every count is 0 and N is 0; an empty table gives an empty table; further columns are ignored, whatever
 their names. Words are told apart by 64-bit hashes.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table, words
+from .common import ascii_lower, checkpointed, row_key, table, words
 
 HEAD = 1_000_000
 BASE, HASHES, BITS_PER_ENTRY, BIGRAM_WEIGHT = 1.6, 4, 10, 0.2
@@ -217,11 +217,12 @@ def train(docs: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every text."""
     context = docs.sparkSession.sparkContext
-    tokens = docs.select(F.col("doc_id").cast("long"), token_hashes(F.col("text")).alias("h"))
+    # A row is told by its id and its text; rows equal in both are summed, and divided by their number at the end.
+    tokens = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text"))[0].alias("t"), token_hashes(F.col("text")).alias("h"))
     n, v, sizes, end_hash = model.total, model.distinct, model.sizes, model.end_hash
     floor = n + 0.1 * (v + 1)
     shared = context.broadcast((model.head, model.head_counts))
-    schema = "doc_id long, h long, n long, known long, base double, score double"
+    schema = "doc_id long, t long, h long, n long, known long, base double, score double"
 
     def scan(number: int, of_shard) -> DataFrame:
         """Pass 0 also gives the base score of the head's tokens, and a row for every other word of a text."""
@@ -230,8 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             filter_, (head, head_counts) = of_shard.value, shared.value
             at_end, end_known = (x[0] for x in contains(head, np.array([end_hash], np.uint64)))
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for first, flat, ends in chunks(batch, 1):
+                for first, flat, ends in chunks(batch, 2):
                     rows = len(ends)
                     text = np.repeat(np.arange(rows), np.diff(ends, prepend=0))
                     u, inverse = np.unique(flat, return_inverse=True)
@@ -250,41 +250,48 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     share = np.minimum(1.0, middle_counts(filter_.level(keys))[pair] / before_count[two])
                     p[two] = np.log10(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * 10 ** p[two])
                     total = np.bincount(text[here], p[here], rows)
-                    mine = ids[first : first + rows]
+                    mine = np.arange(first, first + rows)
                     if number:
                         nothing = np.zeros(rows, np.int64)
-                        yield batch_of(mine, None, nothing, nothing, nothing * 0.0, total)
+                        yield batch_of(batch, mine, None, nothing, nothing, nothing * 0.0, total)
                         continue
                     exact = np.log10((head_counts[at] + 0.1) / floor) if len(head) else np.zeros(len(u))
                     base = np.bincount(text[of_word], exact[inverse][of_word], rows)
-                    yield batch_of(mine, None, np.diff(ends, prepend=0), np.bincount(text[of_word], minlength=rows), base, total)
+                    yield batch_of(batch, mine, None, np.diff(ends, prepend=0), np.bincount(text[of_word], minlength=rows), base, total)
                     rare = ~of_word
                     if rare.any():
                         order = np.lexsort((inverse[rare], text[rare]))
                         t, w = text[rare][order], inverse[rare][order]
                         new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])]))
                         times = np.diff(np.append(new, len(t)))
-                        yield batch_of(mine[t[new]], u[w[new]].view(np.int64), times, times * 0, times * 0.0, times * 0.0)
+                        yield batch_of(batch, mine[t[new]], u[w[new]].view(np.int64), times, times * 0, times * 0.0, times * 0.0)
 
         return tokens.mapInArrow(run, schema)
 
-    def batch_of(ids, h, n, known, base, total) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()) if h is None else pa.array(h), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(known, np.int64)), pa.array(np.asarray(base, np.float64)), pa.array(np.asarray(total, np.float64))], ["doc_id", "h", "n", "known", "base", "score"])
+    def batch_of(batch, at, h, n, known, base, total) -> pa.RecordBatch:
+        """Values of the rows of a batch at these places."""
+        at = pa.array(at, pa.int64())
+        return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.nulls(len(at), pa.int64()) if h is None else pa.array(h), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(known, np.int64)), pa.array(np.asarray(base, np.float64)), pa.array(np.asarray(total, np.float64))], ["doc_id", "t", "h", "n", "known", "base", "score"])
 
     found = reduce(DataFrame.unionByName, [scan(i, context.broadcast(model.shard(i))) for i in range(sizes.shards)])
     # Rows of whole texts have no h; they get a key of their own that spreads them and that the condition keeps apart.
-    own = F.coalesce("h", F.xxhash64("doc_id", F.lit(1)))
-    keyed = found.select("doc_id", F.col("h").isNotNull().alias("rare"), own.alias("k"), "n", "known", "base", "score")
+    own = F.coalesce("h", F.xxhash64("doc_id", "t", F.lit(1)))
+    keyed = found.select("doc_id", "t", F.col("h").isNotNull().alias("rare"), own.alias("k"), "n", "known", "base", "score")
     counts = model.counts.select(F.col("h").alias("k2"), "c")
     joined = keyed.join(counts, (keyed.k == counts.k2) & keyed.rare, "left")
     c = F.coalesce("c", F.lit(0))
     per_token = F.log10((c + 0.1) / F.lit(float(floor)))
     rare = F.col("rare")
-    return joined.groupBy("doc_id").agg(
+    whole = ~rare & (F.col("n") > 0)  # one of each row, from pass 0: a text has its end at least
+    copies = F.col("copies")
+    summed = joined.groupBy("doc_id", "t").agg(
+        F.count(F.when(whole, 1)).alias("copies"),
         F.sum(F.when(rare, 0).otherwise(F.col("n"))).alias("n_tokens"),
         F.sum(F.when(rare, F.when(c > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"),
         F.sum(F.when(rare, F.col("n") * per_token).otherwise(F.col("base"))).alias("base_score"),
         F.sum("score").alias("score"))
+    each = [(F.col(c) / copies).cast("long").alias(c) for c in ("n_tokens", "n_known")] + [(F.col(c) / copies).alias(c) for c in ("base_score", "score")]
+    return summed.select("doc_id", *each, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy")).drop("copy")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,21 +18,25 @@ a null doc_id is never a component's id unless it has no other; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table, words
+from .common import ascii_lower, checkpointed, row_key, table, words
 from .components import components
 
 DISTANCE, SHINGLE, BITS = 3, 3, 64
 MOST_DIRECT = 4096
 #: What writing a key and comparing a candidate cost, relative to each other.
 KEY_COST, CANDIDATE_COST = 1.0, 0.02
+#: Columns that tell texts apart, added to documents for a while.
+ROW = ("__text_hash", "__text_hash_2")
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -51,17 +55,19 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp and more columns of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            yield pa.record_batch([batch.column(0), pa.array([majority_bits(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([majority_bits(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
+            yield pa.record_batch([batch.column(0), fp, *batch.columns[2:]], ["doc_id", "fp", *more])
 
     w, hashes = shingle_hashes(F.col("text"), k)
-    return docs.select(F.col("doc_id").cast("long"), w.alias("w")).select("doc_id", hashes.alias("h")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), w.alias("w"), *more).select("doc_id", hashes.alias("h"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -252,24 +258,32 @@ def links(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def rooted(fps: DataFrame) -> DataFrame:
+    """fps (fp, each once) with the root of its component."""
+    fps = checkpointed(fps)
+    roots = components(links(fps, plan(fps)))
+    return fps.join(roots, fps.fp == roots.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id."""
     each = checkpointed(fingerprints(docs, k))
-    fps = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    chosen = plan(fps)
-    roots = components(links(fps, chosen))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    roots = rooted(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(least, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The documents whose id is their component's, in the columns of docs; of repeated rows with that id one stays. Documents without an id
-    stay only if they are near no other, and then as one row."""
-    kept = near_duplicates(docs, k).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """One document of each component, in the columns of docs: that of the least id, one without an id only where the component has no
+    other. A row is told by its id and its text, so rows that share an id (or have none) but not a text are judged each; of repeated rows one stays."""
+    rows = docs.withColumns(dict(zip(ROW, row_key(F.col("text")))))
+    each = checkpointed(fingerprints(rows, k, ROW))
+    roots = rooted(each.select("fp").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
+    kept = each.join(roots, "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), *[F.col(f"first.{c}").alias(f"kept{c}") for c in ROW])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & reduce(and_, [F.col(c) == F.col(f"kept{c}") for c in ROW])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", *ROW]).drop(*ROW)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

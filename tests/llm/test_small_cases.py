@@ -358,3 +358,21 @@ def test_pipeline(spark, tmp_path):
     e = tiktoken_encoding()
     want = {r.doc_id: hashlib.sha256(" ".join(map(str, e.encode_ordinary(secrets.redacted(r.text)))).encode()).hexdigest() for r in third}
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null or repeated ids: a row is kept, dropped and scored by its own text."""
+    import random
+
+    rng = random.Random(7)
+    a, b, c, leak = (" ".join(rng.choices([f"w{i}" for i in range(900)], k=80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, leak), (None, a), (5, b + " tail"), (5, c), (5, c), (6, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted((r.text or "", r.doc_id) for r in simhash.keep_one(d).collect())
+    near_b = [t for t, _ in one if t.startswith(b)]
+    assert len(near_b) in (1, 2) and [t for t, _ in one if not t.startswith(b)] == sorted(["", a, c, leak])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.drop_leaks(d, bench).collect()) == sorted(t or "" for _, t in rows if t != leak)
+    model = lm.train(d)
+    got = lm.score(d, model).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == sorted((i or 0, len((t or "").split()) + 1, len((t or "").split()) + 1) for i, t in rows)
