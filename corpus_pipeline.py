@@ -17,6 +17,8 @@ from stavework.llm.common import shared_folder, table
 
 #: Near copies in the pipeline are found on shingles of so many words.
 SHINGLE = 5
+#: Near copies have that share of common shingles or more.
+SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, SHINGLE)
+    return simhash.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

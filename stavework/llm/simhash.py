@@ -35,6 +35,9 @@ DISTANCE, SHINGLE, BITS = 3, 3, 64
 MOST_DIRECT = 4096
 #: What writing a key and comparing a candidate cost, relative to each other.
 KEY_COST, CANDIDATE_COST = 1.0, 0.02
+#: Min-hashes of ROWS permutations are a band. Two sets of similarity s share none of BANDS bands with a chance of (1 - s ** ROWS) ** BANDS:
+#: 3e-6 at 0.8, the least similarity for which keep_one() is meant.
+BANDS, ROWS = 32, 5
 #: Columns that tell texts apart, added to documents for a while.
 ROW = ("__text_hash", "__text_hash_2")
 
@@ -274,14 +277,96 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, fp and ROW, with set_id, which is the same for the same set of shingles, and the bands of its min-hashes."""
+    rng = np.random.default_rng(8)
+    odd, add = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+            fp = [majority_bits(flat[a:b]) for a, b in zip(ends, ends[1:])]
+            full = np.flatnonzero(np.diff(ends))
+            bands = np.zeros((BANDS, batch.num_rows), np.uint64)
+            if len(full):
+                x, at = flat[ends[0] : ends[-1]].view(np.uint64), ends[full] - ends[0]
+                x = x ^ (x >> np.uint64(29))
+                for i in range(BANDS * ROWS):
+                    y = x * odd[i] + add[i]
+                    y ^= y >> np.uint64(32)
+                    y *= odd[i - 1]
+                    bands[i // ROWS, full] = bands[i // ROWS, full] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(y, at) + np.uint64(i)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.T.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:], rows], ["doc_id", "fp", *ROW, "set_id", "bands"])
+
+    w, hashes = shingle_hashes(F.col("text"), k)
+    rows = docs.select(F.col("doc_id").cast("long"), w.alias("w"), *ROW).select("doc_id", hashes.alias("h"), *ROW)
+    rows = rows.withColumn("set_id", F.xxhash64(F.array_sort(F.array_distinct("h"))))
+    return rows.mapInArrow(run, f"doc_id long, fp long, {ROW[0]} long, {ROW[1]} long, set_id long, bands array<long>")
+
+
+def star_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): the least node of each key with every other one; a join, so that rows of a hot key may go to many tasks."""
+    least = keys.groupBy("key").agg(F.min("node").alias("a"))
+    return keys.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def unconnected_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes of one key that have not the same root."""
+    mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    left, right = (keys.join(mixed, "key", "left_semi").select("key", F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    return left.join(right, "key").filter("ra < rb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+
+
+def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(set_id, root): sets of shingles are linked where the share of common ones among those of both is at least similarity.
+
+    Candidates are fingerprints within DISTANCE bits and sets that share a band; all are compared exactly. A large group under one band
+    is first compared with one of its sets only; then what the links so far do not connect is compared pair by pair."""
+    sets = each.groupBy("set_id").agg(F.min(F.struct(*ROW, "fp", "bands")).alias("x")).select("set_id", "x.*")
+    sets = checkpointed(sets)
+    keys = sets.select("set_id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("key"), F.col("set_id").alias("node"))
+    alone = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    keys = checkpointed(keys.join(alone, "key", "left_semi"))
+
+    by_fp = checkpointed(sets.groupBy("fp").agg(F.min("set_id").alias("node")))
+    a, b = (by_fp.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")) for x in "ab")
+    near_bits = links(by_fp, plan(by_fp)).join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.filter("a <> b").distinct())
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        wanted = sets.join(nodes, "set_id").select("set_id", *ROW)
+        texts = rows.select(*ROW, "text").join(wanted, list(ROW)).dropDuplicates(["set_id"])
+        w, hashes = shingle_hashes(F.col("text"), k)
+        h = checkpointed(texts.select("set_id", w.alias("w")).select("set_id", F.array_distinct(hashes).alias("h")))
+        left, right = (h.select(F.col("set_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+        common, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+        return checkpointed(pairs.join(left, "a").join(right, "b").filter(common >= F.lit(similarity) * (sizes - common)).select("a", "b"))
+
+    stars = checkpointed(star_pairs(keys).union(near_bits))
+    first = verified(stars)
+    roots = components(first).withColumnRenamed("node", "of")
+    known = checkpointed(keys.join(roots, keys.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    links_ = first.union(verified(unconnected_pairs(known).join(stars, ["a", "b"], "left_anti")))
+    roots = components(links_)
+    return sets.join(roots, sets.set_id == roots.node, "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One document of each component, in the columns of docs: that of the least id, one without an id only where the component has no
-    other. A row is told by its id and its text, so rows that share an id (or have none) but not a text are judged each; of repeated rows one stays."""
+    other. A row is told by its id and its text, so rows that share an id (or have none) but not a text are judged each; of repeated rows one stays.
+    Fingerprints are linked within DISTANCE bits or, if a similarity is given, texts whose sets of shingles have that Jaccard similarity."""
     rows = docs.withColumns(dict(zip(ROW, row_key(F.col("text")))))
-    each = checkpointed(fingerprints(rows, k, ROW))
-    roots = rooted(each.select("fp").distinct())
+    if similarity is None:
+        each = checkpointed(fingerprints(rows, k, ROW))
+        named = each.join(rooted(each.select("fp").distinct()), "fp")
+    else:
+        each = checkpointed(sketches(rows, k))
+        named = each.select("doc_id", "set_id", *ROW).join(similar_roots(rows, each, k, similarity), "set_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
-    kept = each.join(roots, "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), *[F.col(f"first.{c}").alias(f"kept{c}") for c in ROW])
+    kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), *[F.col(f"first.{c}").alias(f"kept{c}") for c in ROW])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & reduce(and_, [F.col(c) == F.col(f"kept{c}") for c in ROW])
     return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", *ROW]).drop(*ROW)
 

@@ -376,3 +376,31 @@ def test_rows_without_an_id_of_their_own(spark):
     model = lm.train(d)
     got = lm.score(d, model).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == sorted((i or 0, len((t or "").split()) + 1, len((t or "").split()) + 1) for i, t in rows)
+
+
+def test_similar_texts_are_near_copies(spark):
+    """keep_one with a similarity against the Jaccard similarity of all pairs, on copies with some words changed."""
+    import random
+
+    rng, texts = random.Random(3), ["", "one", "two words", None, "one"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([20, 60, 200]))]
+        for changes in (0, 1, 1, 2, 3, 4, 5, 8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {t} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min(i for i, g in enumerate(group) if g == h) for h in group}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(want) < len(simhash.keep_one(d, 5).collect())
+    assert {r.doc_id for r in simhash.keep_one(d, 5, 0.8).collect()} == want
