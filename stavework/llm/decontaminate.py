@@ -9,7 +9,7 @@ least ``SIMILARITY``. Every placement of up to two substitutions in that many wo
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_WORDS`` words (one item may exceed it), each
 block is broadcast and meets all texts, so memory is bounded at any size of either table.
 
-Cases: null and empty texts, and items of fewer than five words, have no seeds and never match; repeated items are
+Cases: null and empty texts and items have no seeds and never match; an item of one to four words matches only as a whole; repeated items are
 found under each of their ids, repeated text rows give repeated results; an empty table gives an empty result;
 further columns are ignored, whatever their names.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import row_key, table, words
 
 MASKS = ("11111", "110111", "1001111", "11010011")
+#: Masks of items of fewer than SHORT words. Those of five to seven words may have one substitution, shorter ones none.
+SHORT_MASKS, SHORT = ("1", "11"), 8
 MIN_OVERLAP, SIMILARITY, BLOCK_WORDS, CHUNK_WORDS = 10, 0.8, 400_000, 1 << 20
 PUNCTUATION = ".,;:!?\"()"
 TABLE_BITS = 22
@@ -40,7 +42,7 @@ def word_hashes(text: Column) -> Column:
 
 def seeds(flat: np.ndarray, number: int) -> np.ndarray:
     """The hash of the masked window that begins at each word; the last windows are left out."""
-    mask = MASKS[number]
+    mask = (MASKS + SHORT_MASKS)[number]
     n = max(0, len(flat) - len(mask) + 1)
     out = np.full(n, number, np.uint64)
     for i, c in enumerate(mask):
@@ -49,33 +51,42 @@ def seeds(flat: np.ndarray, number: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * ODD[3]
 
 
+def masks_of(words: int) -> list[int]:
+    """The masks of an item of so many words. Whichever of five to seven words is substituted, two neighbours stay; fewer words must all agree."""
+    if words >= SHORT:
+        return list(range(len(MASKS)))
+    return [len(MASKS) + (0 if words == 1 else 1)]
+
+
 class Block:
     """The seeds of some benchmark items: hash, item and position, in order of hash."""
 
     def __init__(self, items: list[tuple[list[int], np.ndarray]]):
         self.ids, self.items = [x[0] for x in items], [x[1] for x in items]
-        parts = [(seeds(w, m), i) for i, w in enumerate(self.items) for m in range(len(MASKS))]
-        h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in parts)])
+        parts = [(seeds(w, m), i, m) for i, w in enumerate(self.items) for m in masks_of(len(w))]
+        self.masks = sorted({m for *_, m in parts})
+        h = np.concatenate([np.zeros(0, np.uint64), *(x for x, *_ in parts)])
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(x), i) for x, i in parts)])[order].astype(np.int64)
-        self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x, _ in parts)])[order].astype(np.int64)
+        self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(x), i) for x, i, _ in parts)])[order].astype(np.int64)
+        self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x, *_ in parts)])[order].astype(np.int64)
         self.known = np.zeros(1 << TABLE_BITS, bool)  # of fixed size: most windows need no search
         self.known[self.hash >> np.uint64(64 - TABLE_BITS)] = True
 
     def candidates(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(text, position in flat where the item would begin, item), once each; ends: those of the texts in flat."""
         found = []
-        for m in range(len(MASKS)):
+        for m in self.masks:
+            width = len((MASKS + SHORT_MASKS)[m])
             h = seeds(flat, m)
             at = np.flatnonzero(self.known[h >> np.uint64(64 - TABLE_BITS)])
             low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             text = np.searchsorted(ends, at, "right")
-            hit = (high > low) & (at + len(MASKS[m]) <= ends[np.minimum(text, len(ends) - 1)])  # not over the seam of two texts
+            hit = (high > low) & (at + width <= ends[np.minimum(text, len(ends) - 1)])  # not over the seam of two texts
             text, at, low, n = text[hit], at[hit], low[hit], (high - low)[hit]
             which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             found.append(np.stack([np.repeat(text, n), np.repeat(at, n) - self.at[which], self.item[which]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+        return np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
 
     def overlap(self, text: np.ndarray, start: int, item: int) -> tuple[int, int, int] | None:
         """First word, end and agreeing words of the overlap of the text with the item laid at start, if it is a leak."""
@@ -111,7 +122,7 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Blo
     rows, n = {}, 0
     for item_id, h in benchmark.select("item_id", word_hashes(F.col("text"))).toLocalIterator():
         w = np.array(h, np.int64).view(np.uint64)
-        if len(w) < len(MASKS[0]):
+        if not len(w):
             continue
         rows.setdefault(w.tobytes(), ([], w))[0].append(item_id)
         n += len(w)

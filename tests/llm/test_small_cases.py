@@ -404,3 +404,18 @@ def test_similar_texts_are_near_copies(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(want) < len(simhash.keep_one(d, 5).collect())
     assert {r.doc_id for r in simhash.keep_one(d, 5, 0.8).collect()} == want
+
+
+def test_short_items_leak(spark):
+    """Items of one to nine words, whole and with each word substituted, against the rule itself."""
+    rows, items, want = [], [], set()
+    for n in range(1, 10):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for at in (None, *range(n)):
+            text = " ".join("other" if k == at else w for k, w in enumerate(words))
+            if n - (at is not None) >= 0.8 * n:
+                want.add((len(rows), n))
+            rows.append((len(rows), f"before {text} after"))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b).collect()} == want
