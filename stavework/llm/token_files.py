@@ -1,15 +1,19 @@
 """Token-id files, coded by an adaptive context-mixing range coder.
 
-Ids of whole documents are gathered into segments of about ``SEGMENT`` ids. A segment is cut into blocks of ``BLOCK`` ids;
-every block starts with an empty model, has a checksum of its own, and can be decoded alone. Within a block an id is
-predicted by the last ids that followed the same one (order 1) and the same two ids (order 2), and by the share of the
-id's upper part so far (order 0). How far the first two are trusted is learnt from their hits so far at the same
-confidences; the three shares of one distribution drive a range coder of 16-bit words with carries. All blocks of a segment
-are coded side by side, as the lanes of numpy arrays.
+Ids of whole documents are gathered into segments of about ``SEGMENT`` ids, and a segment is cut into blocks of ``BLOCK`` ids.
+A block starts with an empty model, has a checksum of its own, and can be decoded alone. An id (its rank among the block's
+distinct ids) is predicted by a mixture of three distributions: of order 0, adaptive counts of the ids that the other two
+missed; of order 1 and order 2, the id that followed the last one, or the last two, and how sure that is. The three weights
+are learnt from the hits so far of contexts of the same surety. In order of rank the mixture's sums are those of order 0, scaled,
+with a step at each of the two predicted ids, so an id has one interval, which drives a range coder of 16-bit words with carries.
+
+A block is cut into lanes of ``STEPS`` ids. All lanes share the block's model and take their steps side by side as numpy
+arrays, each with its own coder state; what a step shows is learnt after the step, the counts and weights at intervals.
 
 A file is a Parquet file of segments in order, in a folder in order of partitions; the column ``data`` holds a segment's bytes:
-``SVTC``, version, block size, number of documents and ids, ids of the documents (with a bit each for null), their lengths,
-and per block the number of code words and the CRC-32 of its ids, then the code words. Numbers are little-endian.
+``SVTC``, version, number of documents and ids, ids of the documents (with a bit each for null), their lengths, and the blocks.
+A block has its numbers of ids and of distinct ids, the CRC-32 of its ids, the distinct ids (differences, deflated), and for every lane
+the number of code words, then the code words. Numbers are little-endian; ids have up to 32 bits.
 
 Cases: a null or empty text has the end id alone; repeated rows are written each; null document ids come first; an empty
 table makes no segments and an empty result; further columns are ignored, whatever their names; damage is an error.
@@ -35,241 +39,268 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, table, words
 
-MAGIC, VERSION, BLOCK, SEGMENT, END = b"SVTC", 1, 2048, 1 << 22, 1
-ORDER1_BITS, ORDER2_BITS, REBUILD, STEP_UP, TRUST = 10, 11, 64, 24, 57344
+MAGIC, VERSION, BLOCK, STEPS, SEGMENT, END = b"SVTC", 2, 1 << 20, 512, 1 << 22, 1
+HEAD, BLOCK_HEAD = "<HIQ", "<IIII"
+#: Bits of a whole interval, of the order-0 sums, of a surety, and of the order-2 table; steps between two renewals.
+TOTAL, ORDER0, SURE, TABLE, RENEW = 28, 20, 3, 18, 64
+#: Bits of the coder's state and of a code word. The range is at least 2 ** (CODE - WORD), and a share of 1 at least 2 ** 4 of it.
+CODE, WORD = 48, 16
+PART_BYTES = 64 << 20
 CACHE_SIZE = 1_000_000
-U = np.uint64
-
-
-class Lanes:
-    """The models and coder states of n blocks that are coded side by side."""
-
-    def __init__(self, n: int):
-        self.lane = np.arange(n, dtype=np.int64)
-        self.id1, self.sure1 = np.zeros(n << ORDER1_BITS, np.uint16), np.zeros(n << ORDER1_BITS, np.int8)
-        self.id2, self.sure2 = np.zeros(n << ORDER2_BITS, np.uint16), np.zeros(n << ORDER2_BITS, np.int8)
-        self.hits2, self.hits1, self.seen = (np.zeros(n * 32, np.int64) for _ in range(3))
-        self.counts = np.ones((n, 256), np.int64)
-        self.cum = np.zeros((n, 257), np.int64)
-        self.last, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.range = np.full(n, 0xFFFFFFFF, U)
-        self.low = np.zeros(n, U)
-
-    def rebuild(self) -> None:
-        """The order-0 distribution from its counts; it is kept for the next REBUILD ids."""
-        sums = np.cumsum(self.counts, 1)
-        self.cum[:, 1:] = (sums << 16) // sums[:, -1:]
+TEXT_END = "\n"
+
+
+class Mixer:
+    """The model of one block."""
+
+    def __init__(self, symbols: int, lanes: int):
+        self.next1, self.next2 = np.zeros(symbols, np.int64), np.zeros(1 << TABLE, np.int64)  # predicted id, and how sure it is
+        self.counts = np.zeros(symbols, np.int64)
+        n = 2 << 2 * SURE
+        self.seen, self.right1, self.right2 = np.full(n, 1.0), np.full(n, 0.3), np.full(n, 0.3)
+        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step, self.due, self.log = 0, 1, []
+        sure, hit = np.divmod(np.arange(2 << SURE), 2)
+        self.changed = np.where(hit == 1, np.minimum(sure + 1, (1 << SURE) - 1), sure >> 1)
+        self.renew()
+
+    def renew(self) -> None:
+        """Order-0 sums and the weights from what was counted so far."""
+        n, sums = len(self.counts), np.cumsum(self.counts + 1)
+        self.sums = np.concatenate([[0], np.arange(1, n + 1) + sums * ((1 << ORDER0) - n) // sums[-1]])
+        two = np.minimum(0.96 * self.right2 / self.seen, 0.97)
+        one = np.minimum(0.96 * self.right1 / self.seen, 0.97 - two)
+        self.weight2, self.weight1 = ((x * (1 << TOTAL)).astype(np.int64) for x in (two, one))
+        self.weight0 = (1 << TOTAL) - self.weight1 - self.weight2
+        self.slots = None
 
     def predict(self, a: int) -> None:
-        """Of the first a lanes: places in the tables, both predictions, and their shares of 65,536."""
-        last, last2 = self.last[:a], self.last2[:a]
-        self.at1 = (self.lane[:a] << ORDER1_BITS) + ((last * 40503 >> 3) & ((1 << ORDER1_BITS) - 1))
-        self.at2 = (self.lane[:a] << ORDER2_BITS) + (((last * 40503 + last2 * 30011) >> 4) & ((1 << ORDER2_BITS) - 1))
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        c1, c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.same = self.p1 == self.p2
-        self.context = (self.lane[:a] << 5) + (c2.astype(np.int64) << 3) + (c1 << 1) + self.same
-        n = 10 * self.seen[self.context] + 10
-        self.share2 = TRUST * (10 * self.hits2[self.context] + 3) // n
-        self.share1 = np.where(self.same, 0, TRUST * (10 * self.hits1[self.context] + 3) // n)
-
-    def update(self, a: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray, upper: np.ndarray) -> None:
-        self.hits2[self.context] += hit2
-        self.hits1[self.context] += hit1
-        self.seen[self.context] += 1
-        for at, ids, sure, right in ((self.at1, self.id1, self.sure1, self.p1 == x), (self.at2, self.id2, self.sure2, hit2)):
-            c = sure[at]
-            take = ~right & (c == 0)
-            ids[at[take]] = x[take]
-            sure[at] = np.where(right, np.minimum(c + 1, 3), np.where(take, 1, c >> 1))
-        self.counts[missed, upper] += STEP_UP
-        self.last2[:a] = self.last[:a]
-        self.last[:a] = x
-
-
-class Encoder(Lanes):
-    def __init__(self, n: int):
-        super().__init__(n)
-        self.out = np.zeros((n, 2 * BLOCK + 8), np.uint16)
-        self.n_out = np.zeros(n, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> U(16)
-        low = self.low[lanes] + start.astype(U) * unit
-        width = size.astype(U) * unit
-        over = np.flatnonzero(low >> U(32))
-        if len(over):
-            where, at = lanes[over], self.n_out[lanes[over]] - 1
-            while len(where):
-                self.out[where, at] += np.uint16(1)
-                more = self.out[where, at] == 0
-                where, at = where[more], at[more] - 1
-            low &= U(0xFFFFFFFF)
-        short = np.flatnonzero(width < U(1 << 16))
-        if len(short):
-            where = lanes[short]
-            self.out[where, self.n_out[where]] = (low[short] >> U(16)).astype(np.uint16)
-            self.n_out[where] += 1
-            low[short] = (low[short] & U(0xFFFF)) << U(16)
-            width[short] <<= U(16)
-        self.low[lanes], self.range[lanes] = low, width
-
-    def run(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        """ids: a row a block, padded; only the last block may be shorter."""
-        for t in range(int(lengths.max(initial=0))):
-            if t % REBUILD == 0:
-                self.rebuild()
-            a = len(lengths) if t < lengths[-1] else len(lengths) - 1
-            x = ids[:a, t]
-            self.predict(a)
-            hit2 = self.p2 == x
-            hit1 = (self.p1 == x) & ~hit2
-            missed = np.flatnonzero(~hit2 & ~hit1)
-            start = np.where(hit2, 0, np.where(hit1, self.share2, self.share2 + self.share1))
-            size = np.where(hit2, self.share2, np.where(hit1, self.share1, 65536 - self.share2 - self.share1))
-            self.put(self.lane[:a], start, size)
-            upper = (x[missed] >> 8).astype(np.int64)
-            begin = self.cum[missed, upper]
-            self.put(missed, begin, self.cum[missed, upper + 1] - begin)
-            self.put(missed, (x[missed] & 255).astype(np.int64) << 8, np.full(len(missed), 256))
-            self.update(a, x, hit2, hit1, missed, upper)
-        for shift in (16, 0):
-            self.out[self.lane, self.n_out] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.uint16)
-            self.n_out += 1
-        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.n_out)]
-
-
-class Decoder(Lanes):
-    def __init__(self, words: list[np.ndarray]):
-        super().__init__(len(words))
-        self.words = np.concatenate([*words, np.zeros(2, np.uint16)]).astype(U)
-        self.at = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1].astype(np.int64)
-        self.low = (self.words[self.at] << U(16)) | self.words[self.at + 1]  # the code within the range
-        self.at += 2
-
-    def value(self, lanes: np.ndarray) -> np.ndarray:
-        return np.minimum(self.low[lanes] // (self.range[lanes] >> U(16)), U(65535)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> U(16)
-        code, width = self.low[lanes] - start.astype(U) * unit, size.astype(U) * unit
-        short = np.flatnonzero(width < U(1 << 16))
-        if len(short):
-            where = lanes[short]
-            code[short] = (code[short] << U(16)) | self.words[self.at[where]]
-            self.at[where] += 1
-            width[short] <<= U(16)
-        self.low[lanes], self.range[lanes] = code, width
-
-    def run(self, lengths: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.uint16)
-        for t in range(out.shape[1]):
-            if t % REBUILD == 0:
-                self.rebuild()
-            a = len(lengths) if t < lengths[-1] else len(lengths) - 1
-            self.predict(a)
-            value = self.value(self.lane[:a])
-            hit2 = value < self.share2
-            both = self.share2 + self.share1
-            hit1 = ~hit2 & (value < both)
-            missed = np.flatnonzero(value >= both)
-            self.take(self.lane[:a], np.where(hit2, 0, np.where(hit1, self.share2, both)), np.where(hit2, self.share2, np.where(hit1, self.share1, 65536 - both)))
-            x = np.where(hit2, self.p2, self.p1)
-            value = self.value(missed)
-            upper = np.zeros(len(missed), np.int64)
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                upper += step * (self.cum[missed, upper + step] <= value)
-            begin = self.cum[missed, upper]
-            self.take(missed, begin, self.cum[missed, upper + 1] - begin)
-            lower = self.value(missed) >> 8
-            self.take(missed, lower << 8, np.full(len(missed), 256))
-            x[missed] = (upper << 8) | lower
-            out[:a, t] = x
-            self.update(a, x, hit2, hit1, missed, upper)
-        return out
+        """The predictions and weights of the first a lanes."""
+        last = self.last[:a]
+        self.at2 = (last * 2656615937 + self.last2[:a] * 30011 >> 5) & ((1 << TABLE) - 1)
+        one, two = self.next1.take(last, mode="clip"), self.next2.take(self.at2, mode="clip")
+        self.sure1, self.sure2, self.p1, self.p2 = one & ((1 << SURE) - 1), two & ((1 << SURE) - 1), one >> SURE, two >> SURE
+        self.context = ((self.sure2 << SURE | self.sure1) << 1) | (self.p1 == self.p2)
+        self.w0, self.w1, self.w2 = (w.take(self.context, mode="clip") for w in (self.weight0, self.weight1, self.weight2))
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of these ids in the mixture, of 2 ** TOTAL."""
+        start = self.sums.take(x, mode="clip") * self.w0 >> ORDER0
+        size = (self.sums.take(x + 1, mode="clip") * self.w0 >> ORDER0) - start
+        self.hit1, self.hit2 = self.p1 == x, self.p2 == x
+        size += self.w1 * self.hit1
+        size += self.w2 * self.hit2
+        start += self.w1 * (self.p1 < x)
+        start += self.w2 * (self.p2 < x)
+        return start, size
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold v: the steps of both predicted ids are taken out of v, then order 0 is searched."""
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.sums))
+        low1, low2 = (self.sums.take(p, mode="clip") * self.w0 >> ORDER0 for p in (self.p1, self.p2))
+        low2 += self.w1 * (self.p1 < self.p2)
+        v = np.maximum(np.minimum(v, low2), v - self.w2)
+        v = np.maximum(np.minimum(v, low1), v - self.w1)
+        return self.slots.take((((v + 1 << ORDER0) - 1) / self.w0).astype(np.int64), mode="clip").astype(np.int64)  # exact: under 2 ** 48 by 2 ** 28
+
+    def update(self, x: np.ndarray) -> None:
+        for at, of, p, sure, hit in ((self.last[: len(x)], self.next1, self.p1, self.sure1, self.hit1), (self.at2, self.next2, self.p2, self.sure2, self.hit2)):
+            of[at] = np.where(hit | (sure > 0), p, x) << SURE | self.changed.take(sure << 1 | hit, mode="clip")
+        self.log.append((self.context, self.hit1, self.hit2, x))
+        self.last2[: len(x)] = self.last[: len(x)]
+        self.last[: len(x)] = x
+        self.step += 1
+        if self.step == self.due:
+            context, hit1, hit2, x = (np.concatenate(part) for part in zip(*self.log))
+            n = len(self.seen)
+            self.seen += np.bincount(context, minlength=n)
+            self.right1 += np.bincount(context[hit1 & ~hit2], minlength=n)
+            self.right2 += np.bincount(context[hit2], minlength=n)
+            self.counts += np.bincount(x[~(hit1 | hit2)], minlength=len(self.counts))
+            self.log, self.due = [], min(2 * self.due, self.due + RENEW)
+            self.renew()
+
+
+def carry(out: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to the words before these places, and to those before them where they overflow."""
+    at = at - 1
+    while len(at):
+        out[at] += np.uint16(1)
+        at = at[out[at] == 0] - 1
+
+
+def encode_block(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code words of a block, and how many each lane has. ranks: at least one; every rank up to the largest occurs."""
+    n, steps = len(ranks), min(len(ranks), STEPS)
+    lanes = -(-n // steps)
+    rows = np.zeros(lanes * steps, np.int64)
+    rows[:n] = ranks
+    rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
+    mixer, width = Mixer(int(ranks.max()) + 1, lanes), 2 * steps + 4
+    out, begin = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+    at, low, size = begin.copy(), np.zeros(lanes, np.int64), np.full(lanes, 1 << CODE, np.int64)
+    for t in range(steps):
+        a = lanes if t < n - (lanes - 1) * steps else lanes - 1
+        mixer.predict(a)
+        start, part = mixer.interval(rows[t, :a])
+        unit = size[:a] >> TOTAL
+        start *= unit
+        start += low[:a]
+        part *= unit
+        over = np.flatnonzero(start >> CODE)
+        carry(out, at[over])
+        start[over] &= (1 << CODE) - 1
+        while True:  # twice at most; all write a word, but only those with a short range keep it
+            short = part < 1 << CODE - WORD
+            if not short.any():
+                break
+            out[at[:a]] = start >> CODE - WORD
+            at[:a] += short
+            shift = short.astype(np.int64) << 4
+            start = start << shift & (1 << CODE) - 1
+            part <<= shift
+        low[:a], size[:a] = start, part
+        mixer.update(rows[t, :a])
+    low += (1 << WORD) - 1  # two words tell a number of the range, whatever follows them
+    over = np.flatnonzero(low >> CODE)
+    carry(out, at[over])
+    for shift in (CODE - WORD, CODE - 2 * WORD):
+        out[at] = low >> shift & (1 << WORD) - 1
+        at += 1
+    n_words = at - begin
+    return np.concatenate([out[b:e] for b, e in zip(begin, at)]), n_words
+
+
+def decode_block(words: np.ndarray, n_words: np.ndarray, symbols: int, n: int) -> np.ndarray:
+    """The n ranks of a block."""
+    steps, lanes = min(n, STEPS), len(n_words)
+    mixer = Mixer(symbols, lanes)
+    words = np.concatenate([words, np.zeros(3, np.uint16)]).astype(np.int64)
+    at = np.cumsum(n_words) - n_words
+    code = words[at] << CODE - WORD | words[at + 1] << CODE - 2 * WORD | words[at + 2]
+    at, size, out = at + 3, np.full(lanes, 1 << CODE, np.int64), np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        a = lanes if t < n - (lanes - 1) * steps else lanes - 1
+        mixer.predict(a)
+        unit, rest = size[:a] >> TOTAL, code[:a]
+        x = mixer.find(np.minimum((rest / unit).astype(np.int64), (1 << TOTAL) - 1))  # exact: 48 bits by 20
+        start, part = mixer.interval(x)
+        start *= unit
+        part *= unit
+        rest = rest - start
+        while True:
+            short = part < 1 << CODE - WORD
+            if not short.any() or not part.all():
+                break
+            shift = short.astype(np.int64) << 4
+            rest = rest << shift | words.take(at[:a], mode="clip") & -(shift >> 4)
+            at[:a] += short
+            part <<= shift
+        code[:a], size[:a] = rest, part
+        out[t, :a] = x
+        mixer.update(x)
+    return out.T.ravel()[:n]
+
+
+def pack_block(ids: np.ndarray) -> bytes:
+    """ids: at least one, of up to 32 bits."""
+    if int(ids.max()) < 1 << 22:
+        known = np.bincount(ids) > 0
+        distinct, ranks = np.flatnonzero(known), (np.cumsum(known) - 1)[ids]
+    else:
+        distinct, ranks = np.unique(ids, return_inverse=True)
+    code, n_words = encode_block(ranks)
+    alphabet = zlib.compress(np.diff(distinct.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes())
+    return struct.pack(BLOCK_HEAD, len(ids), len(distinct), zlib.crc32(ids.astype("<u4").tobytes()), len(alphabet)) + alphabet + n_words.astype("<u2").tobytes() + code.astype("<u2").tobytes()
+
+
+def unpack_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The ids of the block that begins there, and its end; an error if they are not those that were packed."""
+    try:
+        n, symbols, crc, size = struct.unpack_from(BLOCK_HEAD, data, at)
+        at += struct.calcsize(BLOCK_HEAD)
+        distinct = np.cumsum(np.frombuffer(zlib.decompress(data[at : at + size]), "<u4"), dtype=np.uint32)
+        at += size
+        n_words = np.frombuffer(data, "<u2", -(-n // min(n, STEPS)), at).astype(np.int64)
+        at += 2 * len(n_words)
+        code = np.frombuffer(data, "<u2", int(n_words.sum()), at)
+        if not 0 < symbols == len(distinct) <= n <= BLOCK or n_words.min() < 2:
+            raise ValueError("a block's head is damaged")
+        ids = distinct[decode_block(code, n_words, symbols, n)]
+    except (struct.error, zlib.error, IndexError, ZeroDivisionError) as e:
+        raise ValueError("a block is damaged") from e
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block is damaged")
+    return ids, at + 2 * len(code)
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a segment."""
-    if len(ids) and int(ids.max()) > 0xFFFF:
-        raise ValueError("ids of more than 16 bits are not supported")
-    n_blocks = -(-len(ids) // BLOCK)
-    rows = np.zeros((n_blocks, BLOCK), np.uint16)
-    rows.ravel()[: len(ids)] = ids
-    sizes = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(n_blocks))
-    coded = Encoder(n_blocks).run(rows, sizes)
-    sums = np.array([zlib.crc32(rows[i, :n].astype("<u4").tobytes()) for i, n in enumerate(sizes)], "<u4")
-    head = MAGIC + struct.pack("<HIIQ", VERSION, BLOCK, len(doc_ids), len(ids))
+    head = MAGIC + struct.pack(HEAD, VERSION, len(doc_ids), len(ids))
     known = np.packbits(np.array([x is not None for x in doc_ids], bool)).tobytes()
-    return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), known, lengths.astype("<i8").tobytes(), np.array([len(c) // 2 for c in coded], "<u4").tobytes(), sums.tobytes(), *coded])
+    blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), known, lengths.astype("<i8").tobytes(), *blocks])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Documents' ids, their lengths, and all ids of a segment; checks every block."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    version, block, n_docs, n_ids = struct.unpack_from("<HIIQ", data, 4)
+    version, n_docs, n_ids = struct.unpack_from(HEAD, data, 4)
     if version != VERSION:
         raise ValueError(f"version {version} is not supported")
-    at = 4 + struct.calcsize("<HIIQ")
-
-    def read(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, kind, n, at)
-        at += out.nbytes
-        return out
-
-    doc_ids, known, lengths = read("<i8", n_docs), np.unpackbits(read("u1", -(-n_docs // 8)))[:n_docs], read("<i8", n_docs)
-    n_blocks = -(-n_ids // block)
-    n_words, sums = read("<u4", n_blocks), read("<u4", n_blocks)
-    sizes = np.minimum(block, n_ids - block * np.arange(n_blocks))
-    rows = Decoder([read("<u2", n) for n in n_words]).run(sizes) if n_blocks else np.zeros((0, block), np.uint16)
-    for i, n in enumerate(sizes):
-        if zlib.crc32(rows[i, :n].astype("<u4").tobytes()) != sums[i]:
-            raise ValueError(f"block {i} is damaged")
-    return [int(x) if k else None for x, k in zip(doc_ids, known)], lengths, rows.ravel()[:n_ids] if n_blocks else np.zeros(0, np.uint16)
+    at = 4 + struct.calcsize(HEAD)
+    doc_ids = np.frombuffer(data, "<i8", n_docs, at)
+    known = np.unpackbits(np.frombuffer(data, "u1", -(-n_docs // 8), at + 8 * n_docs))[:n_docs]
+    at += 8 * n_docs + -(-n_docs // 8)
+    lengths, at, blocks, n = np.frombuffer(data, "<i8", n_docs, at), at + 8 * n_docs, [np.zeros(0, np.uint32)], 0
+    while n < n_ids:
+        block, at = unpack_block(data, at)
+        blocks.append(block)
+        n += len(block)
+    return [int(x) if k else None for x, k in zip(doc_ids, known)], lengths, np.concatenate(blocks)
 
 
 class WordEncoder:
     """Ids of texts that come as words: the tokenizer's pieces never hold white space, so a word's ids are its own, and a
-    worker keeps those of the words that it has met."""
+    worker keeps those of the words that it has met. TEXT_END, which is no word, stands for the end id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives every task one core
         from tokenizers import Tokenizer
 
-        gc.disable()  # the cache makes many objects and no cycles
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}  # of the words met so far; the ids of all of them lie in one array
-        self.flat, self.begin, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number: dict[str, int] = {TEXT_END: 0}  # of the words met so far; the ids of all of them lie in one array
+        self.flat, self.begin, self.size = np.full(1, END, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def learn(self, fresh: list[str]) -> None:
         found = [e.ids for i in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch_fast(fresh[i : i + 20_000], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
         self.size = np.concatenate([self.size, size])
 
     def __call__(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with its end, and the texts' lengths."""
-        n_words = np.diff(lists.offsets.to_numpy())
+        """All ids of the texts, whose last word is TEXT_END, and how many each text has."""
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         fresh = [w for w in distinct if w not in self.number]
         if len(self.number) + len(fresh) > CACHE_SIZE:
             self.forget()
-            fresh = distinct
+            fresh = [w for w in distinct if w != TEXT_END]
         if fresh:
             self.learn(fresh)
-        of = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        of = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         n = self.size[of]
-        ids = self.flat[np.repeat(self.begin[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(n_words)]  # of each text, among the ids without ends
-        return np.insert(ids, ends, np.uint16(END)), np.diff(ends, prepend=0) + 1
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[of] - ends + n, n) + np.arange(len(of) and ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, np.diff(ends[offsets[1:] - offsets[0] - 1], prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -278,10 +309,14 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
-    """Encodes all texts and writes them to the folder in ascending order of doc_id."""
+    """Encodes all texts and writes them to the folder in ascending order of doc_id, in partitions of about PART_BYTES of text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select("doc_id", words(F.col("text")).alias("w"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    # Rows that share an id, or have none, are dealt by their texts and then by where they were read.
+    spread = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ordered = spread.repartitionByRange(n, "doc_id", "h", "at").sortWithinPartitions("doc_id").select("doc_id", F.concat(words(F.col("text")), F.array(F.lit(TEXT_END))).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -292,20 +327,24 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
             data = pack(doc_ids, np.concatenate(lengths), np.concatenate(ids))
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                rows = batch.slice(i, 2048)
-                new, n_each = encoder(rows.column(1))
-                doc_ids += rows.column(0).to_pylist()
-                lengths.append(n_each)
-                ids.append(new)
-                total += len(new)
-                if total >= SEGMENT:
-                    yield segment()
-                    number += 1
-                    doc_ids, lengths, ids, total = [], [], [], 0
-        if doc_ids:
-            yield segment()
+        gc.disable()  # the words' cache makes many objects and no cycles
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2048):
+                    rows = batch.slice(i, 2048)
+                    new, n_each = encoder(rows.column(1))
+                    doc_ids += rows.column(0).to_pylist()
+                    lengths.append(n_each)
+                    ids.append(new)
+                    total += len(new)
+                    if total >= SEGMENT:
+                        yield segment()
+                        number += 1
+                        doc_ids, lengths, ids, total = [], [], [], 0
+            if doc_ids:
+                yield segment()
+        finally:
+            gc.enable()
 
     ordered.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(folder)
 
