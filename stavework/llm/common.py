@@ -9,10 +9,13 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = "\t\n\x0b\x0c\r"
+#: Rows that are few enough to be broadcast, and places over which a hot key is dealt.
+FEW_ROWS, SALTS = 100_000, 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,6 +29,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The strings of an array; faster than to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def row_key(text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes of a text, the same for null and empty."""
     text = F.coalesce(text, F.lit(""))
@@ -36,10 +44,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, however it writes its own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def spread_join(large: DataFrame, small: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """The inner join on keys, each of which small has once. Small is broadcast if it has at most FEW_ROWS rows; else every row of it goes to
+    SALTS places, and the rows of large that share a key are dealt over these by the hash of ``by``."""
+    small = checkpointed(small)
+    if small.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return large.join(F.broadcast(small), keys)
+    salt = unused_name(large, "salt")
+    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn(salt, F.pmod(F.hash(by), F.lit(SALTS))).join(many, [*keys, salt]).drop(salt)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; only a session without one gets a temporary one."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a session in one process may do without and
+    gets a temporary one; on a cluster it would be another one on each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex[:8]}")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -7,7 +7,9 @@ is a leak if ``MIN_OVERLAP`` consecutive words of the item (all, if it has fewer
 least ``SIMILARITY``. Every placement of up to two substitutions in that many words leaves a seed of some mask whole.
 
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_WORDS`` words (one item may exceed it), each
-block is broadcast and meets all texts, so memory is bounded at any size of either table.
+block is broadcast and meets all texts. If there are several blocks, what one finds is written to the shared folder before the next one is
+broadcast, so memory is bounded at any size of either table. A seed that occurs very often in a text and in an item gives
+every distinct shift of the two once, not every pair of its places.
 
 Cases: null and empty texts and items have no seeds and never match; an item of one to four words matches only as a whole; repeated items are
 found under each of their ids, repeated text rows give repeated results; an empty table gives an empty result;
@@ -16,22 +18,27 @@ further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, words
+from .common import shared_folder, table, unused_name, words
 
-MASKS = ("11111", "110111", "1001111", "11010011")
+MASKS = ("111101", "110111", "11000111")
 #: Masks of items of fewer than SHORT words. Those of five to seven words may have one substitution, shorter ones none.
 SHORT_MASKS, SHORT = ("1", "11"), 8
 MIN_OVERLAP, SIMILARITY, BLOCK_WORDS, CHUNK_WORDS = 10, 0.8, 400_000, 1 << 20
 PUNCTUATION = ".,;:!?\"()"
 TABLE_BITS = 22
+#: Pairs of equal seeds that are listed at once, and pairs of one seed in one text from which they are shifted as bits.
+MOST_PAIRS, MANY_PAIRS = 1 << 20, 1 << 12
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) | 1 for i in range(16)], np.uint64)
 
 
@@ -73,9 +80,9 @@ class Block:
         self.known = np.zeros(1 << TABLE_BITS, bool)  # of fixed size: most windows need no search
         self.known[self.hash >> np.uint64(64 - TABLE_BITS)] = True
 
-    def candidates(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(text, position in flat where the item would begin, item), once each; ends: those of the texts in flat."""
-        found = []
+    def candidates(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, the places in the text where the item may begin, ascending and once each); ends: those of the texts in flat."""
+        begins, listed, shifted = np.concatenate([[0], ends[:-1]]), [np.zeros((3, 0), np.int64)], {}
         for m in self.masks:
             width = len((MASKS + SHORT_MASKS)[m])
             h = seeds(flat, m)
@@ -83,10 +90,31 @@ class Block:
             low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             text = np.searchsorted(ends, at, "right")
             hit = (high > low) & (at + width <= ends[np.minimum(text, len(ends) - 1)])  # not over the seam of two texts
-            text, at, low, n = text[hit], at[hit], low[hit], (high - low)[hit]
-            which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([np.repeat(text, n), np.repeat(at, n) - self.at[which], self.item[which]], 1))
-        return np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
+            order = np.flatnonzero(hit)[np.lexsort((low[hit], text[hit]))]
+            text, at, low, n = text[order], at[order], low[order], (high - low)[order]
+            first = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(low, prepend=-1))  # of each seed of each text
+            times = np.diff(np.append(first, len(text)))
+            many = times * n[first] > MANY_PAIRS
+            for i, k in zip(first[many], times[many]):
+                places = at[i : i + k] - begins[text[i]]
+                entries = np.arange(low[i], low[i] + n[i])
+                entries = entries[np.argsort(self.item[entries], kind="stable")]
+                for own in np.split(entries, np.flatnonzero(np.diff(self.item[entries])) + 1):
+                    shifted.setdefault((int(text[i]), int(self.item[own[0]])), []).append((places, self.at[own]))
+            few = ~np.repeat(many, times)
+            text, at, low, n = text[few], at[few], low[few], n[few]
+            stops = np.searchsorted(np.cumsum(n), np.arange(MOST_PAIRS, n.sum() + MOST_PAIRS, MOST_PAIRS))
+            for a, b in zip(np.append(0, stops[:-1] + 1), np.minimum(stops + 1, len(n))):
+                which = np.repeat(low[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(n[a:b].sum())
+                of = np.repeat(text[a:b], n[a:b])
+                listed.append(distinct_columns(np.stack([of, self.item[which], np.repeat(at[a:b], n[a:b]) - self.at[which] - begins[of]])))
+        text, item, start = distinct_columns(np.concatenate(listed, 1))
+        first = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(item, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(text))):
+            more = shifted.pop((int(text[a]), int(item[a])), [])
+            yield int(text[a]), int(item[a]), np.unique(np.concatenate([start[a:b], *(shifts(*x) for x in more)])) if more else start[a:b]
+        for (i, k), more in shifted.items():
+            yield i, k, np.unique(np.concatenate([shifts(*x) for x in more]))
 
     def overlap(self, text: np.ndarray, start: int, item: int) -> tuple[int, int, int] | None:
         """First word, end and agreeing words of the overlap of the text with the item laid at start, if it is a leak."""
@@ -104,17 +132,46 @@ class Block:
         return low + int(hits[0]), low + int(hits[-1]) + 1, len(hits)
 
     def leaks(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, agreeing words): per text and item the overlap with the most agreeing words."""
-        ends = np.cumsum([len(t) for t in texts])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        """(text, item, start, end, agreeing words): per text and item the overlap with the most agreeing words, the first of such."""
         if not texts:
             return
-        for i, start, item in self.candidates(np.concatenate(texts), ends).tolist():
-            o = self.overlap(texts[i], start - int(ends[i] - len(texts[i])), item)
-            if o and o[2] > best.get((i, item), (0, 0, 0))[2]:
-                best[i, item] = o
-        for (i, item), o in sorted(best.items()):
-            yield i, item, *o
+        for i, item, starts in self.candidates(np.concatenate(texts), np.cumsum([len(t) for t in texts])):
+            best = None
+            for start in starts.tolist():
+                o = self.overlap(texts[i], start, item)
+                if o and (best is None or o[2] > best[2]):
+                    best = o
+                    if o[2] == len(self.items[item]):
+                        break
+            if best:
+                yield i, item, *best
+
+
+def distinct_columns(x: np.ndarray) -> np.ndarray:
+    """The columns, each once, in order."""
+    x = x[:, np.lexsort(x[::-1])]
+    return x[:, np.append(True, np.diff(x, axis=1).any(0))[: x.shape[1]]]
+
+
+def shifts(places: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The distinct differences of two sets of places: the first as the bits of a number, which is shifted by each of the second."""
+    bits, most = np.zeros(int(places.max()) + 1, bool), int(own.max())
+    bits[places] = True
+    number, out = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), 0
+    for x in own.tolist():
+        out |= number << (most - x)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(out.to_bytes(-(-out.bit_length() // 8), "little"), np.uint8), bitorder="little")) - most
+
+
+def leaks_of(block: Block, lists: pa.ListArray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Block.leaks() of an array of lists of hashes, some at a time."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_WORDS, "right")) - 1)
+        for i, *found in block.leaks([flat[ends[k] : ends[k + 1]] for k in range(first, last)]):
+            yield first + i, *found
+        first = last
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -133,38 +190,56 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Blo
         yield Block(list(rows.values()))
 
 
+def in_turn(rows: DataFrame, benchmark: DataFrame, block_words: int, scan: Callable[[DataFrame, Broadcast], DataFrame], chained: bool) -> list[DataFrame]:
+    """scan(rows, block) for every block; chained: of what the scan before it left. A second block is broadcast only when the first
+    one's result is written."""
+    context, found = rows.sparkSession.sparkContext, blocks(benchmark, block_words)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        return [scan(rows, context.broadcast(first))] if first else []
+    out, folder = [], f"{shared_folder(rows.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    for i, block in enumerate(chain([first, second], found)):
+        shared = context.broadcast(block)
+        scan(out[-1] if chained and out else rows, shared).write.parquet(f"{folder}/{i}")
+        shared.destroy()
+        out.append(rows.sparkSession.read.parquet(f"{folder}/{i}"))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, start, end (words of the text, end exclusive), n_match and similarity of every leak."""
     schema = "doc_id long, item_id long, start long, `end` long, n_match long"
-    texts = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("h"))
 
-    def scan(block) -> DataFrame:
+    def scan(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b: Block = block.value
+            block: Block = shared.value
             for batch in batches:
-                ids, lists = batch.column(0).to_pylist(), batch.column(1)
-                flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-                first, out = 0, []
-                while first < len(ids):
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_WORDS, "right")) - 1)
-                    for i, item, *where in b.leaks([flat[ends[k] : ends[k + 1]] for k in range(first, last)]):
-                        out += [(ids[first + i], item_id, *where) for item_id in b.ids[item]]
-                    first = last
+                ids = batch.column(0).to_pylist()
+                out = [(ids[i], item_id, *where) for i, item, *where in leaks_of(block, batch.column(1)) for item_id in block.ids[item]]
                 yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["doc_id", "item_id", "start", "end", "n_match"])
 
-        return texts.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
-    context = docs.sparkSession.sparkContext
-    found = [scan(context.broadcast(b)) for b in blocks(benchmark, block_words)]
+    found = in_turn(docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("h")), benchmark, block_words, scan, False)
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return out.withColumn("similarity", F.col("n_match") / (F.col("end") - F.col("start")))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, in the columns of docs; a row is judged by its text alone, whatever its id."""
-    key, _ = row_key(F.col("text"))
-    leaked = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, key == F.col("__leaked"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without a leak, in the columns of docs; a row is judged by its text alone, as it passes, whatever its id."""
+    schema, hashes = docs.schema, unused_name(docs, "words")
+
+    def scan(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block: Block = shared.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, *_ in leaks_of(block, batch.columns[-1])]] = False
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(clean))
+
+        return rows.select("*", word_hashes(F.col("text")).alias(hashes)).mapInArrow(run, schema)
+
+    return (in_turn(docs, benchmark, block_words, scan, True) or [docs])[-1]
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
