@@ -1,12 +1,14 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
 Rules decide the urls that they fit; the others are judged by the tree. Per host, every path segment is generalised:
-runs of digits become ``{n}``, long hexadecimal words ``{x}``. The tree is built level by level from the counts of
-distinct generalised paths. Below a node, literal segments that are many and rare are variable and become ``*``; then
-branches whose share of good urls differs from the node's in the same way (higher, lower, or not beyond chance) are
-merged into one template. A template's purity is its share of labelled urls that are good, drawn towards its parent's
-purity by ``PRIOR`` urls; the root is that share over all hosts. A template of purity below ``REJECT`` is rejected. The
-labels are the rules' verdicts unless others are given. Paths are told apart down to ``DEPTH`` segments.
+runs of digits become ``{n}``, long hexadecimal words ``{x}``. The tree is built from the counts of distinct generalised
+paths, down to their last segments. Below a node, literal segments that are many and rare are variable: they are one branch
+``{*}`` with the sum of their counts. Then branches are merged where their shares of good urls are alike: in order of that share, a
+new template begins where two neighbours differ beyond chance (two proportions, ``Z``), or where one differs from the whole
+node beyond chance and the other does not; branches without labels are one template. A template's purity is its share of labelled urls
+that are good, drawn towards the node's purity by ``PRIOR`` urls; a host's is drawn towards the share over all hosts. Segments that all paths of a node
+share are passed over, since they tell nothing apart. A path whose last template has a purity below ``REJECT`` is rejected.
+The labels are the rules' verdicts unless others are given. A template shows the literals that it stands for.
 
 Cases: a null url, or one without ``://``, has an empty host and path, and all such urls share one node; repeated rows
 are judged each; an empty table gives an empty table; further columns are ignored, whatever their names.
@@ -14,13 +16,18 @@ are judged each; an empty table gives an empty table; further columns are ignore
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table
+from .common import ascii_lower, checkpointed, spread_join, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DEPTH, FANOUT, RARE, PRIOR, REJECT, Z = 3, 20, 0.02, 5, 0.35, 1.96
+FANOUT, RARE, PRIOR, REJECT, Z = 20, 0.02, 5, 0.35, 1.96
+#: Levels that the SQL form is written out for; deeper paths than these are in no given table.
+SQL_LEVELS = 6
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -41,42 +48,72 @@ def longest_rule(host: Column, path: Column, rules: tuple) -> Column:
 
 
 def generalised(path: Column) -> Column:
-    """Up to DEPTH generalised segments of a path."""
-    segments = F.slice(F.array_remove(F.split(path, "/"), ""), 1, DEPTH)
-    return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{12,}", "{x}"), r"[0-9]+", "{n}"))
+    """The generalised segments of a path."""
+    return F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{12,}", "{x}"), r"[0-9]+", "{n}"))
 
 
 def purity(good: Column, n: Column, prior: Column) -> Column:
     return (good + F.lit(float(PRIOR)) * prior) / (n + F.lit(float(PRIOR)))
 
 
+def apart(g: Column, n: Column, g2: Column, n2: Column) -> Column:
+    """Whether the shares g of n and g2 of n2 differ beyond chance."""
+    off, both = (g * n2 - g2 * n).cast("double"), n + n2
+    return off * off * both > F.lit(Z * Z) * (g + g2).cast("double") * (both - g - g2) * n * n2
+
+
+def passed_over(tree: DataFrame) -> DataFrame:
+    """tree, with the segments that all of a node's paths share moved from rest to template; is_last: whether its path is the node's only one."""
+    ends = tree.groupBy("host", "node").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
+    ends = ends.select("host", "node", F.when(differs > 0, differs - 1).otherwise(F.size("low")).cast("int").alias("shared"), (F.col("low") == F.col("high")).alias("is_last"))
+    shown = F.transform(F.slice("rest", 1, F.col("shared")), lambda x: F.concat(F.lit("/"), x))
+    rows = spread_join(tree, ends, ["host", "node"], F.col("rest"))
+    return rows.withColumns({"template": F.concat("template", F.array_join(shown, "")), "rest": F.slice("rest", F.col("shared") + 1, F.size("rest"))}).drop("shared")
+
+
+def merged_branches(tree: DataFrame) -> DataFrame:
+    """(host, node, segment) with the template that it belongs to: its number, name and labels. The end of a path is the segment ""."""
+    branches = checkpointed(tree.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g")))
+    nodes = branches.groupBy("host", "node").agg(F.sum("n").alias("node_n"), F.sum("l").alias("node_l"), F.sum("g").alias("node_g"), F.count_if(F.col("segment") != "").alias("fan"))
+    rare = (F.col("fan") > FANOUT) & (F.col("n") < F.lit(RARE) * F.col("node_n")) & (F.col("segment") != "")
+    kind = F.when(F.col("segment") == "", 0).when(rare, 2).otherwise(1)
+    b = spread_join(branches, nodes, ["host", "node"], F.col("segment")).withColumn("kind", kind).withColumn("name", F.when(kind == 2, "{*}").otherwise(F.col("segment")))
+    # From here on a node has few rows: its end, its variable branch, and its literals, each of RARE of its urls or among FANOUT.
+    few = b.groupBy("host", "node", "kind", "name").agg(F.sum("l").alias("l"), F.sum("g").alias("g"), F.first("node_l").alias("node_l"), F.first("node_g").alias("node_g"))
+    labelled = F.col("l") > 0
+    own = apart(F.col("g"), F.col("l"), F.col("node_g"), F.col("node_l"))
+    side = F.when(~labelled, F.lit(None)).when(own & (F.col("g") * F.col("node_l") > F.col("node_g") * F.col("l")), 1).when(own, -1).otherwise(0)
+    order = W.partitionBy("host", "node").orderBy(labelled, (F.col("g").cast("double") / F.nullif("l", F.lit(0))).asc_nulls_first(), "kind", "name")
+    few = few.withColumn("side", side)
+    begins = ~F.lag("side").over(order).eqNullSafe(F.col("side")) | F.coalesce(apart(F.col("g"), F.col("l"), F.lag("g").over(order), F.lag("l").over(order)), F.lit(False))
+    few = few.withColumn("begins", begins.cast("int")).withColumn("number", F.sum("begins").over(order))
+    whole = W.partitionBy("host", "node", "number")
+    members = F.array_sort(F.collect_list("name").over(whole))
+    few = few.select("host", "node", "kind", "name", "number", F.when(F.size(members) == 1, members[0]).otherwise(F.concat(F.lit("("), F.array_join(members, "|"), F.lit(")"))).alias("shown"), F.sum("l").over(whole).alias("t_l"), F.sum("g").over(whole).alias("t_g"))
+    return spread_join(b.select("host", "node", "segment", "kind", "name"), few, ["host", "node", "kind", "name"], F.col("segment")).drop("kind", "name")
+
+
 def template_purities(paths: DataFrame) -> DataFrame:
-    """paths (host, shape, n, labelled, good; one row a shape) with the merged template and its purity."""
+    """paths (host, shape, n, labelled, good; one row a shape) with the path's template and its purity."""
     paths = checkpointed(paths)
     root = paths.groupBy().agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("root"))
     hosts = paths.groupBy("host").agg(F.sum("labelled").alias("l0"), F.sum("good").alias("g0")).join(F.broadcast(root))  # root is one row
-    tree = paths.join(hosts.select("host", purity(F.col("g0"), F.col("l0"), F.col("root")).alias("purity")), "host").withColumn("node", F.lit(""))
-    for depth in range(DEPTH):
-        tree = checkpointed(tree)  # one row a generalised path; each level reads the one before several times
-        deeper = F.size("shape") > depth
-        segment = F.when(deeper, F.get("shape", F.lit(depth)))
-        tree = tree.withColumn("segment", segment)
-        branches = tree.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
-        nodes = branches.groupBy("host", "node").agg(F.sum("n").alias("node_n"), F.sum("l").alias("node_l"), F.sum("g").alias("node_g"), F.count("segment").alias("fan"))
-        b = branches.join(nodes, ["host", "node"])
-        b = b.withColumn("kind", F.when((F.col("fan") > FANOUT) & (F.col("n") < F.lit(RARE) * F.col("node_n")) & F.col("segment").isNotNull(), "*").otherwise(F.col("segment")))
-        rate, parent = F.col("g") / F.col("l"), F.col("node_g") / F.col("node_l")
-        off = (F.col("g") * F.col("node_l") - F.col("node_g") * F.col("l")).cast("double")
-        chance = F.lit(Z * Z) * F.col("l") * F.col("node_g") * (F.col("node_l") - F.col("node_g"))
-        differs = (F.col("l") > 0) & (off * off > chance)
-        b = b.withColumn("template", F.when(F.col("segment").isNull(), "").when(differs & (off > 0), "/+").when(differs, "/-").otherwise("/="))
-        merged = b.groupBy("host", "node", "template").agg(F.sum("l").alias("t_l"), F.sum("g").alias("t_g"))
-        named = b.select("host", "node", "segment", "template", "kind").join(merged, ["host", "node", "template"])
-        step = named.select("host", "node", F.coalesce("segment", F.lit("")).alias("at"), "template", "kind", "t_l", "t_g")
-        tree = tree.withColumn("at", F.coalesce("segment", F.lit(""))).join(step, ["host", "node", "at"]).select(
-            "host", "shape", "n", "labelled", "good", F.concat("node", F.when(F.col("kind") == "*", F.concat(F.col("template"), F.lit("*"))).otherwise(F.col("template"))).alias("node"),
-            F.when(F.size("shape") > depth, purity(F.col("t_g"), F.col("t_l"), F.col("purity"))).otherwise(F.col("purity")).alias("purity"))
-    return tree.select("host", "shape", F.col("node").alias("template"), "purity")
+    hosts = hosts.select("host", purity(F.col("g0"), F.col("l0"), F.col("root")).alias("purity"))
+    tree = spread_join(paths, hosts, ["host"], F.col("shape")).withColumns({"node": F.lit(""), "template": F.lit(""), "rest": F.col("shape")})
+    done = []
+    while True:  # a round a level at which some node has two paths left or more
+        tree = checkpointed(passed_over(tree))
+        done.append(tree.filter("is_last").select("host", "shape", "template", "purity"))
+        tree = tree.filter("not is_last").drop("is_last").withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        if tree.isEmpty():
+            break
+        tree = checkpointed(spread_join(tree, merged_branches(tree), ["host", "node", "segment"], F.col("rest")).select(
+            "host", "shape", "n", "labelled", "good", purity(F.col("t_g"), F.col("t_l"), F.col("purity")).alias("purity"), F.concat_ws("/", "node", "number").alias("node"),
+            F.concat_ws("/", "template", "shown").alias("template"), F.slice("rest", 2, F.size("rest") + 1).alias("rest"), (F.col("segment") == "").alias("ended")))
+        done.append(tree.filter("ended").select("host", "shape", "template", "purity"))
+        tree = tree.filter("not ended").drop("ended")
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -87,9 +124,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = Non
     if labels is not None:
         seen, label = seen.join(labels.groupBy("page_id").agg(F.max("good").alias("good")), "page_id", "left"), F.col("good")
     paths = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.count(F.when(label, 1)).alias("good"))
-    judged = template_purities(paths)
+    judged = checkpointed(template_purities(paths))
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") < REJECT, "block").otherwise("allow"))
-    return seen.join(judged, ["host", "shape"]).select(F.col("page_id").cast("long"), "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    return spread_join(seen, judged, ["host", "shape"], F.col("page_id")).select(F.col("page_id").cast("long"), "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,24 +140,30 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 p AS (SELECT page_id, lower(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's')) AS host, regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM u),
 r AS (SELECT *, {ruled} AS rule FROM p),
 s AS (SELECT *, rule IN ({", ".join(f"'{r}'" for v, r in RULES if v == "allow")}) AS good,
-  list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:{DEPTH}], lambda x: regexp_replace(regexp_replace(x, '[0-9a-f]{{12,}}', '{{x}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS shape FROM r),
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[0-9a-f]{{12,}}', '{{x}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS shape FROM r),
 root AS (SELECT (count(*) FILTER (good) + 1.0::DOUBLE) / (count(good) + 2.0::DOUBLE) AS root FROM s),
 t0 AS (SELECT host, shape, count(*) AS n, count(good) AS l, count(*) FILTER (good) AS g FROM s GROUP BY host, shape),
 h AS (SELECT host, (sum(g) + {float(PRIOR)}::DOUBLE * any_value(root)) / (sum(l) + {float(PRIOR)}::DOUBLE) AS purity FROM t0, root GROUP BY host),
 x0 AS (SELECT t0.*, purity, '' AS node FROM t0 JOIN h USING (host))"""
-    for d in range(1, DEPTH + 1):
+    apart = "power(CAST({g} * {m} - {h} * {l} AS DOUBLE), 2) * ({l} + {m}) > " + f"{Z * Z!r}::DOUBLE" + " * CAST({g} + {h} AS DOUBLE) * ({l} + {m} - {g} - {h}) * {l} * {m}"
+    of_node, of_last = apart.format(g="g", l="l", h="ng", m="nl"), apart.format(g="g", l="l", h="lag(g) OVER w", m="lag(l) OVER w")
+    for d in range(1, SQL_LEVELS + 1):
         sql += f""",
-a{d} AS (SELECT *, CASE WHEN len(shape) >= {d} THEN shape[{d}] END AS seg FROM x{d - 1}),
-b{d} AS (SELECT host, node, seg, sum(n) AS n, sum(l) AS l, sum(g) AS g FROM a{d} GROUP BY ALL),
-c{d} AS (SELECT *, sum(n) OVER w AS nn, sum(l) OVER w AS nl, sum(g) OVER w AS ng, count(seg) OVER w AS fan FROM b{d} WINDOW w AS (PARTITION BY host, node)),
-e{d} AS (SELECT *, CAST(g * nl - ng * l AS DOUBLE) AS off, {Z * Z!r}::DOUBLE * l * ng * (nl - ng) AS chance, fan > {FANOUT} AND n < {RARE}::DOUBLE * nn AND seg IS NOT NULL AS rare FROM c{d}),
-f{d} AS (SELECT *, CASE WHEN seg IS NULL THEN '' WHEN l > 0 AND off * off > chance AND off > 0 THEN '/+' WHEN l > 0 AND off * off > chance THEN '/-' ELSE '/=' END AS template FROM e{d}),
-g{d} AS (SELECT *, sum(l) OVER w AS tl, sum(g) OVER w AS tg FROM f{d} WINDOW w AS (PARTITION BY host, node, template)),
-x{d} AS (SELECT a.host, a.shape, a.n, a.l, a.g, CASE WHEN a.seg IS NULL THEN a.purity ELSE (tg + {float(PRIOR)}::DOUBLE * a.purity) / (tl + {float(PRIOR)}::DOUBLE) END AS purity,
-  a.node || template || CASE WHEN rare THEN '*' ELSE '' END AS node FROM a{d} a JOIN g{d} b ON a.host = b.host AND a.node = b.node AND a.seg IS NOT DISTINCT FROM b.seg)"""
+a{d} AS (SELECT *, coalesce(shape[{d}], '') AS seg FROM x{d - 1} WHERE len(shape) >= {d - 1}),
+b{d} AS (SELECT host, node, seg, sum(n) AS n, sum(l)::BIGINT AS l, sum(g)::BIGINT AS g FROM a{d} GROUP BY ALL),
+c{d} AS (SELECT *, sum(n) OVER w AS nn, (sum(l) OVER w)::BIGINT AS nl, (sum(g) OVER w)::BIGINT AS ng, count(*) FILTER (seg <> '') OVER w AS fan, count(*) OVER w AS many FROM b{d} WINDOW w AS (PARTITION BY host, node)),
+e{d} AS (SELECT *, CASE WHEN seg = '' THEN 0 WHEN fan > {FANOUT} AND n < {RARE}::DOUBLE * nn THEN 2 ELSE 1 END AS kind FROM c{d}),
+f{d} AS (SELECT host, node, kind, CASE kind WHEN 2 THEN '{{*}}' ELSE seg END AS name, sum(l)::BIGINT AS l, sum(g)::BIGINT AS g, any_value(nl) AS nl, any_value(ng) AS ng, any_value(many) AS many FROM e{d} GROUP BY ALL),
+g{d} AS (SELECT *, CASE WHEN l = 0 THEN NULL WHEN NOT {of_node} THEN 0 WHEN g * nl > ng * l THEN 1 ELSE -1 END AS side FROM f{d}),
+i{d} AS (SELECT *, CAST(lag(side) OVER w IS DISTINCT FROM side OR coalesce({of_last}, false) AS INT) AS begins FROM g{d} WINDOW w AS (PARTITION BY host, node ORDER BY l > 0, CAST(g AS DOUBLE) / nullif(l, 0) NULLS FIRST, kind, name)),
+j{d} AS (SELECT *, sum(begins) OVER w AS number FROM i{d} WINDOW w AS (PARTITION BY host, node ORDER BY l > 0, CAST(g AS DOUBLE) / nullif(l, 0) NULLS FIRST, kind, name ROWS UNBOUNDED PRECEDING)),
+k{d} AS (SELECT *, sum(l) OVER w AS tl, sum(g) OVER w AS tg FROM j{d} WINDOW w AS (PARTITION BY host, node, number)),
+x{d} AS (SELECT a.host, a.shape, a.n, a.l, a.g, CASE WHEN e.many = 1 THEN a.purity ELSE (tg + {float(PRIOR)}::DOUBLE * a.purity) / (tl + {float(PRIOR)}::DOUBLE) END AS purity, a.node || '/' || number AS node
+  FROM a{d} a JOIN e{d} e ON a.host = e.host AND a.node = e.node AND a.seg = e.seg JOIN k{d} k ON e.host = k.host AND e.node = k.node AND e.kind = k.kind AND CASE e.kind WHEN 2 THEN '{{*}}' ELSE e.seg END = k.name
+  UNION ALL SELECT host, shape, n, l, g, purity, node FROM x{d - 1} WHERE len(shape) < {d - 1})"""
     return sql + f"""
 SELECT page_id, s.host, path, rule, CASE WHEN good IS NULL THEN CASE WHEN purity < {REJECT} THEN 'block' ELSE 'allow' END WHEN good THEN 'allow' ELSE 'block' END AS verdict
-FROM s JOIN x{DEPTH} x ON s.host = x.host AND s.shape = x.shape"""
+FROM s JOIN x{SQL_LEVELS} x ON s.host = x.host AND s.shape = x.shape"""
 
 
 QUERIES = {"op2_url_filters": op2_url_filters}
