@@ -15,7 +15,9 @@ import base64
 import gc
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strings, table
 
-CACHE_SIZE = 500_000
+CACHE_SIZE, ROWS = 500_000, 64
 
 
 def byte_characters() -> dict[str, int]:
@@ -41,7 +43,6 @@ class Codec:
 
     def __init__(self, ranks_path: str, pattern: str, cache_size: int = CACHE_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives every task one core
-        gc.disable()  # the cache makes many objects and no cycles
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -57,6 +58,7 @@ class Codec:
         self.tokenizer = Tokenizer(models.BPE({shown[t]: r for t, r in ranks.items()}, merges))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall
+        self.n_bytes = np.array([len(x) for x in self.table], np.int64)
         self.cache: dict[str, tuple[list[int], str]] = {}
         self.cache_size = cache_size
 
@@ -79,13 +81,24 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
-    def offsets(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and end character of every id: a byte belongs to the character whose first byte is the last at or before it."""
-        raw = np.frombuffer(self.decode(ids), np.uint8)
-        first = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        ends = np.cumsum([len(self.table[i]) for i in ids], dtype=np.int64)
-        starts = ends - [len(self.table[i]) for i in ids] if len(ids) else ends
-        return (first[starts + 1] - 1 if len(ids) else starts), (first[ends] if len(ids) else ends)
+    def offsets(self, ids: list[int], raw: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First and end character of every id: a byte belongs to the character whose first byte is the last at or before it.
+        raw: the bytes of the ids, if they are known."""
+        begins = np.frombuffer(self.decode(ids) if raw is None else raw, np.uint8) & 0xC0 != 0x80
+        first = np.concatenate([[0], np.cumsum(begins)])
+        sizes = self.n_bytes[np.array(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        return first[np.minimum(ends - sizes + 1, len(begins))] - 1, first[ends]
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """A worker's caches make many objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def halves(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
@@ -109,11 +122,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = c.encode(text or "")
-                start, end = c.offsets(ids)
-                yield pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([start], pa.list_(pa.int64())), pa.array([end], pa.list_(pa.int64()))], ["doc_id", "ids", "starts", "ends"])
+        with without_gc():
+            for batch in batches:
+                for first in range(0, batch.num_rows, ROWS):  # a few texts at a time, as ids and offsets take more room than they
+                    rows = batch.slice(first, ROWS)
+                    ids = [c.encode(text or "") for text in strings(rows.column(1))]
+                    places = [c.offsets(x) for x in ids]
+                    lists = [pa.array(ids, pa.list_(pa.int32())), *(pa.array([x[k] for x in places], pa.list_(pa.int64())) for k in (0, 1))]
+                    yield pa.record_batch([rows.column(0), *lists], ["doc_id", "ids", "starts", "ends"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<long>, ends array<long>")
 
@@ -131,21 +147,24 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass, and offsets_crc32: that of the first
+    and then the end characters of all ids, as little-endian 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
-            out = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = c.pieces(text or "")
-                ids = [i for x, _ in pieces for i in x]
-                out[0].append(len(ids))
-                out[1].append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        with without_gc():
+            for batch in batches:
+                out = [], [], [], []
+                for text in strings(batch.column(1)):
+                    pieces = c.pieces(text or "")
+                    ids = [i for x, _ in pieces for i in x]
+                    raw = c.decode(ids)
+                    row = len(ids), hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), zlib.crc32(np.concatenate(c.offsets(ids, raw)).astype("<i8").tobytes())
+                    for column, value in zip(out, row):
+                        column.append(value)
+                yield pa.record_batch([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
 
 
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
