@@ -7,7 +7,7 @@ second part is negative, the step goes the other way, so that it can't fall belo
 share of toxic rows among all labelled training rows.
 
 The classifier is fitted on a bounded sample: at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled texts,
-those of the smallest hashes of their ids. Everything else covers all rows.
+those of the smallest hashes of id and text, repeated rows once. Everything else covers all rows.
 
 Cases: a null or empty text has no features and gets the score of the bias alone; repeated rows are scored each; an empty
 table gives an empty table; without positives every score is 0; several labels of one id count as toxic if one of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strings, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 2_500, 7_500
 BITS, MIN_TEXTS, MIN_SHARE, MIN_Z, EPOCHS, RATE, DECAY, BATCH, SEED = 20, 4, 0.02, 6.0, 40, 0.05, 1e-4, 1024, 7
@@ -63,7 +63,7 @@ def featurise(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([sorted(features(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "features"])
+            yield pa.record_batch([batch.column(0), pa.array([sorted(features(t)) for t in strings(batch.column(1))], pa.list_(pa.int32()))], ["positive", "features"])
 
     return docs.select("positive", "text").mapInArrow(run, "positive boolean, features array<int>")
 
@@ -100,6 +100,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of the scores of positives and unlabelled texts: the risk of the positives, and the corrected one of the negatives, which the
+    whole risk takes as nought if it is negative. The loss is ln(1 + exp(-y z))."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What to step along by every score: the whole risk's slope, or, where the negative part is below nought, that part's backwards."""
+    gp, gu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if risk(zp, zu, prior)[1] < 0:
+        return -gp, -gu
+    return gp - prior * sigmoid(-zp) / len(zp), gu
+
+
 def train(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]:
     """Weights by feature id, and the bias."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -121,13 +135,7 @@ def train(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, f
             if not len(pi):
                 pi = random.integers(0, len(positive), 1)
             (pf, pr), (uf, ur) = p.take(pi), u.take(ui)
-            zp, zu = np.bincount(pr, w[pf], len(pi)) + b, np.bincount(ur, w[uf], len(ui)) + b
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = -prior * sigmoid(zp) / len(pi), sigmoid(zu) / len(ui)  # of the negative part
-            if negative < 0:
-                gp, gu = -gp, -gu
-            else:
-                gp = gp - prior * sigmoid(-zp) / len(pi)
+            gp, gu = slopes(np.bincount(pr, w[pf], len(pi)) + b, np.bincount(ur, w[uf], len(ui)) + b, prior)
             g = np.append(np.bincount(pf, gp[pr], len(w)) + np.bincount(uf, gu[ur], len(w)) + DECAY * w, gp.sum() + gu.sum())
             t += 1
             m += 0.1 * (g - m)
@@ -143,11 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Trains on the rows that are not held out."""
     toxic = labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("positive"))
     n, n_toxic = toxic.agg(F.count("*"), F.count_if("positive")).first()
-    rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    ids = rows.select("doc_id").join(toxic, "doc_id", "left").select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), F.xxhash64("doc_id").alias("h"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).filter(~held_out(F.col("doc_id")))
+    ids = rows.select("doc_id", "h").distinct().join(toxic, "doc_id", "left").select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), "h")
     picked = [ids.filter(ids.positive if yes else ~ids.positive).orderBy("h", "doc_id").limit(most) for yes, most in ((True, MAX_POSITIVE), (False, MAX_UNLABELLED))]
-    sample = picked[0].union(picked[1]).select("doc_id", "positive").dropDuplicates(["doc_id"])  # at most MAX_POSITIVE + MAX_UNLABELLED rows
-    found = featurise(rows.join(F.broadcast(sample), "doc_id")).toArrow().combine_chunks()
+    sample = picked[0].union(picked[1])  # at most MAX_POSITIVE + MAX_UNLABELLED rows
+    found = featurise(rows.join(F.broadcast(sample), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])).toArrow().combine_chunks()
     lists = found.column("features").combine_chunks()
     flat, offsets, yes = lists.values.to_numpy(), lists.offsets.to_numpy(), found.column("positive").to_numpy(zero_copy_only=False).astype(bool)
     n_features = np.diff(offsets)
@@ -162,7 +170,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), model.value
         for batch in batches:
-            z = np.array([bias + float(w[np.fromiter(features(t), np.int64)].sum(dtype=np.float64)) for t in batch.column(2).to_pylist()], np.float64)
+            z = np.array([bias + float(w[np.fromiter(features(t), np.int64)].sum(dtype=np.float64)) for t in strings(batch.column(2))], np.float64)
             s = sigmoid(z)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
