@@ -21,33 +21,39 @@ table makes no segments and an empty result; further columns are ignored, whatev
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, words
+from .byte_bpe import byte_characters, without_gc
+from .common import shared_folder, table
 
-MAGIC, VERSION, BLOCK, STEPS, SEGMENT, END = b"SVTC", 2, 1 << 20, 512, 1 << 22, 1
+MAGIC, VERSION, BLOCK, STEPS, SEGMENT, END = b"SVTC", 2, 1 << 21, 512, 1 << 22, 1
 HEAD, BLOCK_HEAD = "<HIQ", "<IIII"
-#: Bits of a whole interval, of the order-0 sums, of a surety, and of the order-2 table; steps between two renewals.
-TOTAL, ORDER0, SURE, TABLE, RENEW = 28, 20, 3, 18, 64
+#: Bits of a whole interval, of a surety, and of the order-2 table; steps between two renewals. The order-0 sums have at
+#: least LEAST bits fewer than the interval, so that the least order-0 weight, 0.02, gives every id a share; a block has no more ids than that.
+TOTAL, SURE, TABLE, RENEW, LEAST = 28, 3, 18, 128, 7
 #: Bits of the coder's state and of a code word. The range is at least 2 ** (CODE - WORD), and a share of 1 at least 2 ** 4 of it.
 CODE, WORD = 48, 16
 PART_BYTES = 64 << 20
 CACHE_SIZE = 1_000_000
-TEXT_END = "\n"
+#: Words whose characters are composed and have a lower case of one character, and the tokenizer's pattern for such words in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+TEXTS = 2048
 
 
 class Mixer:
@@ -55,7 +61,7 @@ class Mixer:
 
     def __init__(self, symbols: int, lanes: int):
         self.next1, self.next2 = np.zeros(symbols, np.int64), np.zeros(1 << TABLE, np.int64)  # predicted id, and how sure it is
-        self.counts = np.zeros(symbols, np.int64)
+        self.counts, self.order0 = np.zeros(symbols, np.int64), min(TOTAL - LEAST, symbols.bit_length() + 6)
         n = 2 << 2 * SURE
         self.seen, self.right1, self.right2 = np.full(n, 1.0), np.full(n, 0.3), np.full(n, 0.3)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -67,9 +73,9 @@ class Mixer:
     def renew(self) -> None:
         """Order-0 sums and the weights from what was counted so far."""
         n, sums = len(self.counts), np.cumsum(self.counts + 1)
-        self.sums = np.concatenate([[0], np.arange(1, n + 1) + sums * ((1 << ORDER0) - n) // sums[-1]])
-        two = np.minimum(0.96 * self.right2 / self.seen, 0.97)
-        one = np.minimum(0.96 * self.right1 / self.seen, 0.97 - two)
+        self.sums = np.concatenate([[0], np.arange(1, n + 1) + sums * ((1 << self.order0) - n) // sums[-1]])
+        two = np.minimum(0.96 * self.right2 / self.seen, 0.98)
+        one = np.minimum(0.96 * self.right1 / self.seen, 0.98 - two)
         self.weight2, self.weight1 = ((x * (1 << TOTAL)).astype(np.int64) for x in (two, one))
         self.weight0 = (1 << TOTAL) - self.weight1 - self.weight2
         self.slots = None
@@ -85,8 +91,8 @@ class Mixer:
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of these ids in the mixture, of 2 ** TOTAL."""
-        start = self.sums.take(x, mode="clip") * self.w0 >> ORDER0
-        size = (self.sums.take(x + 1, mode="clip") * self.w0 >> ORDER0) - start
+        start = self.sums.take(x, mode="clip") * self.w0 >> self.order0
+        size = (self.sums.take(x + 1, mode="clip") * self.w0 >> self.order0) - start
         self.hit1, self.hit2 = self.p1 == x, self.p2 == x
         size += self.w1 * self.hit1
         size += self.w2 * self.hit2
@@ -98,11 +104,11 @@ class Mixer:
         """The ids whose intervals hold v: the steps of both predicted ids are taken out of v, then order 0 is searched."""
         if self.slots is None:
             self.slots = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.sums))
-        low1, low2 = (self.sums.take(p, mode="clip") * self.w0 >> ORDER0 for p in (self.p1, self.p2))
+        low1, low2 = (self.sums.take(p, mode="clip") * self.w0 >> self.order0 for p in (self.p1, self.p2))
         low2 += self.w1 * (self.p1 < self.p2)
         v = np.maximum(np.minimum(v, low2), v - self.w2)
         v = np.maximum(np.minimum(v, low1), v - self.w1)
-        return self.slots.take((((v + 1 << ORDER0) - 1) / self.w0).astype(np.int64), mode="clip").astype(np.int64)  # exact: under 2 ** 48 by 2 ** 28
+        return self.slots.take((((v + 1 << self.order0) - 1) / self.w0).astype(np.int64), mode="clip").astype(np.int64)  # exact: under 2 ** 49 by 2 ** 28
 
     def update(self, x: np.ndarray) -> None:
         for at, of, p, sure, hit in ((self.last[: len(x)], self.next1, self.p1, self.sure1, self.hit1), (self.at2, self.next2, self.p2, self.sure2, self.hit2)):
@@ -262,45 +268,83 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(doc_ids, known)], lengths, np.concatenate(blocks)
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, values: np.ndarray):
+        self.size, self.room = 0, np.zeros(1024, values.dtype)
+        self.add(values)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            self.room = np.resize(self.room, 2 * (self.size + len(values)))
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class WordEncoder:
-    """Ids of texts that come as words: the tokenizer's pieces never hold white space, so a word's ids are its own, and a
-    worker keeps those of the words that it has met. TEXT_END, which is no word, stands for the end id."""
+    """Ids of texts word by word: the tokenizer's pieces never hold white space, so a word's ids are its own, and a worker keeps those
+    of the words that it has met.
+
+    A word of plain Latin letters, digits and signs is cut by the tokenizer's own pattern here, and only its pieces go to the tokenizer's
+    model, since lower case and composed characters need nothing else; any other word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives every task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.byte_characters = {b: c for c, b in byte_characters().items() if ord(c) != b}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {TEXT_END: 0}  # of the words met so far; the ids of all of them lie in one array
-        self.flat, self.begin, self.size = np.full(1, END, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.number: dict[str, int] = {"": 0}  # of the words met so far; the ids of all of them lie in one array
+        self.pieces: dict[str, list[int]] = {}
+        self.flat, self.begin, self.size = Growing(np.zeros(0, np.uint32)), Growing(np.zeros(1, np.int64)), Growing(np.zeros(1, np.int64))
+
+    def of_plain(self, word: str) -> list[int]:
+        low = word.lower()
+        out = []
+        for piece in [low] if low.isalpha() else PIECES(low):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_characters)
+                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            out += ids
+        return out
 
     def learn(self, fresh: list[str]) -> None:
-        found = [e.ids for i in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch_fast(fresh[i : i + 20_000], add_special_tokens=False)]
+        plain = [self.of_plain(w) if PLAIN(w) else None for w in fresh]
+        rest = [w for w, x in zip(fresh, plain) if x is None]
+        others = (e.ids for i in range(0, len(rest), 20_000) for e in self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False))
+        found = [next(others) if x is None else x for x in plain]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
+        self.begin.add(self.flat.size + np.cumsum(size) - size)
+        self.flat.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        self.size.add(size)
 
-    def __call__(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, whose last word is TEXT_END, and how many each text has."""
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with its end, and how many each text has."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.number]
-        if len(self.number) + len(fresh) > CACHE_SIZE:
-            self.forget()
-            fresh = [w for w in distinct if w != TEXT_END]
-        if fresh:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        of = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(of < 0)
+        if len(missing):
+            fresh = [distinct[i] for i in missing.tolist()]
+            if len(self.number) + max(len(fresh), len(self.pieces) - CACHE_SIZE) > CACHE_SIZE:
+                self.forget()
+                fresh = [w for w in distinct if w]
+                missing = np.flatnonzero([bool(w) for w in distinct])
+            of[missing] = len(self.number) + np.arange(len(fresh))
             self.learn(fresh)
-        of = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        n = self.size[of]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.begin[of] - ends + n, n) + np.arange(len(of) and ends[-1])]
-        offsets = lists.offsets.to_numpy()
-        return ids, np.diff(ends[offsets[1:] - offsets[0] - 1], prepend=0)
+        of = of[coded.indices.to_numpy()]
+        n = self.size.room[of]
+        stops = np.cumsum(n)
+        ids = self.flat.room[np.repeat(self.begin.room[of] - stops + n, n) + np.arange(len(of) and stops[-1])]
+        ends = np.append(0, stops)[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]  # of each text, among the ids without ends
+        return np.insert(ids, ends, np.uint32(END)), np.diff(ends, prepend=0) + 1
 
 
 @lru_cache(maxsize=2)
@@ -316,7 +360,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
     # Rows that share an id, or have none, are dealt by their texts and then by where they were read.
     spread = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
-    ordered = spread.repartitionByRange(n, "doc_id", "h", "at").sortWithinPartitions("doc_id").select("doc_id", F.concat(words(F.col("text")), F.array(F.lit(TEXT_END))).alias("w"))
+    ordered = spread.repartitionByRange(n, "doc_id", "h", "at").sortWithinPartitions("doc_id").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -327,11 +371,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
             data = pack(doc_ids, np.concatenate(lengths), np.concatenate(ids))
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
 
-        gc.disable()  # the words' cache makes many objects and no cycles
-        try:
+        with without_gc():
             for batch in batches:
-                for i in range(0, batch.num_rows, 2048):
-                    rows = batch.slice(i, 2048)
+                for i in range(0, batch.num_rows, TEXTS):
+                    rows = batch.slice(i, TEXTS)
                     new, n_each = encoder(rows.column(1))
                     doc_ids += rows.column(0).to_pylist()
                     lengths.append(n_each)
@@ -343,8 +386,6 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str) -> None:
                         doc_ids, lengths, ids, total = [], [], [], 0
             if doc_ids:
                 yield segment()
-        finally:
-            gc.enable()
 
     ordered.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(folder)
 
