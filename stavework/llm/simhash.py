@@ -8,7 +8,8 @@ its own goes to each part, -1 (not searched) or more, with a sum of ``DISTANCE -
 agree within the threshold in at least one part. Dynamic programming picks the thresholds, and the best m, by the
 estimated number of candidates, from the counts of the parts' values over all fingerprints. To probe, a fingerprint is
 written under its part's value with every choice of threshold-many bits blanked; those that share a key are compared.
-Of the links under one key only a spanning forest is written, so a large group of near copies makes no pairs of all.
+Of the links under one key only a spanning forest is written, so a large group of near copies makes no pairs of all. A key that more
+than ``HOT_KEY`` fingerprints share is split: of any four parts of the bits, two of them that are linked agree in one.
 
 Cases: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; of one or two words
 the whole sequence is the only shingle; repeated rows are in one component; an empty table gives an empty table;
@@ -18,10 +19,8 @@ a null doc_id is never a component's id unless it has no other; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,14 @@ from .common import ascii_lower, checkpointed, row_key, table, words
 from .components import components
 
 DISTANCE, SHINGLE, BITS = 3, 3, 64
-MOST_DIRECT = 4096
+MOST_DIRECT, HOT_KEY, SPLITS = 4096, 50_000, 3
 #: What writing a key and comparing a candidate cost, relative to each other.
 KEY_COST, CANDIDATE_COST = 1.0, 0.02
 #: Min-hashes of ROWS permutations are a band. Two sets of similarity s share none of BANDS bands with a chance of (1 - s ** ROWS) ** BANDS:
 #: 3e-6 at 0.8, the least similarity for which keep_one() is meant.
 BANDS, ROWS = 32, 5
+#: Buckets in which shingles are counted, to put rare ones first.
+BUCKETS = 1 << 20
 #: Columns that tell texts apart, added to documents for a while.
 ROW = ("__text_hash", "__text_hash_2")
 
@@ -257,10 +258,23 @@ def links(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
         if pending:
             yield from done(np.concatenate([x[0] for x in pending]), np.concatenate([x[1] for x in pending]))
 
-    rows = keyed(fps, chosen)
+    rows = split_hot(checkpointed(keyed(fps, chosen)))
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def split_hot(rows: DataFrame, most: int = HOT_KEY) -> DataFrame:
+    """(key, fp), where the rows of a key with more than that many are dealt to four keys each, by 16 bits of theirs."""
+    for i in range(SPLITS):
+        hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > most).select(F.col("key").alias("hot")))
+        if hot.isEmpty():
+            break
+        turned = F.shiftleft("fp", 5 * i).bitwiseOR(F.shiftrightunsigned("fp", BITS - 5 * i)) if i else F.col("fp")
+        parts = [F.xxhash64(F.lit(i), F.lit(j), "key", F.shiftrightunsigned(turned, 16 * j).bitwiseAND(F.lit(0xFFFF))) for j in range(4)]
+        marked = rows.join(hot, rows.key == hot.hot, "left")  # hot has a row for each HOT_KEY rows at most
+        rows = checkpointed(marked.select(F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(F.array(*parts))).alias("key"), "fp"))
+    return rows
+
+
 def rooted(fps: DataFrame) -> DataFrame:
     """fps (fp, each once) with the root of its component."""
     fps = checkpointed(fps)
@@ -312,18 +326,64 @@ def star_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def unconnected_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes of one key that have not the same root."""
-    mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left, right = (keys.join(mixed, "key", "left_semi").select("key", F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    return left.join(right, "key").filter("ra < rb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+def shingle_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (set_id and ROW of one text of each) with h, the set of shingles."""
+    texts = rows.select(*ROW, "text").join(wanted, list(ROW)).dropDuplicates(["set_id"])
+    w, hashes = shingle_hashes(F.col("text"), k)
+    rest = [c for c in wanted.columns if c not in ROW]
+    return texts.select(*rest, w.alias("w")).select(*rest, F.array_distinct(hashes).alias("h"))
+
+
+def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, root, n, i): so many shingles of each set (set_id, root, h) that two sets of that similarity share one of them; n: the
+    set's size, i: the shingle's place in an order that puts shingles of rare buckets first and is the same for all sets."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            counts += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], ["bucket", "c"])
+
+    found = sets.select("h").mapInArrow(tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            lists, out = batch.column(2), []
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for a, b in zip(ends, ends[1:]):
+                h = flat[a:b]
+                first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                out.append(h[np.lexsort((h, counts[h & (BUCKETS - 1)]))[:first]])
+            n = np.array([len(x) for x in out], np.int64)
+            which = np.repeat(np.arange(len(out)), n)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            take = pa.array(which)
+            yield pa.record_batch([pa.array(np.concatenate([flat[:0], *out])), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.diff(ends).astype(np.int64)[which]), pa.array(place)], ["token", "node", "root", "n", "i"])
+
+    return sets.select("set_id", "root", "h").mapInArrow(run, "token long, node long, root long, n long, i long")
+
+
+def unconnected_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets of different roots that may have that similarity by their sizes and the places of a token that they share."""
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+    tokens = checkpointed(tokens.join(mixed, "token", "left_semi"))
+    left, right = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "i")]) for x in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    may = (F.least(n, m) >= F.lit(similarity - 1e-9) * F.greatest(n, m)) & (F.least(n - F.col("i_a"), m - F.col("i_b")) >= F.lit(similarity / (1 + similarity) - 1e-9) * (n + m))
+    return left.join(right, "token").filter((F.col("root_a") < F.col("root_b")) & may).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFrame:
     """(set_id, root): sets of shingles are linked where the share of common ones among those of both is at least similarity.
 
-    Candidates are fingerprints within DISTANCE bits and sets that share a band; all are compared exactly. A large group under one band
-    is first compared with one of its sets only; then what the links so far do not connect is compared pair by pair."""
+    First, sets that share a band, or whose fingerprints are within DISTANCE bits, are compared with one of theirs only. Then, among the sets of
+    bands that this leaves unconnected, those of different roots are compared that share one of their rarest shingles: which ones two
+    sets of that similarity can't all differ in. All links are verified on the whole sets."""
     sets = each.groupBy("set_id").agg(F.min(F.struct(*ROW, "fp", "bands")).alias("x")).select("set_id", "x.*")
     sets = checkpointed(sets)
     keys = sets.select("set_id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("key"), F.col("set_id").alias("node"))
@@ -334,23 +394,21 @@ def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -
     a, b = (by_fp.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")) for x in "ab")
     near_bits = links(by_fp, plan(by_fp)).join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.filter("a <> b").distinct())
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        wanted = sets.join(nodes, "set_id").select("set_id", *ROW)
-        texts = rows.select(*ROW, "text").join(wanted, list(ROW)).dropDuplicates(["set_id"])
-        w, hashes = shingle_hashes(F.col("text"), k)
-        h = checkpointed(texts.select("set_id", w.alias("w")).select("set_id", F.array_distinct(hashes).alias("h")))
+    def verified(pairs: DataFrame, h: DataFrame) -> DataFrame:
         left, right = (h.select(F.col("set_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
         common, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
         return checkpointed(pairs.join(left, "a").join(right, "b").filter(common >= F.lit(similarity) * (sizes - common)).select("a", "b"))
 
-    stars = checkpointed(star_pairs(keys).union(near_bits))
-    first = verified(stars)
+    stars = checkpointed(star_pairs(keys).union(near_bits).filter("a <> b").distinct())
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    h = checkpointed(shingle_sets(rows, sets.select("set_id", *ROW).join(nodes, "set_id"), k))  # all sets with a band in common are in a star
+    first = verified(stars, h)
     roots = components(first).withColumnRenamed("node", "of")
-    known = checkpointed(keys.join(roots, keys.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    links_ = first.union(verified(unconnected_pairs(known).join(stars, ["a", "b"], "left_anti")))
-    roots = components(links_)
+    known = keys.join(roots, keys.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = known.join(known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "key", "left_semi")
+    loose = checkpointed(mixed.select(F.col("node").alias("set_id"), "root").distinct())
+    pairs = unconnected_pairs(rare_first(h.join(loose, "set_id"), similarity), similarity).join(stars, ["a", "b"], "left_anti")
+    roots = components(first.union(verified(checkpointed(pairs), h)))
     return sets.join(roots, sets.set_id == roots.node, "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
 
 
@@ -358,6 +416,8 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: float | None = None)
     """One document of each component, in the columns of docs: that of the least id, one without an id only where the component has no
     other. A row is told by its id and its text, so rows that share an id (or have none) but not a text are judged each; of repeated rows one stays.
     Fingerprints are linked within DISTANCE bits or, if a similarity is given, texts whose sets of shingles have that Jaccard similarity."""
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])  # further columns may have any name
     rows = docs.withColumns(dict(zip(ROW, row_key(F.col("text")))))
     if similarity is None:
         each = checkpointed(fingerprints(rows, k, ROW))
@@ -366,9 +426,11 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: float | None = None)
         each = checkpointed(sketches(rows, k))
         named = each.select("doc_id", "set_id", *ROW).join(similar_roots(rows, each, k, similarity), "set_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
-    kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), *[F.col(f"first.{c}").alias(f"kept{c}") for c in ROW])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & reduce(and_, [F.col(c) == F.col(f"kept{c}") for c in ROW])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", *ROW]).drop(*ROW)
+    # The join and the choice among repeated rows have the same keys, so the texts are shuffled once.
+    own = {"id_or_0": lambda c: F.coalesce(c.cast("long"), F.lit(0)), "has_id": lambda c: c.isNotNull()}
+    kept = named.groupBy("root").agg(first).select(*[f(F.col("first.doc_id")).alias(x) for x, f in own.items()], *[F.col(f"first.{c}").alias(c) for c in ROW])
+    keys = [*own, *ROW]
+    return rows.withColumns({x: f(F.col("doc_id")) for x, f in own.items()}).join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns).toDF(*names)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
