@@ -154,6 +154,30 @@ def test_line_rules(spark):
     ('password = "your_password_here"', []),
     ("<b>Time: noon</b>, see http://a.b/c", []),
     ('{"auth": {"token": "f0ddae3b09ae356cbefe"}}', ["f0ddae3b09ae356cbefe"]),
+    ('password: str = "hunter2hunter2X"', ["hunter2hunter2X"]),
+    ('let password: &str = "hunter2hunter2X";', ["hunter2hunter2X"]),
+    ('password: Optional[str] = "hunter2hunter2X"', ["hunter2hunter2X"]),
+    ('cfg["password"] = "hunter2hunter2X"', ["hunter2hunter2X"]),
+    ('password = """\n  hunter2hunter2X\n"""', ["hunter2hunter2X"]),
+    ("a:\n  - password: >-\n      hunter2hunter2X\n  - b", ["hunter2hunter2X"]),
+    ("<password>hunter2hunter2X</password>", ["hunter2hunter2X"]),
+    ('<property name="db.password" value="hunter2hunter2X"></property>', ["hunter2hunter2X"]),
+    ("- name: DB_PASSWORD\n  value: hunter2hunter2X\n", ["hunter2hunter2X"]),
+    ('{"name": "DB_PASSWORD", "value": "hunter2hunter2X"}', ["hunter2hunter2X"]),
+    ('setPassword("hunter2hunter2X")', ["hunter2hunter2X"]),
+    ('conf.put("password", "hunter2hunter2X")', ["hunter2hunter2X"]),
+    ('password = fmt("hunter2hunter2X")', ["hunter2hunter2X"]),
+    ('#define PASSWORD "hunter2hunter2X"', ["hunter2hunter2X"]),
+    ('char password[] = "hunter2hunter2X";', ["hunter2hunter2X"]),
+    ('password = os.getenv("DB_PASSWORD_1")', []),
+    ('connect(user="abcdefgh1234", password="hunter2hunter2X")', ["hunter2hunter2X"]),
+    ('d = {"user": "abcdefgh1234", "password": "hunter2hunter2X", "q": "zzzzzzzz1234"}', ["hunter2hunter2X"]),
+    ("url=https://x.y/z?token=hunter2hunter2X&b=c", ["hunter2hunter2X"]),
+    ("token=abc/de1f+ghi9==", ["abc/de1f+ghi9=="]),
+    ('passwords = ["hunter2hunter2X",\n "abcdefgh1234"]\n', ["hunter2hunter2X", "abcdefgh1234"]),
+    ('password = "hunter2hunter2X" if a == "abcdefgh1234" else b', ["hunter2hunter2X"]),
+    ('k = [\n"hunter2hunter2X"\n\npassword = "hunter2hunter2X"', ["hunter2hunter2X"]),
+    ('Note: he said "abcdefgh1234" to me. token: yes', []),
 ])
 def test_lexed_secrets(text, found):
     assert [text[a:b] for _, a, b in sorted(secrets.lexed_spans(text), key=lambda s: s[1])] == found
@@ -191,7 +215,7 @@ def test_masks_cover_two_substitutions():
     assert all(any(not o & set(s) for o in offsets) for s in combinations(range(decontaminate.MIN_OVERLAP), 2))
 
 
-def test_lm(spark, docs, empty, monkeypatch):
+def test_lm(spark, docs, empty):
     train = docs.filter("doc_id is null or doc_id <> 3")
     model = lm.train(train)
     counts = {}
@@ -210,11 +234,9 @@ def test_lm(spark, docs, empty, monkeypatch):
     assert lm.score(empty, model).count() == 0
     nothing = lm.score(plain, lm.train(empty)).collect()
     assert len(nothing) == len(got) and all(r.n_known == 0 for r in nothing)
-    # Several shards of small segments give the same scores, but for the filter's few false positives.
-    whole = lm.Sizes.__init__
-    monkeypatch.setattr(lm.Sizes, "__init__", lambda self, d, t: whole(self, 50 * d, 50 * t, 512, 2048))
-    small = lm.train(train)
-    assert small.sizes.shards > 1
+    # Several groups and shards give the same scores, but for the filter's few false positives.
+    small = lm.train(train, 256, 64)
+    assert small.shards > 1 and small.groups > small.shards
     for r in lm.score(plain, small).collect():
         assert r.score == pytest.approx(got[r.doc_id].score, rel=0.05) and r.base_score == pytest.approx(got[r.doc_id].base_score)
 
@@ -285,17 +307,35 @@ def test_bad_templates_are_rejected(spark):
 
 def test_token_segments():
     rng = np.random.default_rng(4)
-    for n in (0, 1, 2, 2047, 2048, 2049, 9000):
-        for ids in (rng.integers(0, 49_408, n), rng.zipf(1.3, n) % 49_408, np.full(n, 65_535), np.tile([7, 8, 9], n // 3 + 1)[:n]):
+    for n in (0, 1, 2, 511, 512, 513, 1025, 9000):
+        for ids in (rng.integers(0, 49_408, n), rng.zipf(1.3, n) % 49_408, np.full(n, 2**32 - 1), rng.integers(0, 2**32, n), np.tile([7, 8, 9], n // 3 + 1)[:n]):
             lengths = np.diff(np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 5)])))
-            data = token_files.pack([None, *range(len(lengths) - 1)][: len(lengths)], lengths, ids.astype(np.uint16))
+            data = token_files.pack([None, *range(len(lengths) - 1)][: len(lengths)], lengths, ids.astype(np.uint32))
             doc_ids, l, back = token_files.unpack(data)
             assert (back == ids).all() and len(back) == n and (l == lengths).all() and doc_ids == [None, *range(len(lengths) - 1)][: len(lengths)]
-    assert len(token_files.pack([1], np.array([9000]), np.tile([7, 8, 9], 3000).astype(np.uint16))) < 9000
-    broken = bytearray(token_files.pack([1], np.array([9000]), rng.integers(0, 49_408, 9000).astype(np.uint16)))
-    broken[len(broken) // 2] ^= 255
-    with pytest.raises((ValueError, IndexError)):
-        token_files.unpack(bytes(broken))
+    assert len(token_files.pack([1], np.array([9000]), np.tile([7, 8, 9], 3000).astype(np.uint32))) < 1000
+
+
+def test_token_segments_of_several_blocks(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 3000)
+    ids = (np.random.default_rng(5).zipf(1.4, 10_000) % 5000).astype(np.uint32)
+    data = token_files.pack([1], np.array([10_000]), ids)
+    assert (token_files.unpack(data)[2] == ids).all()
+    # Every block can be decoded alone, wherever it stands.
+    block = token_files.pack_block(ids[3000:6000])
+    assert block in data and (token_files.unpack_block(b"xyz" + block, 3)[0] == ids[3000:6000]).all()
+
+
+def test_damage_is_an_error():
+    rng = np.random.default_rng(6)
+    whole = token_files.pack([1], np.array([9000]), rng.integers(0, 49_408, 9000).astype(np.uint32))
+    for at in (0, 4, 40, 60, len(whole) // 2, len(whole) * 9 // 10):
+        broken = bytearray(whole)
+        broken[at] ^= 255
+        with pytest.raises(ValueError):
+            token_files.unpack(bytes(broken))
+    with pytest.raises(ValueError):
+        token_files.unpack(whole[: len(whole) // 2])
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -326,21 +366,17 @@ def test_pipeline(spark, tmp_path):
     first = quality.clean(rows).collect()
     kept = {r.doc_id for r in quality.judge(rows).collect() if r.kept}
     assert {r.doc_id for r in first} == kept
-    fps = {r.doc_id: None for r in first}
-
-    import xxhash
-
+    sets = {}
     for r in first:
         w = WORD.findall(r.text.translate(LOWER))
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(len(w) - 4)]
-        fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    ids = sorted(fps)
-    group = {i: i for i in ids}
-    for _ in ids:
-        new = {i: min(group[j] for j in ids if (fps[i] ^ fps[j]).bit_count() <= 3) for i in ids}
-        if new == group:
-            break
-        group = new
+        sets[r.doc_id] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+    group = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {x: low if g == high else g for x, g in group.items()}
     second = [r for r in first if group[r.doc_id] == r.doc_id]
     items = [re.sub(r'[.,;:!?"()]', "", r.text.lower()).split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
 
