@@ -67,25 +67,45 @@ def chords(elements: DataFrame) -> DataFrame:
     return out.withColumn("next", following).withColumn("host", F.when(C("is_grace") & ~C("next.is_rest"), C("next.island"))).drop("next")
 
 
-def staff_events(elements: DataFrame) -> DataFrame:
-    """One row an event of each staff, over all its voices: notes of one onset together, lasting to the next onset and at the
-    end to the staff's own end; rests fill a late start, an early end and an empty staff."""
-    items = time_cursor(elements).filter("tag = 'note'").withColumn("reach", C("onset") + F.when(C("is_grace"), 0).otherwise(C("duration")))
-    ends = items.groupBy(*MEASURE, "staff").agg(F.max("reach").alias("staff_end"), F.count_if(~C("is_grace")).alias("n"))
-    bounds = ends.groupBy(*MEASURE).agg(F.greatest(F.max("staff_end"), F.lit(0)).alias("global_end"))
+def on_grid(elements: DataFrame, measures: DataFrame) -> DataFrame:
+    """The notes with onset, reach (their end) and lasts in units of the grid, whatever divisions are in force; graces last nothing."""
+    active = carried_attributes(measures).select(*MEASURE, "active_divisions")
+    scaled = lambda c: F.floor(c * GRID / F.coalesce("active_divisions", F.lit(4))).cast("long")
+    lasting = F.when(C("is_grace"), 0).otherwise(C("duration"))
+    notes = time_cursor(elements).filter("tag = 'note'").join(active, list(MEASURE), "left")
+    return notes.withColumns({"reach": scaled(C("onset") + lasting), "lasts": scaled(lasting), "onset": scaled(C("onset"))})
+
+
+def staff_events(elements: DataFrame, measures: DataFrame) -> DataFrame:
+    """One row an event of each staff, over all its voices, on the grid: notes of one onset together, lasting to the next onset and at
+    the end to the staff's own end; rests fill a late start, an early end and an empty staff. All that a measure needs is
+    windowed by measure, after one exchange."""
+    timed, sounds = ~C("is_grace"), ~C("is_grace") & ~C("is_rest")
+    groups = on_grid(elements, measures).groupBy(*MEASURE, "staff", "onset").agg(
+        F.count_if(timed).alias("n_timed"), F.count_if(sounds).alias("n_notes"), F.max("reach").alias("reach"),
+        F.max_by("type", F.when(sounds, F.struct(C("duration"), -C("elem_idx")))).alias("note_type"), F.min_by("type", F.when(timed, C("elem_idx"))).alias("first_type"))
+    staff = W.partitionBy(*MEASURE, "staff")
+    w = staff.orderBy("onset")
+    begins = C("n_timed") > 0
+    rows = groups.select(
+        *MEASURE, "staff", "onset", "n_notes", F.when(C("n_notes") > 0, C("note_type")).otherwise(C("first_type")).alias("type"), begins.alias("begins"),
+        F.max("reach").over(staff).alias("staff_end"), F.greatest(F.max("reach").over(W.partitionBy(*MEASURE)), F.lit(0)).alias("global_end"), (F.sum("n_timed").over(staff) == 0).alias("empty"),
+        F.first(F.when(begins, C("onset")), ignorenulls=True).over(after(w)).alias("next"), F.sum(begins.cast("int")).over(upto(w)).alias("nr"), F.row_number().over(w).alias("place"))
+
+    def event(onset: Column, duration: Column, kind: str, n: Column = F.lit(0), type_: Column = F.lit(None)) -> Column:
+        return F.struct(onset.cast("long").alias("onset"), duration.cast("long").alias("duration"), n.cast("long").alias("n_notes"), type_.cast("string").alias("type"), F.lit(kind).alias("kind"))
+
+    none, first = F.lit(0), C("place") == 1
+    found = F.array(
+        F.when(C("begins"), event(C("onset"), F.greatest(F.coalesce("next", "staff_end") - C("onset"), none), "event", C("n_notes"), C("type"))),
+        F.when(C("begins") & (C("nr") == 1) & (C("onset") > 0), event(none, C("onset"), "lead")),
+        F.when(first & ~C("empty") & (C("staff_end") < C("global_end")), event(C("staff_end"), C("global_end") - C("staff_end"), "tail")),
+        F.when(first & C("empty") & (C("global_end") > 0), event(none, C("global_end"), "empty")))
+    present = rows.select(*MEASURE, "staff", F.explode(F.array_compact(found)).alias("e")).select(*MEASURE, "staff", "e.*")
     staves = elements.groupBy(*PART).agg(F.max("staff").alias("staves"))
-    every = bounds.join(staves, list(PART)).select(*MEASURE, "global_end", F.explode(F.sequence(F.lit(1), C("staves"))).alias("staff"))
-    spans = every.join(ends, [*MEASURE, "staff"], "left")
-    timed = items.filter(~C("is_grace")).groupBy(*MEASURE, "staff", "onset").agg(
-        F.count_if(~C("is_rest")).alias("n_notes"), F.max_by(F.when(C("is_rest"), None).otherwise(C("type")), F.when(~C("is_rest"), F.struct(C("duration"), -C("elem_idx")))).alias("note_type"), F.min_by("type", "elem_idx").alias("first_type"))
-    w = over((*MEASURE, "staff"), ["onset"])
-    timed = timed.withColumn("next", F.lead("onset").over(w)).withColumn("nr", F.row_number().over(w)).join(spans, [*MEASURE, "staff"])
-    event = timed.select(*MEASURE, "staff", "onset", F.greatest(F.coalesce("next", "staff_end") - C("onset"), F.lit(0)).alias("duration"), "n_notes", F.when(C("n_notes") > 0, C("note_type")).otherwise(C("first_type")).alias("type"), F.lit("event").alias("kind"))
-    lead = timed.filter("nr = 1 and onset > 0").select(*MEASURE, "staff", F.lit(0).alias("onset"), C("onset").alias("duration"), F.lit(0).alias("n_notes"), F.lit(None).cast("string").alias("type"), F.lit("lead").alias("kind"))
-    full = F.coalesce("n", F.lit(0)) == 0
-    tail = spans.filter(~full & (C("staff_end") < C("global_end")) | full & (C("global_end") > 0)).select(
-        *MEASURE, "staff", F.when(full, 0).otherwise(C("staff_end")).alias("onset"), F.when(full, C("global_end")).otherwise(C("global_end") - C("staff_end")).alias("duration"), F.lit(0).alias("n_notes"), F.lit(None).cast("string").alias("type"), F.when(full, "empty").otherwise("tail").alias("kind"))
-    return event.unionByName(lead).unionByName(tail)
+    heard = rows.groupBy(*MEASURE).agg(F.first("global_end").alias("global_end"), F.collect_set("staff").alias("heard")).filter("global_end > 0").join(staves, list(PART))
+    silent = heard.select(*MEASURE, "global_end", F.explode(F.array_except(F.sequence(F.lit(1), "staves"), "heard")).alias("staff"))
+    return present.unionByName(silent.select(*MEASURE, "staff", event(none, C("global_end"), "empty").alias("e")).select(*MEASURE, "staff", "e.*"))
 
 
 def multi_staff_parts(elements: DataFrame) -> DataFrame:
@@ -160,12 +180,11 @@ def playback_timeline(elements: DataFrame, measures: DataFrame) -> DataFrame:
 
 
 def spine(elements: DataFrame, measures: DataFrame, least: int = 12, per_division: int = 6, grace_width: int = 8) -> DataFrame:
-    """The shared axis of a measure: its distinct onsets over all parts, each with the widest advance that a note there asks
-    for and the room of its graces, and positions as running sums."""
+    """The shared axis of a measure: its distinct onsets on the grid over all parts, each with the widest advance that a note there asks
+    for (so much a quarter of a quarter) and the room of its graces, and positions as running sums."""
     by = ("score_id", "measure_idx")
-    notes = time_cursor(elements).filter("tag = 'note'")
-    onsets = notes.groupBy(*by, C("onset").alias("div")).agg(F.max(F.when(C("is_grace"), 0).otherwise(C("duration"))).alias("longest"), F.count_if("is_grace").alias("graces"))
-    advance = F.greatest(F.lit(least), C("longest") * per_division)
+    onsets = on_grid(elements, measures).groupBy(*by, C("onset").alias("div")).agg(F.max("lasts").alias("longest"), F.count_if("is_grace").alias("graces"))
+    advance = F.greatest(F.lit(least), F.floor(C("longest") * per_division * 4 / GRID)).cast("long")
     w = over(by, ["div"])
     return onsets.withColumn("x", F.coalesce(F.sum(advance).over(before(w)), F.lit(0)) + F.sum(C("graces") * grace_width).over(upto(w))).withColumn("advance", advance)
 
@@ -176,16 +195,17 @@ def measure_offsets(axis: DataFrame) -> DataFrame:
     return widths.withColumn("left", F.coalesce(F.sum("width").over(before(over("score_id", ["measure_idx"]))), F.lit(0)))
 
 
-def events_on_spine(elements: DataFrame, measures: DataFrame) -> DataFrame:
+def events_on_spine(events: DataFrame, axis: DataFrame) -> DataFrame:
     """Every staff event with its position on the axis; one that has no onset there takes the last position."""
-    axis = spine(elements, measures)
-    last = axis.groupBy("score_id", "measure_idx").agg(F.max_by("x", "div").alias("last_x"))
-    events = staff_events(elements)
-    return events.join(axis.select("score_id", "measure_idx", C("div").alias("onset"), "x"), ["score_id", "measure_idx", "onset"], "left").join(last, ["score_id", "measure_idx"]).withColumn("x", F.coalesce("x", "last_x"))
+    at = F.first(F.when(C("is_point"), C("x"))).over(W.partitionBy("score_id", "measure_idx", "onset").orderBy(C("is_point").desc()))
+    last = F.max_by(F.when(C("is_point"), C("x")), F.when(C("is_point"), C("onset"))).over(W.partitionBy("score_id", "measure_idx"))
+    points = axis.select("score_id", "measure_idx", C("div").alias("onset"), "x", F.lit(True).alias("is_point"))
+    rows = points.unionByName(events.withColumn("is_point", F.lit(False)), allowMissingColumns=True)
+    return rows.withColumn("x", F.coalesce(at, last)).filter("not is_point").select(*events.columns, "x")
 
 
-def beam_islands(events: DataFrame, beat: int = 4) -> DataFrame:
-    """Runs of two or more eighths and sixteenths of one staff with no rest between, within a beat of so many divisions."""
+def beam_islands(events: DataFrame, beat: int = GRID) -> DataFrame:
+    """Runs of two or more eighths and sixteenths of one staff with no rest between, within a beat of the grid, a quarter."""
     by = (*MEASURE, "staff")
     w = over(by, ["onset", "kind"])
     can = (C("n_notes") > 0) & C("type").isin("eighth", "16th")

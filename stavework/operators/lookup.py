@@ -57,10 +57,10 @@ def exact_slots(slots: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame
     return probes.join(slots, by)
 
 
-def slots(events: DataFrame, starts: DataFrame, grid: Column) -> DataFrame:
-    """Every chord and rest with its absolute position. starts: score_id, measure_idx, start, active_divisions."""
+def slots(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every chord and rest (its onset on the grid) with its absolute position. starts: score_id, measure_idx, start."""
     keys = ["score_id", "measure_idx"]
-    return events.join(starts.select(*keys, "start", "active_divisions"), keys).withColumn("at", C("start") + grid)
+    return events.join(starts.select(*keys, "start"), keys).withColumn("at", C("start") + C("onset"))
 
 
 def nearest_axis_point(axis: DataFrame, offsets: DataFrame, starts: DataFrame, probes: DataFrame, key: str, per_unit: Column, margin: int) -> DataFrame:
@@ -92,14 +92,19 @@ def top_first(notes: DataFrame) -> DataFrame:
 
 
 def tie_partners(notes: DataFrame) -> DataFrame:
-    """For each note the first of equal pitch at the next distinct onset of its staff, and the last at the one before."""
+    """For each note the first of equal pitch at the next distinct onset of its staff, and the last at the one before. Onsets are ranked within
+    their measure; only measures, with how many onsets they have, are counted through a staff."""
     staff = ("score_id", "part_idx", "staff")
-    ranked = notes.withColumn("rank", F.dense_rank().over(over(staff, ["measure_idx", "onset"])))
+    inner = notes.withColumn("rank", F.dense_rank().over(over((*MEASURE, "staff"), ["onset"])))
+    sizes = inner.groupBy(*staff, "measure_idx").agg(F.max("rank").alias("n"))
+    begins = sizes.select(*staff, "measure_idx", F.coalesce(F.sum("n").over(before(over(staff, ["measure_idx"]))), F.lit(0)).alias("begin"))
+    ranked = inner.join(begins, [*staff, "measure_idx"]).withColumn("rank", C("rank") + C("begin")).drop("begin")
     keys = [*staff, "step", "alter", "octave"]
     at = ranked.groupBy(*keys, "rank").agg(F.min(F.struct("measure_idx", "elem_idx")).alias("first"), F.max(F.struct("measure_idx", "elem_idx")).alias("last"))
-    ahead = at.select(*keys, (C("rank") - 1).alias("rank"), C("first").alias("ahead"))
-    behind = at.select(*keys, (C("rank") + 1).alias("rank"), C("last").alias("behind"))
-    return ranked.join(ahead, [*keys, "rank"], "left").join(behind, [*keys, "rank"], "left")
+    w = over(tuple(keys), ["rank"])
+    ahead = F.when(F.lead("rank").over(w) == C("rank") + 1, F.lead("first").over(w))
+    behind = F.when(F.lag("rank").over(w) == C("rank") - 1, F.lag("last").over(w))
+    return ranked.join(at.select(*keys, "rank", ahead.alias("ahead"), behind.alias("behind")), [*keys, "rank"])
 
 
 def grace_runs(elements: DataFrame) -> DataFrame:

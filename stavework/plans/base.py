@@ -29,7 +29,7 @@ class Queries:
 
         self.queries[name] = typed
         if sql:
-            self.oracles[name] = f"{with_ctes(sql)}\nSELECT {', '.join(f'CAST({c} AS {TYPES[t][1]}) AS {c}' for c, t in columns)} FROM result"
+            self.oracles[name] = f"{with_ctes(sql)}\nSELECT {', '.join(f'CAST("{c}" AS {TYPES[t][1]}) AS "{c}"' for c, t in columns)} FROM result"
 
 
 def with_ctes(sql: str) -> str:

@@ -64,14 +64,18 @@ SELECT *, CASE WHEN grace_group AND NOT next_rest THEN next_island END AS host F
       arg_min(dot, diatonic * 1000 + elem_idx) AS dot, NOT bool_or(is_rest) AND arg_min(is_grace, diatonic * 1000 + elem_idx) AS grace_group,
       string_agg(step || repeat('#', greatest(alter_, 0)) || repeat('b', greatest(-alter_, 0)) || octave, ' ' ORDER BY diatonic, elem_idx) AS pitches FROM islands GROUP BY score_id, part_idx, measure_idx, island)
   WINDOW f AS (PARTITION BY score_id, measure_idx ORDER BY island ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""",
+    "grid_items": """
+SELECT t.score_id, t.part_idx, t.measure_idx, elem_idx, staff, is_rest, is_grace, type, duration, CAST(floor(onset * 5040.0 / active_divisions) AS BIGINT) AS onset,
+  CAST(floor((onset + CASE WHEN is_grace THEN 0 ELSE duration END) * 5040.0 / active_divisions) AS BIGINT) AS reach, CAST(floor(CASE WHEN is_grace THEN 0 ELSE duration END * 5040.0 / active_divisions) AS BIGINT) AS lasts
+FROM timed t JOIN active a ON a.score_id = t.score_id AND a.measure_idx = t.measure_idx WHERE tag = 'note'""",
     "staff_spans": """
 SELECT m.score_id, m.measure_idx, m.global_end, v.staff, coalesce(e.n, 0) AS n, e.staff_end FROM
-  (SELECT score_id, measure_idx, greatest(max(onset + CASE WHEN is_grace THEN 0 ELSE duration END), 0) AS global_end FROM timed WHERE tag = 'note' GROUP BY ALL) m
+  (SELECT score_id, measure_idx, greatest(max(reach), 0) AS global_end FROM grid_items GROUP BY ALL) m
   JOIN (SELECT score_id, unnest(range(1, max(staff) + 1)) AS staff FROM note_elements GROUP BY score_id) v USING (score_id)
-  LEFT JOIN (SELECT score_id, measure_idx, staff, max(onset + CASE WHEN is_grace THEN 0 ELSE duration END) AS staff_end, count(*) FILTER (NOT is_grace) AS n FROM timed WHERE tag = 'note' GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx AND e.staff = v.staff""",
+  LEFT JOIN (SELECT score_id, measure_idx, staff, max(reach) AS staff_end, count(*) FILTER (NOT is_grace) AS n FROM grid_items GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx AND e.staff = v.staff""",
     "onset_groups": """
 SELECT g.*, s.staff_end, lead(onset) OVER w AS next_onset, row_number() OVER w AS nr FROM (
-  SELECT score_id, measure_idx, staff, onset, count(*) FILTER (NOT is_rest) AS n_notes, arg_max(type, duration * 1000 - elem_idx) FILTER (NOT is_rest) AS note_type, arg_min(type, elem_idx) AS first_type FROM timed WHERE tag = 'note' AND NOT is_grace GROUP BY ALL) g
+  SELECT score_id, measure_idx, staff, onset, count(*) FILTER (NOT is_rest) AS n_notes, arg_max(type, duration * 1000 - elem_idx) FILTER (NOT is_rest) AS note_type, arg_min(type, elem_idx) AS first_type FROM grid_items WHERE NOT is_grace GROUP BY ALL) g
   JOIN staff_spans s USING (score_id, measure_idx, staff) WINDOW w AS (PARTITION BY score_id, measure_idx, staff ORDER BY onset)""",
     "staff_event_rows": """
 SELECT score_id, measure_idx, staff, onset, greatest(coalesce(next_onset, staff_end) - onset, 0) AS duration, n_notes, CASE WHEN n_notes > 0 THEN note_type ELSE first_type END AS type, 'event' AS kind FROM onset_groups
@@ -91,7 +95,7 @@ SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY k1, k2, measure_idx)
 SELECT p.*, s.length_, s.start_, s.active_divisions, coalesce(sum(s.length_) OVER (PARTITION BY p.score_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS playback_start FROM play p JOIN starts s USING (score_id, measure_idx)""",
     "spine_rows": """
 SELECT *, coalesce(sum(advance) OVER (PARTITION BY score_id, measure_idx ORDER BY div_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(8 * graces) OVER (PARTITION BY score_id, measure_idx ORDER BY div_) AS x FROM (
-  SELECT score_id, measure_idx, onset AS div_, greatest(12, 6 * max(CASE WHEN is_grace THEN 0 ELSE duration END)) AS advance, count(*) FILTER (is_grace) AS graces FROM timed WHERE tag = 'note' GROUP BY ALL)""",
+  SELECT score_id, measure_idx, onset AS div_, greatest(12, CAST(floor(max(lasts) * 24 / 5040.0) AS BIGINT)) AS advance, count(*) FILTER (is_grace) AS graces FROM grid_items GROUP BY ALL)""",
     "midi_notes": """
 SELECT file_id, track, note, last_tick AS start, tick AS end_, last_velocity AS velocity, seq AS end_seq FROM (
   SELECT *, lag(on_) OVER w AS last_on, lag(tick) OVER w AS last_tick, lag(velocity) OVER w AS last_velocity FROM (SELECT *, type = 'noteOn' AND velocity > 0 AS on_ FROM midi_events) WINDOW w AS (PARTITION BY track, note ORDER BY seq))

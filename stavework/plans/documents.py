@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -77,8 +75,7 @@ Q.add("a12_tempo_upsert", "event_id:l tempo:l", lambda spark, d: A.table(spark,
 
 
 def _folder(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    return f"{A.checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _paired(spark, d):

@@ -21,8 +21,17 @@ def probes(spark, d):
     return A.probes(spark, d).select("event_id", "score_id", F.floor(C("centibeat") * GRID / 100).cast("long").alias("at"), "diatonic")
 
 
+def tables(spark, d):
+    """Elements and measures, each made once however often a plan reads them."""
+    return A.once(A.note_elements(spark, d)), A.once(A.measures(spark, d))
+
+
+def starts_of(e, m):
+    return O.measure_starts(e, m).select("score_id", "measure_idx", "start", "length", "active_divisions")
+
+
 def starts(spark, d):
-    return O.measure_starts(A.note_elements(spark, d), A.measures(spark, d)).select("score_id", "measure_idx", "start", "length", "active_divisions")
+    return starts_of(A.note_elements(spark, d), A.measures(spark, d))
 
 
 def on_grid(c="onset"):
@@ -31,19 +40,21 @@ def on_grid(c="onset"):
 
 def slot_rows(spark, d):
     """Slots of both staves with their absolute positions."""
-    return L.slots(O.staff_events(A.note_elements(spark, d)), starts(spark, d), on_grid()).select("score_id", "measure_idx", "staff", "onset", "kind", "n_notes", "at")
+    e, m = tables(spark, d)
+    return L.slots(O.staff_events(e, m), starts_of(e, m)).select("score_id", "measure_idx", "staff", "onset", "kind", "n_notes", "at")
 
 
 def note_rows(spark, d):
     """Pitched notes with their absolute positions, in order of measure and element."""
-    n = O.time_cursor(A.note_elements(spark, d)).filter("tag = 'note' and not is_rest").withColumn("diatonic", O.diatonic_index(C("step"), C("octave")))
-    s = starts(spark, d)
+    e, m = tables(spark, d)
+    n = O.time_cursor(e).filter("tag = 'note' and not is_rest").withColumn("diatonic", O.diatonic_index(C("step"), C("octave")))
+    s = starts_of(e, m)
     return n.join(s, ["score_id", "measure_idx"]).select("score_id", "measure_idx", "elem_idx", "staff", "onset", (C("start") + on_grid()).alias("at"), "diatonic", (C("measure_idx") * 1000 + C("elem_idx")).alias("ord"))
 
 
 P = "(SELECT event_id, score_id, centibeat * 5040 // 100 AS p_at, diatonic AS p_dia FROM probes)"
 ABS = "start_ + CAST(floor(onset * 5040.0 / active_divisions) AS BIGINT)"
-SLOTS = f"(SELECT e.score_id, e.measure_idx, e.staff, e.onset, e.kind, e.n_notes, {ABS} AS s_at FROM staff_event_rows e JOIN starts s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx)"
+SLOTS = "(SELECT e.score_id, e.measure_idx, e.staff, e.onset, e.kind, e.n_notes, start_ + e.onset AS s_at FROM staff_event_rows e JOIN starts s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx)"
 NOTES = f"(SELECT t.*, {ABS} AS s_at, strpos('CDEFGAB', step) - 1 + 7 * octave AS dia, t.measure_idx * 1000 + elem_idx AS ord FROM timed t JOIN starts s ON s.score_id = t.score_id AND s.measure_idx = t.measure_idx WHERE tag = 'note' AND NOT is_rest)"
 
 Q.add("f1_locate", "event_id:l score_id:l measure_idx:l inside:l", lambda spark, d: L.locate(starts(spark, d).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id"),
@@ -71,10 +82,9 @@ Q.add("f4_nearest_slot", "event_id:l score_id:l hit_at:l measure_idx:l staff:l d
 
 
 def _covering(spark, d):
-    at = L.locate(starts(spark, d).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id").select("event_id", "score_id", "measure_idx", "inside")
-    s = starts(spark, d)
-    events = O.staff_events(A.note_elements(spark, d)).join(s, ["score_id", "measure_idx"]).select("score_id", "measure_idx", "staff", on_grid().alias("at"), "n_notes")
-    points = events.groupBy("score_id", "measure_idx", "staff", "at").agg(F.max("n_notes").alias("n_notes"))
+    e, m = tables(spark, d)
+    at = L.locate(starts_of(e, m).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id").select("event_id", "score_id", "measure_idx", "inside")
+    points = A.once(O.staff_events(e, m).groupBy("score_id", "measure_idx", "staff", C("onset").alias("at")).agg(F.max("n_notes").alias("n_notes")))
     staves = points.select("score_id", "measure_idx", "staff").distinct()
     p = at.join(staves, ["score_id", "measure_idx"]).select("score_id", "measure_idx", "staff", C("inside").alias("at"), "event_id")
     return L.as_of(points, p, ["score_id", "measure_idx", "staff"], "at", F.struct("at", "n_notes"), "event_id").filter("found is not null").select("event_id", "score_id", "measure_idx", "staff", C("found.at").alias("slot_at"), C("found.n_notes").alias("n_notes"))
@@ -82,27 +92,25 @@ def _covering(spark, d):
 
 Q.add("f5_covering_slots", "event_id:l score_id:l measure_idx:l staff:l slot_at:l n_notes:l", _covering,
       f"""WITH pr AS (SELECT event_id, p.score_id, coalesce(max(measure_idx) FILTER (start_ <= p_at), min(measure_idx)) AS measure_idx, p_at - coalesce(max(start_) FILTER (start_ <= p_at), min(start_)) AS inside FROM {P} p JOIN starts s ON s.score_id = p.score_id GROUP BY event_id, p.score_id, p_at),
-      pt AS (SELECT e.score_id, e.measure_idx, e.staff, CAST(floor(onset * 5040.0 / active_divisions) AS BIGINT) AS x, max(n_notes) AS n_notes FROM staff_event_rows e JOIN starts s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx GROUP BY ALL)
+      pt AS (SELECT score_id, measure_idx, staff, onset AS x, max(n_notes) AS n_notes FROM staff_event_rows GROUP BY ALL)
       SELECT event_id, pr.score_id, pr.measure_idx, staff, max(x) AS slot_at, arg_max(n_notes, x) AS n_notes FROM pr JOIN pt ON pt.score_id = pr.score_id AND pt.measure_idx = pr.measure_idx AND x <= inside GROUP BY ALL""")
 Q.add("f6_exact_slots", "event_id:l score_id:l measure_idx:l staff:l kind:s", lambda spark, d: L.exact_slots(slot_rows(spark, d), A.probes(spark, d).select("event_id", "score_id", (F.floor(C("centibeat") / 100) * GRID).alias("at")), ["score_id", "at"]),
       f"SELECT event_id, p.score_id, measure_idx, staff, kind FROM (SELECT event_id, score_id, centibeat // 100 * 5040 AS p_at FROM probes) p JOIN {SLOTS} s ON s.score_id = p.score_id AND s_at = p_at")
-Q.add("f7_slots", "score_id:l measure_idx:l staff:l onset:l kind:s n_notes:l at:l", slot_rows, f"SELECT *, s_at AS at FROM {SLOTS}")
-Q.oracles["f7_slots"] = Q.oracles["f7_slots"].replace("s_at AS at", 's_at AS "at"').replace("CAST(at AS BIGINT) AS at", 'CAST("at" AS BIGINT) AS "at"')
+Q.add("f7_slots", "score_id:l measure_idx:l staff:l onset:l kind:s n_notes:l at:l", slot_rows, f'SELECT *, s_at AS "at" FROM {SLOTS}')
 Q.add("f8_handles", "score_id:l measure_idx:l elem_idx:l island:l members:l pitches:s", lambda spark, d: (lambda n: n.select("score_id", "measure_idx", "elem_idx", "island").join(n.groupBy("score_id", "measure_idx", "island").agg(F.count("*").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("diatonic", "elem_idx"))), lambda x: x["diatonic"].cast("string")), " ").alias("pitches")), ["score_id", "measure_idx", "island"]))(O.chord_islands(A.note_elements(spark, d)).filter("not is_rest")),
       "SELECT score_id, measure_idx, elem_idx, island, count(*) OVER w AS members, string_agg(diatonic, ' ') OVER (PARTITION BY score_id, measure_idx, island ORDER BY diatonic, elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS pitches FROM islands WHERE NOT is_rest WINDOW w AS (PARTITION BY score_id, measure_idx, island)")
 
 
 def _axis(spark, d):
-    e, m = A.note_elements(spark, d), A.measures(spark, d)
-    axis = O.spine(e, m)
-    return axis, O.measure_offsets(axis)
+    e, m = tables(spark, d)
+    axis = A.once(O.spine(e, m))
+    return axis, O.measure_offsets(axis), A.once(starts_of(e, m))
 
 
 def _from_x(spark, d):
-    axis, offsets = _axis(spark, d)
+    axis, offsets, s = _axis(spark, d)
     p = A.probes(spark, d).select("event_id", "score_id", F.floor(C("centibeat") / 4).cast("long").alias("x"))
-    beat = F.floor(C("hit.div") * GRID / C("active_divisions")).cast("long")
-    return L.nearest_axis_point(axis, offsets, starts(spark, d), p, "event_id", beat, GRID // 4)
+    return L.nearest_axis_point(axis, offsets, s, p, "event_id", C("hit.div"), GRID // 4)
 
 
 OFFSETS = "(SELECT *, coalesce(sum(width) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM (SELECT score_id, measure_idx, max(x + advance) AS width FROM spine_rows GROUP BY ALL))"
@@ -110,18 +118,17 @@ Q.add("f9_from_x", "event_id:l score_id:l measure_idx:l beat:l", _from_x,
       f"""WITH o AS {OFFSETS}, m AS (SELECT event_id, p.score_id, coalesce(arg_max(measure_idx, lft) FILTER (lft <= px), arg_min(measure_idx, measure_idx)) AS measure_idx, px - coalesce(max(lft) FILTER (lft <= px), arg_min(lft, measure_idx)) AS inside
       FROM (SELECT event_id, score_id, centibeat // 4 AS px FROM probes) p JOIN o ON o.score_id = p.score_id GROUP BY event_id, p.score_id, px),
       n AS (SELECT m.*, div_, row_number() OVER (PARTITION BY event_id ORDER BY abs(x - inside), x, div_) AS r FROM m JOIN spine_rows s ON s.score_id = m.score_id AND s.measure_idx = m.measure_idx)
-      SELECT event_id, n.score_id, n.measure_idx, greatest(start_, least(start_ + CAST(floor(div_ * 5040.0 / active_divisions) AS BIGINT), start_ + length_ - 1260)) AS beat FROM n JOIN starts s ON s.score_id = n.score_id AND s.measure_idx = n.measure_idx WHERE r = 1""")
+      SELECT event_id, n.score_id, n.measure_idx, greatest(start_, least(start_ + div_, start_ + length_ - 1260)) AS beat FROM n JOIN starts s ON s.score_id = n.score_id AND s.measure_idx = n.measure_idx WHERE r = 1""")
 
 
 def _interpolated(spark, d):
-    axis, offsets = _axis(spark, d)
-    s = starts(spark, d)
-    points = axis.join(offsets, ["score_id", "measure_idx"]).join(s, ["score_id", "measure_idx"]).select("score_id", (C("start") + on_grid("div")).alias("at"), (C("left") + C("x")).alias("x"))
+    axis, offsets, s = _axis(spark, d)
+    points = axis.join(offsets, ["score_id", "measure_idx"]).join(s, ["score_id", "measure_idx"]).select("score_id", (C("start") + C("div")).alias("at"), (C("left") + C("x")).alias("x"))
     return L.interpolated(points.groupBy("score_id", "at").agg(F.min("x").alias("x")), probes(spark, d), BY, "event_id")
 
 
 Q.add("f10_interpolated_x", "event_id:l score_id:l x:d", _interpolated,
-      f"""WITH o AS {OFFSETS}, pt AS (SELECT s.score_id, start_ + CAST(floor(div_ * 5040.0 / active_divisions) AS BIGINT) AS a, min(lft + x) AS x FROM spine_rows s JOIN o ON o.score_id = s.score_id AND o.measure_idx = s.measure_idx JOIN starts t ON t.score_id = s.score_id AND t.measure_idx = s.measure_idx GROUP BY 1, 2),
+      f"""WITH o AS {OFFSETS}, pt AS (SELECT s.score_id, start_ + div_ AS a, min(lft + x) AS x FROM spine_rows s JOIN o ON o.score_id = s.score_id AND o.measure_idx = s.measure_idx JOIN starts t ON t.score_id = s.score_id AND t.measure_idx = s.measure_idx GROUP BY 1, 2),
       nx AS (SELECT *, lead(a) OVER w AS na, lead(x) OVER w AS nx FROM pt WINDOW w AS (PARTITION BY score_id ORDER BY a)),
       h AS (SELECT event_id, p.score_id, p_at, max(a) FILTER (a <= p_at) AS a, arg_min(x, a) AS first_x FROM {P} p JOIN pt ON pt.score_id = p.score_id GROUP BY ALL)
       SELECT event_id, h.score_id, CASE WHEN h.a IS NULL THEN first_x WHEN na IS NULL THEN x ELSE x + (nx - x) * (CAST(p_at - h.a AS DOUBLE) / (na - h.a)) END AS x FROM h LEFT JOIN nx ON nx.score_id = h.score_id AND nx.a = h.a""")

@@ -35,7 +35,7 @@ Q.add("c3_content_length", f"{KM} length:l", el(O.content_length), "SELECT score
 Q.add("c4_carried_attributes", f"{KM} active_divisions:l active_fifths:l active_beats:l active_beat_type:l", me(O.carried_attributes), "SELECT * FROM active")
 Q.add("c5_key_changes", f"{KM} fifths:l previous:l", me(O.key_changes), "SELECT * FROM (SELECT *, lag(active_fifths) OVER (PARTITION BY score_id ORDER BY measure_idx) AS previous FROM active) WHERE measure_idx > 0 AND fifths <> previous")
 Q.add("c6_chords", f"{KM} island:l first_elem:l n_notes:l is_rest:b is_grace:b duration:l type:s dot:b pitches:s host:l", lambda spark, d: O.chords(A.note_elements(spark, d)).withColumn("pitches", F.array_join(F.transform("notes", lambda n: n["pitch"]), " ")), "SELECT *, rests AS is_rest, grace_group AS is_grace FROM chord_rows")
-Q.add("c7_staff_events", f"{KM} staff:l onset:l duration:l n_notes:l type:s kind:s", el(O.staff_events), "SELECT * FROM staff_event_rows")
+Q.add("c7_staff_events", f"{KM} staff:l onset:l duration:l n_notes:l type:s kind:s", el_me(O.staff_events), "SELECT * FROM staff_event_rows")
 Q.add("c8_multi_staff", "score_id:l multi_staff:b staves:l", el(O.multi_staff_parts), "SELECT score_id, max(staff) > 1 OR count(*) FILTER (tag = 'backup') > 0 AS multi_staff, max(staff) AS staves FROM note_elements GROUP BY score_id")
 Q.add("c9_first_clefs", "score_id:l staff:l sign:s line:l", lambda spark, d: O.first_clefs(A.clefs(spark, d), A.note_elements(spark, d)),
       "SELECT s.score_id, s.staff, coalesce(sign, CASE s.staff WHEN 2 THEN 'F' ELSE 'G' END) AS sign, coalesce(line, CASE s.staff WHEN 2 THEN 4 ELSE 2 END) AS line FROM (SELECT score_id, unnest(range(1, max(staff) + 1)) AS staff FROM note_elements GROUP BY score_id) s LEFT JOIN (SELECT score_id, staff, arg_min(sign, measure_idx) AS sign, arg_min(line, measure_idx) AS line FROM clefs GROUP BY ALL) c ON c.score_id = s.score_id AND c.staff = s.staff")
@@ -56,12 +56,18 @@ Q.add("c15_playback_timeline", "score_id:l playback:l display:l n_pitches:l pitc
       FROM timed t JOIN play_starts p ON p.score_id = t.score_id AND p.measure_idx = t.measure_idx WHERE tag = 'note' AND NOT is_rest AND NOT is_grace GROUP BY 1, 2)""")
 Q.add("c16_measure_spine", f"{KM} div:l advance:l x:l", el_me(O.spine), "SELECT *, div_ AS div FROM spine_rows")
 Q.add("c16_measure_offsets", f"{KM} width:l left:l", lambda spark, d: O.measure_offsets(O.spine(A.note_elements(spark, d), A.measures(spark, d))), 'SELECT *, coalesce(sum(width) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "left" FROM (SELECT score_id, measure_idx, max(x + advance) AS width FROM spine_rows GROUP BY ALL)')
-Q.oracles["c16_measure_offsets"] = Q.oracles["c16_measure_offsets"].replace("CAST(left AS BIGINT) AS left", 'CAST("left" AS BIGINT) AS "left"')
-Q.add("c17_events_on_spine", f"{KM} staff:l onset:l kind:s x:l", el_me(O.events_on_spine), "SELECT e.*, coalesce(s.x, l.x) AS x FROM staff_event_rows e LEFT JOIN spine_rows s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx AND s.div_ = e.onset JOIN (SELECT score_id, measure_idx, arg_max(x, div_) AS x FROM spine_rows GROUP BY ALL) l ON l.score_id = e.score_id AND l.measure_idx = e.measure_idx")
-Q.add("c18_beam_islands", f"{KM} staff:l first_onset:l last_onset:l n:l", lambda spark, d: O.beam_islands(O.staff_events(A.note_elements(spark, d))),
+
+
+def _events_on_spine(spark, d):
+    e, m = A.once(A.note_elements(spark, d)), A.once(A.measures(spark, d))
+    return O.events_on_spine(O.staff_events(e, m), O.spine(e, m))
+
+
+Q.add("c17_events_on_spine", f"{KM} staff:l onset:l kind:s x:l", _events_on_spine, "SELECT e.*, coalesce(s.x, l.x) AS x FROM staff_event_rows e LEFT JOIN spine_rows s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx AND s.div_ = e.onset JOIN (SELECT score_id, measure_idx, arg_max(x, div_) AS x FROM spine_rows GROUP BY ALL) l ON l.score_id = e.score_id AND l.measure_idx = e.measure_idx")
+Q.add("c18_beam_islands", f"{KM} staff:l first_onset:l last_onset:l n:l", lambda spark, d: O.beam_islands(O.staff_events(A.note_elements(spark, d), A.measures(spark, d))),
       """SELECT score_id, measure_idx, staff, min(onset) AS first_onset, max(onset) AS last_onset, count(*) AS n FROM (
       SELECT *, sum(CASE WHEN can AND coalesce(lag_can, false) AND beat = lag_beat THEN 0 ELSE 1 END) OVER (PARTITION BY score_id, measure_idx, staff ORDER BY onset, kind) AS run FROM (
-      SELECT *, lag(can) OVER w AS lag_can, lag(beat) OVER w AS lag_beat FROM (SELECT *, coalesce(n_notes > 0 AND type IN ('eighth', '16th'), false) AS can, floor(onset / 4.0) AS beat FROM staff_event_rows) WINDOW w AS (PARTITION BY score_id, measure_idx, staff ORDER BY onset, kind)))
+      SELECT *, lag(can) OVER w AS lag_can, lag(beat) OVER w AS lag_beat FROM (SELECT *, coalesce(n_notes > 0 AND type IN ('eighth', '16th'), false) AS can, floor(onset / 5040.0) AS beat FROM staff_event_rows) WINDOW w AS (PARTITION BY score_id, measure_idx, staff ORDER BY onset, kind)))
       WHERE can GROUP BY score_id, measure_idx, staff, run HAVING count(*) >= 2""")
 
 
