@@ -23,10 +23,13 @@ def note_stream(elements: DataFrame) -> DataFrame:
 
 
 def summary(measures: DataFrame, clefs: DataFrame) -> DataFrame:
-    """Per score: how many measures, the first key and meter, the clefs in order of staves."""
-    first = lambda c: F.min_by(c, F.when(F.col("beats" if c == "time" else c).isNotNull(), C("measure_idx")))
+    """Per score: how many measures, the first key (0 without one) and meter (none, or senza-misura if a measure says so in its column of
+    that name), the clefs in order of staves."""
+    first = lambda c, known: F.min_by(c, F.when(known, C("measure_idx")))
+    free = F.max("senza_misura") if "senza_misura" in measures.columns else F.lit(False)
     m = measures.withColumn("time", F.concat_ws("/", C("beats").cast("string"), C("beat_type").cast("string")))
-    out = m.groupBy("score_id").agg(F.count("*").alias("n_measures"), first("fifths").alias("fifths"), F.coalesce(first("time"), F.lit("none")).alias("time"))
+    time = F.coalesce(first("time", C("beats").isNotNull() & C("beat_type").isNotNull()), F.when(free, "senza-misura"), F.lit("none"))
+    out = m.groupBy("score_id").agg(F.count("*").alias("n_measures"), F.coalesce(first("fifths", C("fifths").isNotNull()), F.lit(0)).alias("fifths"), time.alias("time"))
     staves = clefs.groupBy("score_id", "staff").agg(F.min_by(F.concat("sign", C("line").cast("string")), "measure_idx").alias("clef"))
     lists = staves.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("staff", "clef"))).alias("clefs"))
     return out.join(lists, "score_id", "left").withColumn("clefs", F.coalesce(F.transform("clefs", lambda c: c["clef"]), F.array().cast("array<string>")))
@@ -44,40 +47,64 @@ def attribute_differences(source: DataFrame, recovered: DataFrame) -> DataFrame:
     return pair.select("score_id", F.explode(every).alias("d")).select("score_id", "d.*")
 
 
+def next_scores(row: np.ndarray, i: int, x: int, y: np.ndarray) -> np.ndarray:
+    """The scores of row i from those of row i - 1: equal items 1, other pairs and gaps -1."""
+    out = np.empty_like(row)
+    out[0] = -i
+    out[1:] = np.maximum(row[:-1] + np.where(y == x, 1, -1), row[1:] - 1)
+    steps = np.arange(len(row), dtype=row.dtype)
+    return np.maximum.accumulate(out + steps) - steps  # the best way along the row, a gap a step
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Global alignment of two sequences; -1 stands for a gap. Equal items score 1, other pairs and gaps -1; going back,
-    a pair is preferred to a gap in b, and that to a gap in a. The scores are filled in by anti-diagonals."""
+    a pair is preferred to a gap in b, and that to a gap in a. Only every k-th row of the scores is kept, k rows at a time are filled in again
+    on the way back, with k about the root of the rows' number."""
     n, m = len(a), len(b)
     codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([codes[v] for v in a], np.int64), np.array([codes[v] for v in b], np.int64)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    score[:, 0], score[0, :] = -np.arange(n + 1), -np.arange(m + 1)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        same = np.where(x[i - 1] == y[j - 1], 1, -1)
-        score[i, j] = np.maximum(score[i - 1, j - 1] + same, np.maximum(score[i - 1, j], score[i, j - 1]) - 1)
+    every = max(1, int(n**0.5))
+    row, kept = -np.arange(m + 1, dtype=np.int32), []
+    for i in range(n + 1):
+        if i:
+            row = next_scores(row, i, x[i - 1], y)
+        if i % every == 0:
+            kept.append(row)
     out, i, j = [], n, m
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
+    for first in range(len(kept) - 1, -1, -1):
+        low = first * every
+        score = [kept[first]]
+        while low + len(score) <= i:
+            score.append(next_scores(score[-1], low + len(score), x[low + len(score) - 1], y))
+        while i > low or (low == 0 and j):
+            here = score[i - low][j]
+            if i and j and here == score[i - 1 - low][j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif i and here == score[i - 1 - low][j] - 1:
+                i -= 1
+                out.append((i, -1))
+            else:
+                j -= 1
+                out.append((-1, j))
     return out[::-1]
 
 
+def common_ends(source: DataFrame, recovered: DataFrame) -> DataFrame:
+    """(score_id, n_s, n_r, same): the lengths of both streams (score_id, idx, k), and how many of their last notes are equal."""
+    sizes = source.groupBy("score_id").agg(F.count("*").alias("n_s")).join(recovered.groupBy("score_id").agg(F.count("*").alias("n_r")), "score_id", "full").na.fill(0, ["n_s", "n_r"])
+    back = lambda df, n, k: df.join(sizes.select("score_id", n), "score_id").select("score_id", (C(n) - C("idx")).alias("back"), C("k").alias(k))
+    other = back(source, "n_s", "k_s").join(back(recovered, "n_r", "k_r"), ["score_id", "back"]).filter("k_s <> k_r").groupBy("score_id").agg(F.min("back").alias("differs"))
+    return sizes.join(other, "score_id", "left").select("score_id", "n_s", "n_r", F.coalesce(C("differs") - 1, F.least("n_s", "n_r")).alias("same"))
+
+
 def aligned(source: DataFrame, recovered: DataFrame) -> DataFrame:
-    """(score_id, s_idx, r_idx) of two note streams, aligned by step and octave; null for a gap. Streams that are equal are
-    paired by position without alignment."""
-    key = F.concat("step", C("octave").cast("string"))
-    digest = lambda df: df.groupBy("score_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", key.alias("k")))), lambda x: x["k"]), " "), 256).alias("digest"))
-    same = digest(source).join(digest(recovered), ["score_id", "digest"]).select("score_id")
-    equal = source.select("score_id", "idx").join(same, "score_id").select("score_id", C("idx").alias("s_idx"), C("idx").alias("r_idx"))
+    """(score_id, s_idx, r_idx) of two note streams, aligned by step and octave; null for a gap. Equal ends of both streams are paired by
+    position, which the preference for pairs on the way back does as well; only what stands before them is aligned in one piece."""
+    key = F.concat("step", C("octave").cast("string")).alias("k")
+    s, r = source.select("score_id", "idx", key), recovered.select("score_id", "idx", key)
+    ends = common_ends(s, r)
+    paired = s.join(ends, "score_id").filter(C("idx") >= C("n_s") - C("same")).select("score_id", C("idx").cast("long").alias("s_idx"), (C("idx") - C("n_s") + C("n_r")).cast("long").alias("r_idx"))
 
     def pair(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         s, r = s.sort_values("idx"), r.sort_values("r_idx")
@@ -85,10 +112,10 @@ def aligned(source: DataFrame, recovered: DataFrame) -> DataFrame:
         found = align(list(s["k"]), list(r["r_k"]))
         return pd.DataFrame({"score_id": score_id, "s_idx": pd.array([i if i >= 0 else None for i, _ in found], "Int64"), "r_idx": pd.array([j if j >= 0 else None for _, j in found], "Int64")})
 
-    rest = lambda df: df.join(same, "score_id", "left_anti").select("score_id", "idx", key.alias("k"))
-    other = rest(recovered).select(C("score_id").alias("r_score_id"), C("idx").alias("r_idx"), C("k").alias("r_k"))  # names of its own: both sides may be one table
-    different = rest(source).groupBy("score_id").cogroup(other.groupBy("r_score_id")).applyInPandas(pair, "score_id long, s_idx long, r_idx long")
-    return equal.select("score_id", C("s_idx").cast("long"), C("r_idx").cast("long")).unionByName(different)
+    rest = lambda df, n: df.join(ends, "score_id").filter(C("idx") < C(n) - C("same")).select("score_id", "idx", "k")
+    other = rest(r, "n_r").select(C("score_id").alias("r_score_id"), C("idx").alias("r_idx"), C("k").alias("r_k"))  # names of its own: both sides may be one table
+    different = rest(s, "n_s").groupBy("score_id").cogroup(other.groupBy("r_score_id")).applyInPandas(pair, "score_id long, s_idx long, r_idx long")
+    return paired.unionByName(different)
 
 
 def note_differences(source: DataFrame, recovered: DataFrame) -> DataFrame:
@@ -121,6 +148,28 @@ def checked(expected: DataFrame, actual: DataFrame, by: list[str], attribute_kin
     return notes.unionByName(attrs.select(*by, "kind", F.coalesce("ve", "va").alias("value"), status.alias("status")))
 
 
+def described(found: DataFrame) -> DataFrame:
+    """Differences (kind, measure_idx, source, recovered) with a text each; measures are counted from 1."""
+    kind, m = C("kind"), (C("measure_idx") + 1).cast("string")
+    both = lambda name: F.concat(F.lit(f"{name}: source "), "source", F.lit(", recovered "), "recovered")
+    where = lambda name: F.concat(F.lit(f"{name}: recovered "), "recovered", F.lit(" where source has "), "source", F.lit(" (m"), m, F.lit(")"))
+    named = {"measureCount": both("measure count"), "keySignature": F.concat(F.lit("key: source fifths "), "source", F.lit(", recovered "), "recovered"), "timeSignature": both("time signature"), "clefCount": both("clef count"), "clef": both("clefs"),
+             "missed": F.concat(F.lit("missed "), "source", F.lit(" (source m"), m, F.lit(")")), "spurious": F.concat(F.lit("spurious "), "recovered", F.lit(" (m"), m, F.lit(")")), "wrong": where("wrong note"), "wrongAccidental": where("wrong accidental")}
+    text = F.lit(None).cast("string")
+    for name, t in named.items():
+        text = F.when(kind == name, t).otherwise(text)
+    return found.withColumn("text", text)
+
+
+def report(attributes: DataFrame, notes: DataFrame, most: int = 15) -> DataFrame:
+    """The lines of a report on each score: all differences of attributes, then the first notes' so many, then how many more there are."""
+    a = described(attributes.withColumn("measure_idx", F.lit(None).cast("int"))).select("score_id", F.lit(0).alias("part"), F.row_number().over(over("score_id", ["kind", "source", "recovered"])).alias("nr"), "text")
+    order = over("score_id", ["measure_idx", "kind", "source", "recovered"])
+    n = described(notes).select("score_id", F.lit(1).alias("part"), F.row_number().over(order).alias("nr"), "text")
+    more = notes.groupBy("score_id").agg(F.count("*").alias("n")).filter(C("n") > most).select("score_id", F.lit(2).alias("part"), F.lit(1).alias("nr"), F.format_string("and %d more note differences", C("n") - most).alias("text"))
+    return a.unionByName(n.filter(C("nr") <= most)).unionByName(more)
+
+
 def comparison(first: DataFrame, second: DataFrame, every: DataFrame) -> DataFrame:
     """Per score how many differences two systems have, and which is better."""
     n = lambda df, name: df.groupBy("score_id").agg(F.sum("times").alias(name))

@@ -152,22 +152,26 @@ def meters_in_force(found: DataFrame, changes: DataFrame) -> DataFrame:
 
 def systems(staves: DataFrame) -> DataFrame:
     """Staves (page_id, staff_idx, sign, braced to the next) as systems: a run of braced staves, or treble over bass, or
-    one staff. A pair may take the first staff of a run, so the pages are folded in order; a page has a few staves."""
+    one staff. A pair may take the first staff of a run, so staves are folded in order; but where nothing before reaches over a staff, a
+    new piece begins, and only a piece is folded in one row."""
     w = over("page_id", ["staff_idx"])
     rows = staves.withColumn("i", F.row_number().over(w) - 1)
     run_end = F.first(F.when(~C("braced"), C("i")), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
     pair = F.coalesce((C("sign") == "G") & (F.lead("sign").over(w) == "F"), F.lit(False))
     rows = rows.withColumn("next", F.when(C("braced"), F.coalesce(run_end, C("i")) + 1).when(pair, C("i") + 2).otherwise(C("i") + 1))
-    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "next", "staff_idx"))).alias("staves"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
+    rows = rows.withColumn("reached", F.coalesce(F.max("next").over(before(w)), F.lit(0)))
+    rows = rows.withColumn("piece", F.sum((C("reached") <= C("i")).cast("int")).over(upto(w)))
+    pieces = rows.groupBy("page_id", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "next", "staff_idx"))).alias("staves"))
+    start = F.struct(F.get("staves", F.lit(0))["i"].cast("int").alias("at"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
 
     def step(s, x):
         begins = x["i"] == s["at"]
         no = F.when(begins, s["no"] + 1).otherwise(s["no"])
         return F.struct(F.when(begins, x["next"]).otherwise(s["at"]).cast("int").alias("at"), no.alias("no"), F.concat(s["out"], F.array(no)).alias("out"))
 
-    numbered = pages.withColumn("no", F.aggregate("staves", start, step, lambda s: s["out"]))
-    return numbered.select("page_id", F.explode(F.arrays_zip("staves", "no")).alias("z")).select("page_id", C("z.staves.staff_idx").alias("staff_idx"), C("z.no").alias("system_no"))
+    numbered = pieces.withColumn("no", F.aggregate("staves", start, step, lambda s: s["out"]))
+    earlier = F.coalesce(F.sum(F.array_max("no") + 1).over(before(over("page_id", ["piece"]))), F.lit(0))
+    return numbered.withColumn("earlier", earlier).select("page_id", "earlier", F.explode(F.arrays_zip("staves", "no")).alias("z")).select("page_id", C("z.staves.staff_idx").alias("staff_idx"), (C("earlier") + C("z.no")).alias("system_no"))
 
 
 def rejected_staves(opening: DataFrame) -> DataFrame:
@@ -175,8 +179,18 @@ def rejected_staves(opening: DataFrame) -> DataFrame:
     return opening.filter("clef is null").select(*STAFF, F.lit("no clef recognised").alias("reason"))
 
 
-def full_rests(found: DataFrame, length: int = 16) -> DataFrame:
-    """Measures up to a page's span in which a staff has nothing."""
+def full_rests(found: DataFrame, meters: DataFrame | None = None, length: int = 16) -> DataFrame:
+    """Measures up to a page's span in which a staff has nothing, with a rest of the measure's length in quarters of a quarter: that of the
+    meter in force (meters: staff, measure_idx, beats, beat_type), or else the given one."""
     staves = found.select(*STAFF).distinct()
     every = staves.join(measure_spans(found, "page_id"), "page_id").select(*STAFF, F.explode(F.sequence(F.lit(0), (C("span") - 1).cast("int"))).alias("measure_idx"))
-    return every.join(found, [*STAFF, "measure_idx"], "left_anti").withColumn("duration", F.lit(length))
+    empty = every.join(found, [*STAFF, "measure_idx"], "left_anti")
+    if meters is None:
+        return empty.withColumn("duration", F.lit(length))
+    # A staff's meter is known up to its own last measure; what follows keeps the last one.
+    known = empty.join(meters, [*STAFF, "measure_idx"], "left")
+    last = meters.filter("beats is not null").groupBy(*STAFF).agg(F.max_by(F.struct("beats", "beat_type"), "measure_idx").alias("m"), F.max("measure_idx").alias("until"))
+    rows = known.join(last, list(STAFF), "left")
+    beats = F.coalesce("beats", F.when(C("measure_idx") > C("until"), C("m.beats")))
+    beat_type = F.coalesce("beat_type", F.when(C("measure_idx") > C("until"), C("m.beat_type")))
+    return rows.select(*STAFF, "measure_idx", F.coalesce(F.floor(16 * beats / beat_type), F.lit(length)).alias("duration"))

@@ -44,4 +44,4 @@ def with_ctes(sql: str) -> str:
                     needed.append(name)
 
     need(sql)
-    return "WITH " + ",\n".join([f"{n} AS ({CTES[n]})" for n in needed] + [f"result AS ({sql})"])
+    return "WITH RECURSIVE " + ",\n".join([f"{n} AS ({CTES[n]})" for n in needed] + [f"result AS ({sql})"])

@@ -24,12 +24,12 @@ CTES |= {
 
 
 def _summary_sql(measures: str, where: str) -> str:
-    return f"""SELECT *, coalesce(t, 'none') AS time, coalesce(c, []) AS clefs FROM (SELECT score_id, count(*) AS n_measures, arg_min(fifths, measure_idx) FILTER (fifths IS NOT NULL) AS fifths, arg_min(beats || '/' || beat_type, measure_idx) FILTER (beats IS NOT NULL) AS t FROM {measures} GROUP BY score_id)
+    return f"""SELECT *, coalesce(t, 'none') AS time, coalesce(c, []) AS clefs FROM (SELECT score_id, count(*) AS n_measures, coalesce(arg_min(fifths, measure_idx) FILTER (fifths IS NOT NULL), 0) AS fifths, arg_min(beats || '/' || beat_type, measure_idx) FILTER (beats IS NOT NULL) AS t FROM {measures} GROUP BY score_id)
     LEFT JOIN (SELECT score_id, list(clef ORDER BY staff) AS c FROM (SELECT score_id, staff, arg_min(sign || line, measure_idx) AS clef FROM clefs WHERE {where} GROUP BY ALL) GROUP BY score_id) USING (score_id)"""
 
 
 CTES |= {"source_summary": _summary_sql("measures", "true"), "recovered_summary": _summary_sql("recovered_measures", "measure_idx % 3 <> 1"), "attribute_diffs": """
-SELECT s.score_id, kind, source, recovered FROM source_summary s JOIN recovered_summary r ON r.score_id = s.score_id, LATERAL (SELECT * FROM (VALUES ('measureCount', CAST(s.n_measures AS VARCHAR), CAST(r.n_measures AS VARCHAR)), ('keySignature', coalesce(CAST(s.fifths AS VARCHAR), 'none'), coalesce(CAST(r.fifths AS VARCHAR), 'none')),
+SELECT s.score_id, kind, source, recovered FROM source_summary s JOIN recovered_summary r ON r.score_id = s.score_id, LATERAL (SELECT * FROM (VALUES ('measureCount', CAST(s.n_measures AS VARCHAR), CAST(r.n_measures AS VARCHAR)), ('keySignature', CAST(s.fifths AS VARCHAR), CAST(r.fifths AS VARCHAR)),
   ('timeSignature', s.time, r.time), ('clefCount', CAST(len(s.clefs) AS VARCHAR), CAST(len(r.clefs) AS VARCHAR)), ('clef', CASE WHEN len(s.clefs) = len(r.clefs) THEN s.clefs[1] END, r.clefs[1]), ('clef', CASE WHEN len(s.clefs) = len(r.clefs) THEN s.clefs[2] END, r.clefs[2])) v(kind, source, recovered)) WHERE source <> recovered"""}
 
 
@@ -37,11 +37,38 @@ def streams(spark, d):
     return D.note_stream(A.note_elements(spark, d)), D.note_stream(A.recovered_elements(spark, d))
 
 
+def kept_streams(spark, d):
+    return tuple(map(A.once, streams(spark, d)))
+
+
 def summaries(spark, d):
     clefs = A.clefs(spark, d)
     return D.summary(A.measures(spark, d), clefs), D.summary(A.recovered_measures(spark, d), clefs.filter("measure_idx % 3 <> 1"))
 
 
+def _align_sql(source: str, recovered: str) -> str:
+    """The table of scores and the way back, both as recursive queries over all scores at once: a row of the table a step, as a list."""
+    return f"""
+WITH RECURSIVE a AS (SELECT score_id, list(step || octave ORDER BY idx) AS x FROM {source} GROUP BY score_id), b AS (SELECT score_id, list(step || octave ORDER BY idx) AS y FROM {recovered} GROUP BY score_id),
+p AS (SELECT coalesce(a.score_id, b.score_id) AS score_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a FULL JOIN b ON a.score_id = b.score_id),
+t AS (SELECT score_id, 0 AS i, list_transform(range(0, CAST(len(y) + 1 AS BIGINT)), lambda j: -j) AS r FROM p UNION ALL
+  SELECT score_id, i, list_transform(q, lambda v, j: CAST(list_max(list_transform(q[1:j], lambda w, k: w + k)) - j AS BIGINT)) FROM (
+    SELECT p.score_id, i + 1 AS i, list_transform(r, lambda v, j: CASE WHEN j = 1 THEN v - 1 ELSE greatest(v - 1, r[j - 1] + CASE WHEN x[i + 1] = y[j - 1] THEN 1 ELSE -1 END) END) AS q FROM t JOIN p ON p.score_id = t.score_id WHERE i < len(x))),
+w AS (SELECT score_id, CAST(len(x) AS BIGINT) AS i, CAST(len(y) AS BIGINT) AS j, CAST(NULL AS BIGINT) AS s_idx, CAST(NULL AS BIGINT) AS r_idx FROM p UNION ALL
+  SELECT score_id, CASE WHEN m < 3 THEN i - 1 ELSE i END, CASE WHEN m = 2 THEN j ELSE j - 1 END, CASE WHEN m < 3 THEN i - 1 END, CASE WHEN m <> 2 THEN j - 1 END FROM (
+    SELECT w.score_id, w.i, w.j, CASE WHEN w.i > 0 AND w.j > 0 AND h.r[w.j + 1] = u.r[w.j] + CASE WHEN x[w.i] = y[w.j] THEN 1 ELSE -1 END THEN 1 WHEN w.i > 0 AND h.r[w.j + 1] = u.r[w.j + 1] - 1 THEN 2 ELSE 3 END AS m
+    FROM w JOIN p ON p.score_id = w.score_id JOIN t h ON h.score_id = w.score_id AND h.i = w.i LEFT JOIN t u ON u.score_id = w.score_id AND u.i = w.i - 1 WHERE w.i > 0 OR w.j > 0))
+SELECT score_id, s_idx, r_idx FROM w WHERE s_idx IS NOT NULL OR r_idx IS NOT NULL"""
+
+
+CTES["note_pairs"] = _align_sql("source_stream", "recovered_stream")
+CTES["note_diffs"] = """
+SELECT score_id, kind, measure_idx, source, recovered FROM (SELECT a.score_id, coalesce(s.measure_idx, r.measure_idx) AS measure_idx, s.pitch AS source, r.pitch AS recovered,
+  CASE WHEN r.idx IS NULL THEN 'missed' WHEN s.idx IS NULL THEN 'spurious' WHEN s.step <> r.step OR s.octave <> r.octave THEN 'wrong' WHEN s.pitch <> r.pitch THEN 'wrongAccidental' END AS kind
+  FROM note_pairs a LEFT JOIN source_stream s ON s.score_id = a.score_id AND s.idx = a.s_idx LEFT JOIN recovered_stream r ON r.score_id = a.score_id AND r.idx = a.r_idx) WHERE kind IS NOT NULL"""
+NOTE_DIFFS = "SELECT * FROM note_diffs"
+
+
 def multiset(spark, d):
     return D.multiset_differences(*streams(spark, d))
 
@@ -49,8 +76,8 @@ def multiset(spark, d):
 Q.add("h1_note_stream", "score_id:l idx:l measure_idx:l pitch:s", lambda spark, d: streams(spark, d)[0], "SELECT * FROM source_stream")
 Q.add("h2_summary", "score_id:l n_measures:l fifths:l time:s clefs:s", lambda spark, d: summaries(spark, d)[0].withColumn("clefs", F.array_join("clefs", " ")), "SELECT * REPLACE (array_to_string(clefs, ' ') AS clefs) FROM (SELECT score_id, n_measures, fifths, time, clefs FROM source_summary)")
 Q.add("h3_attribute_differences", "score_id:l kind:s source:s recovered:s", lambda spark, d: D.attribute_differences(*summaries(spark, d)), "SELECT * FROM attribute_diffs")
-Q.add("h4_alignment", "score_id:l s_idx:l r_idx:l", lambda spark, d: D.aligned(*streams(spark, d)))
-Q.add("h5_note_differences", "score_id:l kind:s measure_idx:l source:s recovered:s", lambda spark, d: D.note_differences(*streams(spark, d)))
+Q.add("h4_alignment", "score_id:l s_idx:l r_idx:l", lambda spark, d: D.aligned(*kept_streams(spark, d)), _align_sql("source_stream", "recovered_stream"))
+Q.add("h5_note_differences", "score_id:l kind:s measure_idx:l source:s recovered:s", lambda spark, d: D.note_differences(*kept_streams(spark, d)), NOTE_DIFFS)
 Q.add("h6_multiset_differences", "score_id:l measure_idx:l pitch:s kind:s times:l", multiset, "SELECT * FROM multiset")
 
 
@@ -92,5 +119,38 @@ def _changed(spark, d):
 
 Q.add("h9_unsaved", "score_id:l unsaved:b", _changed, "SELECT score_id, a <> b AS unsaved FROM (SELECT score_id, string_agg(pitch, ' ' ORDER BY idx) AS a FROM source_stream GROUP BY score_id) JOIN (SELECT score_id, string_agg(pitch, ' ' ORDER BY idx) AS b FROM recovered_stream GROUP BY score_id) USING (score_id)")
 Q.add("b23_described", "score_id:l measure_idx:l pitch:s text:s", lambda spark, d: multiset(spark, d).withColumn("text", F.format_string("%s %s x%d in measure %d", "kind", "pitch", "times", C("measure_idx") + 1)), "SELECT score_id, measure_idx, pitch, kind || ' ' || pitch || ' x' || times || ' in measure ' || (measure_idx + 1) AS text FROM multiset")
+CTES["all_diffs"] = "SELECT score_id, kind, CAST(NULL AS BIGINT) AS measure_idx, source, recovered FROM attribute_diffs UNION ALL SELECT * FROM note_diffs"
+CTES["described"] = """
+SELECT *, CASE kind WHEN 'measureCount' THEN 'measure count: source ' || source || ', recovered ' || recovered WHEN 'keySignature' THEN 'key: source fifths ' || source || ', recovered ' || recovered
+  WHEN 'timeSignature' THEN 'time signature: source ' || source || ', recovered ' || recovered WHEN 'clefCount' THEN 'clef count: source ' || source || ', recovered ' || recovered WHEN 'clef' THEN 'clefs: source ' || source || ', recovered ' || recovered
+  WHEN 'missed' THEN 'missed ' || source || ' (source m' || (measure_idx + 1) || ')' WHEN 'spurious' THEN 'spurious ' || recovered || ' (m' || (measure_idx + 1) || ')'
+  WHEN 'wrong' THEN 'wrong note: recovered ' || recovered || ' where source has ' || source || ' (m' || (measure_idx + 1) || ')' ELSE 'wrong accidental: recovered ' || recovered || ' where source has ' || source || ' (m' || (measure_idx + 1) || ')' END AS text FROM all_diffs"""
+
+
+def _both(spark, d):
+    return A.once(D.attribute_differences(*summaries(spark, d))), A.once(D.note_differences(*kept_streams(spark, d)))
+
+
+Q.add("b23_texts", "score_id:l kind:s text:s", lambda spark, d: (lambda a, n: D.described(a.withColumn("measure_idx", F.lit(None).cast("int")).unionByName(n)))(*_both(spark, d)), "SELECT * FROM described")
+Q.add("h8_report", "score_id:l part:l nr:l text:s", lambda spark, d: D.report(*_both(spark, d)),
+      """SELECT score_id, part, nr, text FROM (SELECT score_id, 0 AS part, row_number() OVER (PARTITION BY score_id ORDER BY kind, source, recovered) AS nr, text FROM described WHERE measure_idx IS NULL
+      UNION ALL SELECT score_id, 1, row_number() OVER (PARTITION BY score_id ORDER BY measure_idx, kind, source NULLS FIRST, recovered NULLS FIRST), text FROM described WHERE measure_idx IS NOT NULL) WHERE part = 0 OR nr <= 15
+      UNION ALL SELECT score_id, 2, 1, 'and ' || (count(*) - 15) || ' more note differences' FROM note_diffs GROUP BY score_id HAVING count(*) > 15""")
+
+
+def _compared_notes(spark, d):
+    """Two systems by their note differences: the recovered elements, and the source without some."""
+    s, r = kept_streams(spark, d)
+    n = lambda other: D.note_differences(s, other).groupBy("score_id").agg(F.count("*").alias("times"))
+    second = A.once(s.filter("mark % 11 <> 4").withColumn("idx", F.row_number().over(D.over("score_id", ["idx"])) - 1))
+    return D.comparison(n(r), n(second), A.measures(spark, d).select("score_id").distinct())
+
+
+CTES["second_stream"] = "SELECT * REPLACE (row_number() OVER (PARTITION BY score_id ORDER BY idx) - 1 AS idx) FROM source_stream WHERE mark % 11 <> 4"
+CTES["second_pairs"] = _align_sql("source_stream", "second_stream")
+Q.add("h8_aligned_comparison", "score_id:l n_first:l n_second:l verdict:s", _compared_notes,
+      """SELECT *, CASE WHEN n_first < n_second THEN 'first' WHEN n_first > n_second THEN 'second' ELSE 'tie' END AS verdict FROM (SELECT m.score_id, coalesce(a, 0) AS n_first, coalesce(b, 0) AS n_second FROM (SELECT DISTINCT score_id FROM measures) m
+      LEFT JOIN (SELECT score_id, count(*) AS a FROM note_diffs GROUP BY score_id) x ON x.score_id = m.score_id LEFT JOIN (SELECT p.score_id, count(*) AS b FROM second_pairs p LEFT JOIN source_stream s ON s.score_id = p.score_id AND s.idx = p.s_idx
+        LEFT JOIN second_stream r ON r.score_id = p.score_id AND r.idx = p.r_idx WHERE s.idx IS NULL OR r.idx IS NULL OR s.pitch <> r.pitch GROUP BY p.score_id) y ON y.score_id = m.score_id)""")
 
 QUERIES, ORACLES = Q.queries, Q.oracles

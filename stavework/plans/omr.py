@@ -8,6 +8,7 @@ from stavework.operators import tokens as O
 from stavework.sources import adapters as A
 
 from .base import Queries
+from .ctes import CTES
 
 Q = Queries()
 C = F.col
@@ -76,4 +77,15 @@ Q.add("e17_rejected_staves", f"{S} reason:s", lambda spark, d: O.rejected_staves
 Q.add("e18_full_rests", f"{S} measure_idx:l duration:l", nt(O.full_rests),
       "SELECT s.staff_idx, m AS measure_idx, 16 AS duration FROM (SELECT DISTINCT page_id, staff_idx FROM omr_notes) s JOIN (SELECT page_id, unnest(range(0, CAST(max(measure_idx) + 1 AS BIGINT))) AS m FROM omr_notes GROUP BY page_id) p USING (page_id) WHERE NOT EXISTS (SELECT 1 FROM omr_notes n WHERE n.staff_idx = s.staff_idx AND n.measure_idx = m)")
 
+CTES["meters"] = """
+SELECT staff_idx, measure_idx, last_value(beats IGNORE NULLS) OVER w AS beats, last_value(beat_type IGNORE NULLS) OVER w AS beat_type FROM (
+  SELECT s.staff_idx, s.measure_idx, c.beats, c.beat_type FROM (SELECT staff_idx, unnest(range(0, CAST(max(measure_idx) + 1 AS BIGINT))) AS measure_idx FROM omr_notes GROUP BY staff_idx) s LEFT JOIN
+  (SELECT staff_idx, measure_idx, arg_max(beats, note_idx) AS beats, arg_max(beat_type, note_idx) AS beat_type FROM changes WHERE beats IS NOT NULL GROUP BY ALL) c ON c.staff_idx = s.staff_idx AND c.measure_idx = s.measure_idx)
+WINDOW w AS (PARTITION BY staff_idx ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+Q.add("e18_metered_rests", f"{S} measure_idx:l duration:l", lambda spark, d: (lambda t: (lambda n: O.full_rests(n, O.meters_in_force(n, O.attribute_changes(t))))(O.notes(t)))(A.omr_tokens(spark, d)),
+      """SELECT s.staff_idx, m AS measure_idx, CAST(coalesce(floor(16.0 * beats / beat_type), 16) AS BIGINT) AS duration FROM (SELECT DISTINCT page_id, staff_idx FROM omr_notes) s
+      JOIN (SELECT page_id, unnest(range(0, CAST(max(measure_idx) + 1 AS BIGINT))) AS m FROM omr_notes GROUP BY page_id) p USING (page_id)
+      LEFT JOIN LATERAL (SELECT arg_max(beats, measure_idx) AS beats, arg_max(beat_type, measure_idx) AS beat_type FROM meters t WHERE t.staff_idx = s.staff_idx AND t.measure_idx <= m AND beats IS NOT NULL) ON true
+      WHERE NOT EXISTS (SELECT 1 FROM omr_notes n WHERE n.staff_idx = s.staff_idx AND n.measure_idx = m)""")
+
 QUERIES, ORACLES = Q.queries, Q.oracles
