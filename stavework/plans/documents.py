@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stavework.operators import cursor as O
+from stavework.operators import diff as D
 from stavework.operators import tokens as T
 from stavework.sources import adapters as A
 from stavework.sources import scores as S
@@ -25,7 +27,8 @@ SELECT score_id, part_idx, measure_idx, elem_idx, CASE WHEN tag <> 'note' THEN '
   || '<voice>' || voice || '</voice><type>' || type || '</type>' || CASE WHEN dot THEN '<dot/>' ELSE '' END || '<staff>' || staff || '</staff></note>' END AS x FROM note_elements""",
     "measure_xml": """
 SELECT m.score_id, m.measure_idx, '<measure number="' || (m.measure_idx + 1) || '">' || CASE WHEN divisions IS NULL AND fifths IS NULL AND beats IS NULL THEN '' ELSE '<attributes>' || coalesce('<divisions>' || divisions || '</divisions>', '') || coalesce('<key><fifths>' || fifths || '</fifths></key>', '')
-  || coalesce('<time><beats>' || beats || '</beats><beat-type>' || beat_type || '</beat-type></time>', '') || '</attributes>' END || coalesce(b, '') || '</measure>' AS x FROM measures m LEFT JOIN (SELECT score_id, measure_idx, string_agg(x, '' ORDER BY elem_idx) AS b FROM element_xml GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx""",
+  || coalesce('<time><beats>' || beats || '</beats><beat-type>' || beat_type || '</beat-type></time>', '') || '</attributes>' END || CASE WHEN repeat_start THEN '<barline location="left"><repeat direction="forward"/></barline>' ELSE '' END || coalesce(b, '')
+  || coalesce('<barline location="right"><repeat direction="backward" times="' || repeat_times || '"/></barline>', '') || '</measure>' AS x FROM measures m LEFT JOIN (SELECT score_id, measure_idx, string_agg(x, '' ORDER BY elem_idx) AS b FROM element_xml GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx""",
     "score_xml": """SELECT score_id, '<score-partwise version="4.0"><part id="P1">' || string_agg(x, '' ORDER BY measure_idx) || '</part></score-partwise>' AS text FROM measure_xml GROUP BY score_id""",
 }
 
@@ -34,6 +37,18 @@ def texts(spark, d):
     return S.exported(A.note_elements(spark, d), A.measures(spark, d))
 
 
+def full_measures(spark, d):
+    """Measures with all that a document can say: number, mode, staves, clefs, and the canonical table's repeat marks."""
+    clefs = A.clefs(spark, d).groupBy("score_id", "part_idx", "measure_idx").agg(F.collect_list(F.struct("staff", "sign", "line")).alias("clefs"))
+    return A.measures(spark, d).join(clefs, ["score_id", "part_idx", "measure_idx"], "left").withColumns({"number": C("measure_idx") + 1, "mode": F.when(C("fifths").isNotNull(), F.when(C("order_key") % 2 == 0, "minor").otherwise("major")), "staves": F.when(C("measure_idx") == 0, 2), "senza_misura": C("beats").isNull() & (C("order_key") % 11 == 0)})
+
+
+def read_again(spark, d):
+    """Documents with everything, written and parsed."""
+    e = A.note_elements(spark, d).withColumns({"staccato": C("mark") % 7 == 0, "slur_start": C("mark") % 5 == 0, "slur_stop": C("mark") % 5 == 1})
+    return S.parsed(S.exported(e, full_measures(spark, d)))
+
+
 def known(spark, d):
     c = A.table(spark, d, "customer")
     return c.select(C("c_custkey").alias("score_id"), C("c_name").alias("title"), F.concat(F.lit("Composer & "), "c_mktsegment").alias("composer"), F.when(C("c_nationkey") % 3 == 0, C("c_mktsegment")).alias("rights"), F.when(C("c_custkey") % 4 > 0, C("c_custkey") % 200).alias("tempo"))
@@ -52,28 +67,72 @@ NAMES = "(SELECT page_id, coalesce(url, '') || ['.mxl', '.MID', '.png', '.xml',
 FIELDS = "score_id:l measure_idx:l elem_idx:l tag:s is_chord:b is_grace:b is_rest:b duration:l staff:l step:s octave:l tie_start:b slash:b"
 Q.add("a1_parsed_elements", FIELDS, lambda spark, d: S.parsed(texts(spark, d)).filter("tag is not null"),
       "SELECT score_id, measure_idx, elem_idx, tag, CASE WHEN tag = 'note' THEN is_chord END AS is_chord, CASE WHEN tag = 'note' THEN is_grace END AS is_grace, CASE WHEN tag = 'note' THEN is_rest END AS is_rest, duration, CASE WHEN tag = 'note' THEN staff ELSE 1 END AS staff, CASE WHEN tag = 'note' THEN CASE WHEN is_rest THEN 'C' ELSE step END END AS step, CASE WHEN tag = 'note' THEN CASE WHEN is_rest THEN 4 ELSE octave END END AS octave, CASE WHEN tag = 'note' THEN tie_start END AS tie_start, CASE WHEN tag = 'note' THEN is_grace AND slash END AS slash FROM note_elements")
-Q.add("a1_parsed_measures", "score_id:l measure_idx:l divisions:l fifths:l beats:l beat_type:l", lambda spark, d: S.parsed(texts(spark, d)).filter("tag is null and error is null"), "SELECT score_id, measure_idx, divisions, fifths, beats, beat_type FROM measures WHERE divisions IS NOT NULL OR fifths IS NOT NULL OR beats IS NOT NULL")
+Q.add("a1_parsed_measures", "score_id:l measure_idx:l number:l divisions:l staves:l fifths:l mode:s beats:l beat_type:l senza:b repeat_start:b repeat_times:l", lambda spark, d: S.parsed_measures(read_again(spark, d)).withColumn("senza", F.coalesce("senza_misura", F.lit(False))),
+      "SELECT score_id, measure_idx, measure_idx + 1 AS number, divisions, CASE WHEN measure_idx = 0 THEN 2 END AS staves, fifths, CASE WHEN fifths IS NOT NULL THEN CASE WHEN order_key % 2 = 0 THEN 'minor' ELSE 'major' END END AS mode, beats, beat_type, beats IS NULL AND order_key % 11 = 0 AS senza, repeat_start, repeat_times FROM measures")
+Q.add("a1_parsed_clefs", "score_id:l measure_idx:l staff:l sign:s line:l", lambda spark, d: S.parsed_clefs(read_again(spark, d)), "SELECT * FROM clefs")
+Q.add("a1_parsed_staccato", "score_id:l measure_idx:l elem_idx:l staccato:b play_duration:l", lambda spark, d: read_again(spark, d).filter("tag = 'note'"), "SELECT score_id, measure_idx, elem_idx, mark % 7 = 0 AS staccato, CASE WHEN mark % 7 = 0 THEN greatest(1, duration // 2) ELSE duration END AS play_duration FROM note_elements WHERE tag = 'note'")
+Q.add("a1_repeats_from_documents", "score_id:l position:l measure_idx:l", lambda spark, d: O.playback_order(S.parsed_measures(read_again(spark, d))), "SELECT score_id, position, measure_idx FROM play")
+Q.add("a1_summary_from_documents", "score_id:l n_measures:l fifths:l time:s", lambda spark, d: (lambda rows: D.summary(S.parsed_measures(rows), S.parsed_clefs(rows)))(A.once(read_again(spark, d))),
+      "SELECT s.score_id, n_measures, fifths, CASE WHEN time = 'none' AND free THEN 'senza-misura' ELSE time END AS time FROM source_summary s JOIN (SELECT score_id, bool_or(beats IS NULL AND order_key % 11 = 0) AS free FROM measures GROUP BY score_id) f ON f.score_id = s.score_id")
 Q.add("a1_errors", "score_id:l broken:b", lambda spark, d: S.parsed(texts(spark, d).withColumn("text", F.when(C("score_id") % 5 == 0, F.substring("text", 1, 100)).otherwise(C("text")))).filter("error is not null").select("score_id", F.lit(True).alias("broken")), "SELECT score_id, true AS broken FROM score_xml WHERE score_id % 5 = 0")
 Q.add("a2_unpacked", "path:s digest:s", lambda spark, d: S.unpacked(S.packed(texts(spark, d).select(F.concat(C("score_id").cast("string"), F.lit(".mxl")).alias("path"), "text"))).select("path", F.sha2("text", 256).alias("digest")), "SELECT score_id || '.mxl' AS path, sha256(text) AS digest FROM score_xml")
 Q.add("a3_file_kinds", "page_id:l kind:s", lambda spark, d: names(spark, d).select("page_id", S.file_kind(C("name")).alias("kind")), f"SELECT page_id, {KIND} AS kind FROM {NAMES}")
 Q.add("a4_metadata", "score_id:l title:s composer:s rights:s tempo:d", lambda spark, d: S.metadata(S.exported(A.note_elements(spark, d), A.measures(spark, d), known(spark, d))), "SELECT score_id, title, composer, rights, CASE WHEN tempo > 0 THEN tempo END AS tempo FROM known WHERE score_id IN (SELECT score_id FROM measures)")
+META = "title:s movement_title:s composer:s lyricist:s arranger:s rights:s source:s software:s encoding_date:s encoding_description:s import_method:s import_source_file:s import_date:s misc:s"
+
+
+def stamped_documents(spark, d):
+    """Documents with all fields, written, of imports that were stamped, and read."""
+    more = known(spark, d).withColumns({"movement_title": F.concat(F.lit("Movement "), (C("score_id") % 5).cast("string")), "lyricist": F.when(C("score_id") % 2 == 0, "L <1>"), "arranger": F.when(C("score_id") % 3 == 0, "A"), **{f: F.lit(None).cast("string") for f in ("source", "software", "encoding_date", "encoding_description", "import_method", "import_source_file", "import_date")}})
+    read = S.metadata(S.exported(A.note_elements(spark, d), A.measures(spark, d), S.stamped(more, imports(spark, d))))
+    return read.withColumns({"software": F.nullif(F.array_join("software", ","), F.lit("")), "misc": F.array_join(F.transform("misc", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";")})
+
+
+def imports(spark, d):
+    return names(spark, d).select(C("page_id").alias("score_id"), S.file_kind(C("name")).alias("kind"), F.when(C("page_id") % 7 > 0, C("name")).alias("path"), F.lit("2024-02-29").alias("date"))
+
+
+LABEL = "CASE kind WHEN 'image' THEN 'optical music recognition' WHEN 'midi' THEN 'MIDI conversion' WHEN 'mxl' THEN 'compressed MusicXML import' WHEN 'text' THEN 'MusicXML import' END"
+METHOD = "CASE kind WHEN 'image' THEN 'optical-music-recognition' WHEN 'midi' THEN 'midi-conversion' WHEN 'mxl' THEN 'compressed-musicxml' WHEN 'text' THEN 'musicxml' END"
+CTES["stamps"] = f"""
+SELECT k.*, i.kind IS NOT NULL AS came, CASE WHEN p IS NULL THEN 'Imported via ' || {LABEL} ELSE 'Imported from "' || p || '" via ' || {LABEL} END AS said, {METHOD} AS method, p FROM known k
+LEFT JOIN (SELECT page_id, {KIND} AS kind, CASE WHEN page_id % 7 > 0 THEN nullif(trim(name), '') END AS p FROM {NAMES}) i ON i.page_id = k.score_id"""
+Q.add("a4_all_metadata", f"score_id:l {META}", stamped_documents,
+      """SELECT score_id, title, 'Movement ' || (score_id % 5) AS movement_title, composer, CASE WHEN score_id % 2 = 0 THEN 'L <1>' END AS lyricist, CASE WHEN score_id % 3 = 0 THEN 'A' END AS arranger, rights, said AS source, CASE WHEN came THEN 'Stavework' END AS software, CASE WHEN came THEN '2024-02-29' END AS encoding_date,
+      said AS encoding_description, method AS import_method, p AS import_source_file, CASE WHEN came THEN '2024-02-29' END AS import_date, CASE WHEN came THEN 'import-method=' || method || CASE WHEN p IS NULL THEN '' ELSE ';import-source-file=' || p END || ';import-date=2024-02-29' ELSE '' END AS misc
+      FROM stamps WHERE score_id IN (SELECT score_id FROM measures)""")
 Q.add("a5_upserted", "score_id:l title:s composer:s rights:s", lambda spark, d: S.upserted(known(spark, d), updates(spark, d), ["title", "rights"]),
       f"SELECT n.score_id, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 'title ' || k ELSE title END AS title, composer, CASE WHEN k % 2 = 0 THEN 'all' ELSE rights END AS rights FROM known n LEFT JOIN {UPDATES} u ON u.score_id = n.score_id")
 
 
 def _stamped(spark, d):
-    imports = names(spark, d).select(C("page_id").alias("score_id"), S.file_kind(C("name")).alias("kind"), C("name").alias("path"), F.lit("2024-02-29").alias("date"))
-    blank = known(spark, d).select("score_id", *[F.lit(None).cast("string").alias(f) for f in ("method", "source_file", "encoded")])
-    return S.stamped(S.stamped(blank, imports), imports)
+    blank = known(spark, d).select("score_id", *[F.lit(None).cast("string").alias(f) for f in ("software", "encoding_date", "encoding_description", "source", "import_method", "import_source_file", "import_date")])
+    return S.stamped(S.stamped(blank, imports(spark, d)), imports(spark, d))
 
 
-Q.add("a6_stamped", "score_id:l method:s source_file:s encoded:s", _stamped, f"SELECT k.score_id, 'imported from ' || {KIND} AS method, trim(name) AS source_file, CASE WHEN name IS NOT NULL THEN '2024-02-29' END AS encoded FROM known k LEFT JOIN {NAMES} n ON n.page_id = k.score_id")
-Q.oracles["a6_stamped"] = Q.oracles["a6_stamped"].replace("'imported from ' || CASE", "CASE WHEN name IS NOT NULL THEN 'imported from ' END || CASE")
+Q.add("a6_stamped", "score_id:l software:s encoding_date:s encoding_description:s source:s import_method:s import_source_file:s import_date:s", _stamped,
+      "SELECT score_id, CASE WHEN came THEN 'Stavework' END AS software, CASE WHEN came THEN '2024-02-29' END AS encoding_date, said AS encoding_description, said AS source, method AS import_method, p AS import_source_file, CASE WHEN came THEN '2024-02-29' END AS import_date FROM stamps")
 Q.add("a7_exported", "score_id:l text:s", texts, "SELECT * FROM score_xml")
-Q.add("a8_blank_scores", "score_id:l measure_idx:l divisions:l fifths:l rest:l", lambda spark, d: S.blank_scores(A.table(spark, d, "customer").select(C("c_custkey").alias("score_id"), (1 + C("c_custkey") % 4).cast("int").alias("n"))), "SELECT score_id, m AS measure_idx, CASE WHEN m = 0 THEN 4 END AS divisions, CASE WHEN m = 0 THEN 0 END AS fifths, 16 AS rest FROM (SELECT c_custkey AS score_id, unnest(range(0, 1 + c_custkey % 4)) AS m FROM customer)")
+blanks = lambda spark, d: S.blank_scores(A.table(spark, d, "customer").select(C("c_custkey").alias("score_id"), (1 + C("c_custkey") % 4).cast("int").alias("n"), (2 + C("c_custkey") % 3).cast("int").alias("beats"), F.when(C("c_custkey") % 2 == 0, 8).alias("beat_type"), F.when(C("c_custkey") % 5 == 0, -2).alias("fifths"), F.when(C("c_custkey") % 7 == 0, "F").alias("sign"), F.when(C("c_custkey") % 7 == 0, 4).alias("line")))
+BLANK = "(SELECT c_custkey AS score_id, unnest(range(0, 1 + c_custkey % 4)) AS m, 2 + c_custkey % 3 AS beats, CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 4 END AS beat_type, CASE WHEN c_custkey % 5 = 0 THEN -2 ELSE 0 END AS fifths, c_custkey % 7 = 0 AS low FROM customer)"
+Q.add("a8_blank_scores", "score_id:l measure_idx:l divisions:l fifths:l beats:l beat_type:l rest:l", blanks, f"SELECT score_id, m AS measure_idx, CASE WHEN m = 0 THEN 4 END AS divisions, CASE WHEN m = 0 THEN fifths END AS fifths, CASE WHEN m = 0 THEN beats END AS beats, CASE WHEN m = 0 THEN beat_type END AS beat_type, 16 * beats // beat_type AS rest FROM {BLANK}")
+Q.add("a8_blank_documents", "score_id:l text:s", lambda spark, d: (lambda m: S.exported(S.blank_elements(m), m))(A.once(blanks(spark, d))),
+      f"""SELECT score_id, '<score-partwise version="4.0"><part id="P1">' || string_agg('<measure number="' || (m + 1) || '">' || CASE WHEN m > 0 THEN '' ELSE '<attributes><divisions>4</divisions><key><fifths>' || fifths || '</fifths><mode>major</mode></key><time><beats>' || beats || '</beats><beat-type>' || beat_type || '</beat-type></time><clef number="1"><sign>' || CASE WHEN low THEN 'F</sign><line>4' ELSE 'G</sign><line>2' END || '</line></clef></attributes>' END
+      || '<note><rest measure="yes"/><duration>' || (16 * beats // beat_type) || '</duration><voice>1</voice><staff>1</staff></note></measure>', '' ORDER BY m) || '</part></score-partwise>' AS text FROM {BLANK} GROUP BY score_id""")
 Q.add("a12_tempo_upsert", "event_id:l tempo:l", lambda spark, d: A.table(spark, d, "events").select("event_id", S.tempo_value(F.when(C("event_id") % 7 == 0, float("nan")).otherwise(C("value") - 5)).alias("tempo")), "SELECT event_id, CASE WHEN event_id % 7 > 0 AND value - 5 > 0 THEN floor(value - 5 + 0.5) END AS tempo FROM events")
 
 
+def _tempos(spark, d):
+    """Documents, some with a tempo, get another one, or none; then all are read."""
+    written = S.exported(A.note_elements(spark, d), A.measures(spark, d), known(spark, d).select("score_id", "tempo"))
+    return S.with_tempo(written.withColumn("tempo", F.when(C("score_id") % 5 > 0, C("score_id") % 90 + 0.5 - F.when(C("score_id") % 9 == 0, 200).otherwise(0)))).select("score_id", "text")
+
+
+TEMPO = "CASE WHEN score_id % 5 > 0 AND score_id % 9 > 0 THEN score_id % 90 + 1 END"
+Q.add("a12_tempo_in_documents", "score_id:l tempo:d printed:s marks:l", lambda spark, d: (lambda t: S.metadata(t).select("score_id", "tempo").join(t.select("score_id", F.nullif(F.expr("xpath_string(text, '//metronome/per-minute')"), F.lit("")).alias("printed"), F.size(F.expr("xpath(text, '//sound/@tempo')")).alias("marks")), "score_id"))(A.once(_tempos(spark, d))),
+      f"SELECT score_id, {TEMPO} AS tempo, CAST({TEMPO} AS VARCHAR) AS printed, CASE WHEN {TEMPO} IS NULL THEN 0 ELSE 1 END AS marks FROM known WHERE score_id IN (SELECT score_id FROM measures)")
+
+
 def _folder(spark):
     return f"{A.checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 

@@ -13,13 +13,15 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stavework.operators.windows import MEASURE
 
 C = F.col
-ELEMENTS = "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, is_chord boolean, is_grace boolean, is_rest boolean, duration int, staff int, voice int, step string, alter int, octave int, type string, dot boolean, tie_start boolean, tie_stop boolean, slash boolean, divisions int, fifths int, beats int, beat_type int, error string"
+ELEMENTS = "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, is_chord boolean, is_grace boolean, is_rest boolean, duration int, staff int, voice int, step string, alter int, octave int, type string, dot boolean, tie_start boolean, tie_stop boolean, slash boolean, staccato boolean, play_duration int, full_measure boolean, number int, divisions int, staves int, fifths int, mode string, beats int, beat_type int, senza_misura boolean, clefs array<struct<staff:int,sign:string,line:int>>, repeat_start boolean, repeat_times int, error string"
 INTEGER = re.compile(r"\s*([+-]?\d+)")
 
 
@@ -39,41 +41,77 @@ def integer(text: str | None, default: int | None = None) -> int | None:
     return int(m[1]) if m else default
 
 
+def repeat_marks(measure: ElementTree.Element) -> tuple[bool, int | None]:
+    """Whether a repeat begins with a measure, and how often what it ends is played (twice, if that is not said)."""
+    starts, times = False, None
+    for repeat in measure.iterfind("barline/repeat"):
+        if repeat.get("direction") == "forward":
+            starts = True
+        elif repeat.get("direction") == "backward":
+            times = integer(repeat.get("times", "2"), 2)
+    return starts, times
+
+
+def measure_row(measure: ElementTree.Element) -> dict:
+    """What a measure says about itself; null where it says nothing."""
+    starts, times = repeat_marks(measure)
+    row = {"number": integer(measure.get("number", "1")), "repeat_start": starts, "repeat_times": times, "clefs": []}
+    for a in measure.iterfind("attributes"):
+        known = {"divisions": integer(a.findtext("divisions")), "staves": integer(a.findtext("staves"))}
+        if (key := a.find("key")) is not None:
+            known |= {"fifths": integer(key.findtext("fifths", "0")), "mode": key.findtext("mode", "major")}
+        if (time := a.find("time")) is not None:
+            known |= {"beats": integer(time.findtext("beats")), "beat_type": integer(time.findtext("beat-type")), "senza_misura": time.find("senza-misura") is not None}
+        row |= {k: v for k, v in known.items() if v is not None and row.get(k) is None}
+        row["clefs"] += [{"staff": integer(c.get("number", "1"), 1), "sign": c.findtext("sign", "G"), "line": integer(c.findtext("line", "2"), 2)} for c in a.iterfind("clef")]
+    return row
+
+
 def score_rows(score_id: int, xml: str) -> Iterator[dict]:
-    """The rows of a document: one an element, and one without a tag for a measure's attributes."""
+    """The rows of a document: one an element, and one without a tag for each measure. A staccato note sounds half of what it lasts."""
     root = ElementTree.fromstring(xml)
     for part_idx, part in enumerate(root.iter("part")):
         for measure_idx, measure in enumerate(part.iter("measure")):
             key = {"score_id": score_id, "part_idx": part_idx, "measure_idx": measure_idx}
-            a = measure.find("attributes")
-            if a is not None:
-                yield key | {"divisions": integer(a.findtext("divisions")), "fifths": integer(a.findtext("key/fifths")), "beats": integer(a.findtext("time/beats")), "beat_type": integer(a.findtext("time/beat-type"))}
+            yield key | measure_row(measure)
             at = 0
             for x in measure:
                 if x.tag not in ("note", "backup", "forward"):
                     continue
                 row = key | {"elem_idx": at, "tag": x.tag, "duration": integer(x.findtext("duration"), 0), "staff": integer(x.findtext("staff"), 1), "voice": integer(x.findtext("voice"), 1)}
                 if x.tag == "note":
-                    grace, ties = x.find("grace"), [t.get("type") for t in x.iter("tie")]
-                    row |= {"is_chord": x.find("chord") is not None, "is_grace": grace is not None, "is_rest": x.find("rest") is not None, "step": x.findtext("pitch/step", "C"), "alter": integer(x.findtext("pitch/alter"), 0), "octave": integer(x.findtext("pitch/octave"), 4), "type": x.findtext("type", "quarter"), "dot": x.find("dot") is not None, "tie_start": "start" in ties, "tie_stop": "stop" in ties, "slash": grace is not None and grace.get("slash") == "yes"}
+                    grace, rest, ties = x.find("grace"), x.find("rest"), [t.get("type") for t in x.iter("tie")]
+                    staccato = x.find("notations/articulations/staccato") is not None
+                    row |= {"is_chord": x.find("chord") is not None, "is_grace": grace is not None, "is_rest": rest is not None, "step": x.findtext("pitch/step", "C"), "alter": integer(x.findtext("pitch/alter"), 0), "octave": integer(x.findtext("pitch/octave"), 4), "type": x.findtext("type", "quarter"), "dot": x.find("dot") is not None, "tie_start": "start" in ties, "tie_stop": "stop" in ties, "slash": grace is not None and grace.get("slash") == "yes",
+                            "staccato": staccato, "play_duration": max(1, row["duration"] // 2) if staccato and row["duration"] else row["duration"], "full_measure": rest is not None and rest.get("measure") == "yes"}
                 yield row
                 at += 1
 
 
 def parsed(texts: DataFrame) -> DataFrame:
     """All rows of documents (score_id, text), errors included."""
-    columns = [c.strip().split()[0] for c in ELEMENTS.split(",")]
+    schema = to_arrow_schema(texts.sparkSession.createDataFrame([], ELEMENTS).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for score_id, text in zip(batch["score_id"], batch["text"]):
+            for score_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     rows = list(score_rows(score_id, text or ""))
                 except ElementTree.ParseError as e:
                     rows = [{"score_id": score_id, "error": str(e)}]
-                yield pd.DataFrame(rows, columns=columns, dtype=object)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return texts.select("score_id", "text").mapInArrow(run, ELEMENTS)
+
+
+def parsed_measures(rows: DataFrame) -> DataFrame:
+    """The measures of parsed documents as a table that the operators read."""
+    return rows.filter("tag is null and error is null").select(*MEASURE, "number", "divisions", "staves", "fifths", "mode", "beats", "beat_type", "senza_misura", "repeat_start", "repeat_times")
 
-    return texts.select("score_id", "text").mapInPandas(run, ELEMENTS)
+
+def parsed_clefs(rows: DataFrame) -> DataFrame:
+    """The declared clefs of parsed documents."""
+    return rows.filter("tag is null and error is null").select(*MEASURE, F.explode("clefs").alias("c")).select(*MEASURE, "c.*")
 
 
 def unpacked(files: DataFrame) -> DataFrame:
@@ -129,44 +167,111 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def element_text() -> Column:
-    """An element's XML."""
-    pitch = F.when(C("is_rest"), "<rest/>").otherwise(F.concat(F.lit("<pitch>"), _tag("step", C("step")), _tag("alter", C("alter")), _tag("octave", C("octave")), F.lit("</pitch>")))
+def _flag(name: str, text: str, columns: list[str]) -> Column:
+    """The text where the column, if there is one, holds."""
+    return F.when(C(name), text).otherwise("") if name in columns else F.lit("")
+
+
+def element_text(columns: list[str]) -> Column:
+    """An element's XML, from a table with these columns."""
+    rest = F.when(C("full_measure"), '<rest measure="yes"/>').otherwise("<rest/>") if "full_measure" in columns else F.lit("<rest/>")
+    pitch = F.when(C("is_rest"), rest).otherwise(F.concat(F.lit("<pitch>"), _tag("step", C("step")), _tag("alter", C("alter")), _tag("octave", C("octave")), F.lit("</pitch>")))
     grace = F.when(C("is_grace"), F.when(C("slash"), '<grace slash="yes"/>').otherwise("<grace/>")).otherwise("")
     flag = lambda c, text: F.when(C(c), text).otherwise("")
-    note = F.concat(F.lit("<note>"), grace, flag("is_chord", "<chord/>"), pitch, _tag("duration", C("duration")), flag("tie_start", '<tie type="start"/>'), flag("tie_stop", '<tie type="stop"/>'), _tag("voice", C("voice")), _tag("type", C("type")), flag("dot", "<dot/>"), _tag("staff", C("staff")), F.lit("</note>"))
+    slurs = [_flag("slur_start", '<slur type="start"/>', columns), _flag("slur_stop", '<slur type="stop"/>', columns)]
+    marks = F.concat(*slurs, _flag("staccato", "<articulations><staccato/></articulations>", columns))
+    notations = F.when(marks != "", F.concat(F.lit("<notations>"), marks, F.lit("</notations>"))).otherwise("")
+    note = F.concat(F.lit("<note>"), grace, flag("is_chord", "<chord/>"), pitch, _tag("duration", C("duration")), flag("tie_start", '<tie type="start"/>'), flag("tie_stop", '<tie type="stop"/>'), _tag("voice", C("voice")), _tag("type", C("type")), flag("dot", "<dot/>"), _tag("staff", C("staff")), notations, F.lit("</note>"))
     return F.when(C("tag") == "note", note).otherwise(F.concat(F.lit("<"), C("tag"), F.lit(">"), _tag("duration", C("duration")), F.lit("</"), C("tag"), F.lit(">")))
 
 
-def attributes_text() -> Column:
-    key = F.when(C("fifths").isNotNull(), F.concat(F.lit("<key>"), _tag("fifths", C("fifths")), F.lit("</key>"))).otherwise("")
-    time = F.when(C("beats").isNotNull(), F.concat(F.lit("<time>"), _tag("beats", C("beats")), _tag("beat-type", C("beat_type")), F.lit("</time>"))).otherwise("")
-    inner = F.concat(_tag("divisions", C("divisions")), key, time)
+def attributes_text(columns: list[str]) -> Column:
+    """A measure's attributes, from a table with these columns; clefs is an array of staff, sign and line, or there is none."""
+    has = lambda c: C(c) if c in columns else F.lit(None).cast("string")
+    key = F.when(C("fifths").isNotNull(), F.concat(F.lit("<key>"), _tag("fifths", C("fifths")), _tag("mode", has("mode")), F.lit("</key>"))).otherwise("")
+    time = F.when(C("beats").isNotNull(), F.concat(F.lit("<time>"), _tag("beats", C("beats")), _tag("beat-type", C("beat_type")), F.lit("</time>"))).otherwise(_flag("senza_misura", "<time><senza-misura/></time>", columns))
+    clefs = F.lit("")
+    if "clefs" in columns:
+        one = lambda c: F.concat(F.lit('<clef number="'), c["staff"].cast("string"), F.lit('">'), _tag("sign", c["sign"]), _tag("line", c["line"]), F.lit("</clef>"))
+        clefs = F.coalesce(F.array_join(F.transform(F.array_sort("clefs"), one), ""), F.lit(""))
+    inner = F.concat(_tag("divisions", C("divisions")), key, time, _tag("staves", has("staves")), clefs)
     return F.when(inner != "", F.concat(F.lit("<attributes>"), inner, F.lit("</attributes>"))).otherwise("")
 
 
+def barlines_text(columns: list[str]) -> tuple[Column, Column]:
+    """The barlines before and after what a measure holds: where repeats begin and end."""
+    if "repeat_times" not in columns:
+        return F.lit(""), F.lit("")
+    end = F.when(C("repeat_times").isNotNull(), F.concat(F.lit('<barline location="right"><repeat direction="backward" times="'), C("repeat_times").cast("string"), F.lit('"/></barline>'))).otherwise("")
+    return F.when(C("repeat_start"), '<barline location="left"><repeat direction="forward"/></barline>').otherwise(""), end
+
+
 def exported(elements: DataFrame, measures: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """score_id and the text of its document. metadata: score_id, title, composer, rights, tempo."""
-    body = elements.select(*MEASURE, F.struct("elem_idx", element_text().alias("x")).alias("e")).groupBy(*MEASURE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "").alias("body"))
-    per = measures.join(body, list(MEASURE), "left").select(*MEASURE, F.concat(F.lit('<measure number="'), (C("measure_idx") + 1).cast("string"), F.lit('">'), attributes_text(), F.coalesce("body", F.lit("")), F.lit("</measure>")).alias("x"))
+    """score_id and the text of its document. Measures may also have number, mode, staves, clefs, senza_misura and repeat marks, elements
+    slurs, staccato and full_measure. metadata: score_id and any fields that metadata() reads, encoding and import fields included."""
+    body = elements.select(*MEASURE, F.struct("elem_idx", element_text(elements.columns).alias("x")).alias("e")).groupBy(*MEASURE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "").alias("body"))
+    number = F.coalesce("number", C("measure_idx") + 1) if "number" in measures.columns else C("measure_idx") + 1
+    left, right = barlines_text(measures.columns)
+    per = measures.join(body, list(MEASURE), "left").select(*MEASURE, F.concat(F.lit('<measure number="'), number.cast("string"), F.lit('">'), attributes_text(measures.columns), left, F.coalesce("body", F.lit("")), right, F.lit("</measure>")).alias("x"))
     parts = per.groupBy("score_id", "part_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", "x"))), lambda m: m["x"]), "").alias("x"))
     parts = parts.withColumn("x", F.concat(F.lit('<part id="P'), (C("part_idx") + 1).cast("string"), F.lit('">'), C("x"), F.lit("</part>")))
     texts = parts.groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", "x"))), lambda p: p["x"]), "").alias("parts"))
     head = F.lit("")
     if metadata is not None:
         texts = texts.join(metadata, "score_id", "left")
-        text = lambda c: F.when(C(c).isNotNull(), escaped(C(c)))
-        creator = F.when(C("composer").isNotNull(), F.concat(F.lit('<creator type="composer">'), escaped(C("composer")), F.lit("</creator>"))).otherwise("")
-        sound = F.when(C("tempo").isNotNull(), F.concat(F.lit('<direction><sound tempo="'), C("tempo").cast("string"), F.lit('"/></direction>'))).otherwise("")
-        head = F.concat(F.lit("<work>"), _tag("work-title", text("title")), F.lit("</work><identification>"), creator, _tag("rights", text("rights")), F.lit("</identification>"), sound)
+        head = head_text(metadata.columns)
     return texts.select("score_id", F.concat(F.lit('<score-partwise version="4.0">'), head, C("parts"), F.lit("</score-partwise>")).alias("text"))
 
 
+#: Fields of a score's metadata and where they stand in its document.
+CREATORS = ("composer", "lyricist", "arranger")
+ENCODING = ("software", "encoding_date", "encoding_description", "encoder")
+IMPORTS = ("import_method", "import_source_file", "import_date")
+FIELDS = ("title", "movement_title", *CREATORS, "rights", "source")
+
+
+def head_text(columns: list[str]) -> Column:
+    """What stands before the parts of a document, from metadata with these columns; nothing for fields that are null."""
+    text = lambda c: F.when(C(c).isNotNull(), escaped(C(c).cast("string"))) if c in columns else F.lit(None).cast("string")
+    full = lambda name, inner: F.when(inner != "", F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))).otherwise("")
+    creators = [F.when(text(c).isNotNull(), F.concat(F.lit(f'<creator type="{c}">'), text(c), F.lit("</creator>"))).otherwise("") for c in CREATORS]
+    encoding = full("encoding", F.concat(*[_tag(c.replace("_", "-"), text(c)) for c in ENCODING]))
+    other = [F.when(text(c).isNotNull(), F.concat(F.lit(f'<miscellaneous-field name="{c.replace("_", "-")}">'), text(c), F.lit("</miscellaneous-field>"))).otherwise("") for c in IMPORTS]
+    identification = full("identification", F.concat(*creators, _tag("rights", text("rights")), encoding, _tag("source", text("source")), full("miscellaneous", F.concat(*other))))
+    sound = F.when(text("tempo").isNotNull(), tempo_text(text("tempo"))).otherwise("")
+    return F.concat(full("work", _tag("work-title", text("title"))), _tag("movement-title", text("movement_title")), identification, sound)
+
+
+def tempo_text(tempo: Column) -> Column:
+    """A tempo mark: what is printed and what is played say the same."""
+    return F.concat(F.lit('<direction placement="above"><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>'), tempo, F.lit('</per-minute></metronome></direction-type><sound tempo="'), tempo, F.lit('"/></direction>'))
+
+
+def with_tempo(texts: DataFrame) -> DataFrame:
+    """Documents (score_id, text) with the tempo of the column tempo: the first mark's, printed and played, is replaced; a document without
+    one gets it; none above nought takes the first mark away."""
+    value = tempo_value(C("tempo").cast("double")).cast("string")
+    mark = r'(?s)<direction[^>]*>(?:(?!</direction>).)*<sound[^>]* tempo="[^"]*"[^>]*/>(?:(?!</direction>).)*</direction>'
+    old = F.regexp_extract("text", mark, 0)
+    new = F.regexp_replace(F.regexp_replace(old, r"<per-minute>[^<]*</per-minute>", F.concat(F.lit("<per-minute>"), value, F.lit("</per-minute>"))), r'(<sound[^>]* tempo=")[^"]*', F.concat(F.lit("$1"), value))
+    at = F.locate("<measure", C("text"))
+    open_ = F.length(F.regexp_extract("text", r"(?s)^.*?<measure[^>]*>(?:<attributes>.*?</attributes>)?", 0))
+    put = F.concat(F.substring("text", F.lit(1), open_), tempo_text(value), F.substr(C("text"), open_ + 1))
+    whole = F.when(old == "", F.when(value.isNull() | (at == 0), C("text")).otherwise(put)).otherwise(F.replace(C("text"), old, F.coalesce(new, F.lit(""))))
+    return texts.withColumn("text", whole)
+
+
 def metadata(texts: DataFrame) -> DataFrame:
-    """Title, composer, rights and the first positive tempo of documents (score_id, text); empty values are null."""
-    of = lambda path: F.nullif(F.expr(f"xpath_string(text, '{path}')"), F.lit(""))
-    tempos = F.filter(F.transform(F.expr("xpath(text, '//sound/@tempo')"), lambda t: t.try_cast("double")), lambda t: t > 0)
-    return texts.select("score_id", of("/score-partwise/work/work-title").alias("title"), of('/score-partwise/identification/creator[@type="composer"]').alias("composer"), of("/score-partwise/identification/rights").alias("rights"), F.get(tempos, F.lit(0)).alias("tempo"))
+    """All metadata of documents (score_id, text): titles, creators, rights, source, encoding (software is an array), the import fields, all other
+    fields (misc: an array of name and value), and the first tempo, if it is positive; empty values are null."""
+    of = lambda path: F.nullif(F.trim(F.expr(f"xpath_string(text, '{path}')")), F.lit(""))
+    who, misc = "/score-partwise/identification", "/score-partwise/identification/miscellaneous/miscellaneous-field"
+    tempo = F.get(F.expr("xpath(text, '//sound/@tempo')"), F.lit(0)).try_cast("double")
+    fields = F.transform(F.arrays_zip(F.expr(f"xpath(text, '{misc}/@name')").alias("name"), F.expr(f"xpath(text, '{misc}/text()')").alias("value")), lambda x: F.struct(x["name"].alias("name"), F.trim(x["value"]).alias("value")))
+    return texts.select(
+        "score_id", of("/score-partwise/work/work-title").alias("title"), of("/score-partwise/movement-title").alias("movement_title"), *[of(f'{who}/creator[@type="{c}"]').alias(c) for c in CREATORS],
+        of(f"{who}/rights").alias("rights"), of(f"{who}/source").alias("source"), F.expr(f"xpath(text, '{who}/encoding/software/text()')").alias("software"),
+        *[of(f"{who}/encoding/{c.replace('_', '-')}").alias(c) for c in ENCODING[1:]], *[of(f'{misc}[@name="{c.replace("_", "-")}"]').alias(c) for c in IMPORTS], fields.alias("misc"), F.when(tempo > 0, tempo).alias("tempo"))
 
 
 def upserted(known: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:
@@ -183,13 +288,33 @@ def tempo_value(tempo: Column) -> Column:
     return F.when((tempo > 0) & (tempo < float("inf")) & ~F.isnan(tempo), F.floor(tempo + 0.5))
 
 
-def stamped(known: DataFrame, imports: DataFrame) -> DataFrame:
-    """Metadata with how, from what and when a document came in; doing it again changes nothing."""
-    return upserted(known, imports.select("score_id", F.concat(F.lit("imported from "), C("kind")).alias("method"), C("path").alias("source_file"), C("date").cast("string").alias("encoded")), ["method", "source_file", "encoded"])
+#: How the ways of import are called.
+METHODS = {"image": ("optical-music-recognition", "optical music recognition"), "midi": ("midi-conversion", "MIDI conversion"), "text": ("musicxml", "MusicXML import"), "mxl": ("compressed-musicxml", "compressed MusicXML import")}
+SOFTWARE = "Stavework"
 
 
-def blank_scores(requests: DataFrame) -> DataFrame:
-    """Measures of new scores (score_id, n): a whole rest each; the first declares divisions, key and meter."""
-    rows = requests.select("score_id", F.explode(F.sequence(F.lit(0), C("n") - 1)).alias("measure_idx"))
+def stamped(known: DataFrame, imports: DataFrame) -> DataFrame:
+    """Metadata with how, from what and when a document came in (imports: score_id, kind, path, date); doing it again changes nothing. An
+    import without a path keeps the source file that was known."""
+    name, label = (F.element_at(F.create_map(*[F.lit(x) for k, v in METHODS.items() for x in (k, v[i])]), C("kind")) for i in (0, 1))
+    path = F.nullif(F.trim("path"), F.lit(""))
+    text = F.when(path.isNull(), F.concat(F.lit("Imported via "), label)).otherwise(F.concat(F.lit('Imported from "'), path, F.lit('" via '), label))
+    fields = {"software": F.lit(SOFTWARE), "encoding_date": C("date").cast("string"), "encoding_description": text, "source": text, "import_method": name, "import_source_file": path, "import_date": C("date").cast("string")}
+    return upserted(known, imports.select("score_id", *[c.alias(f) for f, c in fields.items()]), list(fields))
+
+
+def blank_scores(requests: DataFrame, beats: int = 4, beat_type: int = 4, fifths: int = 0, sign: str = "G", line: int = 2, divisions: int = 4) -> DataFrame:
+    """Measures of new scores (score_id, n): a whole rest each; the first declares divisions, key, meter and clef. Columns of the requests
+    with these names go before the given values."""
+    given = {"beats": beats, "beat_type": beat_type, "fifths": fifths, "sign": sign, "line": line}
+    value = lambda c: F.coalesce(C(c), F.lit(given[c])) if c in requests.columns else F.lit(given[c])
+    rows = requests.select("score_id", "n", *[value(c).alias(c) for c in given]).select("*", F.explode(F.sequence(F.lit(0), C("n") - 1)).alias("measure_idx"))
     first = C("measure_idx") == 0
-    return rows.select("score_id", F.lit(0).alias("part_idx"), "measure_idx", *[F.when(first, v).alias(k) for k, v in (("divisions", 4), ("fifths", 0), ("beats", 4), ("beat_type", 4))], F.lit(16).alias("rest"))
+    clef = F.when(first, F.array(F.struct(F.lit(1).alias("staff"), "sign", "line")))
+    return rows.select("score_id", F.lit(0).alias("part_idx"), "measure_idx", F.floor(divisions * C("beats") * 4 / C("beat_type")).cast("int").alias("rest"), F.when(first, divisions).alias("divisions"), F.when(first, "major").alias("mode"), *[F.when(first, C(c)).alias(c) for c in ("fifths", "beats", "beat_type")], clef.alias("clefs"))
+
+
+def blank_elements(measures: DataFrame) -> DataFrame:
+    """The whole rests of blank measures, as elements."""
+    none = {"is_chord": False, "is_grace": False, "dot": False, "slash": False, "tie_start": False, "tie_stop": False}
+    return measures.select(*MEASURE, F.lit(0).alias("elem_idx"), F.lit("note").alias("tag"), F.lit(True).alias("is_rest"), F.lit(True).alias("full_measure"), C("rest").alias("duration"), F.lit(1).alias("staff"), F.lit(1).alias("voice"), *[F.lit(None).cast("string").alias(c) for c in ("step", "alter", "octave", "type")], *[F.lit(v).alias(k) for k, v in none.items()])
