@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, checkpointed, row_key, table, words
 from .components import components
 
+C = F.col
 DISTANCE, SHINGLE, BITS = 3, 3, 64
 MOST_DIRECT, HOT_KEY, SPLITS = 4096, 50_000, 3
 #: What writing a key and comparing a candidate cost, relative to each other.
@@ -369,13 +370,21 @@ def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def unconnected_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets of different roots that may have that similarity by their sizes and the places of a token that they share."""
-    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    tokens = checkpointed(tokens.join(mixed, "token", "left_semi"))
-    left, right = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "i")]) for x in "ab")
-    n, m = F.col("n_a"), F.col("n_b")
-    may = (F.least(n, m) >= F.lit(similarity - 1e-9) * F.greatest(n, m)) & (F.least(n - F.col("i_a"), m - F.col("i_b")) >= F.lit(similarity / (1 + similarity) - 1e-9) * (n + m))
-    return left.join(right, "token").filter((F.col("root_a") < F.col("root_b")) & may).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    """(a, b): sets of different roots that may have that similarity by their sizes and the places of a token that they share.
+
+    Of two such sets the smaller one has a common token even among fewer of its first ones, so the larger sets' tokens meet only these.
+    Where a token's sets mostly have one root, these are not compared with each other: of two roots at least one is another."""
+    per_root = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mixed = per_root.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("token", "main")
+    tokens = checkpointed(tokens.join(mixed, "token").withColumn("other", C("root") != C("main")).drop("main"))
+    overlap = 2 * similarity / (1 + similarity)
+    small = tokens.filter(C("i") <= C("n") - F.ceil(F.lit(overlap) * C("n") - 1e-9)).select("token", *[C(c).alias(f"{c}_a") for c in ("node", "root", "n", "i", "other")])
+    large = tokens.select("token", *[C(c).alias(f"{c}_b") for c in ("node", "root", "n", "i", "other")])
+    n, m = C("n_a"), C("n_b")
+    ordered = (n < m) | (n == m) & (C("node_a") < C("node_b"))
+    may = (n >= F.lit(similarity - 1e-9) * m) & (F.least(n - C("i_a"), m - C("i_b")) >= F.lit(overlap / 2 - 1e-9) * (n + m))
+    found = small.filter("other_a").join(large, "token").unionByName(small.filter("not other_a").join(large.filter("other_b"), "token"))
+    return found.filter((C("root_a") != C("root_b")) & ordered & may).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFrame:
