@@ -4,6 +4,7 @@ for the next batch. What an edit removes or adds, `rewritten` fills up with rest
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stavework.functions.pitch import diatonic_index, pitch_from_diatonic
@@ -32,10 +33,11 @@ def timed_notes(elements: DataFrame) -> DataFrame:
     return time_cursor(elements).filter("tag = 'note' and not is_rest and not is_grace").drop("cursor")
 
 
-def rewritten(notes: DataFrame, lengths: DataFrame, divisions: int = 4) -> DataFrame:
+def rewritten(notes: DataFrame, lengths: DataFrame, divisions: int = 4, graces: DataFrame | None = None) -> DataFrame:
     """Measures written anew from their notes (onset, duration, staff, voice, ord, label): per staff and voice the notes of an
     onset as a chord, the longest first, rests of standard lengths in every gap and up to the measure's length, and a
-    step back between voices. lengths: the measures' lengths."""
+    step back between voices. lengths: the measures' lengths. graces (elem_idx, host_elem, label) go before the chord of their host, whose ord
+    is host_elem; those without a host among the notes go with it."""
     by = (*MEASURE, "staff", "voice")
     place = F.row_number().over(over((*by, "onset"), [C("duration").desc(), "ord"]))
     placed = notes.select(*by, "onset", "duration", "ord", "label").withColumn("place", place)
@@ -48,7 +50,14 @@ def rewritten(notes: DataFrame, lengths: DataFrame, divisions: int = 4) -> DataF
     sounding = placed.select(*by, C("onset").cast("long"), C("duration").cast("long"), C("place").cast("int"), "label", (C("place") > 1).alias("is_chord"), F.lit("note").alias("tag"))
     voices = groups.select(*by).distinct().withColumn("first", F.row_number().over(over(MEASURE, ["staff", "voice"])) == 1).filter("not first").join(lengths, list(MEASURE))
     back = voices.select(*by, F.lit(-1).cast("long").alias("onset"), C("length").cast("long").alias("duration"), F.lit(0).alias("place"), F.lit("backup").alias("label"), F.lit(False).alias("is_chord"), F.lit("backup").alias("tag"))
-    rows = rests.unionByName(sounding).unionByName(back)
+    rows = rests.unionByName(sounding).unionByName(back).withColumn("is_grace", F.lit(False))
+    if graces is not None:
+        hosts = placed.select(*by, "onset", C("ord").alias("host_elem"), C("place").alias("host_place"))
+        led = graces.select(*MEASURE, "elem_idx", "host_elem", C("label").alias("label")).join(hosts, [*MEASURE, "host_elem"])
+        # They have places before 1, in order of their hosts' places and then as they stood.
+        place = F.row_number().over(over((*by, "onset"), ["host_place", "elem_idx"])) - F.count("*").over(W.partitionBy(*by, "onset"))
+        led = led.select(*by, C("onset").cast("long").alias("onset"), F.lit(0).cast("long").alias("duration"), place.cast("int").alias("place"), "label", F.lit(False).alias("is_chord"), F.lit("note").alias("tag"), F.lit(True).alias("is_grace"))
+        rows = rows.unionByName(led)
     return rows.withColumn("elem_idx", F.row_number().over(over(MEASURE, ["staff", "voice", "onset", C("label") == "rest", "place"])) - 1)
 
 
@@ -62,14 +71,18 @@ def added(notes: DataFrame, requests: DataFrame, lengths: DataFrame, divisions:
     return near.withColumn("duration", largest_fit(F.least(C("wanted"), room), F.lit(float(divisions))))
 
 
-def moved(notes: DataFrame, requests: DataFrame, lengths: DataFrame, divisions: int = 4) -> DataFrame:
+def moved(notes: DataFrame, requests: DataFrame, lengths: DataFrame, divisions: int = 4, graces: DataFrame | None = None) -> DataFrame:
     """Notes of the handles at another measure (to_measure) and onset (at), in their own staff and voice: removed where they
-    were, added where they go."""
+    were, added where they go. With graces (elem_idx, host_elem) also those that go along: an array of their elements, in order."""
     found = requests.join(notes.select(*HANDLE, "staff", "voice", C("duration").alias("wanted"), "label"), list(HANDLE))
     target = found.select(*PART, C("to_measure").alias("measure_idx"), C("measure_idx").alias("from_measure"), "elem_idx", "seq", "at", "staff", "voice", "wanted", "label")
     kept = notes.join(requests.select(*HANDLE), list(HANDLE), "left_anti")
     placed = added(kept, target.select(*MEASURE, "seq", "at", "staff", "wanted"), lengths, divisions).select(*MEASURE, "seq", "onset", "duration")
-    return target.join(placed, [*MEASURE, "seq"]).select(*MEASURE, "seq", "from_measure", "elem_idx", "staff", "voice", "onset", "duration", "label")
+    out = target.join(placed, [*MEASURE, "seq"]).select(*MEASURE, "seq", "from_measure", "elem_idx", "staff", "voice", "onset", "duration", "label")
+    if graces is None:
+        return out
+    led = graces.groupBy(*PART, C("measure_idx").alias("from_measure"), C("host_elem").alias("elem_idx")).agg(F.array_sort(F.collect_list("elem_idx")).alias("graces"))
+    return out.join(led, [*PART, "from_measure", "elem_idx"], "left").withColumn("graces", F.coalesce("graces", F.array().cast("array<int>")))
 
 
 def set_durations(notes: DataFrame, requests: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ SELECT * REPLACE (CASE WHEN mark % 19 = 5 THEN translate(step, 'CDEFGAB', 'DEFGA
     "ev": """
 SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 60000000 - 28401120 AS minute FROM events""",
     "midi_events": """
-SELECT user_id % 10 AS file_id, user_id AS track, us AS seq, minute AS tick, 48 + k % 8 AS note, CASE WHEN event_type IN ('purchase', 'error') THEN 'noteOff' ELSE 'noteOn' END AS type,
+SELECT user_id // 10 AS file_id, user_id AS track, us AS seq, minute AS tick, 48 + k % 8 AS note, CASE WHEN event_type IN ('purchase', 'error') THEN 'noteOff' ELSE 'noteOn' END AS type,
   CASE WHEN event_type IN ('click', 'view') THEN 1 + k ELSE 0 END AS velocity, k, CASE WHEN k % 10 = 0 THEN 'name ' || k WHEN k % 10 = 1 THEN '' END AS text,
   CASE WHEN k % 20 = 3 THEN 400000 + 1000 * k END AS us_per_beat, CASE WHEN k % 25 = 4 THEN 2 + k % 3 END AS num, CASE WHEN k % 25 = 4 THEN 4 END AS den,
   CASE WHEN k % 15 = 5 THEN k % 13 - 6 END AS fifths, CASE WHEN k % 15 = 5 THEN k % 2 END AS scale FROM ev""",
     "omr_tokens": """
-SELECT user_id % 10 AS page_id, user_id AS staff_idx, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS pos,
+SELECT user_id // 10 AS page_id, user_id AS staff_idx, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS pos,
   CASE event_type WHEN 'click' THEN 'note_' || CASE k % 3 WHEN 0 THEN '4' WHEN 1 THEN '8' ELSE '16' END || CASE WHEN k % 17 = 0 THEN 'G' ELSE '' END || CASE WHEN k % 4 = 0 THEN '.' ELSE '' END || CASE WHEN k % 16 = 4 THEN '.' ELSE '' END
     WHEN 'view' THEN CASE WHEN k % 9 = 0 THEN 'rest_2m' ELSE 'rest_4' END WHEN 'purchase' THEN CASE k % 5 WHEN 0 THEN 'repeatStart' WHEN 1 THEN 'repeatEnd' ELSE 'barline' END WHEN 'error' THEN 'chord'
     ELSE CASE k % 3 WHEN 0 THEN 'keySignature_' || (k % 15 - 7) WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'clef_G2' ELSE 'clef_F4' END ELSE 'timeSignature/' || (3 + k % 2) END END AS rhythm,
@@ -35,8 +35,8 @@ SELECT user_id % 10 AS page_id, user_id AS staff_idx, row_number() OVER (PARTITI
   CASE k % 6 WHEN 0 THEN '.' WHEN 1 THEN '#' WHEN 2 THEN 'b' WHEN 3 THEN 'N' WHEN 4 THEN '##' ELSE 'bb' END AS lift,
   CASE k % 5 WHEN 0 THEN '.' WHEN 1 THEN 'slurStart' WHEN 2 THEN 'slurStop' WHEN 3 THEN 'slurStart_slurStop' ELSE '_' END AS slur, k FROM ev""",
     "probes": "SELECT event_id, user_id AS score_id, CAST(round(value * 100) AS BIGINT) AS centibeat, 14 + k % 28 AS diatonic FROM ev",
-    "page_profile": "SELECT user_id % 10 AS page_id, minute // 60 AS y, count(*) AS cnt FROM ev GROUP BY ALL",
-    "ink_runs": "SELECT user_id % 10 AS page_id, minute // 60 AS y, CAST(trunc(value) AS BIGINT) AS x0, CAST(trunc(value) AS BIGINT) + k % 20 + 1 AS x1, event_id FROM ev",
+    "page_profile": "SELECT user_id // 10 AS page_id, minute // 60 AS y, count(*) AS cnt FROM ev GROUP BY ALL",
+    "ink_runs": "SELECT user_id // 10 AS page_id, minute // 60 AS y, CAST(trunc(value) AS BIGINT) AS x0, CAST(trunc(value) AS BIGINT) + k % 20 + 1 AS x1, event_id FROM ev",
     "luma_hist": "SELECT user_id AS page_id, least(255, CAST(trunc(value) AS BIGINT)) AS level, count(*) AS cnt FROM ev GROUP BY ALL",
     "probs": "SELECT label AS page_id, vec_id AS cell, embedding AS v FROM embeddings",
     "edit_log": "SELECT user_id AS doc_id, us AS seq, event_type AS coalesce_key, k FROM ev",

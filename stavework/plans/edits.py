@@ -30,6 +30,15 @@ UNION ALL SELECT g.score_id, g.measure_idx, staff, voice, greatest(max(ends), 0)
 }
 
 
+HOSTS = """(SELECT *, first_value(CASE WHEN NOT is_grace THEN elem_idx END IGNORE NULLS) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h, first_value(CASE WHEN NOT is_grace THEN is_rest END IGNORE NULLS) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hr FROM note_elements WHERE tag = 'note')"""
+
+
+def led_graces(spark, d):
+    """Graces with a host and a label, without those that the batch removes."""
+    g = L.grace_runs(A.note_elements(spark, d)).filter("host_elem is not null").withColumn("label", pitch_text(C("step"), C("alter"), C("octave")))
+    return g.join(batch(spark, d).select(*E.HANDLE), list(E.HANDLE), "left_anti")
+
+
 def batch(spark, d):
     e = A.edits(spark, d).withColumn("part_idx", F.lit(0)).withColumn("measure_idx", C("measure_idx").cast("int"))
     return E.one_per_measure(e)[0]
@@ -51,6 +60,7 @@ def requests(spark, d):
     return batch(spark, d).select(*E.MEASURE, "seq", "elem_idx", (C("k") % 23).alias("at"), (1 + C("k") % 2).alias("staff"), (1 + C("k") % 9).alias("wanted"), ((C("measure_idx") + 1) % 10).alias("to_measure"))
 
 
+CTES["led"] = f"SELECT g.*, {PITCH} AS label FROM {HOSTS} g WHERE is_grace AND h IS NOT NULL AND NOT hr AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.score_id = g.score_id AND b.measure_idx = g.measure_idx AND b.elem_idx = g.elem_idx)"
 H = "score_id:l measure_idx:l elem_idx:l"
 Q.add("i0_edit_conflicts", "score_id:l measure_idx:l seq:l", lambda spark, d: E.one_per_measure(A.edits(spark, d).withColumn("part_idx", F.lit(0)))[1], "SELECT score_id, measure_idx, seq FROM edits WHERE nr > 1")
 Q.add("i1_removed", f"{H} tag:s", lambda spark, d: E.removed(A.note_elements(spark, d), batch(spark, d)), "SELECT score_id, measure_idx, elem_idx, tag FROM note_elements n WHERE NOT (tag = 'note' AND EXISTS (SELECT 1 FROM batch b WHERE b.score_id = n.score_id AND b.measure_idx = n.measure_idx AND b.elem_idx = n.elem_idx))")
@@ -58,11 +68,11 @@ Q.add("i2_added", "score_id:l measure_idx:l onset:l duration:l", lambda spark, d
       f"""SELECT score_id, measure_idx, onset, {FIT.format('least(wanted, coalesce(nxt, length) - onset)')} AS duration FROM (SELECT r.score_id, r.measure_idx, r.seq, r.onset, wanted, length, min(CASE WHEN n.onset > r.onset THEN n.onset END) AS nxt FROM (
       SELECT b.score_id, b.measure_idx, seq, 1 + k % 2 AS staff, 1 + k % 9 AS wanted, length, greatest(least(k % 23, length - 1), 0) AS onset FROM batch b JOIN content c ON c.score_id = b.score_id AND c.measure_idx = b.measure_idx) r
       LEFT JOIN sounding n ON n.score_id = r.score_id AND n.measure_idx = r.measure_idx AND n.staff = r.staff GROUP BY ALL)""")
-Q.add("i3_moved", "score_id:l measure_idx:l from_measure:l elem_idx:l staff:l voice:l onset:l duration:l label:s", lambda spark, d: E.moved(sounding(spark, d), requests(spark, d).select(*E.HANDLE, "seq", "at", C("to_measure").cast("int").alias("to_measure")), lengths(spark, d)),
-      f"""SELECT score_id, measure_idx, from_measure, elem_idx, staff, voice, onset, {FIT.format('least(wanted, coalesce(nxt, length) - onset)')} AS duration, label FROM (SELECT r.*, min(CASE WHEN n.onset > r.onset THEN n.onset END) AS nxt FROM (
+Q.add("i3_moved", "score_id:l measure_idx:l from_measure:l elem_idx:l staff:l voice:l onset:l duration:l label:s graces:s", lambda spark, d: E.moved(sounding(spark, d), requests(spark, d).select(*E.HANDLE, "seq", "at", C("to_measure").cast("int").alias("to_measure")), lengths(spark, d), graces=led_graces(spark, d)).withColumn("graces", F.array_join(C("graces").cast("array<string>"), " ")),
+      f"""SELECT score_id, measure_idx, from_measure, elem_idx, staff, voice, onset, {FIT.format('least(wanted, coalesce(nxt, length) - onset)')} AS duration, label, coalesce((SELECT string_agg(g.elem_idx, ' ' ORDER BY g.elem_idx) FROM led g WHERE g.score_id = q.score_id AND g.measure_idx = q.from_measure AND g.h = q.elem_idx), '') AS graces FROM (SELECT r.*, min(CASE WHEN n.onset > r.onset THEN n.onset END) AS nxt FROM (
       SELECT s.score_id, (b.measure_idx + 1) % 10 AS measure_idx, b.measure_idx AS from_measure, b.elem_idx, b.seq, s.staff, s.voice, s.duration AS wanted, s.label, c.length, greatest(least(k % 23, c.length - 1), 0) AS onset
       FROM batch b JOIN sounding s ON s.score_id = b.score_id AND s.measure_idx = b.measure_idx AND s.elem_idx = b.elem_idx JOIN content c ON c.score_id = b.score_id AND c.measure_idx = (b.measure_idx + 1) % 10) r
-      LEFT JOIN left_over n ON n.score_id = r.score_id AND n.measure_idx = r.measure_idx AND n.staff = r.staff GROUP BY ALL)""")
+      LEFT JOIN left_over n ON n.score_id = r.score_id AND n.measure_idx = r.measure_idx AND n.staff = r.staff GROUP BY ALL) q""")
 Q.add("i4_durations", f"{H} new_duration:l", lambda spark, d: E.set_durations(sounding(spark, d), requests(spark, d).select(*E.HANDLE, "seq", "wanted"), lengths(spark, d)),
       """WITH a AS (SELECT *, lead(onset) OVER (PARTITION BY score_id, measure_idx, staff, voice ORDER BY onset) AS nxt FROM (SELECT DISTINCT score_id, measure_idx, staff, voice, onset FROM sounding)),
       r AS (SELECT s.score_id, s.measure_idx, s.staff, s.voice, s.onset, greatest(least(1 + k % 9, coalesce(nxt, greatest(length, s.onset + 1)) - s.onset), 1) AS nd FROM batch b JOIN sounding s ON s.score_id = b.score_id AND s.measure_idx = b.measure_idx AND s.elem_idx = b.elem_idx
@@ -83,13 +93,24 @@ Q.add("i6_ties", f"{H} to_measure:l to_elem:l was_tied:b tied:b", _ties,
       SELECT p.score_id, p.measure_idx, p.elem_idx, o.measure_idx AS to_measure, o.elem_idx AS to_elem, p.tie_start AND o.tie_stop AS was_tied, NOT (p.tie_start AND o.tie_stop) AS tied FROM p JOIN batch b ON b.score_id = p.score_id AND b.measure_idx = p.measure_idx AND b.elem_idx = p.elem_idx JOIN r o ON o.score_id = p.score_id AND o.h = p.h""")
 Q.add("i7_stacked", "score_id:l measure_idx:l onset:l member:s grace:s", lambda spark, d: (lambda n, r: E.stacked_pitch(n, r, 2).select(*E.MEASURE, "onset", F.concat("new_step", C("new_octave").cast("string")).alias("member")).join(E.stacked_pitch(n, r, 1).select(*E.MEASURE, "onset", F.concat("new_step", C("new_octave").cast("string")).alias("grace")), [*E.MEASURE, "onset"]))(sounding(spark, d), batch(spark, d).select(*E.MEASURE, (C("k") % 5).alias("onset"))),
       "SELECT score_id, measure_idx, onset, substr('CDEFGAB', CAST(coalesce(top + 2, 35) % 7 + 1 AS INT), 1) || (coalesce(top + 2, 35) // 7) AS member, substr('CDEFGAB', CAST(coalesce(top + 1, 35) % 7 + 1 AS INT), 1) || (coalesce(top + 1, 35) // 7) AS grace FROM (SELECT b.score_id, b.measure_idx, k % 5 AS onset, (SELECT max(strpos('CDEFGAB', step) - 1 + 7 * octave) FROM sounding s WHERE s.score_id = b.score_id AND s.measure_idx = b.measure_idx AND s.onset = b.k % 5) AS top FROM batch b)")
-Q.add("i8_rewritten", "score_id:l measure_idx:l staff:l voice:l onset:l duration:l label:s is_chord:b tag:s", lambda spark, d: E.rewritten(left_over(spark, d), lengths(spark, d)),
+
+
+def _rewritten(spark, d):
+    """The elements are made once; the sounding notes, the graces and the lengths read them."""
+    e, removed = A.once(A.note_elements(spark, d)), A.once(batch(spark, d).select(*E.HANDLE))
+    label = pitch_text(C("step"), C("alter"), C("octave"))
+    kept = A.once(E.timed_notes(e).withColumns({"ord": C("elem_idx"), "label": label}).join(removed, list(E.HANDLE), "left_anti"))
+    led = L.grace_runs(e).filter("host_elem is not null").withColumn("label", label).join(removed, list(E.HANDLE), "left_anti")
+    return E.rewritten(kept, A.once(O.content_length(e)), graces=led)
+
+
+Q.add("i8_rewritten", "score_id:l measure_idx:l staff:l voice:l onset:l duration:l label:s is_chord:b is_grace:b tag:s", _rewritten,
       """WITH RECURSIVE r AS (SELECT score_id, measure_idx, staff, voice, f, -1 AS nr, CAST(t - f AS BIGINT) AS rest, CAST(NULL AS BIGINT) AS units FROM voice_gaps
       UNION ALL SELECT score_id, measure_idx, staff, voice, f, nr + 1, rest - u, u FROM (SELECT *, CAST(list_filter([16, 12, 8, 6, 4, 3, 2, 1], lambda x: x <= rest)[1] AS BIGINT) AS u FROM r WHERE rest > 0) WHERE u IS NOT NULL)
-      SELECT score_id, measure_idx, staff, voice, f AS onset, units AS duration, 'rest' AS label, false AS is_chord, 'note' AS tag FROM r WHERE nr >= 0
-      UNION ALL SELECT score_id, measure_idx, staff, voice, onset, duration, label, row_number() OVER (PARTITION BY score_id, measure_idx, staff, voice, onset ORDER BY duration DESC, elem_idx) > 1, 'note' FROM left_over
-      UNION ALL SELECT v.score_id, v.measure_idx, staff, voice, -1, length, 'backup', false, 'backup' FROM (SELECT *, row_number() OVER (PARTITION BY score_id, measure_idx ORDER BY staff, voice) AS nr FROM (SELECT DISTINCT score_id, measure_idx, staff, voice FROM voice_groups)) v JOIN content c ON c.score_id = v.score_id AND c.measure_idx = v.measure_idx WHERE nr > 1""")
-HOSTS = """(SELECT *, first_value(CASE WHEN NOT is_grace THEN elem_idx END IGNORE NULLS) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h, first_value(CASE WHEN NOT is_grace THEN is_rest END IGNORE NULLS) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hr FROM note_elements WHERE tag = 'note')"""
+      SELECT score_id, measure_idx, staff, voice, f AS onset, units AS duration, 'rest' AS label, false AS is_chord, false AS is_grace, 'note' AS tag FROM r WHERE nr >= 0
+      UNION ALL SELECT score_id, measure_idx, staff, voice, onset, duration, label, row_number() OVER (PARTITION BY score_id, measure_idx, staff, voice, onset ORDER BY duration DESC, elem_idx) > 1, false, 'note' FROM left_over
+      UNION ALL SELECT g.score_id, g.measure_idx, l.staff, l.voice, l.onset, 0, g.label, false, true, 'note' FROM led g JOIN left_over l ON l.score_id = g.score_id AND l.measure_idx = g.measure_idx AND l.elem_idx = g.h
+      UNION ALL SELECT v.score_id, v.measure_idx, staff, voice, -1, length, 'backup', false, false, 'backup' FROM (SELECT *, row_number() OVER (PARTITION BY score_id, measure_idx ORDER BY staff, voice) AS nr FROM (SELECT DISTINCT score_id, measure_idx, staff, voice FROM voice_groups)) v JOIN content c ON c.score_id = v.score_id AND c.measure_idx = v.measure_idx WHERE nr > 1""")
 graces = lambda spark, d: L.grace_runs(A.note_elements(spark, d)).filter("host_elem is not null")
 Q.add("i9_grace_order", f"{H} new_place:l", lambda spark, d: E.reordered_graces(graces(spark, d), batch(spark, d)),
       f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY score_id, measure_idx, h ORDER BY elem_idx) AS place FROM {HOSTS} WHERE is_grace AND h IS NOT NULL AND NOT hr),

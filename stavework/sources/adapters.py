@@ -91,19 +91,19 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def midi_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A user is a track, ten tracks' last digit a file; ticks are minutes."""
+    """A user is a track, ten users a file; ticks are minutes."""
     kind, k = F.col("event_type"), F.col("k")
     tick = F.floor(F.col("us") / 60_000_000) - 28_401_120
     on = kind.isin("click", "view")
     return _events(spark, folder).select(
-        (F.col("user_id") % 10).alias("file_id"), F.col("user_id").alias("track"), F.col("us").alias("seq"), tick.cast("long").alias("tick"), (48 + k % 8).alias("note"),
+        F.floor(F.col("user_id") / 10).alias("file_id"), F.col("user_id").alias("track"), F.col("us").alias("seq"), tick.cast("long").alias("tick"), (48 + k % 8).alias("note"),
         F.when(kind.isin("purchase", "error"), "noteOff").otherwise("noteOn").alias("type"), F.when(on, 1 + k).otherwise(0).alias("velocity"), k,
         F.when(k % 10 == 0, F.concat(F.lit("name "), k.cast("string"))).when(k % 10 == 1, "").alias("text"), F.when(k % 20 == 3, 400_000 + 1000 * k).alias("us_per_beat"),
         F.when(k % 25 == 4, 2 + k % 3).alias("num"), F.when(k % 25 == 4, 4).alias("den"), F.when(k % 15 == 5, k % 13 - 6).alias("fifths"), F.when(k % 15 == 5, k % 2).alias("scale"))
 
 
 def omr_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """A user is a staff, ten staves' last digit a page; every event is a rhythm token with its pitch, lift and slur."""
+    """A user is a staff, ten users a page; every event is a rhythm token with its pitch, lift and slur."""
     kind, k = F.col("event_type"), F.col("k")
     mark = F.when(k % 5 == 0, "repeatStart").when(k % 5 == 1, "repeatEnd").otherwise("barline")
     attribute = F.when(k % 3 == 0, F.concat(F.lit("keySignature_"), (k % 15 - 7).cast("string"))).when(k % 3 == 1, F.when(k % 2 == 0, "clef_G2").otherwise("clef_F4")).otherwise(F.concat(F.lit("timeSignature/"), (3 + k % 2).cast("string")))
@@ -112,7 +112,7 @@ def omr_tokens(spark: SparkSession, folder: str) -> DataFrame:
     pitch = F.when(k % 29 == 0, ".").otherwise(F.concat(F.substring(F.lit("CDEFGAB"), k % 7 + 1, F.lit(1)), (k % 9 + 1).cast("string")))
     pos = F.row_number().over(W.partitionBy("user_id").orderBy("us")) - 1
     return _events(spark, folder).select(
-        (F.col("user_id") % 10).alias("page_id"), F.col("user_id").alias("staff_idx"), pos.alias("pos"), rhythm.alias("rhythm"), pitch.alias("pitch"),
+        F.floor(F.col("user_id") / 10).alias("page_id"), F.col("user_id").alias("staff_idx"), pos.alias("pos"), rhythm.alias("rhythm"), pitch.alias("pitch"),
         _pick([".", "#", "b", "N", "##", "bb"], k % 6).alias("lift"), _pick([".", "slurStart", "slurStop", "slurStart_slurStop", "_"], k % 5).alias("slur"), k)
 
 
@@ -123,13 +123,13 @@ def probes(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_profile(spark: SparkSession, folder: str) -> DataFrame:
     y = F.floor((F.floor(F.col("us") / 60_000_000) - 28_401_120) / 60).cast("long")
-    return _events(spark, folder).groupBy((F.col("user_id") % 10).alias("page_id"), y.alias("y")).agg(F.count("*").alias("cnt"))
+    return _events(spark, folder).groupBy(F.floor(F.col("user_id") / 10).alias("page_id"), y.alias("y")).agg(F.count("*").alias("cnt"))
 
 
 def ink_runs(spark: SparkSession, folder: str) -> DataFrame:
     y = F.floor((F.floor(F.col("us") / 60_000_000) - 28_401_120) / 60).cast("long")
     x0 = F.col("value").cast("int").cast("long")
-    return _events(spark, folder).select((F.col("user_id") % 10).alias("page_id"), y.alias("y"), x0.alias("x0"), (x0 + F.col("k") % 20 + 1).alias("x1"), "event_id")
+    return _events(spark, folder).select(F.floor(F.col("user_id") / 10).alias("page_id"), y.alias("y"), x0.alias("x0"), (x0 + F.col("k") % 20 + 1).alias("x1"), "event_id")
 
 
 def luma_hist(spark: SparkSession, folder: str) -> DataFrame:

@@ -183,3 +183,154 @@ def test_undo_steps(spark):
 
     log = spark.createDataFrame([(1, t, k) for t, k in ((0, "a"), (50, "a"), (80, "b"), (100, "a"))], "doc_id long, seq long, coalesce_key string")
     assert undo_steps(log, 500).count() == 3
+
+
+def test_positions_do_not_depend_on_divisions(spark):
+    """The same music in 1, 2, 4, 8 and 3 divisions a quarter has the same events, axis and beams on the grid."""
+    found = {}
+    for d in (1, 2, 4, 8, 3):
+        rows = [(1, 0, 0, i, tag, "c" in f, "g" in f, "r" in f, n * d, s, 1, "C", 0, 4, "eighth", False, False, False, False) for i, (tag, f, n, s) in enumerate([("note", "", 1, 1), ("note", "g", 0, 1), ("note", "", 2, 1), ("note", "r", 1, 1), ("backup", "", 4, 1), ("forward", "", 1, 1), ("note", "", 2, 2)])]
+        e, m = spark.createDataFrame(rows, ELEMENT), spark.createDataFrame([(1, 0, 0, d, None, None, None, False, None)], MEASURE)
+        events = sorted((r.staff, r.onset, r.duration, r.n_notes, r.kind) for r in O.staff_events(e, m).collect())
+        axis = sorted((r.div, r.advance, r.x) for r in O.spine(e, m).collect())
+        found[d] = events, axis
+    assert len({str(x) for x in found.values()}) == 1
+    events, axis = found[4]
+    q = R.GRID
+    assert events == [(1, 0, q, 1, "event"), (1, q, 2 * q, 1, "event"), (1, 3 * q, q, 0, "event"), (2, 0, q, 0, "lead"), (2, q, 2 * q, 1, "event"), (2, 3 * q, q, 0, "tail")]
+    assert axis == [(0, 24, 0), (q, 48, 32), (3 * q, 24, 80)]
+
+
+def test_a_silent_staff_rests_through(spark):
+    rows = [(1, 0, m, 0, "note", False, False, False, 4, s, 1, "C", 0, 4, "quarter", False, False, False, False) for m, s in ((0, 2), (1, 1))]
+    m = spark.createDataFrame([(1, 0, i, 4, None, None, None, False, None) for i in range(2)], MEASURE)
+    got = sorted((r.measure_idx, r.staff, r.duration, r.kind) for r in O.staff_events(spark.createDataFrame(rows, ELEMENT), m).collect())
+    assert got == [(0, 1, R.GRID, "empty"), (0, 2, R.GRID, "event"), (1, 1, R.GRID, "event"), (1, 2, R.GRID, "empty")]
+
+
+def plain_align(a, b):
+    """The whole table, filled cell by cell."""
+    t = [[-i - j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = max(t[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), t[i - 1][j] - 1, t[i][j - 1] - 1)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and t[i][j] == t[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and t[i][j] == t[i - 1][j] - 1:
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return out[::-1]
+
+
+def test_alignment_against_the_whole_table(spark):
+    rng = random.Random(6)
+    pairs = [([rng.choice("ABC") for _ in range(rng.randrange(20))], [rng.choice("ABC") for _ in range(rng.randrange(20))]) for _ in range(150)]
+    for a, b in pairs:
+        assert D.align(a, b) == plain_align(a, b)
+    # The same through Spark, where equal ends are paired natively.
+    tables = [spark.createDataFrame([(n, i, x, 4) for n, pair in enumerate(pairs) for i, x in enumerate(pair[side])], "score_id long, idx int, step string, octave int") for side in (0, 1)]
+    got = {}
+    for r in D.aligned(*tables).collect():
+        got.setdefault(r.score_id, set()).add((-1 if r.s_idx is None else r.s_idx, -1 if r.r_idx is None else r.r_idx))
+    assert got == {n: set(plain_align(a, b)) for n, (a, b) in enumerate(pairs) if a or b}
+
+
+def test_alignment_of_long_sequences():
+    rng = random.Random(7)
+    a = [rng.randrange(30) for _ in range(5000)]
+    b = [x for x in a if rng.random() > 0.05]
+    found = D.align(a, b)
+    assert sum(j < 0 for _, j in found) == len(a) - len(b) and all(a[i] == b[j] for i, j in found if j >= 0)
+
+
+def test_a_missing_key_is_no_sharps(spark):
+    m = spark.createDataFrame([(1, 0, 0, 4, None, None, None, False, None), (2, 0, 0, 4, 0, 3, 4, False, None)], MEASURE)
+    clefs = spark.createDataFrame([], "score_id long, part_idx int, measure_idx int, staff int, sign string, line int")
+    got = {r.score_id: (r.fifths, r.time) for r in D.summary(m.withColumn("senza_misura", F.col("score_id") == 1), clefs).collect()}
+    assert got == {1: (0, "senza-misura"), 2: (0, "3/4")}
+
+
+def test_systems_in_independent_pieces(spark):
+    """Pieces of a page folded alone against one fold of all staves."""
+    rng = random.Random(11)
+    rows = [(p, i, rng.choice("GGFC"), rng.random() < 0.3) for p in range(8) for i in range(rng.randrange(1, 14))]
+    got = {(r.page_id, r.staff_idx): r.system_no for r in T.systems(spark.createDataFrame(rows, "page_id long, staff_idx long, sign string, braced boolean")).collect()}
+    want = {}
+    for p in range(8):
+        page, i, no = [r for r in rows if r[0] == p], 0, 0
+        while i < len(page):
+            j = i
+            if page[i][3]:
+                while j < len(page) and page[j][3]:
+                    j += 1
+                j = min(j, len(page) - 1) + 1 if j < len(page) else i + 1
+            else:
+                j = i + 2 if page[i][2] == "G" and i + 1 < len(page) and page[i + 1][2] == "F" else i + 1
+            for k in range(i, min(j, len(page))):
+                want[p, k] = no
+            i, no = j, no + 1
+    assert got == want
+
+
+XML = """<score-partwise><part id="P1"><measure number="7"><attributes><divisions>2</divisions><key><fifths>-3</fifths><mode>minor</mode></key><time><senza-misura/></time><staves>2</staves><clef number="2"><sign>F</sign><line>4</line></clef></attributes>
+<barline location="left"><repeat direction="forward"/></barline><note><pitch><step>D</step><octave>5</octave></pitch><duration>4</duration><staff>2</staff><notations><articulations><staccato/></articulations></notations></note>
+<note><rest measure="yes"/><duration>4</duration></note><barline><repeat direction="backward"/></barline></measure><measure><barline location="right"><repeat direction="backward" times="3"/></barline></measure></part></score-partwise>"""
+
+
+def test_a_document_read_and_written(spark):
+    from stavework.sources import scores as S
+
+    rows = S.parsed(spark.createDataFrame([(1, XML), (2, "<broken"), (3, None)], "score_id long, text string")).cache()
+    m = [r.asDict() for r in S.parsed_measures(rows).orderBy("measure_idx").collect()]
+    first = {"number": 7, "divisions": 2, "staves": 2, "fifths": -3, "mode": "minor", "beats": None, "beat_type": None, "senza_misura": True, "repeat_start": True, "repeat_times": 2}
+    assert {k: m[0][k] for k in first} == first and (m[1]["number"], m[1]["repeat_start"], m[1]["repeat_times"]) == (1, False, 3)
+    notes = rows.filter("tag = 'note'").orderBy("elem_idx").collect()
+    assert [(r.staccato, r.play_duration, r.full_measure, r.staff) for r in notes] == [(True, 2, False, 2), (False, 4, True, 1)]
+    assert [(c.staff, c.sign, c.line) for c in S.parsed_clefs(rows).collect()] == [(2, "F", 4)]
+    assert sorted(r.score_id for r in rows.filter("error is not null").collect()) == [2, 3]
+    clefs = S.parsed_clefs(rows).groupBy("score_id", "part_idx", "measure_idx").agg(F.collect_list(F.struct("staff", "sign", "line")).alias("clefs"))
+    again = S.parsed(S.exported(rows.filter("tag is not null"), S.parsed_measures(rows).join(clefs, ["score_id", "part_idx", "measure_idx"], "left")))
+    key = ["measure_idx", "elem_idx"]
+    assert [tuple(r) for r in again.drop("error").orderBy(*key).collect()] == [tuple(r) for r in rows.filter("error is null").drop("error").orderBy(*key).collect()]
+
+
+@pytest.mark.parametrize("before,tempo,after", [(None, 99.5, "100"), ("80", 120.0, "120"), ("80", None, None), ("80", -1.0, None), (None, None, None)])
+def test_tempo_marks(spark, before, tempo, after):
+    from stavework.sources import scores as S
+
+    mark = f'<direction><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>{before}</per-minute></metronome></direction-type><sound tempo="{before}"/></direction>' if before else ""
+    text = f'<score-partwise><part><measure><attributes><divisions>4</divisions></attributes><direction><words>dolce</words></direction>{mark}<note/></measure><measure/></part></score-partwise>'
+    got = S.with_tempo(spark.createDataFrame([(1, text, tempo)], "score_id long, text string, tempo double")).first().text
+    assert got.count('tempo="') == got.count("<per-minute>") == (after is not None) and "dolce" in got
+    assert after is None or f'<sound tempo="{after}"/>' in got and f"<per-minute>{after}</per-minute>" in got
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    """State from batch to batch: the same rows in one file and in five give the same result."""
+    from datetime import datetime, timedelta
+
+    from stavework.streaming import stateful
+
+    rng = random.Random(12)
+    begin = datetime(2024, 1, 1)
+    rows = [(rng.randrange(3), rng.randrange(4), i, i * 10, 60, rng.random() < 0.5, begin + timedelta(minutes=i)) for i in range(200)]
+    schema = "track long, note long, seq long, tick long, velocity long, begins boolean, ts timestamp"
+    log = [(rng.randrange(3), i * 40 + rng.randrange(900), rng.choice("ab")) for i in range(200)]
+    log = sorted(log, key=lambda r: r[1])
+    results = {}
+    for n in (1, 5):
+        for name, data, kind in (("notes", rows, schema), ("log", log, "doc_id long, seq long, coalesce_key string")):
+            for k in range(n):
+                part = data[len(data) * k // n : len(data) * (k + 1) // n]
+                spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}{n}"))
+        read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"{name}{n}"))
+        notes = stateful.finished(stateful.paired_notes(read("notes", schema).withWatermark("ts", "1 hour"), 10**12), str(tmp_path / f"out_notes{n}"))
+        steps = stateful.finished(stateful.undo_steps(read("log", "doc_id long, seq long, coalesce_key string"), 500), str(tmp_path / f"out_log{n}"))
+        results[n] = sorted(map(tuple, notes.collect())), sorted(map(tuple, steps.collect()))
+    assert results[1] == results[5] and len(results[1][0]) > 20
