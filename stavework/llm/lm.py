@@ -73,17 +73,24 @@ def middle_counts(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def places(key: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The places of a key at a level among so many bits of its segment (fewer than 2 ** 32), a row for each hash."""
-    a = mix(key + level.astype(np.uint64) * MIX[0])
-    step = a >> np.uint64(32)
-    return np.stack([(((a + np.uint64(i) * step) & LOW32) * bits >> np.uint64(32)) for i in range(HASHES)]).astype(np.int64)
+def halves(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a key at a level, from which all its places come."""
+    a = mix(key + np.full(1, level, np.uint64) * MIX[0])
+    return a, a >> np.uint64(32)
+
+
+def place(a: np.ndarray, step: np.ndarray, number: int, bits: np.ndarray) -> np.ndarray:
+    """The place by hash number so among so many bits of a segment (fewer than 2 ** 32)."""
+    return (((a + np.uint64(number) * step) & LOW32) * bits >> np.uint64(32)).astype(np.int64)
+
+
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
 def segment_of(key: np.ndarray, groups: int) -> np.ndarray:
     """The number of a key's segment among all; its group is that divided by SEGMENTS."""
-    group, rest = key % np.uint64(groups), key // np.uint64(groups)
-    return (group * np.uint64(SEGMENTS) + rest % np.uint64(SEGMENTS)).astype(np.int64)
+    return group_of(key, groups) * SEGMENTS + ((key & LOW32) * np.uint64(SEGMENTS) >> np.uint64(32)).astype(np.int64)
 
 
 def filled(key: np.ndarray, level: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +100,9 @@ def filled(key: np.ndarray, level: np.ndarray, groups: int) -> tuple[np.ndarray,
     begin, on = (np.cumsum(bits) - bits)[segment], np.zeros(bits.sum(), bool)
     for x in range(1, int(level.max(initial=0)) + 1):
         at = np.flatnonzero(level >= x)
-        on[begin[at] + places(key[at], level[at] * 0 + x, bits[segment[at]].astype(np.uint64))] = True
+        own, first, of = halves(key[at], x), begin[at], bits[segment[at]].astype(np.uint64)
+        for i in range(HASHES):
+            on[first + place(*own, i, of)] = True
     return np.packbits(on, bitorder="little"), bits
 
 
@@ -113,8 +122,11 @@ class Filter:
         out, live, segment = np.zeros(len(key), np.int64), np.arange(len(key)), segment_of(key, self.groups)
         begin, bits = self.begin[segment], self.bits[segment]
         for level in range(1, 128):
-            at = begin + places(key, np.full(len(key), level), bits)
-            yes = ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
+            a, step = halves(key, level)
+            yes = np.arange(len(key))
+            for i in range(HASHES):  # most of the missing ones are told by the first place
+                at = begin[yes] + place(a[yes], step[yes], i, bits[yes]) if i else begin + place(a, step, 0, bits)
+                yes = yes[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
             key, live, begin, bits = key[yes], live[yes], begin[yes], bits[yes]
             if not len(live):
                 break
@@ -177,7 +189,7 @@ def train(docs: DataFrame, group_bytes: int = GROUP_BYTES, shard_bytes: int = SH
     def entries(key: np.ndarray, n: np.ndarray, alone: bool) -> pa.RecordBatch:
         """One row a group, with the keys and counts that go there: less to shuffle than a row a key. Single tokens are told by
         their own hashes."""
-        group = ((gram(key) if alone else key) % np.uint64(groups)).astype(np.int64)
+        group = group_of(gram(key) if alone else key, groups)
         order = np.argsort(group, kind="stable")
         group, key, n = group[order], key[order], n[order]
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -269,7 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     count_before = np.empty(len(flat))
                     count_before[1:] = about[inverse[:-1]]
                     count_before[begins] = end_count
-                    mine = np.arange(len(flat)) if shards == 1 else np.flatnonzero((key % np.uint64(groups)).astype(np.int64) * shards // groups == number)
+                    mine = np.arange(len(flat)) if shards == 1 else np.flatnonzero(group_of(key, groups) * shards // groups == number)
                     p, count_before = ((about + 0.1) / floor)[inverse[mine]], count_before[mine]
                     share = np.minimum(middle_counts(pairs.level(key[mine])) / np.maximum(count_before, 1), 1.0)
                     p = np.log10(np.where(count_before > 0, BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * p, p))
