@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from stavework.functions.pitch import chroma, pitch_text
 
 from .cursor import time_cursor
-from .windows import over
+from .windows import before, over
 
 C = F.col
 
 
 def note_stream(elements: DataFrame) -> DataFrame:
-    """Pitched notes in canonical order: measure, onset (in diff mode), pitch."""
+    """Pitched notes in canonical order: measure, onset (in diff mode), pitch. They are numbered within their measure; only measures, with how
+    many notes they have, are counted through a score."""
     notes = time_cursor(elements, "diff").filter("tag = 'note' and not is_rest")
     notes = notes.withColumn("chroma", chroma(C("step"), C("alter"), C("octave"))).withColumn("pitch", pitch_text(C("step"), C("alter"), C("octave")))
-    return notes.withColumn("idx", F.row_number().over(over("score_id", ["measure_idx", "onset", "chroma", "elem_idx"])) - 1)
+    inner = notes.withColumn("idx", F.row_number().over(over(("score_id", "measure_idx"), ["onset", "chroma", "part_idx", "elem_idx"])) - 1)
+    sizes = inner.groupBy("score_id", "measure_idx").agg(F.count("*").alias("n"))
+    begins = sizes.select("score_id", "measure_idx", F.coalesce(F.sum("n").over(before(over("score_id", ["measure_idx"]))), F.lit(0)).alias("begin"))
+    return inner.join(begins, ["score_id", "measure_idx"]).withColumn("idx", (C("idx") + C("begin")).cast("int")).drop("begin")
 
 
 def summary(measures: DataFrame, clefs: DataFrame) -> DataFrame:

@@ -21,16 +21,25 @@ C = F.col
 EL = "coalesce(is_chord, false)"
 CTES |= {
     "known": "SELECT c_custkey AS score_id, c_name AS title, 'Composer & ' || c_mktsegment AS composer, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS rights, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 200 END AS tempo FROM customer",
-    "element_xml": """
+}
+
+
+def _documents_sql(name: str, elements: str) -> dict[str, str]:
+    """The documents of a table of elements: their elements, measures, and whole texts."""
+    return {
+        f"{name}_element_xml": f"""
 SELECT score_id, part_idx, measure_idx, elem_idx, CASE WHEN tag <> 'note' THEN '<' || tag || '><duration>' || duration || '</duration></' || tag || '>' ELSE '<note>' || CASE WHEN is_grace THEN CASE WHEN slash THEN '<grace slash="yes"/>' ELSE '<grace/>' END ELSE '' END || CASE WHEN is_chord THEN '<chord/>' ELSE '' END
   || CASE WHEN is_rest THEN '<rest/>' ELSE '<pitch><step>' || step || '</step><alter>' || alter_ || '</alter><octave>' || octave || '</octave></pitch>' END || '<duration>' || duration || '</duration>' || CASE WHEN tie_start THEN '<tie type="start"/>' ELSE '' END || CASE WHEN tie_stop THEN '<tie type="stop"/>' ELSE '' END
-  || '<voice>' || voice || '</voice><type>' || type || '</type>' || CASE WHEN dot THEN '<dot/>' ELSE '' END || '<staff>' || staff || '</staff></note>' END AS x FROM note_elements""",
-    "measure_xml": """
+  || '<voice>' || voice || '</voice><type>' || type || '</type>' || CASE WHEN dot THEN '<dot/>' ELSE '' END || '<staff>' || staff || '</staff></note>' END AS x FROM {elements}""",
+        f"{name}_measure_xml": f"""
 SELECT m.score_id, m.measure_idx, '<measure number="' || (m.measure_idx + 1) || '">' || CASE WHEN divisions IS NULL AND fifths IS NULL AND beats IS NULL THEN '' ELSE '<attributes>' || coalesce('<divisions>' || divisions || '</divisions>', '') || coalesce('<key><fifths>' || fifths || '</fifths></key>', '')
   || coalesce('<time><beats>' || beats || '</beats><beat-type>' || beat_type || '</beat-type></time>', '') || '</attributes>' END || CASE WHEN repeat_start THEN '<barline location="left"><repeat direction="forward"/></barline>' ELSE '' END || coalesce(b, '')
-  || coalesce('<barline location="right"><repeat direction="backward" times="' || repeat_times || '"/></barline>', '') || '</measure>' AS x FROM measures m LEFT JOIN (SELECT score_id, measure_idx, string_agg(x, '' ORDER BY elem_idx) AS b FROM element_xml GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx""",
-    "score_xml": """SELECT score_id, '<score-partwise version="4.0"><part id="P1">' || string_agg(x, '' ORDER BY measure_idx) || '</part></score-partwise>' AS text FROM measure_xml GROUP BY score_id""",
-}
+  || coalesce('<barline location="right"><repeat direction="backward" times="' || repeat_times || '"/></barline>', '') || '</measure>' AS x FROM measures m LEFT JOIN (SELECT score_id, measure_idx, string_agg(x, '' ORDER BY elem_idx) AS b FROM {name}_element_xml GROUP BY ALL) e ON e.score_id = m.score_id AND e.measure_idx = m.measure_idx""",
+        f"{name}_xml": f"""SELECT score_id, '<score-partwise version="4.0"><part id="P1">' || string_agg(x, '' ORDER BY measure_idx) || '</part></score-partwise>' AS text FROM {name}_measure_xml GROUP BY score_id""",
+    }
+
+
+CTES |= _documents_sql("score", "note_elements") | _documents_sql("recovered", "recovered_elements")
 
 
 def texts(spark, d):
@@ -115,6 +124,7 @@ Q.add("a6_stamped", "score_id:l software:s encoding_date:s encoding_description:
 Q.add("a7_exported", "score_id:l text:s", texts, "SELECT * FROM score_xml")
 blanks = lambda spark, d: S.blank_scores(A.table(spark, d, "customer").select(C("c_custkey").alias("score_id"), (1 + C("c_custkey") % 4).cast("int").alias("n"), (2 + C("c_custkey") % 3).cast("int").alias("beats"), F.when(C("c_custkey") % 2 == 0, 8).alias("beat_type"), F.when(C("c_custkey") % 5 == 0, -2).alias("fifths"), F.when(C("c_custkey") % 7 == 0, "F").alias("sign"), F.when(C("c_custkey") % 7 == 0, 4).alias("line")))
 BLANK = "(SELECT c_custkey AS score_id, unnest(range(0, 1 + c_custkey % 4)) AS m, 2 + c_custkey % 3 AS beats, CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 4 END AS beat_type, CASE WHEN c_custkey % 5 = 0 THEN -2 ELSE 0 END AS fifths, c_custkey % 7 = 0 AS low FROM customer)"
+Q.add("h9_unsaved_documents", "score_id:l unsaved:b", lambda spark, d: D.changed(texts(spark, d), S.exported(A.recovered_elements(spark, d), A.measures(spark, d))), "SELECT s.score_id, s.text <> r.text AS unsaved FROM score_xml s JOIN recovered_xml r ON r.score_id = s.score_id")
 Q.add("a8_blank_scores", "score_id:l measure_idx:l divisions:l fifths:l beats:l beat_type:l rest:l", blanks, f"SELECT score_id, m AS measure_idx, CASE WHEN m = 0 THEN 4 END AS divisions, CASE WHEN m = 0 THEN fifths END AS fifths, CASE WHEN m = 0 THEN beats END AS beats, CASE WHEN m = 0 THEN beat_type END AS beat_type, 16 * beats // beat_type AS rest FROM {BLANK}")
 Q.add("a8_blank_documents", "score_id:l text:s", lambda spark, d: (lambda m: S.exported(S.blank_elements(m), m))(A.once(blanks(spark, d))),
       f"""SELECT score_id, '<score-partwise version="4.0"><part id="P1">' || string_agg('<measure number="' || (m + 1) || '">' || CASE WHEN m > 0 THEN '' ELSE '<attributes><divisions>4</divisions><key><fifths>' || fifths || '</fifths><mode>major</mode></key><time><beats>' || beats || '</beats><beat-type>' || beat_type || '</beat-type></time><clef number="1"><sign>' || CASE WHEN low THEN 'F</sign><line>4' ELSE 'G</sign><line>2' END || '</line></clef></attributes>' END

@@ -74,7 +74,7 @@ def _near(which):
 
 def _near_sql(where):
     return f"""SELECT event_id, score_id, s_at AS hit_at, measure_idx, staff, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, s_at, measure_idx, staff, onset) AS r FROM (
-    SELECT p.event_id, p.score_id, s.*, abs(s_at - p_at) AS d FROM {P} p JOIN {SLOTS} s ON s.score_id = p.score_id WHERE {where}) WHERE d <= 7560) WHERE r = 1""".replace("s.*", "s.s_at, s.measure_idx, s.staff, s.onset")
+    SELECT p.event_id, p.score_id, s.s_at, s.measure_idx, s.staff, s.onset, abs(s_at - p_at) AS d FROM {P} p JOIN {SLOTS} s ON s.score_id = p.score_id WHERE {where}) WHERE d <= 7560) WHERE r = 1"""
 
 
 Q.add("f3_nearest_chord", "event_id:l score_id:l hit_at:l measure_idx:l staff:l distance:l", _near("chord"), _near_sql("n_notes > 0"))
@@ -139,6 +139,7 @@ Q.add("f12_tie_partners", "score_id:l measure_idx:l elem_idx:l ahead:l behind:l"
 Q.add("f13_grace_hosts", "score_id:l measure_idx:l elem_idx:l grace_group:l host_elem:l", lambda spark, d: L.grace_runs(A.note_elements(spark, d)),
       """SELECT *, CASE WHEN NOT hr THEN h END AS host_elem FROM (SELECT *, sum(CASE WHEN NOT is_chord THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx) AS grace_group, first_value(CASE WHEN NOT is_grace THEN elem_idx END IGNORE NULLS) OVER f AS h, first_value(CASE WHEN NOT is_grace THEN is_rest END IGNORE NULLS) OVER f AS hr
       FROM note_elements WHERE tag = 'note' WINDOW f AS (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE is_grace""")
+# The driver's pages have no staves: every 40th row begins one here, eight rows high, so that links between them can be looked for.
 Q.add("f14_ink_links", "page_id:l staff_no:l share:d linked:b", lambda spark, d: L.linked_by_ink(A.page_profile(spark, d).filter("y % 40 < 8").groupBy("page_id", F.floor(C("y") / 40).alias("staff_no")).agg(F.min("y").alias("top"), F.max("y").alias("bottom")), A.ink_runs(spark, d), 0.6, 0, 30),
       """WITH s AS (SELECT page_id, y // 40 AS staff_no, min(y) AS top, max(y) AS bottom FROM page_profile WHERE y % 40 < 8 GROUP BY ALL), p AS (SELECT *, lead(top) OVER (PARTITION BY page_id ORDER BY staff_no) AS nxt FROM s),
       r AS (SELECT page_id, staff_no, unnest(range(bottom + 1, nxt)) AS y FROM p WHERE nxt > bottom + 1)

@@ -20,9 +20,9 @@ K = "score_id, measure_idx, elem_idx"
 STD = "list_filter([4.0 * dv, 3.0 * dv, 2.0 * dv, 1.5 * dv, 1.0 * dv, 0.75 * dv, 0.5 * dv, 0.25 * dv], lambda x: x = floor(x))"
 
 
-def on_notes(name: str, schema: str, columns, sql: str) -> None:
+def on_notes(name: str, schema: str, columns, sql: str, source: str = "note_elements") -> None:
     """A query of columns over the notes; columns() gives them by name."""
-    Q.add(name, f"{KEY} {schema}", lambda spark, d: A.note_elements(spark, d).filter("tag = 'note'").select("score_id", "measure_idx", "elem_idx", *[c.alias(n) for n, c in columns().items()]), f"SELECT {K}, {sql} FROM note_elements WHERE tag = 'note'")
+    Q.add(name, f"{KEY} {schema}", lambda spark, d: A.note_elements(spark, d).filter("tag = 'note'").select("score_id", "measure_idx", "elem_idx", *[c.alias(n) for n, c in columns().items()]), f"SELECT {K}, {sql} FROM {source} WHERE tag = 'note'")
 
 
 def on_midi(name: str, schema: str, columns, sql: str, source: str = "midi_events") -> None:
@@ -48,8 +48,7 @@ on_notes("b4_pitch_to_midi", "midi:l chroma:l cents:l", lambda: {"midi": P.midi_
          f"{SEMI} + 12 * octave + alter_ + 12 AS midi, {SEMI} + 12 * octave + alter_ AS chroma, floor(100 * (440 * pow(2.0::DOUBLE, ({SEMI} + 12 * octave + alter_ + 12 - 69) / 12.0::DOUBLE)) + 0.5) AS cents")
 on_notes("b5_key_alteration", "key_alter:l", lambda: {"key_alter": P.key_alter(C("step"), fifths())}, f"{key_sql('step', FIFTHS)} AS key_alter")
 on_notes("b6_step_in_key", "step2:s alter2:l octave2:l", lambda: dict(zip(("step2", "alter2", "octave2"), P.moved(C("step"), C("octave"), (C("mark") % 9 - 4).cast("int"), fifths()))),
-         f"step2, {key_sql('step2', FIFTHS)} AS alter2, octave2 FROM (SELECT *, substr('CDEFGAB', CAST((({DIA} + mark % 9 - 4) % 7 + 7) % 7 + 1 AS INT), 1) AS step2, floor(({DIA} + mark % 9 - 4) / 7.0) AS octave2 FROM note_elements) AS note_elements WHERE tag = 'note' UNION ALL SELECT 1, 1, 1, '', 1, 1")
-Q.oracles["b6_step_in_key"] = Q.oracles["b6_step_in_key"].replace(" UNION ALL SELECT 1, 1, 1, '', 1, 1 FROM note_elements WHERE tag = 'note'", "")
+         f"step2, {key_sql('step2', FIFTHS)} AS alter2, octave2", f"(SELECT *, substr('CDEFGAB', CAST((({DIA} + mark % 9 - 4) % 7 + 7) % 7 + 1 AS INT), 1) AS step2, floor(({DIA} + mark % 9 - 4) / 7.0) AS octave2 FROM note_elements)")
 on_notes("b7_octave_shift", "octave2:l", lambda: {"octave2": C("octave") + (C("mark") % 5 - 2)}, "octave + mark % 5 - 2 AS octave2")
 on_notes("b8_pitch_text", "pitch:s", lambda: {"pitch": P.pitch_text(C("step"), C("alter"), C("octave"))}, "step || repeat('#', greatest(alter_, 0)) || repeat('b', greatest(-alter_, 0)) || octave AS pitch")
 NAMES = ("whole", "half", "quarter", "eighth", "sixteenth", "thirty_second")
