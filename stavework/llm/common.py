@@ -96,3 +96,24 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class Scratch:
+    """Tables in a folder of their own within the shared folder, all of which go at the end of the context."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df, written as Parquet and read again."""
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(conf).delete(path, True)
