@@ -28,7 +28,7 @@ from .common import FEW_ROWS, UPPER, checkpointed, shuffles_removed, strings, ta
 
 MIN_COUNT, TOP, MAX_COVERED = 10, 2000, 50
 #: Bytes of a language's texts that are counted together, and of all languages that a task holds.
-CHUNK, HELD = 8_000_000, 24_000_000
+CHUNK, HELD = 3_000_000, 8_000_000
 #: Nodes are first expanded down to the score of the FIRST-th pair, then of WIDER times as many, and so on.
 FIRST, WIDER = 2 * TOP, 4
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
