@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.functions.pitch import chroma, pitch_text
+from stavework.functions.pitch import chroma, diatonic_index, pitch_text
+from stavework.sources.adapters import once
 
 from .cursor import time_cursor
 from .windows import before, over
 
 C = F.col
+#: The side of a tile of the table of scores: 2^24 cells are some tenths of a second.
+TILE = 4096
 
 
 def note_stream(elements: DataFrame) -> DataFrame:
@@ -51,47 +57,59 @@ def attribute_differences(source: DataFrame, recovered: DataFrame) -> DataFrame:
     return pair.select("score_id", F.explode(every).alias("d")).select("score_id", "d.*")
 
 
-def next_scores(row: np.ndarray, i: int, x: int, y: np.ndarray) -> np.ndarray:
-    """The scores of row i from those of row i - 1: equal items 1, other pairs and gaps -1."""
+def next_scores(row: np.ndarray, left: int, x: int, y: np.ndarray) -> np.ndarray:
+    """The next row of scores, which begins with left: equal items 1, other pairs and gaps -1."""
     out = np.empty_like(row)
-    out[0] = -i
+    out[0] = left
     out[1:] = np.maximum(row[:-1] + np.where(y == x, 1, -1), row[1:] - 1)
     steps = np.arange(len(row), dtype=row.dtype)
     return np.maximum.accumulate(out + steps) - steps  # the best way along the row, a gap a step
 
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Global alignment of two sequences; -1 stands for a gap. Equal items score 1, other pairs and gaps -1; going back,
-    a pair is preferred to a gap in b, and that to a gap in a. Only every k-th row of the scores is kept, k rows at a time are filled in again
-    on the way back, with k about the root of the rows' number."""
-    n, m = len(a), len(b)
-    codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([codes[v] for v in a], np.int64), np.array([codes[v] for v in b], np.int64)
-    every = max(1, int(n**0.5))
-    row, kept = -np.arange(m + 1, dtype=np.int32), []
-    for i in range(n + 1):
-        if i:
-            row = next_scores(row, i, x[i - 1], y)
-        if i % every == 0:
+def edges(x: np.ndarray, y: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last row and the last column of a tile of scores, from its first ones; both hold both their corners."""
+    row, right = top, [top[-1]]
+    for i in range(len(x)):
+        row = next_scores(row, left[i + 1], x[i], y)
+        right.append(row[-1])
+    return row, np.array(right, top.dtype)
+
+
+def way_back(x: np.ndarray, y: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[list[tuple[int, int]], int, int]:
+    """The way from the last cell of a tile back to its first row or column, and where it arrives; -1 stands for a gap. A pair is preferred to a
+    gap in y, and that to a gap in x. Only every k-th row of the scores is kept, k rows at a time are filled in again, with k the root of the rows' number."""
+    i, j, every = len(x), len(y), max(1, int(len(x) ** 0.5))
+    row, kept = top, [top]
+    for k in range(1, i + 1):
+        row = next_scores(row, left[k], x[k - 1], y)
+        if k % every == 0:
             kept.append(row)
-    out, i, j = [], n, m
-    for first in range(len(kept) - 1, -1, -1):
-        low = first * every
-        score = [kept[first]]
+    out = []
+    while i and j:
+        low = (i - 1) // every * every
+        score = [kept[low // every]]
         while low + len(score) <= i:
-            score.append(next_scores(score[-1], low + len(score), x[low + len(score) - 1], y))
-        while i > low or (low == 0 and j):
-            here = score[i - low][j]
-            if i and j and here == score[i - 1 - low][j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
+            score.append(next_scores(score[-1], left[low + len(score)], x[low + len(score) - 1], y))
+        while i > low and j:
+            here, above = score[i - low][j], score[i - 1 - low]
+            if here == above[j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
                 i, j = i - 1, j - 1
                 out.append((i, j))
-            elif i and here == score[i - 1 - low][j] - 1:
+            elif here == above[j] - 1:
                 i -= 1
                 out.append((i, -1))
             else:
                 j -= 1
                 out.append((-1, j))
-    return out[::-1]
+    return out[::-1], i, j
+
+
+def align(a: list, b: list) -> list[tuple[int, int]]:
+    """Global alignment of two sequences as one tile: equal items score 1, other pairs and gaps -1."""
+    codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([codes[v] for v in a], np.int64), np.array([codes[v] for v in b], np.int64)
+    out, i, j = way_back(x, y, -np.arange(len(b) + 1, dtype=np.int32), -np.arange(len(a) + 1, dtype=np.int32))
+    return [*((k, -1) for k in range(i)), *((-1, k) for k in range(j)), *out]
 
 
 def common_ends(source: DataFrame, recovered: DataFrame) -> DataFrame:
@@ -102,24 +120,88 @@ def common_ends(source: DataFrame, recovered: DataFrame) -> DataFrame:
     return sizes.join(other, "score_id", "left").select("score_id", "n_s", "n_r", F.coalesce(C("differs") - 1, F.least("n_s", "n_r")).alias("same"))
 
 
-def aligned(source: DataFrame, recovered: DataFrame) -> DataFrame:
+def _tile_edges(tiles: DataFrame) -> DataFrame:
+    """(score_id, ti, tj, bottom, right) of tiles (score_id, ti, tj, x, y, top, left_)."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                bottom, right = edges(*[b.column(c)[k].values.to_numpy() for c in range(3, 7)])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(k, 1) for c in range(3)], pa.array([bottom]), pa.array([right])], ["score_id", "ti", "tj", "bottom", "right"])
+
+    return tiles.select("score_id", "ti", "tj", "x", "y", "top", "left_").mapInArrow(rows, "score_id long, ti long, tj long, bottom array<int>, right array<int>")
+
+
+def _tile_ways(tiles: DataFrame) -> DataFrame:
+    """(score_id, s_idx, r_idx, i, j): the way back through each tile as lists with -1 for gaps, and the cell of the whole table where it arrives."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                score_id, i0, j0 = (b.column(c)[k].as_py() for c in range(3))
+                way, i, j = way_back(*[b.column(c)[k].values.to_numpy() for c in range(3, 7)])
+                s, r = (np.array([w[c] for w in way], np.int64) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([score_id]), pa.array([np.where(s < 0, -1, s + i0)]), pa.array([np.where(r < 0, -1, r + j0)]), pa.array([i0 + i]), pa.array([j0 + j])], ["score_id", "s_idx", "r_idx", "i", "j"])
+
+    return tiles.select("score_id", "i0", "j0", "x", "y", "top", "left_").mapInArrow(rows, "score_id long, s_idx array<long>, r_idx array<long>, i long, j long")
+
+
+def tiled(source: DataFrame, recovered: DataFrame, sizes: DataFrame, keep: Callable[[DataFrame], DataFrame], side: int = TILE) -> DataFrame:
+    """(score_id, s_idx, r_idx) of streams (score_id, idx, code) whose lengths are n and m in sizes; null for a gap.
+
+    The table of scores is cut into tiles of a side. Those on one diagonal are computed at once, each from the last row of the
+    tile above and the last column of the one before: a job a diagonal, a tile a row, so that a long pair is many tasks. Then the way back goes
+    through one tile a job for all pairs. Pairs of one tile need one job in all. keep writes a table where all executors can read it."""
+    block = lambda df, name, t: df.groupBy("score_id", F.expr(f"idx div {side}").alias(t)).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "code"))), lambda v: v["code"]).alias(name))
+    xs, ys = keep(block(source, "x", "ti")), keep(block(recovered, "y", "tj"))
+    sizes = keep(sizes.select("score_id", C("n").cast("long"), C("m").cast("long"), F.expr(f"(n + {side - 1}) div {side}").alias("rows"), F.expr(f"(m + {side - 1}) div {side}").alias("columns")))
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiles are small rows and much work: they aren't put together by size
+    last = sizes.agg(F.max(F.when(C("n") * C("m") > 0, C("rows") + C("columns") - 2))).first()[0] or 0
+    border = lambda at, count: F.transform(F.sequence(at, at + count), lambda v: (-v).cast("int"))
+
+    def with_borders(tiles: DataFrame, done: DataFrame) -> DataFrame:
+        """Tiles (score_id, ti, tj, x, y) with their first row and column."""
+        above = done.select("score_id", (C("ti") + 1).alias("ti"), "tj", C("bottom").alias("above"))
+        before_ = done.select("score_id", "ti", (C("tj") + 1).alias("tj"), C("right").alias("before"))
+        both = tiles.join(above, ["score_id", "ti", "tj"], "left").join(before_, ["score_id", "ti", "tj"], "left")
+        return both.withColumn("top", F.coalesce("above", border(C("tj") * side, F.size("y")))).withColumn("left_", F.coalesce("before", border(C("ti") * side, F.size("x"))))
+
+    done = wave = source.sparkSession.createDataFrame([], "score_id long, ti long, tj long, bottom array<int>, right array<int>")
+    for d in range(last):
+        here = sizes.filter(f"n > 0 and m > 0 and rows + columns - 2 > {d}").select("score_id", F.explode(F.expr(f"sequence(greatest(0, {d} - columns + 1), least({d}, rows - 1))")).alias("ti"), F.lit(d).cast("long").alias("d"))
+        here = here.select("score_id", "ti", (C("d") - C("ti")).alias("tj")).join(xs, ["score_id", "ti"]).join(ys, ["score_id", "tj"])
+        wave = keep(_tile_edges(with_borders(here, wave).repartition(max(parts, d + 1), "ti", "score_id")))
+        done = done.union(wave)
+    done = keep(done) if last > 1 else done
+    at, ways = sizes.select("score_id", C("n").alias("i"), C("m").alias("j")), []
+    for _ in range(last + 1):
+        open_ = at.filter("i > 0 and j > 0").select("score_id", "i", "j", F.expr(f"(i - 1) div {side}").alias("ti"), F.expr(f"(j - 1) div {side}").alias("tj"))
+        here = open_.join(xs, ["score_id", "ti"]).join(ys, ["score_id", "tj"]).withColumn("i0", C("ti") * side).withColumn("j0", C("tj") * side)
+        here = here.withColumn("x", F.slice("x", F.lit(1), (C("i") - C("i0")).cast("int"))).withColumn("y", F.slice("y", F.lit(1), (C("j") - C("j0")).cast("int")))
+        # a border is needed as far as the way begins
+        here = with_borders(here, done).withColumn("top", F.slice("top", F.lit(1), F.size("y") + 1)).withColumn("left_", F.slice("left_", F.lit(1), F.size("x") + 1))
+        found = keep(_tile_ways(here.repartition(parts, "score_id")))
+        ways.append(found.select("score_id", F.explode(F.arrays_zip("s_idx", "r_idx")).alias("w")).select("score_id", "w.s_idx", "w.r_idx"))
+        at = found.select("score_id", "i", "j").union(at.filter("i = 0 or j = 0"))
+        if last and not found.filter("i > 0 and j > 0").limit(1).count():
+            break
+    gap = F.lit(-1)
+    ways.append(at.filter("i > 0").select("score_id", F.explode(F.sequence(F.lit(0), C("i") - 1)), gap))
+    ways.append(at.filter("j > 0").select("score_id", gap, F.explode(F.sequence(F.lit(0), C("j") - 1))))
+    every = reduce(DataFrame.union, ways).toDF("score_id", "s_idx", "r_idx")
+    return every.select("score_id", *[F.when(C(c) >= 0, C(c).cast("long")).alias(c) for c in ("s_idx", "r_idx")])
+
+
+def aligned(source: DataFrame, recovered: DataFrame, keep: Callable[[DataFrame], DataFrame] = once, side: int = TILE) -> DataFrame:
     """(score_id, s_idx, r_idx) of two note streams, aligned by step and octave; null for a gap. Equal ends of both streams are paired by
-    position, which the preference for pairs on the way back does as well; only what stands before them is aligned in one piece."""
-    key = F.concat("step", C("octave").cast("string")).alias("k")
-    s, r = source.select("score_id", "idx", key), recovered.select("score_id", "idx", key)
-    ends = common_ends(s, r)
-    paired = s.join(ends, "score_id").filter(C("idx") >= C("n_s") - C("same")).select("score_id", C("idx").cast("long").alias("s_idx"), (C("idx") - C("n_s") + C("n_r")).cast("long").alias("r_idx"))
-
-    def pair(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s, r = s.sort_values("idx"), r.sort_values("r_idx")
-        score_id = s["score_id"].iloc[0] if len(s) else r["r_score_id"].iloc[0]
-        found = align(list(s["k"]), list(r["r_k"]))
-        return pd.DataFrame({"score_id": score_id, "s_idx": pd.array([i if i >= 0 else None for i, _ in found], "Int64"), "r_idx": pd.array([j if j >= 0 else None for _, j in found], "Int64")})
-
-    rest = lambda df, n: df.join(ends, "score_id").filter(C("idx") < C(n) - C("same")).select("score_id", "idx", "k")
-    other = rest(r, "n_r").select(C("score_id").alias("r_score_id"), C("idx").alias("r_idx"), C("k").alias("r_k"))  # names of its own: both sides may be one table
-    different = rest(s, "n_s").groupBy("score_id").cogroup(other.groupBy("r_score_id")).applyInPandas(pair, "score_id long, s_idx long, r_idx long")
-    return paired.unionByName(different)
+    position, which the preference for pairs on the way back does as well; what stands before them is aligned in tiles."""
+    key = diatonic_index(C("step"), C("octave")).cast("int").alias("k")
+    s, r = keep(source.select("score_id", "idx", key)), keep(recovered.select("score_id", "idx", key))
+    ends = keep(common_ends(s, r))
+    paired = s.join(ends.filter("same > 0"), "score_id").filter(C("idx") >= C("n_s") - C("same")).select("score_id", C("idx").cast("long").alias("s_idx"), (C("idx") - C("n_s") + C("n_r")).cast("long").alias("r_idx"))
+    rest = lambda df, n: df.join(ends.filter(C(n) > C("same")), "score_id").filter(C("idx") < C(n) - C("same")).select("score_id", "idx", C("k").alias("code"))
+    sizes = ends.select("score_id", (C("n_s") - C("same")).alias("n"), (C("n_r") - C("same")).alias("m")).filter("n > 0 or m > 0")
+    return paired.unionByName(tiled(rest(s, "n_s"), rest(r, "n_r"), sizes, keep, side))
 
 
 def note_differences(source: DataFrame, recovered: DataFrame) -> DataFrame:
