@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, row_key, shuffles_removed, strings, table
+from .common import Scratch, checkpointed, row_key, shuffles_removed, spread_join, strings, table
 
 LENGTH, PIECE = 200, 1 << 20
 #: A place in a text, the positions of its stretch before it, and all positions of it are one number; LENGTH is below PACK.
@@ -178,7 +178,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int | None = None, f
         pairs = scratch.write(first_pairs(texts.dropDuplicates(["h1", "h2"]).join(chosen, ["h1", "h2"]).select("text", "ids", "ats"), length, first, step))
         runs = doubled(pairs, first + step, length, scratch).groupBy("id").agg(F.min("x").alias("low"), F.max("x").alias("high"))
         ends = F.expr(f"at div {PACK * PACK} - at div {PACK} % {PACK} as start"), F.expr(f"at div {PACK * PACK} - at div {PACK} % {PACK} + at % {PACK} + {length - 1} as end")
-        whole = found.filter("alike").select("h1", "h2", *ends).union(found.filter("not alike").join(classes.filter("n > 1").select("k", "u"), ["k", "u"]).select("h1", "h2", *ends))
+        whole = found.filter("alike").select("h1", "h2", *ends).union(spread_join(found.filter("not alike"), classes.filter("n > 1").select("k", "u"), ["k", "u"], F.col("h1")).select("h1", "h2", *ends))
         part = classes.filter("n = 1").select("id", "h1", "h2", ends[0]).join(runs, "id").select("h1", "h2", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + length).alias("end"))
         return checkpointed(whole.union(part).groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
