@@ -144,9 +144,20 @@ def inserted_measures(measures: DataFrame, requests: DataFrame) -> DataFrame:
     return old.unionByName(new).withColumn("number", F.row_number().over(over(PART, ["measure_idx", "nth"])))
 
 
-def undo_steps(log: DataFrame, gap: int) -> DataFrame:
-    """Edits in undo steps: an edit joins the step of the one before if they have the same key and less than gap lies between."""
+def undo_runs(log: DataFrame, gap: int) -> DataFrame:
+    """Edits (doc_id, seq) with the number of their undo step and its first seq: an edit joins the step of the one before if both have the same key, not
+    null, and less than gap lies between. In a log with a column op, edits are its rows of null or ``commit``; an ``undo`` or a ``reset`` between two edits
+    parts them, while a ``redo`` after an edit has nothing to do."""
     w = over("doc_id", ["seq"])
-    joins = (C("coalesce_key") == F.lag("coalesce_key").over(w)) & (C("seq") - F.lag("seq").over(w) < gap)
-    rows = log.withColumn("step", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(upto(w)))
-    return rows.groupBy("doc_id", "step").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("edits"), F.first("coalesce_key").alias("coalesce_key"))
+    rows = log
+    if "op" in log.columns:
+        rows = log.withColumn("breaks", F.count_if(C("op").isin("undo", "reset")).over(upto(w))).filter("op is null or op = 'commit'")
+    same = F.lag("breaks").over(w) == C("breaks") if "op" in log.columns else F.lit(True)
+    joins = (C("coalesce_key") == F.lag("coalesce_key").over(w)) & (C("seq") - F.lag("seq").over(w) < gap) & same
+    rows = rows.withColumn("opens", ~F.coalesce(joins, F.lit(False)))
+    return rows.withColumn("step", F.count_if("opens").over(upto(w))).withColumn("first_seq", F.last(F.when(C("opens"), C("seq")), ignorenulls=True).over(upto(w))).drop("opens", "breaks")
+
+
+def undo_steps(log: DataFrame, gap: int) -> DataFrame:
+    """The undo steps of `undo_runs`, one row each."""
+    return undo_runs(log, gap).groupBy("doc_id", "step").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("edits"), F.first("coalesce_key").alias("coalesce_key"))

@@ -15,6 +15,7 @@ from stavework.streaming import stateful
 
 from .base import Queries
 from .ctes import CTES
+from .edits import HISTORY
 
 Q = Queries()
 C = F.col
@@ -159,6 +160,14 @@ Q.add("k2_stream_undo_steps", "doc_id:l seq:l step:l", lambda spark, d: stateful
       "SELECT doc_id, seq, sum(CASE WHEN coalesce_key = pk AND seq - ps < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS step FROM (SELECT *, lag(coalesce_key) OVER w AS pk, lag(seq) OVER w AS ps FROM edit_log WINDOW w AS (PARTITION BY doc_id ORDER BY seq))")
 
 
+def _history(spark, d):
+    e = stateful.event_stream(spark, d).select(C("user_id").alias("doc_id"), F.unix_micros("ts").alias("seq"), C("event_type").alias("coalesce_key"), F.get_json_object("props", "$.k").cast("int").alias("k"), "ts")
+    return stateful.finished(stateful.undo_events(A.with_history(e), 6 * 3600 * 1_000_000, 400 * 86_400_000), _folder(spark)).filter("kind = 'row'")
+
+
+Q.add("k2_stream_history_runs", "doc_id:l seq:l step:l first_seq:l", _history, HISTORY)
+
+
 def _offsets(spark, d):
     """Pages from a stream of spans: the batch spans are written as files and streamed."""
     spans = T.measure_spans(T.notes(A.omr_tokens(spark, d)), "page_id").select((C("page_id") % 2).cast("long").alias("doc_id"), F.floor(C("page_id") / 2).alias("page_no"), C("span").cast("long").alias("span"))

@@ -121,5 +121,10 @@ Q.add("i10_inserted_measures", "score_id:l number:l measure_idx:l is_new:b", lam
       "SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY measure_idx, nth) AS number FROM (SELECT score_id, measure_idx, 0 AS nth, false AS is_new FROM measures UNION ALL SELECT b.score_id, b.measure_idx, 1, true FROM batch b JOIN measures m ON m.score_id = b.score_id AND m.measure_idx = b.measure_idx)")
 Q.add("i11_undo_steps", "doc_id:l first_seq:l last_seq:l edits:l coalesce_key:s", lambda spark, d: E.undo_steps(A.edit_log(spark, d), 6 * 3600 * 1_000_000),
       "SELECT doc_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS edits, min(coalesce_key) AS coalesce_key FROM (SELECT *, sum(CASE WHEN coalesce_key = pk AND seq - ps < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS step FROM (SELECT *, lag(coalesce_key) OVER w AS pk, lag(seq) OVER w AS ps FROM edit_log WINDOW w AS (PARTITION BY doc_id ORDER BY seq))) GROUP BY doc_id, step")
+CTES["history_log"] = "SELECT doc_id, seq, CASE WHEN k % 19 > 0 THEN coalesce_key END AS coalesce_key, CASE WHEN k % 11 = 3 THEN 'undo' WHEN k % 17 = 5 THEN 'reset' WHEN k % 7 = 2 THEN 'redo' END AS op FROM edit_log"
+HISTORY = """SELECT doc_id, seq, step, max(CASE WHEN opens = 1 THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq) AS first_seq FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY seq) AS step FROM (
+  SELECT doc_id, seq, CASE WHEN coalesce_key = lag(coalesce_key) OVER w AND seq - lag(seq) OVER w < 21600000000 AND breaks = lag(breaks) OVER w THEN 0 ELSE 1 END AS opens
+  FROM (SELECT *, count(*) FILTER (op IN ('undo', 'reset')) OVER (PARTITION BY doc_id ORDER BY seq) AS breaks FROM history_log) WHERE op IS NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)))"""
+Q.add("i11_history_runs", "doc_id:l seq:l step:l first_seq:l", lambda spark, d: E.undo_runs(A.with_history(A.edit_log(spark, d)), 6 * 3600 * 1_000_000), HISTORY)
 
 QUERIES, ORACLES = Q.queries, Q.oracles

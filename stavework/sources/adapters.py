@@ -144,6 +144,13 @@ def edit_log(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).select(F.col("user_id").alias("doc_id"), F.col("us").alias("seq"), F.col("event_type").alias("coalesce_key"), "k")
 
 
+def with_history(log: DataFrame) -> DataFrame:
+    """An edit log (with k) in which some rows undo, redo or reset, and some edits have no key."""
+    k = F.col("k")
+    op = F.when(k % 11 == 3, "undo").when(k % 17 == 5, "reset").when(k % 7 == 2, "redo")
+    return log.withColumn("op", op).withColumn("coalesce_key", F.when(k % 19 > 0, F.col("coalesce_key")))
+
+
 def recovered_measures(spark: SparkSession, folder: str) -> DataFrame:
     """The measures as a recogniser might have read them: some lost, some with another key or meter."""
     k = F.col("order_key")

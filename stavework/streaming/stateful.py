@@ -1,5 +1,9 @@
 """Note pairing, undo steps and page offsets over streams. A key's rows of a micro-batch are put in order before they meet the
-key's state; state is a few numbers a key, and old state leaves by event-time timeouts."""
+key's state; state is a few values a key, and old state leaves by event-time timers.
+
+Rows that come later than the watermark allows are not lost silently: pairing and undo steps give a row of kind ``late`` with their number
+for each key and micro-batch, beside the results proper. For that the event time is handed on as plain milliseconds, as Spark drops late rows
+of a column that it knows to be the event time before they reach a stateful operator."""
 
 from __future__ import annotations
 
@@ -8,86 +12,197 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: The state store that keyed state and timers need.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NOTES = "track long, note long, start long, end long, velocity long, end_seq long"
+STEPS = "doc_id long, seq long, step long, first_seq long"
+PAGES = "doc_id long, page_no long, offset long"
+#: What ends a run of edits that coalesce; a redo after an edit has nothing to do, and after an undo the run has ended already.
+BREAKS = ("undo", "reset")
 
-def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order)
 
+def _rows(frames: Iterator[pd.DataFrame], order: list[str], watermark: int | None = None) -> tuple[pd.DataFrame, int]:
+    """The rows in order, without those before the watermark, and how many these are."""
+    rows = pd.concat(list(frames))
+    late = rows["at"] < watermark if watermark is not None else pd.Series(False, index=rows.index)
+    return rows[~late].sort_values(order), int(late.sum())
 
-def paired_notes(events: DataFrame, patience_ms: int) -> DataFrame:
-    """Notes of a stream (track, note, seq, tick, velocity, begins, ts with a watermark). A beginning without an end for so long
-    is forgotten."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        open_, out = (state.get if state.exists else None), []
-        latest = None
-        for r in _rows(frames, ["seq"]).itertuples(index=False):
-            latest = r.ts
+
+def _out(names: str, found: list[tuple], key: tuple, late: int, kind: str = "row") -> pd.DataFrame:
+    """Results as rows of a kind, and a row that counts late ones."""
+    columns = [c.split()[0] for c in names.split(", ")]
+    out = pd.DataFrame(found, columns=columns).assign(kind=kind, n=1)
+    if late:
+        lost = pd.DataFrame([(*key, *[None] * (len(columns) - len(key)), "late", late)], columns=[*columns, "kind", "n"])
+        out = pd.concat([out, lost]) if len(out) else lost
+    return out[["kind", "n", *columns]].astype({c: "Int64" for c in [*columns, "n"]})
+
+
+class Pairing(StatefulProcessor):
+    """State: the open beginning of a (track, note). A timer forgets it when its end has not come for so long."""
+
+    def __init__(self, patience_ms: int):
+        self.patience = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "tick long, velocity long, seq long, until long")
+
+    def _close(self) -> None:
+        if self.open.exists():
+            self.handle.deleteTimer(self.open.get()[3])
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows, late = _rows(rows, ["seq"], timerValues.getCurrentWatermarkInMs())
+        open_, found = (self.open.get() if self.open.exists() else None), []
+        for r in rows.itertuples(index=False):
             if r.begins:
-                open_ = (int(r.tick), int(r.velocity))
+                open_ = (int(r.tick), int(r.velocity), int(r.seq), int(r.at) + self.patience)
             elif open_ is not None:
-                out.append((*key, open_[0], int(r.tick), open_[1], int(r.seq)))
+                found.append((*key, open_[0], int(r.tick), open_[1], int(r.seq)))
                 open_ = None
-        if open_ is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(open_)
-            state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + patience_ms)
-        yield pd.DataFrame(out, columns=["track", "note", "start", "end", "velocity", "end_seq"])
-
-    return events.groupBy("track", "note").applyInPandasWithState(step, "track long, note long, start long, end long, velocity long, end_seq long", "tick long, velocity long", "append", GroupStateTimeout.EventTimeTimeout)
+        self._close()
+        if open_ is not None:
+            self.open.update(open_)
+            self.handle.registerTimer(open_[3])
+        yield _out(NOTES, found, key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The beginning that is forgotten, as a row of kind ``expired`` with its place as end_seq."""
+        found = []
+        if self.open.exists() and self.open.get()[3] <= expiredTimerInfo.getExpiryTimeInMs():
+            tick, velocity, seq, _ = self.open.get()
+            found.append((*key, tick, None, velocity, seq))
+            self.open.clear()
+        yield _out(NOTES, found, key, 0, "expired")
+
+    def close(self) -> None:
+        pass
+
+
+class Steps(StatefulProcessor):
+    """State: the last edit of a document, if an edit may still join it, and the number of its step. With idle_ms a timer drops the state of a
+    document without edits for so long: by then none can join, and a later step begins to number from 1 again."""
+
+    def __init__(self, gap: int, idle_ms: int | None = None):
+        self.gap, self.idle = gap, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "coalesce_key string, seq long, step long, first_seq long, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows, late = _rows(rows, ["seq"], timerValues.getCurrentWatermarkInMs() if self.idle is not None else None)
+        last, seq, step, first, until = self.last.get() if self.last.exists() else (None, None, 0, None, None)
+        found, timer = [], until
+        for r in rows.itertuples(index=False):
+            if r.op in BREAKS:
+                last = None
+            elif pd.isna(r.op) or r.op == "commit":
+                named = None if pd.isna(r.coalesce_key) else r.coalesce_key
+                if named is None or named != last or r.seq - seq >= self.gap:
+                    step, first = step + 1, int(r.seq)
+                last, seq = named, int(r.seq)
+                found.append((*key, seq, step, first))
+            if self.idle is not None:
+                until = max(until or 0, int(r.at) + self.idle)
+        self.last.update((last, seq, step, first, until))
+        if until != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
+        yield _out(STEPS, found, key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[4] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield _out(STEPS, [], key, 0)
+
+    def close(self) -> None:
+        pass
+
+
+class Pages(StatefulProcessor):
+    """State: the next page of a document and where it begins; a map of the pages that came before their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "page_no long, offset long")
+        self.waiting = handle.getMapState("waiting", "page_no long", "span long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        page, offset = self.next.get() if self.next.exists() else (0, 0)
+        found = []
+        for r in _rows(rows, ["page_no"])[0].itertuples(index=False):
+            self.waiting.updateValue((int(r.page_no),), (int(r.span),))
+        while self.waiting.containsKey((page,)):
+            found.append((*key, page, offset))
+            offset += self.waiting.getValue((page,))[0]
+            self.waiting.removeKey((page,))
+            page += 1
+        self.next.update((page, offset))
+        yield _out(PAGES, found, key, 0)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(rows: DataFrame, by: list[str], processor: StatefulProcessor, names: str, timers: bool) -> DataFrame:
+    return rows.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"kind string, n long, {names}", outputMode="Append", timeMode="EventTime" if timers else "None")
+
+
+def _milliseconds(rows: DataFrame) -> DataFrame:
+    """The event time as a plain number: Spark keeps the watermark, and late rows come through."""
+    return rows.withColumn("at", F.unix_millis("ts")).drop("ts")
+
+
+def pairing_events(events: DataFrame, patience_ms: int) -> DataFrame:
+    """(kind, n, notes' columns) of a stream (track, note, seq, tick, velocity, begins, ts with a watermark): notes as kind ``row``, beginnings that
+    no end followed for so long as ``expired``, numbers of late rows as ``late``."""
+    return _stateful(_milliseconds(events), ["track", "note"], Pairing(patience_ms), NOTES, True)
+
+
+def undo_events(log: DataFrame, gap: int, idle_ms: int | None = None) -> DataFrame:
+    """(kind, n, steps' columns) of a stream (doc_id, seq, coalesce_key, perhaps op; with idle_ms also ts with a watermark): edits as kind ``row`` with
+    the number of their undo step and its first seq, numbers of late rows as ``late``."""
+    log = log if "op" in log.columns else log.withColumn("op", F.lit(None).cast("string"))
+    log = _milliseconds(log) if idle_ms is not None else log.withColumn("at", F.lit(0).cast("long"))
+    return _stateful(log.select("doc_id", "seq", "coalesce_key", "op", "at"), ["doc_id"], Steps(gap, idle_ms), STEPS, idle_ms is not None)
 
 
-def undo_steps(log: DataFrame, gap: int) -> DataFrame:
-    """Edits of a stream (doc_id, seq, coalesce_key) with the number of their undo step."""
+def paired_notes(events: DataFrame, patience_ms: int) -> DataFrame:
+    """The notes of `pairing_events` alone."""
+    return pairing_events(events, patience_ms).filter("kind = 'row'").drop("kind", "n")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_key, last_seq, number = state.get if state.exists else (None, 0, 0)
-        out = []
-        for r in _rows(frames, ["seq"]).itertuples(index=False):
-            if r.coalesce_key != last_key or r.seq - last_seq >= gap:
-                number += 1
-            last_key, last_seq = r.coalesce_key, int(r.seq)
-            out.append((*key, last_seq, number))
-        state.update((last_key, last_seq, number))
-        yield pd.DataFrame(out, columns=["doc_id", "seq", "step"])
 
-    return log.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, seq long, step long", "coalesce_key string, seq long, step long", "append", GroupStateTimeout.NoTimeout)
+def undo_steps(log: DataFrame, gap: int, idle_ms: int | None = None) -> DataFrame:
+    """Edits of a stream with the number of their undo step: `undo_events` without late rows."""
+    return undo_events(log, gap, idle_ms).filter("kind = 'row'").drop("kind", "n", "first_seq")
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """Where each page's measures begin in its document (doc_id, page_no from 0, span). A page waits for the ones before it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_page, offset, waiting_no, waiting_span = state.get if state.exists else (0, 0, [], [])
-        waiting = dict(zip(waiting_no, waiting_span))
-        for r in _rows(frames, ["page_no"]).itertuples(index=False):
-            waiting[int(r.page_no)] = int(r.span)
-        out = []
-        while next_page in waiting:
-            out.append((*key, next_page, offset))
-            offset += waiting.pop(next_page)
-            next_page += 1
-        state.update((next_page, offset, list(waiting), list(waiting.values())))
-        yield pd.DataFrame(out, columns=["doc_id", "page_no", "offset"])
-
-    return pages.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, page_no long, offset long", "next_page long, offset long, waiting_no array<long>, waiting_span array<long>", "append", GroupStateTimeout.NoTimeout)
+    pages = pages.select("doc_id", "page_no", "span", F.lit(0).cast("long").alias("at"))
+    return _stateful(pages, ["doc_id"], Pages(), PAGES, False).drop("kind", "n")
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000, delay: str = "1 hour") -> DataFrame:
     """The events table of a folder as a stream, with a watermark."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def finished(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what is there now and gives what it has written to the folder."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    """Runs a stream over what is there now and gives what it has written to the folder. The session's state store is left as it was."""
+    spark, (key, store) = stream.sparkSession, STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
