@@ -28,7 +28,7 @@ from .common import FEW_ROWS, UPPER, checkpointed, shuffles_removed, strings, ta
 
 MIN_COUNT, TOP, MAX_COVERED = 10, 2000, 50
 #: Bytes of a language's texts that are counted together, and of all languages that a task holds.
-CHUNK, HELD = 3_000_000, 8_000_000
+CHUNK, HELD = 4_000_000, 8_000_000
 #: Nodes are first expanded down to the score of the FIRST-th pair, then of WIDER times as many, and so on.
 FIRST, WIDER = 2 * TOP, 4
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -99,7 +99,8 @@ def counted(docs: DataFrame, count) -> DataFrame:
             yield from flush(lang)
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(rows, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # chunks are counted already: a map of each task's phrases would take memory and join few rows
+    return texts.mapInArrow(rows, COUNTS).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def expanded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
