@@ -152,11 +152,16 @@ class Reader:
 
     def value(self, m: re.Match) -> int:
         """Reads a target and those within its value; where they end."""
-        text, stack, brackets = self.text, [], []
+        text, stack, brackets, lookups = self.text, [], [], []  # lookups: the places of the open brackets that look something up
+
+        def opened(kind: str) -> None:
+            if kind == "lookup":
+                lookups.append(len(brackets))
+            brackets.append(kind)
 
         def begin(m: re.Match) -> int:
             if m["call"]:
-                brackets.append("call")
+                opened("call")
             t = Target(m, len(brackets))
             self.targets.append(t)
             if t.colon and (b := BLOCK.match(text, m.end())):
@@ -168,7 +173,7 @@ class Reader:
         while stack and (k := TOKEN.match(text, at)):
             t = stack[-1]
             nested = len(brackets) > t.depth or t.is_call
-            looked_up = "lookup" in brackets[t.depth :]
+            looked_up = bool(lookups) and lookups[-1] >= t.depth
             if k["space"]:
                 at = k.end()
             elif k["blank"]:
@@ -183,7 +188,7 @@ class Reader:
                 at, t.wanted = k.end(), True
             elif k["target"]:
                 if k["call"] and t.wanted and subwords(k["name"] or "")[:1] != ["set"]:  # a call in a value hands on what it is given
-                    brackets.append("lookup" if set(subwords(k["name"] or "")) & LOOKUPS else "call")
+                    opened("lookup" if set(subwords(k["name"] or "")) & LOOKUPS else "call")
                     at = k.end()
                 elif t.colon and not t.parts and not nested and k["name"]:
                     at, t.colon = k.end(), False  # a type
@@ -203,12 +208,13 @@ class Reader:
                 if not t.wanted and not nested and not t.colon:
                     stack.pop()
                     continue
-                brackets.append("lookup" if k["of"] and set(subwords(k["of"])) & LOOKUPS else "open")
+                opened("lookup" if k["of"] and set(subwords(k["of"])) & LOOKUPS else "open")
                 at, t.wanted = k.end(), True
             elif k["close"]:
                 if not brackets:
                     break
-                brackets.pop()
+                if brackets.pop() == "lookup":
+                    lookups.pop()
                 at = k.end()
                 while stack and stack[-1].depth > len(brackets):
                     stack.pop()
