@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, UPPER, checkpointed, shuffles_removed, strings, table
+from .common import FEW_ROWS, UPPER, checkpointed, shuffles_removed, spread_join, strings, table
 
 MIN_COUNT, TOP, MAX_COVERED = 10, 2000, 50
 #: Bytes of a language's texts that are counted together, and of all languages that a task holds.
@@ -144,12 +144,12 @@ def search(docs: DataFrame, counts: DataFrame) -> DataFrame:
         else:
             cuts = cuts.withColumn("before", F.lit(None).cast("long"))
         cuts = checkpointed(cuts)
-        here = nodes.join(cuts, "lang")
+        here = spread_join(nodes, cuts, ["lang"], F.col("phrase"))  # most rows may be of one language
         triples = checkpointed(triples.union(expanded(docs, here.filter("bound >= cut and (before is null or bound < before)"))).dropDuplicates(["lang", "phrase"]))
-        items = checkpointed(_items(nodes.join(cuts.select("lang", "cut"), "lang").filter("bound >= cut").drop("cut", "bound"), triples, words, pairs, with_count))
+        items = checkpointed(_items(here.filter("bound >= cut").drop("cut", "bound", "before", "settled"), triples, words, pairs, with_count))
         left = here.filter("bound < cut").groupBy("lang").agg(F.max("bound").alias("left"))
         bounded = cuts.select("lang", "cut").join(left, "lang", "left")
-        above = items.join(bounded, "lang").filter("left is null or score > left").drop("cut")
+        above = spread_join(items, bounded, ["lang"], F.col("phrase")).filter("left is null or score > left").drop("cut")
         states = checkpointed(bounded.join(above.groupBy("lang").agg(F.count("*").alias("above")), "lang", "left").withColumn("settled", F.expr(f"left is null or coalesce(above, 0) >= {TOP}")))
         if not states.filter("not settled").limit(1).count():
             break
