@@ -140,3 +140,7 @@ SELECT s.*, clef, fifths, beats, beat_type FROM (SELECT DISTINCT page_id, staff_
     "page_starts": """
 SELECT *, page_id % 2 AS doc_id, coalesce(sum(span) OVER (PARTITION BY page_id % 2 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_ FROM (SELECT page_id, max(measure_idx) + 1 AS span FROM omr_notes GROUP BY page_id)""",
 }
+CTES["printed"] = """SELECT score_id, measure_idx, elem_idx, CASE WHEN alter_ = state THEN 'none' WHEN alter_ > 0 THEN 'sharp' WHEN alter_ < 0 THEN 'flat' ELSE 'natural' END AS accidental FROM (
+      SELECT t.score_id, t.measure_idx, elem_idx, alter_, coalesce(lag(alter_) OVER (PARTITION BY t.score_id, t.measure_idx, step, octave ORDER BY onset, is_grace DESC, elem_idx),
+        CASE WHEN active_fifths > 0 AND strpos('FCGDAEB', step) <= active_fifths THEN 1 WHEN active_fifths < 0 AND strpos('BEADGCF', step) <= -active_fifths THEN -1 ELSE 0 END) AS state
+      FROM timed t JOIN active a ON a.score_id = t.score_id AND a.measure_idx = t.measure_idx WHERE tag = 'note' AND NOT is_rest)"""

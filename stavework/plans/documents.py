@@ -11,6 +11,7 @@ from stavework.operators import diff as D
 from stavework.operators import tokens as T
 from stavework.sources import adapters as A
 from stavework.sources import scores as S
+from stavework.sources import structure as X
 from stavework.streaming import stateful
 
 from .base import Queries
@@ -142,6 +143,32 @@ def _tempos(spark, d):
 TEMPO = "CASE WHEN score_id % 5 > 0 AND score_id % 9 > 0 THEN score_id % 90 + 1 END"
 Q.add("a12_tempo_in_documents", "score_id:l tempo:d printed:s marks:l", lambda spark, d: (lambda t: S.metadata(t).select("score_id", "tempo").join(t.select("score_id", F.nullif(F.expr("xpath_string(text, '//metronome/per-minute')"), F.lit("")).alias("printed"), F.size(F.expr("xpath(text, '//sound/@tempo')")).alias("marks")), "score_id"))(A.once(_tempos(spark, d))),
       f"SELECT score_id, {TEMPO} AS tempo, CAST({TEMPO} AS VARCHAR) AS printed, CASE WHEN {TEMPO} IS NULL THEN 0 ELSE 1 END AS marks FROM known WHERE score_id IN (SELECT score_id FROM measures)")
+Q.add("a5_written_documents", "score_id:l title:s composer:s rights:s", lambda spark, d: S.metadata(S.with_metadata(S.exported(A.note_elements(spark, d), A.measures(spark, d), known(spark, d)), updates(spark, d).drop("k"))),
+      f"SELECT n.score_id, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 'title ' || k ELSE title END AS title, composer, CASE WHEN k % 2 = 0 THEN 'all' ELSE rights END AS rights FROM known n JOIN {UPDATES} u ON u.score_id = n.score_id")
+
+
+def _engraved(spark, d):
+    """What documents hold that are fit for other readers, counted in their own elements."""
+    e, m = A.note_elements(spark, d), A.measures(spark, d)
+    rows = X.nodes(S.exported(S.engraved(e, m), m, part_list=True))
+    return rows.groupBy("score_id").agg(*[F.count_if(C("tag") == t).alias(n) for t, n in (("accidental", "accidentals"), ("tied", "curves"), ("note", "notes"), ("score-part", "listed"))], F.bool_and((C("tag") != "beam") | C("value").isin("begin", "continue", "end", "forward hook", "backward hook")).alias("valid"))
+
+
+Q.add("a7_engraved", "score_id:l notes:l accidentals:l curves:l listed:l valid:b", _engraved,
+      """SELECT m.score_id, coalesce(notes, 0) AS notes, coalesce(accidentals, 0) AS accidentals, coalesce(curves, 0) AS curves, 1 AS listed, true AS valid FROM (SELECT DISTINCT score_id FROM measures) m
+      LEFT JOIN (SELECT score_id, count(*) FILTER (tag = 'note') AS notes, sum(CASE WHEN tag = 'note' AND tie_start THEN 1 ELSE 0 END + CASE WHEN tag = 'note' AND tie_stop THEN 1 ELSE 0 END) AS curves FROM note_elements GROUP BY score_id) e ON e.score_id = m.score_id
+      LEFT JOIN (SELECT score_id, count(*) AS accidentals FROM printed WHERE accidental <> 'none' GROUP BY score_id) p ON p.score_id = m.score_id""")
+
+
+def _read_folder(spark, d):
+    """All documents written as files, some of them cut off, and read from their folder: how many elements each has, or that it is broken."""
+    folder = _folder(spark)
+    S.write_scores(texts(spark, d).withColumn("text", F.when(C("score_id") % 5 == 0, F.substring("text", 1, 100)).otherwise(C("text"))), folder)
+    rows = S.read_scores(spark, folder).withColumn("score_id", F.regexp_extract("path", r"score_id=(\d+)/", 1).cast("long"))
+    return rows.groupBy("score_id").agg(F.count_if(C("tag").isNotNull()).alias("elements"), F.bool_or(C("error").isNotNull()).alias("broken"))
+
+
+Q.add("a1_read_folder", "score_id:l elements:l broken:b", _read_folder, "SELECT m.score_id, CASE WHEN m.score_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS elements, m.score_id % 5 = 0 AS broken FROM (SELECT DISTINCT score_id FROM measures) m LEFT JOIN (SELECT score_id, count(*) AS n FROM note_elements GROUP BY score_id) e ON e.score_id = m.score_id")
 
 
 def _folder(spark):

@@ -39,11 +39,7 @@ Q.add("c7_staff_events", f"{KM} staff:l onset:l duration:l n_notes:l type:s kind
 Q.add("c8_multi_staff", "score_id:l multi_staff:b staves:l", el(O.multi_staff_parts), "SELECT score_id, max(staff) > 1 OR count(*) FILTER (tag = 'backup') > 0 AS multi_staff, max(staff) AS staves FROM note_elements GROUP BY score_id")
 Q.add("c9_first_clefs", "score_id:l staff:l sign:s line:l", lambda spark, d: O.first_clefs(A.clefs(spark, d), A.note_elements(spark, d)),
       "SELECT s.score_id, s.staff, coalesce(sign, CASE s.staff WHEN 2 THEN 'F' ELSE 'G' END) AS sign, coalesce(line, CASE s.staff WHEN 2 THEN 4 ELSE 2 END) AS line FROM (SELECT score_id, unnest(range(1, max(staff) + 1)) AS staff FROM note_elements GROUP BY score_id) s LEFT JOIN (SELECT score_id, staff, arg_min(sign, measure_idx) AS sign, arg_min(line, measure_idx) AS line FROM clefs GROUP BY ALL) c ON c.score_id = s.score_id AND c.staff = s.staff")
-Q.add("c10_printed_accidentals", f"{KE} accidental:s", el_me(O.printed_accidentals),
-      """SELECT score_id, measure_idx, elem_idx, CASE WHEN alter_ = state THEN 'none' WHEN alter_ > 0 THEN 'sharp' WHEN alter_ < 0 THEN 'flat' ELSE 'natural' END AS accidental FROM (
-      SELECT t.score_id, t.measure_idx, elem_idx, alter_, coalesce(lag(alter_) OVER (PARTITION BY t.score_id, t.measure_idx, step, octave ORDER BY onset, is_grace DESC, elem_idx),
-        CASE WHEN active_fifths > 0 AND strpos('FCGDAEB', step) <= active_fifths THEN 1 WHEN active_fifths < 0 AND strpos('BEADGCF', step) <= -active_fifths THEN -1 ELSE 0 END) AS state
-      FROM timed t JOIN active a ON a.score_id = t.score_id AND a.measure_idx = t.measure_idx WHERE tag = 'note' AND NOT is_rest)""")
+Q.add("c10_printed_accidentals", f"{KE} accidental:s", el_me(O.printed_accidentals), "SELECT * FROM printed")
 Q.add("c11_note_ids", f"{KE} id:s", el(O.note_ids),
       "SELECT score_id, measure_idx, elem_idx, 'p' || part_idx || '-m' || measure_idx || '-n' || (dense_rank() OVER (PARTITION BY score_id, measure_idx ORDER BY island) - 1) || '-v' || (row_number() OVER (PARTITION BY score_id, measure_idx, island ORDER BY diatonic, elem_idx) - 1) AS id FROM islands WHERE NOT is_rest")
 Q.add("c12_measure_starts", f"{KM} length:l start:l", el_me(O.measure_starts), "SELECT score_id, measure_idx, length_ AS length, start_ AS start FROM starts")

@@ -18,8 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from stavework.functions import rhythm as R
+from stavework.operators import cursor as O
 from stavework.operators.windows import MEASURE
 
+from . import structure as X
+from .adapters import once
+
 C = F.col
 ELEMENTS = "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, is_chord boolean, is_grace boolean, is_rest boolean, duration int, staff int, voice int, step string, alter int, octave int, type string, dot boolean, tie_start boolean, tie_stop boolean, slash boolean, staccato boolean, play_duration int, full_measure boolean, number int, divisions int, staves int, fifths int, mode string, beats int, beat_type int, senza_misura boolean, clefs array<struct<staff:int,sign:string,line:int>>, repeat_start boolean, repeat_times int, error string"
 INTEGER = re.compile(r"\s*([+-]?\d+)")
@@ -36,6 +41,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", file_kind(C("path")).alias("kind"), "content")
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the score documents in a folder and those below it, with the path of each; score_id is a hash of the path. Spark packs files into
+    tasks by their size. Compressed documents are unpacked; other kinds of files are left out, and what can't be read is a row with an error."""
+    files = read_files(spark, path)
+    plain = files.filter("kind = 'text'").select("path", F.expr("try_validate_utf8(content)").cast("string").alias("text"))
+    texts = plain.withColumn("error", F.when(C("text").isNull(), "no text")).unionByName(unpacked(files.filter("kind = 'mxl'")))
+    texts = texts.withColumn("score_id", F.xxhash64("path"))
+    bad = texts.filter("text is null").select("path", "score_id", "error")
+    return parsed(texts.filter("text is not null"), "path").unionByName(bad, allowMissingColumns=True)
+
+
+def write_scores(texts: DataFrame, path: str) -> None:
+    """Documents (score_id, text) as files, one for each score in a folder of its own, under Spark's commit of tasks: a task that is tried again leaves no
+    second file."""
+    texts.select("score_id", "text").repartition("score_id").write.partitionBy("score_id").option("lineSep", "\n").text(path)
+
+
 def integer(text: str | None, default: int | None = None) -> int | None:
     m = INTEGER.match(text or "")
     return int(m[1]) if m else default
@@ -88,20 +110,23 @@ def score_rows(score_id: int, xml: str) -> Iterator[dict]:
                 at += 1
 
 
-def parsed(texts: DataFrame) -> DataFrame:
-    """All rows of documents (score_id, text), errors included."""
-    schema = to_arrow_schema(texts.sparkSession.createDataFrame([], ELEMENTS).schema)
+def parsed(texts: DataFrame, *also: str) -> DataFrame:
+    """All rows of documents (score_id, text), errors included, with further string columns."""
+    named = ELEMENTS + "".join(f", {c} string" for c in also)
+    schema = to_arrow_schema(texts.sparkSession.createDataFrame([], named).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for score_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for score_id, text, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
                     rows = list(score_rows(score_id, text or ""))
                 except ElementTree.ParseError as e:
                     rows = [{"score_id": score_id, "error": str(e)}]
+                for row in rows:
+                    row |= dict(zip(also, more, strict=True))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return texts.select("score_id", "text").mapInArrow(run, ELEMENTS)
+    return texts.select("score_id", "text", *also).mapInArrow(run, named)
 
 
 def parsed_measures(rows: DataFrame) -> DataFrame:
@@ -179,9 +204,12 @@ def element_text(columns: list[str]) -> Column:
     grace = F.when(C("is_grace"), F.when(C("slash"), '<grace slash="yes"/>').otherwise("<grace/>")).otherwise("")
     flag = lambda c, text: F.when(C(c), text).otherwise("")
     slurs = [_flag("slur_start", '<slur type="start"/>', columns), _flag("slur_stop", '<slur type="stop"/>', columns)]
-    marks = F.concat(*slurs, _flag("staccato", "<articulations><staccato/></articulations>", columns))
+    tied = [F.when(C("tied") & C(f"tie_{kind}"), f'<tied type="{kind}"/>').otherwise("") for kind in ("stop", "start")] if "tied" in columns else []
+    marks = F.concat(*tied, *slurs, _flag("staccato", "<articulations><staccato/></articulations>", columns))
+    printed = F.when(C("accidental") != "none", _tag("accidental", C("accidental"))).otherwise("") if "accidental" in columns else F.lit("")
+    beams = F.coalesce(F.array_join(F.transform("beams", lambda b: F.concat(F.lit('<beam number="'), b["level"].cast("string"), F.lit('">'), b["beam"], F.lit("</beam>"))), ""), F.lit("")) if "beams" in columns else F.lit("")
     notations = F.when(marks != "", F.concat(F.lit("<notations>"), marks, F.lit("</notations>"))).otherwise("")
-    note = F.concat(F.lit("<note>"), grace, flag("is_chord", "<chord/>"), pitch, _tag("duration", C("duration")), flag("tie_start", '<tie type="start"/>'), flag("tie_stop", '<tie type="stop"/>'), _tag("voice", C("voice")), _tag("type", C("type")), flag("dot", "<dot/>"), _tag("staff", C("staff")), notations, F.lit("</note>"))
+    note = F.concat(F.lit("<note>"), grace, flag("is_chord", "<chord/>"), pitch, _tag("duration", C("duration")), flag("tie_start", '<tie type="start"/>'), flag("tie_stop", '<tie type="stop"/>'), _tag("voice", C("voice")), _tag("type", C("type")), flag("dot", "<dot/>"), printed, _tag("staff", C("staff")), beams, notations, F.lit("</note>"))
     return F.when(C("tag") == "note", note).otherwise(F.concat(F.lit("<"), C("tag"), F.lit(">"), _tag("duration", C("duration")), F.lit("</"), C("tag"), F.lit(">")))
 
 
@@ -206,16 +234,39 @@ def barlines_text(columns: list[str]) -> tuple[Column, Column]:
     return F.when(C("repeat_start"), '<barline location="left"><repeat direction="forward"/></barline>').otherwise(""), end
 
 
-def exported(elements: DataFrame, measures: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+def engraved(elements: DataFrame, measures: DataFrame) -> DataFrame:
+    """Elements with what an engraver adds: printed accidentals, beams (of each staff and voice, chord tails and graces left out, in the meter in force), and
+    the curves of ties."""
+    known = elements.filter("tag = 'note'")
+    accidentals = O.printed_accidentals(elements, measures).select(*MEASURE, "elem_idx", "accidental")
+    meter = O.carried_attributes(measures).select(*MEASURE, "active_beats", "active_beat_type")
+    n = F.when(C("is_rest"), 0).otherwise(R.by_name(C("type"), {t: {"eighth": 1, "16th": 2}.get(t, 0) for t, _, _ in R.NOTE_VALUES}))
+    length = R.by_name(C("type"), {t: int(q * 4) for t, dot, q in R.NOTE_VALUES if not dot})
+    stream = known.filter("not is_chord and not is_grace").join(meter, list(MEASURE))
+    beams = O.beams(stream, (*MEASURE, "staff", "voice"), ["elem_idx"], C("active_beats"), C("active_beat_type"), n, length)
+    lists = beams.groupBy(*MEASURE, "elem_idx").agg(F.array_sort(F.collect_list(F.struct("level", "beam"))).alias("beams"))
+    return elements.join(accidentals, [*MEASURE, "elem_idx"], "left").join(lists, [*MEASURE, "elem_idx"], "left").withColumn("tied", F.lit(True))
+
+
+def exported(elements: DataFrame, measures: DataFrame, metadata: DataFrame | None = None, part_list: bool = False) -> DataFrame:
     """score_id and the text of its document. Measures may also have number, mode, staves, clefs, senza_misura and repeat marks, elements
-    slurs, staccato and full_measure. metadata: score_id and any fields that metadata() reads, encoding and import fields included."""
+    slurs, staccato, full_measure and what `engraved` adds. metadata: score_id and any fields that metadata() reads, encoding and import fields included;
+    a tempo is put at the beginning of the first measure. part_list: whether the list of parts, which readers of the format want, is written."""
     body = elements.select(*MEASURE, F.struct("elem_idx", element_text(elements.columns).alias("x")).alias("e")).groupBy(*MEASURE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "").alias("body"))
     number = F.coalesce("number", C("measure_idx") + 1) if "number" in measures.columns else C("measure_idx") + 1
     left, right = barlines_text(measures.columns)
-    per = measures.join(body, list(MEASURE), "left").select(*MEASURE, F.concat(F.lit('<measure number="'), number.cast("string"), F.lit('">'), attributes_text(measures.columns), left, F.coalesce("body", F.lit("")), right, F.lit("</measure>")).alias("x"))
+    tempo = F.lit("")
+    if metadata is not None and "tempo" in metadata.columns:
+        first = measures.groupBy("score_id").agg(F.min(F.struct("part_idx", "measure_idx")).alias("m")).select("score_id", "m.part_idx", "m.measure_idx")
+        measures = measures.join(first.join(metadata.filter("tempo is not null").select("score_id", C("tempo").cast("string").alias("first_tempo")), "score_id"), list(MEASURE), "left")
+        tempo = F.when(C("first_tempo").isNotNull(), tempo_text(escaped(C("first_tempo")))).otherwise("")
+    per = measures.join(body, list(MEASURE), "left").select(*MEASURE, F.concat(F.lit('<measure number="'), number.cast("string"), F.lit('">'), attributes_text(measures.columns), tempo, left, F.coalesce("body", F.lit("")), right, F.lit("</measure>")).alias("x"))
     parts = per.groupBy("score_id", "part_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", "x"))), lambda m: m["x"]), "").alias("x"))
     parts = parts.withColumn("x", F.concat(F.lit('<part id="P'), (C("part_idx") + 1).cast("string"), F.lit('">'), C("x"), F.lit("</part>")))
-    texts = parts.groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", "x"))), lambda p: p["x"]), "").alias("parts"))
+    one = lambda p: F.concat(F.lit('<score-part id="P'), (p["part_idx"] + 1).cast("string"), F.lit('"><part-name>Part '), (p["part_idx"] + 1).cast("string"), F.lit("</part-name></score-part>"))
+    ordered = F.array_sort(F.collect_list(F.struct("part_idx", "x")))
+    listed = F.concat(F.lit("<part-list>"), F.array_join(F.transform(ordered, one), ""), F.lit("</part-list>")) if part_list else F.lit("")
+    texts = parts.groupBy("score_id").agg(F.concat(listed, F.array_join(F.transform(ordered, lambda p: p["x"]), "")).alias("parts"))
     head = F.lit("")
     if metadata is not None:
         texts = texts.join(metadata, "score_id", "left")
@@ -238,8 +289,7 @@ def head_text(columns: list[str]) -> Column:
     encoding = full("encoding", F.concat(*[_tag(c.replace("_", "-"), text(c)) for c in ENCODING]))
     other = [F.when(text(c).isNotNull(), F.concat(F.lit(f'<miscellaneous-field name="{c.replace("_", "-")}">'), text(c), F.lit("</miscellaneous-field>"))).otherwise("") for c in IMPORTS]
     identification = full("identification", F.concat(*creators, _tag("rights", text("rights")), encoding, _tag("source", text("source")), full("miscellaneous", F.concat(*other))))
-    sound = F.when(text("tempo").isNotNull(), tempo_text(text("tempo"))).otherwise("")
-    return F.concat(full("work", _tag("work-title", text("title"))), _tag("movement-title", text("movement_title")), identification, sound)
+    return F.concat(full("work", _tag("work-title", text("title"))), _tag("movement-title", text("movement_title")), identification)
 
 
 def tempo_text(tempo: Column) -> Column:
@@ -248,30 +298,117 @@ def tempo_text(tempo: Column) -> Column:
 
 
 def with_tempo(texts: DataFrame) -> DataFrame:
-    """Documents (score_id, text) with the tempo of the column tempo: the first mark's, printed and played, is replaced; a document without
-    one gets it; none above nought takes the first mark away."""
-    value = tempo_value(C("tempo").cast("double")).cast("string")
-    mark = r'(?s)<direction[^>]*>(?:(?!</direction>).)*<sound[^>]* tempo="[^"]*"[^>]*/>(?:(?!</direction>).)*</direction>'
-    old = F.regexp_extract("text", mark, 0)
-    new = F.regexp_replace(F.regexp_replace(old, r"<per-minute>[^<]*</per-minute>", F.concat(F.lit("<per-minute>"), value, F.lit("</per-minute>"))), r'(<sound[^>]* tempo=")[^"]*', F.concat(F.lit("$1"), value))
-    at = F.locate("<measure", C("text"))
-    open_ = F.length(F.regexp_extract("text", r"(?s)^.*?<measure[^>]*>(?:<attributes>.*?</attributes>)?", 0))
-    put = F.concat(F.substring("text", F.lit(1), open_), tempo_text(value), F.substr(C("text"), open_ + 1))
-    whole = F.when(old == "", F.when(value.isNull() | (at == 0), C("text")).otherwise(put)).otherwise(F.replace(C("text"), old, F.coalesce(new, F.lit(""))))
-    return texts.withColumn("text", whole)
+    """Documents (score_id, text) with the tempo of the column tempo, as a whole number. The first sound with a tempo gets it, and so does what the metronome
+    of its direction prints; a document without one gets a direction at the beginning of its first measure, after its attributes. None above nought takes
+    the sound away, and its direction if that holds sounds and metronomes only. Documents that can't be parsed stay as they are."""
+    marks = once(X.nodes(texts, paths="/sound$|/part/measure(/attributes)?$|/direction").drop("value", "depth"))
+    node = F.struct("nr", "last", "parent", "begins", "inner", "closes", "ends")
+    first = lambda rows, name: rows.groupBy("score_id").agg(F.min_by(node, "nr").alias(name))
+    sound = first(marks.filter("tag = 'sound' and attributes['tempo'] is not null"), "sound")
+    measure = first(marks.filter("tag = 'measure' and path like '%/part/measure'"), "measure")
+    within = lambda rows, of, key, name: first(rows.join(of.select("score_id", C(f"{of.columns[1]}.nr").alias("of"), C(f"{of.columns[1]}.last").alias("of_last"), C(f"{of.columns[1]}.parent").alias("of_parent")), "score_id").filter(key), name)
+    direction = within(marks.filter("tag = 'direction'"), sound, "nr = of_parent", "direction")
+    printed = within(marks.filter("path like '%/metronome/per-minute'"), direction, "nr > of and nr <= of_last", "printed")
+    attributes = within(marks.filter("tag = 'attributes'"), measure, "parent = of", "attributes")
+    only = X.tempo_only(direction.select("score_id", "direction.nr"), marks, sound.select("score_id", "sound.nr")).select("score_id", "only")
+    rows = texts.select("score_id", "text", tempo_value(C("tempo").cast("double")).cast("string").alias("value"))
+    for found in (sound, measure, direction, printed, attributes, only):
+        rows = rows.join(found, "score_id", "left")
+    splice = lambda begins, ends, put: F.struct(begins.alias("begins"), ends.alias("ends"), F.lit(0).alias("turn"), put.alias("put"))
+    cut = lambda n: F.substr(C("text"), (C(f"{n}.begins") + 1).cast("int"), (C(f"{n}.inner") - C(f"{n}.begins")).cast("int"))
+    wanted, there, closed = C("value").isNotNull(), C("sound").isNotNull(), lambda n: C(f"{n}.inner") == C(f"{n}.ends")
+    gone = F.when(C("only"), C("direction")).otherwise(C("sound"))
+    put = C("attributes.ends")
+    edits = F.array(
+        F.when(~wanted & there, splice(gone["begins"], gone["ends"], F.lit(""))),
+        F.when(wanted & there, splice(C("sound.begins"), C("sound.inner"), F.regexp_replace(cut("sound"), r"""(\stempo\s*=\s*)("[^"]*"|'[^']*')""", F.concat(F.lit('$1"'), "value", F.lit('"'))))),
+        F.when(wanted & there & C("printed").isNotNull(), F.when(closed("printed"), splice(C("printed.begins"), C("printed.ends"), F.concat(X.opened(cut("printed")), "value", F.lit("</per-minute>")))).otherwise(splice(C("printed.inner"), C("printed.closes"), C("value")))),
+        F.when(wanted & ~there & C("measure").isNotNull(), F.when(closed("measure"), splice(C("measure.begins"), C("measure.ends"), F.concat(X.opened(cut("measure")), tempo_text(C("value")), F.lit("</measure>")))).otherwise(splice(F.coalesce(put, C("measure.inner")), F.coalesce(put, C("measure.inner")), tempo_text(C("value"))))),
+    )
+    return X.spliced(texts, rows.select("score_id", F.explode(edits).alias("e")).filter("e is not null").select("score_id", "e.*"))
+
+
+#: The order in which the format wants elements to stand.
+SCORE_ORDER = ("work", "movement-number", "movement-title", "identification", "defaults", "credit", "part-list", "part")
+WORK_ORDER = ("work-number", "work-title", "opus")
+IDENTIFICATION_ORDER = ("creator", "rights", "encoding", "source", "relation", "miscellaneous")
+
+
+def with_metadata(texts: DataFrame, updates: DataFrame) -> DataFrame:
+    """Documents (score_id, text) with the fields of the updates (score_id and any of title, movement_title, composer, lyricist, arranger, rights, source) in
+    place: a null keeps a field, a blank takes its element away, and a container that then holds no element. New elements and containers stand where the
+    format's order has them. Documents that can't be parsed stay as they are."""
+    head = X.nodes(texts, ("measure",)).filter("depth < 3").select("score_id", "nr", "parent", "depth", "tag", F.coalesce(C("attributes")["type"], F.lit("")).alias("kind"), "begins", "inner", "closes", "ends")
+    node = F.struct("nr", "parent", "tag", "kind", "begins", "inner", "closes", "ends")
+    level = lambda d: F.array_sort(F.collect_list(F.when(C("depth") == d, node)))
+    rows = head.groupBy("score_id").agg(F.min_by(node, "nr").alias("root"), level(1).alias("top"), level(2).alias("inner"))
+    given = {f: C(f"new_{f}") for f in FIELDS if f in updates.columns}
+    rows = rows.join(updates.select("score_id", *[F.trim(C(f).cast("string")).alias(f"new_{f}") for f in given]), "score_id")
+    first = lambda nodes, test: F.get(F.filter(nodes, test), F.lit(0))
+    whole = lambda n: n["inner"] == n["ends"]  # an element that ends with its start tag
+    rows = rows.withColumn("work", first("top", lambda n: n["tag"] == "work")).withColumn("identification", first("top", lambda n: n["tag"] == "identification"))
+    children = lambda up: F.when(up.isNotNull(), F.filter("inner", lambda n: n["parent"] == up["nr"]))
+    rows = rows.withColumns({"in_work": children(C("work")), "in_identification": children(C("identification"))})
+
+    def place(children: Column, order: tuple, tag: str, end: Column) -> Column:
+        """Where an element of a tag goes among its parent's children."""
+        rank = F.array(*map(F.lit, order))
+        return F.coalesce(first(children, lambda n: F.call_function("array_position", rank, n["tag"]) > order.index(tag) + 1)["begins"], end)
+
+    splice = lambda begins, ends, put, turn=0: F.struct(begins.alias("begins"), ends.alias("ends"), F.lit(turn).alias("turn"), put.alias("put"))
+    element = lambda tag, value, kind=None: F.concat(F.lit(f'<{tag} type="{kind}">' if kind else f"<{tag}>"), escaped(value), F.lit(f"</{tag}>"))
+
+    def edit(field: str, children: Column, order: tuple, tag: str, end: Column, turn: int, kind: str | None = None) -> Column:
+        """The splice of a field within a parent that is there."""
+        found, value = first(children, lambda n: (n["tag"] == tag) & (n["kind"] == kind) if kind else n["tag"] == tag), given[field]
+        new = place(children, order, tag, end)
+        return F.when(value == "", F.when(found.isNotNull(), splice(found["begins"], found["ends"], F.lit("")))).when(value.isNotNull(), F.when(found.isNull(), splice(new, new, element(tag, value, kind), turn)).when(whole(found), splice(found["begins"], found["ends"], element(tag, value, kind), turn)).otherwise(splice(found["inner"], found["closes"], escaped(value), turn)))
+
+    def boxed(box: str, order: tuple, fields: list[tuple]) -> list[Column]:
+        """The splices of the fields of a container, which comes and goes with them. Its own place counts if it is empty already."""
+        fields, children, turn = [f for f in fields if f[0] in given], C(f"in_{box}"), SCORE_ORDER.index(box)
+        if not fields:
+            return []
+        inside = F.filter(F.array(*[edit(f, children, order, tag, C(box)["closes"], order.index(tag) * 10 + i, kind) for i, (f, tag, kind) in enumerate(fields)]), lambda x: x.isNotNull())
+        here = lambda tag, kind: lambda n: (n["tag"] == tag) & (n["kind"] == kind) if kind else n["tag"] == tag
+        leaving = sum((F.when((given[f] == "") & F.exists(children, here(tag, kind)), 1).otherwise(0) for f, tag, kind in fields), F.lit(0))
+        coming = sum((F.when(given[f] != "", 1).otherwise(0) for f, _, _ in fields), F.lit(0))
+        text = F.concat(F.lit(f"<{box}>"), *[F.when(given[f] != "", element(tag, given[f], kind)).otherwise("") for f, tag, kind in fields], F.lit(f"</{box}>"))
+        at = place(C("top"), SCORE_ORDER, box, C("root.closes"))
+        touched = F.coalesce(*[given[f] for f, _, _ in fields]).isNotNull()
+        gone = touched & (coming == 0) & (F.size(children) - leaving <= 0)
+        there = C(box).isNotNull()
+        own = F.when(there & gone, splice(C(box)["begins"], C(box)["ends"], F.lit(""))).when(there & whole(C(box)) & (coming > 0), splice(C(box)["begins"], C(box)["ends"], text, turn)).when(~there & (coming > 0), splice(at, at, text, turn))
+        none = F.array().cast("array<struct<begins:bigint,ends:bigint,turn:int,put:string>>")
+        return [F.array(own), F.when(there & ~gone & ~whole(C(box)), inside).otherwise(none)]
+
+    edits = boxed("work", WORK_ORDER, [("title", "work-title", None)])
+    if "movement_title" in given:
+        edits.append(F.array(edit("movement_title", C("top"), SCORE_ORDER, "movement-title", C("root.closes"), SCORE_ORDER.index("movement-title"))))
+    edits += boxed("identification", IDENTIFICATION_ORDER, [*[(c, "creator", c) for c in CREATORS], ("rights", "rights", None), ("source", "source", None)])
+    found = rows.select("score_id", F.explode(F.concat(*edits)).alias("e")).filter("e is not null").select("score_id", "e.*")
+    return X.spliced(texts, found)
 
 
 def metadata(texts: DataFrame) -> DataFrame:
     """All metadata of documents (score_id, text): titles, creators, rights, source, encoding (software is an array), the import fields, all other
-    fields (misc: an array of name and value), and the first tempo, if it is positive; empty values are null."""
-    of = lambda path: F.nullif(F.trim(F.expr(f"xpath_string(text, '{path}')")), F.lit(""))
-    who, misc = "/score-partwise/identification", "/score-partwise/identification/miscellaneous/miscellaneous-field"
-    tempo = F.get(F.expr("xpath(text, '//sound/@tempo')"), F.lit(0)).try_cast("double")
-    fields = F.transform(F.arrays_zip(F.expr(f"xpath(text, '{misc}/@name')").alias("name"), F.expr(f"xpath(text, '{misc}/text()')").alias("value")), lambda x: F.struct(x["name"].alias("name"), F.trim(x["value"]).alias("value")))
-    return texts.select(
-        "score_id", of("/score-partwise/work/work-title").alias("title"), of("/score-partwise/movement-title").alias("movement_title"), *[of(f'{who}/creator[@type="{c}"]').alias(c) for c in CREATORS],
-        of(f"{who}/rights").alias("rights"), of(f"{who}/source").alias("source"), F.expr(f"xpath(text, '{who}/encoding/software/text()')").alias("software"),
-        *[of(f"{who}/encoding/{c.replace('_', '-')}").alias(c) for c in ENCODING[1:]], *[of(f'{misc}[@name="{c.replace("_", "-")}"]').alias(c) for c in IMPORTS], fields.alias("misc"), F.when(tempo > 0, tempo).alias("tempo"))
+    fields (misc: an array of name and value), and the first sound's tempo, if it is positive; empty values are null, and so is all of a document that
+    can't be parsed. One pass over each document, of which a row for each of these elements goes on."""
+    root, who = "/score-partwise", "/score-partwise/identification"
+    rows = X.nodes(texts, paths=f"^{root}/(work|identification)/|^{root}/movement-title$|/sound$").filter("tag <> 'sound' or attributes['tempo'] is not null").select("score_id", "nr", "tag", "path", "attributes", F.trim("value").alias("value"))
+    first = lambda test, value="value": F.nullif(F.min_by(value, F.when(F.expr(test), C("nr"))), F.lit(""))
+    every = lambda test, value: F.transform(F.array_sort(F.collect_list(F.when(F.expr(test), F.struct("nr", value.alias("v"))))), lambda x: x["v"])
+    misc = f"{who}/miscellaneous/miscellaneous-field"
+    found = rows.groupBy("score_id").agg(
+        first(f"path = '{root}/work/work-title'").alias("title"), first(f"path = '{root}/movement-title'").alias("movement_title"), *[first(f"path = '{who}/creator' and attributes['type'] = '{c}'").alias(c) for c in CREATORS],
+        first(f"path = '{who}/rights'").alias("rights"), first(f"path = '{who}/source'").alias("source"), every(f"path = '{who}/encoding/software'", C("value")).alias("software"),
+        *[first(f"path = '{who}/encoding/{c.replace('_', '-')}'").alias(c) for c in ENCODING[1:]], *[first(f"path = '{misc}' and attributes['name'] = '{c.replace('_', '-')}'").alias(c) for c in IMPORTS],
+        every(f"path = '{misc}'", F.struct(F.coalesce(C("attributes")["name"], F.lit("")).alias("name"), "value")).alias("misc"), F.min_by(F.expr("attributes['tempo']"), F.when(C("tag") == "sound", C("nr"))).try_cast("double").alias("tempo"))
+    out = texts.select("score_id").join(found, "score_id", "left")
+    none = {"software": "array<string>", "misc": "array<struct<name:string,value:string>>"}
+    for c, kind in none.items():
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    return out.withColumn("tempo", F.when((C("tempo") > 0) & (C("tempo") < float("inf")), C("tempo")))
 
 
 def upserted(known: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:
