@@ -1,7 +1,7 @@
 """Lookups by position: as-of, nearest, covering, partners. Positions are integers; ties go to the first in order.
 
-As-of lookups put probes and points into one table and look back through a window of each score, so no pair of a
-probe and a point is made. Nearest pairs within a tolerance meet in buckets as wide as the tolerance.
+As-of lookups put probes and points into one table and look back through a window of each block of a score, so no pair of a
+probe and a point is made and a long score is many tasks.
 """
 
 from __future__ import annotations
@@ -12,16 +12,31 @@ from pyspark.sql import functions as F
 from .windows import MEASURE, after, before, filled, over, upto
 
 C = F.col
+#: Places that are looked through together: about fifty whole notes of the grid.
+BLOCK = 1 << 20
 
 
-def as_of(points: DataFrame, probes: DataFrame, by: list[str], at: str, value: Column, key: str, ahead: bool = False) -> DataFrame:
-    """Probes with found: the value of the last point at or before them (ahead: the first at or after), else null."""
-    p = points.select(*by, C(at).alias("_at"), value.alias("found"), F.lit(0).alias("_probe"), F.lit(None).cast(probes.schema[key].dataType).alias(key))
-    q = probes.select(*by, C(at).alias("_at"), F.lit(None).cast(p.schema["found"].dataType).alias("found"), F.lit(1).alias("_probe"), key)
-    w = over(tuple(by), ["_at", C("_probe").desc() if ahead else "_probe"])
-    near = F.first("found", ignorenulls=True).over(after(w)) if ahead else filled(C("found"), w)
-    got = p.unionByName(q).withColumn("found", near).filter("_probe = 1").select(*by, C("_at").alias(at), key, "found")
-    return got
+def around(points: DataFrame, probes: DataFrame, by: list[str], at: str, value: Column, key: str, ahead: bool = True, block: int = BLOCK) -> DataFrame:
+    """Probes with the value of the last point at or before them (back) and, if ahead, that of the first point after them; null if there is none. Of points at one
+    place the one with the greatest value counts, ahead the least.
+
+    A key's places are cut into blocks: a window looks within a block, and a window over the blocks, of which each has but its last and first point, carries
+    values on to those without. So a key with most of the rows is many tasks."""
+    p = points.select(*by, C(at).alias("_at"), value.alias("_point"), F.lit(0).alias("_probe"), F.lit(None).cast(probes.schema[key].dataType).alias(key))
+    q = probes.select(*by, C(at).alias("_at"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"), F.lit(1).alias("_probe"), key)
+    rows = p.unionByName(q).withColumn("_block", F.floor(C("_at") / block)).repartition(*by, "_block")  # dealt out once for the window and the ends
+    w, order = over((*by, "_block"), ["_at", "_probe", "_point"]), F.when(C("_point").isNotNull(), F.struct("_at", "_point"))
+    ends = rows.groupBy(*by, "_block").agg(F.max_by("_point", order).alias("_last"), F.min_by("_point", order).alias("_first"))
+    across = over(tuple(by), ["_block"])
+    ends = ends.select(*by, "_block", F.last("_last", ignorenulls=True).over(before(across)).alias("_last"), F.first("_first", ignorenulls=True).over(after(across)).alias("_first"))
+    near = {"back": filled(C("_point"), w)} | ({"ahead": F.first("_point", ignorenulls=True).over(after(w))} if ahead else {})
+    got = rows.withColumns(near).filter("_probe = 1").join(ends, [*by, "_block"])
+    return got.select(*by, C("_at").alias(at), key, *[F.coalesce(side, carried).alias(side) for side, carried in (("back", "_last"), ("ahead", "_first")) if side in near])
+
+
+def as_of(points: DataFrame, probes: DataFrame, by: list[str], at: str, value: Column, key: str, block: int = BLOCK) -> DataFrame:
+    """Probes with found: the value of the last point at or before them, else null."""
+    return around(points, probes, by, at, value, key, False, block).withColumnRenamed("back", "found")
 
 
 def locate(starts: DataFrame, probes: DataFrame, key: str) -> DataFrame:
@@ -33,20 +48,20 @@ def locate(starts: DataFrame, probes: DataFrame, key: str) -> DataFrame:
 
 def nearest_note(notes: DataFrame, probes: DataFrame, key: str, tolerance: int, beat: int, steps: int = 3) -> DataFrame:
     """The note nearest to a position and pitch: four times the distance in beats and the distance in steps, both within
-    their tolerance. notes: score_id, at, diatonic, ord; distances are compared in beat units."""
-    n = notes.withColumn("bucket", F.floor(C("at") / tolerance))
-    p = probes.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(C("at") / tolerance) + d)))
-    pairs = p.select("score_id", "bucket", key, C("at").alias("p_at"), C("diatonic").alias("p_diatonic")).join(n, ["score_id", "bucket"])
-    apart, off = F.abs(C("at") - C("p_at")), F.abs(C("diatonic") - C("p_diatonic"))
-    close = pairs.filter((apart <= tolerance) & (off <= steps))
-    return close.groupBy("score_id", key).agg(F.min(F.struct((4 * apart + beat * off).alias("cost"), "ord", "at", "diatonic")).alias("m")).select("score_id", key, "m.ord", "m.at", "m.diatonic", "m.cost")
+    their tolerance; of equally near ones the first in order. notes: score_id, at, diatonic, ord; distances are compared in beat units.
+
+    A probe looks into a lane for every step within the tolerance, in each at the notes next to it on either side, so that no pair of a probe and a note is made."""
+    lanes = notes.groupBy("score_id", C("diatonic").alias("lane"), "at").agg(F.min("ord").alias("ord"))
+    wanted = probes.select("score_id", "at", F.struct(C(key).alias("key"), C("diatonic").alias("wanted")).alias("probe"), F.explode(F.sequence(C("diatonic") - steps, C("diatonic") + steps)).alias("lane")).withColumn("lane", C("lane").cast(lanes.schema["lane"].dataType))
+    found = around(lanes, wanted, ["score_id", "lane"], "at", F.struct("at", "ord"), "probe")
+    hits = found.select("score_id", C("probe.key").alias(key), C("probe.wanted").alias("wanted"), "lane", C("at").alias("p_at"), F.explode(F.array("back", "ahead")).alias("hit")).filter("hit is not null")
+    apart, off = F.abs(C("hit.at") - C("p_at")), F.abs(C("lane") - C("wanted"))
+    return hits.filter(apart <= tolerance).groupBy("score_id", key).agg(F.min(F.struct((4 * apart + beat * off).alias("cost"), "hit.ord", "hit.at", C("lane").alias("diatonic"))).alias("m")).select("score_id", key, "m.ord", "m.at", "m.diatonic", "m.cost")
 
 
 def nearest_within(points: DataFrame, probes: DataFrame, by: list[str], key: str, tolerance: int, value: Column) -> DataFrame:
     """The nearest point on either side, of two as near the earlier, within the tolerance. value begins with the position."""
-    back = as_of(points, probes, by, "at", value, key).withColumnRenamed("found", "back")
-    ahead = as_of(points, probes, by, "at", value, key, ahead=True).select(*by, key, C("found").alias("ahead"))
-    both = back.join(ahead, [*by, key])
+    both = around(points, probes, by, "at", value, key)
     d1, d2 = C("at") - C("back.at"), C("ahead.at") - C("at")
     pick = F.when(C("back").isNull() | (d2 < d1), C("ahead")).otherwise(C("back"))
     out = both.withColumn("hit", pick).withColumn("distance", F.abs(C("hit.at") - C("at")))
