@@ -95,12 +95,24 @@ def tiles(pages: DataFrame, window: int, step: int) -> DataFrame:
     return pages.select("page_id", F.explode(origins(C("height"), window, step)).alias("y"), origins(C("width"), window, step).alias("xs")).select("page_id", "y", F.explode("xs").alias("x"))
 
 
-def inked_tiles(found: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """Tiles with any ink. Tiles and runs meet in bands of rows as high as a tile."""
-    t = found.withColumn("band", F.explode(F.sequence(F.floor(C("y") / window), F.floor((C("y") + window - 1) / window))))
-    r = runs.select("page_id", C("y").alias("ry"), "x0", "x1", F.floor(C("y") / window).alias("band"))
-    touch = [t.page_id == r.page_id, t.band == r.band, r.ry >= t.y, r.ry < t.y + window, r.x0 < t.x + window, r.x1 > t.x]
-    return t.join(r, touch, "left_semi").select("page_id", "y", "x").distinct()
+def inked_tiles(pages: DataFrame, runs: DataFrame, window: int, step: int) -> DataFrame:
+    """The tiles of pages (width, height) that hold any ink. Which tiles a run touches is a range of their numbers on either axis; in each row of tiles
+    these ranges are joined, so that no tile meets a run and rows are in proportion to runs and inked tiles."""
+
+    def upto_place(length: Column, at: Column) -> Column:
+        """How many origins of an axis are at or before a place."""
+        last = F.greatest(length - window, F.lit(0))
+        moved = (last % step > 0) & (F.floor((length - 1) / step) * step > last)
+        return F.least(F.greatest(F.floor(at / step) + 1, F.lit(0)), F.floor(last / step) + 1) + F.when(moved & (last <= at), 1).otherwise(0)
+
+    origin = lambda length, i: F.least(i * step, F.greatest(length - window, F.lit(0)))
+    r = runs.filter("x1 > x0").join(pages, "page_id")
+    first, end = upto_place(C("height"), C("y") - window), upto_place(C("height"), C("y"))
+    r = r.filter((C("y") >= 0) & (C("y") < C("height")) & (first < end)).select("page_id", "width", "height", F.explode(F.sequence(first, end - 1)).alias("row"), upto_place(C("width"), C("x0") - window).alias("low"), (upto_place(C("width"), C("x1") - 1) - 1).alias("high"))
+    r = r.filter("low <= high").groupBy("page_id", "width", "height", "row", "low").agg(F.max("high").alias("high"))
+    w = over(("page_id", "row"), ["low"])
+    joined = r.withColumn("part", island(F.coalesce(C("low") > F.max("high").over(before(w)) + 1, F.lit(True)), w)).groupBy("page_id", "width", "height", "row", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return joined.select("page_id", origin(C("height"), C("row")).alias("y"), "width", F.explode(F.sequence("low", "high")).alias("i")).select("page_id", "y", origin(C("width"), C("i")).alias("x"))
 
 
 def averaged(predictions: DataFrame) -> DataFrame:
@@ -139,6 +151,23 @@ def mask_iou(a: DataFrame, b: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(counts, "page_id", "left").select("page_id", F.coalesce(C("both") / C("any"), F.lit(1.0)).alias("iou"))
 
 
+def resampled_runs(runs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Runs of a mask at a smaller size, in the cells that `resampled` gives."""
+    at = lambda c: F.floor(c * numerator / denominator)
+    return runs.filter("x1 > x0").select("page_id", at(C("y")).alias("y"), at(C("x0")).alias("x0"), (at(C("x1") - 1) + 1).alias("x1"))
+
+
+def run_iou(a: DataFrame, b: DataFrame, pages: DataFrame) -> DataFrame:
+    """Intersection over union of two masks of runs, which may overlap: both masks' ends of a row are passed over at once, so that rows are in proportion to runs
+    and no cell is written out. Two empty ones agree."""
+    end = lambda df, x, d_a, d_b: df.select("page_id", "y", C(x).alias("x"), F.lit(d_a).alias("d_a"), F.lit(d_b).alias("d_b"))
+    steps = end(a, "x0", 1, 0).unionByName(end(a, "x1", -1, 0)).unionByName(end(b, "x0", 0, 1)).unionByName(end(b, "x1", 0, -1)).groupBy("page_id", "y", "x").agg(F.sum("d_a").alias("d_a"), F.sum("d_b").alias("d_b"))
+    w = over(("page_id", "y"), ["x"])
+    parts = steps.select("page_id", (F.lead("x").over(w) - C("x")).alias("n"), (F.sum("d_a").over(upto(w)) > 0).alias("in_a"), (F.sum("d_b").over(upto(w)) > 0).alias("in_b"))
+    counts = parts.groupBy("page_id").agg(F.sum(F.when(C("in_a") & C("in_b"), C("n")).otherwise(0)).alias("both"), F.sum(F.when(C("in_a") | C("in_b"), C("n"))).alias("any"))
+    return pages.join(counts, "page_id", "left").select("page_id", F.coalesce(C("both") / C("any"), F.lit(1.0)).alias("iou"))
+
+
 def compared_structures(a: DataFrame, b: DataFrame) -> DataFrame:
     """Lines (page_id, line_no, center) of two results: whether they are as many, and the largest distance."""
     both = a.select("page_id", "line_no", C("center").alias("ca")).join(b.select("page_id", "line_no", C("center").alias("cb")), ["page_id", "line_no"], "full")

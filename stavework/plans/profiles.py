@@ -52,7 +52,7 @@ Q.add("g9_long_runs", "page_id:l event_id:l", lambda spark, d: O.long_runs(A.ink
 pages = lambda spark, d: A.ink_runs(spark, d).groupBy("page_id").agg(F.max("x1").alias("width"), (F.max("y") + 1).alias("height"))
 TILES = """SELECT DISTINCT page_id, greatest(0, least(y0, h - 64)) AS y, greatest(0, least(x0, w - 64)) AS x FROM (SELECT page_id, w, h, y0, unnest(range(0, w, 48)) AS x0 FROM (SELECT page_id, w, h, unnest(range(0, h, 48)) AS y0 FROM (SELECT page_id, max(x1) AS w, max(y) + 1 AS h FROM ink_runs GROUP BY page_id)))"""
 Q.add("g10_tiles", "page_id:l y:l x:l", lambda spark, d: O.tiles(pages(spark, d), 64, 48), TILES)
-Q.add("g11_inked_tiles", "page_id:l y:l x:l", lambda spark, d: O.inked_tiles(O.tiles(pages(spark, d), 64, 48), A.ink_runs(spark, d), 64),
+Q.add("g11_inked_tiles", "page_id:l y:l x:l", lambda spark, d: O.inked_tiles(pages(spark, d), A.ink_runs(spark, d), 64, 48),
       f"SELECT * FROM ({TILES}) t WHERE EXISTS (SELECT 1 FROM ink_runs r WHERE r.page_id = t.page_id AND r.y >= t.y AND r.y < t.y + 64 AND r.x0 < t.x + 64 AND r.x1 > t.x)")
 Q.add("g12_averaged", "page_id:l cell:l channel:l milli:l", lambda spark, d: O.averaged(A.probs(spark, d).withColumn("cell", C("cell") % 7)).withColumn("milli", F.floor(C("p") * 1000 + 0.5)), "SELECT page_id, cell, channel, floor(avg(CAST(p AS DOUBLE)) * 1000 + 0.5) AS milli FROM (SELECT page_id, cell % 7 AS cell, unnest(v) AS p, unnest(range(0, len(v))) AS channel FROM probs) GROUP BY ALL")
 Q.add("g13_best_class", "page_id:l cell:l best:l", lambda spark, d: A.probs(spark, d).select("page_id", "cell", O.best_class(C("v")).alias("best")), "SELECT page_id, cell, list_position(v, list_max(v)) - 1 AS best FROM probs")
@@ -62,12 +62,9 @@ Q.add("g15_dilated", "page_id:l y:l x0:l x1:l", lambda spark, d: O.dilated(A.ink
       SELECT page_id, unnest(range(y - 2, y + 3)) AS y, x0 - 2 AS x0, x1 + 2 AS x1 FROM ink_runs))) GROUP BY page_id, y, run""")
 
 
-def _cells(spark, d, keep):
-    return A.ink_runs(spark, d).filter(keep).select("page_id", "y", F.explode(F.sequence("x0", C("x1") - 1)).alias("x")).distinct()
-
-
 def _iou(spark, d):
-    return O.mask_iou(O.resampled(_cells(spark, d, "event_id % 3 > 0"), 1, 4), O.resampled(_cells(spark, d, "event_id % 3 < 2"), 1, 4), A.ink_runs(spark, d).select("page_id").distinct())
+    runs = A.ink_runs(spark, d)
+    return O.run_iou(O.resampled_runs(runs.filter("event_id % 3 > 0"), 1, 4), O.resampled_runs(runs.filter("event_id % 3 < 2"), 1, 4), runs.select("page_id").distinct())
 
 
 Q.add("g16_mask_iou", "page_id:l iou:d", _iou,
