@@ -94,28 +94,27 @@ def replayed(notes: DataFrame, log: DataFrame, lengths: DataFrame, divisions: in
     there = known.select(*PART, C("measure_idx").alias("to_measure"), C("length").alias("to_length"))
     edits = edits.join(there, [*PART, "to_measure"], "left").filter("op <> 'move' or to_length is not null")
     puts = edits.filter("op = 'move' and to_measure <> measure_idx").withColumn("measure_idx", C("to_measure")).withColumn("length", C("to_length")).withColumn("op", F.lit("put"))
-    pending = keep(edits.unionByName(puts).select(*MEASURE, "seq", "op", "nr", "length", "to_measure", "elem_idx", *[C(c).cast("long") for c in ARGUMENTS], C("staff").cast("int"), C("voice").cast("int"), "step", C("alter").cast("int"), C("octave").cast("int")))
+    nothing = [F.lit(None).cast("boolean").alias("came"), *[F.lit(None).cast(c.split()[1]).alias(f"t_{c.split()[0]}") for c in NOTE.split(", ")]]  # what a put waits for
+    pending = keep(edits.unionByName(puts).select(*MEASURE, "seq", "op", "nr", "length", "to_measure", "elem_idx", *[C(c).cast("long") for c in ARGUMENTS], C("staff").cast("int"), C("voice").cast("int"), "step", C("alter").cast("int"), C("octave").cast("int"), *nothing))
     touched = pending.select(*MEASURE).distinct()
     state, rest = keep(notes.join(touched, list(MEASURE), "left_semi")), notes.join(touched, list(MEASURE), "left_anti")
-    came = notes.sparkSession.createDataFrame([], f"score_id long, part_idx int, seq long, came boolean, {', '.join(f't_{c}' for c in NOTE.split(', '))}")
-
     def fold(key: tuple, have: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         plain = lambda df: df.astype(object).where(df.notna(), None).to_dict("records")
         left, taken, done = folded([{f: n[f] for f in FIELDS} for n in plain(have)], sorted(plain(todo), key=lambda e: e["seq"]), divisions)
         rows = [{"kind": "note", **n} for n in left] + [{"kind": "taken" if n else "nothing", "seq": seq, **(n or {})} for seq, n in taken] + [{"kind": "done", "seq": done}]
         out = pd.DataFrame(rows, columns=["kind", "seq", *FIELDS])
-        out = out.astype({c: "Int64" for c in ("seq", *FIELDS) if c != "step"})
+        out = out.astype({c: object if c in ("kind", "step") else "Int64" for c in out.columns})
         return out.assign(score_id=key[0], part_idx=key[1], measure_idx=key[2])[[c.split()[0] for c in RESULT.split(", ")]]
 
+    came = ["came", *[f"t_{f}" for f in FIELDS]]
     while pending.limit(1).count():
-        ready = pending.join(came, [*PART, "seq"], "left")
         # only measures whose next edit can be done take part
-        first = ready.groupBy(*MEASURE).agg(F.min_by(F.struct("op", "came"), "seq").alias("e")).filter("e.op <> 'put' or e.came is not null").select(*MEASURE)
-        active = keep(first)
-        here = state.join(active, list(MEASURE), "left_semi")
-        found = keep(here.groupBy(*MEASURE).cogroup(ready.join(active, list(MEASURE), "left_semi").groupBy(*MEASURE)).applyInPandas(fold, RESULT))
-        state = keep(state.join(active, list(MEASURE), "left_anti").unionByName(found.filter("kind = 'note'").select(*MEASURE, *FIELDS)))
-        came = keep(came.unionByName(found.filter("kind in ('taken', 'nothing')").select(*PART, "seq", (C("kind") == "taken").alias("came"), *[C(f).alias(f"t_{f}") for f in FIELDS])))
+        active = pending.groupBy(*MEASURE).agg(F.min_by(F.struct("op", "came"), "seq").alias("e")).filter("e.op <> 'put' or e.came is not null").select(*MEASURE)
+        todo = pending.join(active, list(MEASURE), "left_semi").groupBy(*MEASURE)
+        found = keep(state.join(active, list(MEASURE), "left_semi").groupBy(*MEASURE).cogroup(todo).applyInPandas(fold, RESULT))
         done = found.filter("kind = 'done'").select(*MEASURE, C("seq").alias("upto"))
-        pending = keep(pending.join(done, list(MEASURE), "left").filter("upto is null or seq > upto").drop("upto"))
+        state = keep(state.join(done, list(MEASURE), "left_anti").unionByName(found.filter("kind = 'note'").select(*MEASURE, *FIELDS)))
+        new = found.filter("kind in ('taken', 'nothing')").select(*PART, "seq", F.lit("put").alias("op"), (C("kind") == "taken").alias("new_came"), *[C(f).alias(f"new_t_{f}") for f in FIELDS])
+        left = pending.join(done, list(MEASURE), "left").filter("upto is null or seq > upto").drop("upto").join(new, [*PART, "seq", "op"], "left")
+        pending = keep(left.select(*[F.coalesce(c, f"new_{c}").alias(c) if c in came else c for c in pending.columns]))
     return state.unionByName(rest)

@@ -8,6 +8,7 @@ from stavework.functions.pitch import pitch_text
 from stavework.operators import cursor as O
 from stavework.operators import edits as E
 from stavework.operators import lookup as L
+from stavework.operators.replay import replayed
 from stavework.sources import adapters as A
 
 from .base import Queries
@@ -127,4 +128,40 @@ HISTORY = """SELECT doc_id, seq, step, max(CASE WHEN opens = 1 THEN seq END) OVE
   FROM (SELECT *, count(*) FILTER (op IN ('undo', 'reset')) OVER (PARTITION BY doc_id ORDER BY seq) AS breaks FROM history_log) WHERE op IS NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)))"""
 Q.add("i11_history_runs", "doc_id:l seq:l step:l first_seq:l", lambda spark, d: E.undo_runs(A.with_history(A.edit_log(spark, d)), 6 * 3600 * 1_000_000), HISTORY)
 
+
+def _log(spark, d):
+    """All edits, several of most measures: removed, added, moved, raised, resized."""
+    k = C("k")
+    op = F.element_at(F.array(*map(F.lit, ("remove", "add", "pitch", "duration", "move"))), (k % 5 + 1).cast("int"))
+    return A.edits(spark, d).select("score_id", F.lit(0).alias("part_idx"), C("measure_idx").cast("int"), "seq", op.alias("op"), "elem_idx", (k % 23).alias("at"), (1 + k % 9).alias("wanted"), ((C("measure_idx") + 1) % 10).cast("int").alias("to_measure"), (1 + k % 2).alias("staff"), F.lit(1).alias("voice"),
+                                    F.substring(F.lit("CDEFGAB"), k % 7 + 1, F.lit(1)).alias("step"), F.when(k % 3 > 0, k % 3 - 1).otherwise(0).alias("alter"), (3 + k % 3).alias("octave"))
+
+
+def _replayed(spark, d):
+    notes = sounding(spark, d).select(*E.MEASURE, "elem_idx", "onset", "duration", "staff", "voice", "step", "alter", "octave")
+    return replayed(A.once(notes), A.once(_log(spark, d)), A.once(lengths(spark, d))).withColumn("pitch", pitch_text(C("step"), C("alter"), C("octave")))
+
+
+N = "struct_pack(m := {m}, f := {f}, e := {e}, o := {o}, d := {d}, s := {s}, v := {v}, p := {p})"
+KEEP = lambda **new: N.format(**{c: new.get(c, f"n.{c}") for c in "mfeodsvp"})
+ROOM = "coalesce(list_min(list_transform(list_filter(rest, lambda n: n.m = {m} AND n.s = {s} AND n.o > {at}), lambda n: n.o)), {len}) - {at}"
+REPLAY = f"""
+WITH RECURSIVE log AS (SELECT e.score_id, e.measure_idx, e.elem_idx, k, seq, c.length AS len, t.length AS to_len, (e.measure_idx + 1) % 10 AS tm, row_number() OVER (PARTITION BY e.score_id, e.measure_idx ORDER BY seq) AS nr
+  FROM edits e JOIN content c ON c.score_id = e.score_id AND c.measure_idx = e.measure_idx LEFT JOIN content t ON t.score_id = e.score_id AND t.measure_idx = (e.measure_idx + 1) % 10),
+turns AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY seq) AS i FROM log WHERE k % 5 < 4 OR to_len IS NOT NULL),
+notes AS (SELECT score_id, list({N.format(m="CAST(measure_idx AS BIGINT)", f="CAST(measure_idx AS BIGINT)", e="CAST(elem_idx AS BIGINT)", o="CAST(onset AS BIGINT)", d="CAST(duration AS BIGINT)", s="CAST(staff AS BIGINT)", v="CAST(voice AS BIGINT)", p="label")}) AS x FROM sounding GROUP BY score_id),
+state AS (
+  SELECT score_id, CAST(0 AS BIGINT) AS i, coalesce(x, []) AS x FROM (SELECT DISTINCT score_id FROM measures) LEFT JOIN notes USING (score_id) UNION ALL
+  SELECT score_id, i, CASE WHEN k % 5 = 0 THEN rest WHEN k % 5 = 1 OR k % 5 = 4 AND own IS NOT NULL THEN list_append(rest, {N.format(m="m", f="CASE WHEN k % 5 = 1 THEN m ELSE own.f END", e="CASE WHEN k % 5 = 1 THEN -nr ELSE own.e END", o="at_", d=FIT.format("least(want, room)"), s="st", v="CASE WHEN k % 5 = 1 THEN 1 ELSE own.v END", p="CASE WHEN k % 5 = 1 THEN said ELSE own.p END")})
+    WHEN k % 5 = 2 THEN list_transform(x, lambda n: CASE WHEN n.m = measure_idx AND n.f = measure_idx AND n.e = elem_idx THEN {KEEP(p="said")} ELSE n END)
+    WHEN k % 5 = 3 AND own IS NOT NULL THEN list_transform(x, lambda n: CASE WHEN n.m = measure_idx AND n.s = own.s AND n.v = own.v AND n.o = own.o THEN {KEEP(d="greatest(least(1 + k % 9, coalesce(list_min(list_transform(list_filter(x, lambda z: z.m = measure_idx AND z.s = own.s AND z.v = own.v AND z.o > own.o), lambda z: z.o)), greatest(len, own.o + 1)) - own.o), 1)")} ELSE n END) ELSE x END AS x
+  FROM (SELECT *, {ROOM.format(m="m", s="st", at="at_", len="size")} AS room FROM (SELECT *, CASE WHEN k % 5 = 1 THEN x ELSE list_filter(x, lambda n: NOT (n.m = measure_idx AND n.f = measure_idx AND n.e = elem_idx)) END AS rest,
+      CAST(CASE WHEN k % 5 = 4 THEN tm ELSE measure_idx END AS BIGINT) AS m, CAST(CASE WHEN k % 5 = 1 THEN 1 + k % 2 ELSE own.s END AS BIGINT) AS st, CASE WHEN k % 5 = 1 THEN 1 + k % 9 ELSE own.d END AS want,
+      CASE WHEN k % 5 = 4 THEN to_len ELSE len END AS size, CAST(greatest(least(k % 23, CASE WHEN k % 5 = 4 THEN to_len ELSE len END - 1), 0) AS BIGINT) AS at_,
+      'CDEFGAB'[k % 7 + 1] || CASE WHEN k % 3 = 2 THEN '#' ELSE '' END || (3 + k % 3) AS said
+    FROM (SELECT s.score_id, t.* EXCLUDE (score_id), s.x, list_filter(s.x, lambda n: n.m = t.measure_idx AND n.f = t.measure_idx AND n.e = t.elem_idx)[1] AS own FROM state s JOIN turns t ON t.score_id = s.score_id AND t.i = s.i + 1)))),
+ended AS (SELECT score_id, arg_max(x, i) AS x FROM state GROUP BY score_id)
+SELECT score_id, n.m AS measure_idx, n.f AS from_measure, n.e AS elem_idx, n.o AS onset, n.d AS duration, n.s AS staff, n.v AS voice, n.p AS pitch FROM (SELECT score_id, unnest(x) AS n FROM ended)"""
+Q.add("i1_i5_replayed_log", "score_id:l measure_idx:l from_measure:l elem_idx:l onset:l duration:l staff:l voice:l pitch:s", _replayed, REPLAY)
+
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -139,9 +139,9 @@ Q.add("f12_tie_partners", "score_id:l measure_idx:l elem_idx:l ahead:l behind:l"
 Q.add("f13_grace_hosts", "score_id:l measure_idx:l elem_idx:l grace_group:l host_elem:l", lambda spark, d: L.grace_runs(A.note_elements(spark, d)),
       """SELECT *, CASE WHEN NOT hr THEN h END AS host_elem FROM (SELECT *, sum(CASE WHEN NOT is_chord THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx) AS grace_group, first_value(CASE WHEN NOT is_grace THEN elem_idx END IGNORE NULLS) OVER f AS h, first_value(CASE WHEN NOT is_grace THEN is_rest END IGNORE NULLS) OVER f AS hr
       FROM note_elements WHERE tag = 'note' WINDOW f AS (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE is_grace""")
-# The driver's pages have no staves: every 40th row begins one here, eight rows high, so that links between them can be looked for.
-Q.add("f14_ink_links", "page_id:l staff_no:l share:d linked:b", lambda spark, d: L.linked_by_ink(A.page_profile(spark, d).filter("y % 40 < 8").groupBy("page_id", F.floor(C("y") / 40).alias("staff_no")).agg(F.min("y").alias("top"), F.max("y").alias("bottom")), A.ink_runs(spark, d), 0.6, 0, 30),
-      """WITH s AS (SELECT page_id, y // 40 AS staff_no, min(y) AS top, max(y) AS bottom FROM page_profile WHERE y % 40 < 8 GROUP BY ALL), p AS (SELECT *, lead(top) OVER (PARTITION BY page_id ORDER BY staff_no) AS nxt FROM s),
+# The driver's pages have few staves: each 40 rows that have any ink hold one here, of at most eight rows, so that links between them can be looked for.
+Q.add("f14_ink_links", "page_id:l staff_no:l share:d linked:b", lambda spark, d: L.linked_by_ink(A.page_profile(spark, d).groupBy("page_id", F.floor(C("y") / 40).alias("staff_no")).agg(F.min("y").alias("top"), F.least(F.max("y"), F.min("y") + 7).alias("bottom")), A.ink_runs(spark, d), 0.6, 0, 30),
+      """WITH s AS (SELECT page_id, y // 40 AS staff_no, min(y) AS top, least(max(y), min(y) + 7) AS bottom FROM page_profile GROUP BY ALL), p AS (SELECT *, lead(top) OVER (PARTITION BY page_id ORDER BY staff_no) AS nxt FROM s),
       r AS (SELECT page_id, staff_no, unnest(range(bottom + 1, nxt)) AS y FROM p WHERE nxt > bottom + 1)
       SELECT r.page_id, staff_no, CAST(count(i.y) AS DOUBLE) / count(*) AS share, CAST(count(i.y) AS DOUBLE) / count(*) >= 0.6 AS linked FROM r LEFT JOIN (SELECT DISTINCT page_id, y FROM ink_runs WHERE x0 < 30 AND x1 > 0) i ON i.page_id = r.page_id AND i.y = r.y GROUP BY ALL""")
 Q.add("f15_chord_leads", "score_id:l measure_idx:l elem_idx:l lead:l", lambda spark, d: L.chord_leads(A.note_elements(spark, d)), 'SELECT *, coalesce(last_value(CASE WHEN NOT is_chord THEN elem_idx END IGNORE NULLS) OVER (PARTITION BY score_id, measure_idx ORDER BY elem_idx ROWS UNBOUNDED PRECEDING), elem_idx) AS lead FROM note_elements WHERE tag = \'note\' AND NOT is_grace')
