@@ -31,6 +31,8 @@ MIN_COUNT, TOP, MAX_COVERED = 10, 2000, 50
 CHUNK, HELD = 4_000_000, 8_000_000
 #: Nodes are first expanded down to the score of the FIRST-th pair, then of WIDER times as many, and so on.
 FIRST, WIDER = 2 * TOP, 4
+#: Parts of a language's phrases whose best ones are found apart.
+PARTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(UPPER.encode() + b"\t" + SEPARATORS, UPPER.lower().encode() + b" " + b"\n" * len(SEPARATORS))
 COUNTS = "lang string, phrase string, n long"
@@ -123,6 +125,12 @@ def score(a: str, left: str, right: str) -> Column:
     return F.expr(f"(1000000 * cast({a} as decimal(15,0)) * cast({a} as decimal(15,0))) div (cast({left} as decimal(15,0)) * cast({right} as decimal(15,0)))")
 
 
+def first_of(df: DataFrame, order: list, most: int, rank: str) -> DataFrame:
+    """The first so many rows of each language with their rank. Most rows may be of one language: it is dealt out first, and the first rows of each part meet."""
+    parts = df.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn(rank, F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col(rank) <= most)
+    return parts.drop("part").withColumn(rank, F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col(rank) <= most)
+
+
 def search(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the ``TOP`` best phrases of each language that stay, with their rank; counts: of words and pairs."""
     words = counts.filter("phrase <> '' and instr(phrase, ' ') = 0").select("lang", F.col("phrase").alias("w"), F.col("n").alias("f"))
@@ -137,7 +145,7 @@ def search(docs: DataFrame, counts: DataFrame) -> DataFrame:
     triples = docs.sparkSession.createDataFrame([], "lang string, phrase string, a long")
     states, first = None, FIRST
     while True:
-        best = nodes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))).filter(F.col("k") <= first)
+        best = first_of(nodes.select("lang", "phrase", "score"), [F.desc("score")], first, "k")
         cuts = best.groupBy("lang").agg(F.when(F.count("*") == first, F.min("score")).otherwise(F.lit(0)).alias("cut"))
         if states is not None:  # settled languages stay as they are
             cuts = cuts.join(states.select("lang", F.col("cut").alias("before"), "settled"), "lang").withColumn("cut", F.when(F.col("settled"), F.col("before")).otherwise(F.least("cut", "before")))
@@ -154,8 +162,7 @@ def search(docs: DataFrame, counts: DataFrame) -> DataFrame:
         if not states.filter("not settled").limit(1).count():
             break
         first *= WIDER
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return above.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long")).drop("left")
+    return first_of(above, [F.desc("score"), F.desc("a"), F.col("phrase")], TOP, "rank").withColumn("rank", F.col("rank").cast("long")).drop("left")
 
 
 def _items(nodes: DataFrame, triples: DataFrame, words: DataFrame, pairs: DataFrame, with_count) -> DataFrame:
