@@ -26,7 +26,7 @@ from . import structure as X
 from .adapters import once
 
 C = F.col
-ELEMENTS = "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, is_chord boolean, is_grace boolean, is_rest boolean, duration int, staff int, voice int, step string, alter int, octave int, type string, dot boolean, tie_start boolean, tie_stop boolean, slash boolean, staccato boolean, play_duration int, full_measure boolean, number int, divisions int, staves int, fifths int, mode string, beats int, beat_type int, senza_misura boolean, clefs array<struct<staff:int,sign:string,line:int>>, repeat_start boolean, repeat_times int, error string"
+ELEMENTS = "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, is_chord boolean, is_grace boolean, is_rest boolean, duration int, staff int, voice int, step string, alter int, octave int, type string, dot boolean, tie_start boolean, tie_stop boolean, slash boolean, staccato boolean, play_duration int, full_measure boolean, note_duration int, number int, divisions int, staves int, fifths int, mode string, beats int, beat_type int, senza_misura boolean, clefs array<struct<staff:int,sign:string,line:int>>, repeat_start boolean, repeat_times int, error string"
 INTEGER = re.compile(r"\s*([+-]?\d+)")
 
 
@@ -104,8 +104,11 @@ def score_rows(score_id: int, xml: str) -> Iterator[dict]:
                 if x.tag == "note":
                     grace, rest, ties = x.find("grace"), x.find("rest"), [t.get("type") for t in x.iter("tie")]
                     staccato = x.find("notations/articulations/staccato") is not None
-                    row |= {"is_chord": x.find("chord") is not None, "is_grace": grace is not None, "is_rest": rest is not None, "step": x.findtext("pitch/step", "C"), "alter": integer(x.findtext("pitch/alter"), 0), "octave": integer(x.findtext("pitch/octave"), 4), "type": x.findtext("type", "quarter"), "dot": x.find("dot") is not None, "tie_start": "start" in ties, "tie_stop": "stop" in ties, "slash": grace is not None and grace.get("slash") == "yes",
-                            "staccato": staccato, "play_duration": max(1, row["duration"] // 2) if staccato and row["duration"] else row["duration"], "full_measure": rest is not None and rest.get("measure") == "yes"}
+                    whole = rest is not None and rest.get("measure") == "yes"
+                    # a note that doesn't say how long it is lasts 4, though time goes on by nothing; a grace lasts nothing
+                    row["note_duration"] = 0 if grace is not None else integer(x.findtext("duration"), 4 if x.find("duration") is None else None)
+                    row |= {"is_chord": x.find("chord") is not None, "is_grace": grace is not None, "is_rest": rest is not None, "step": x.findtext("pitch/step", "C"), "alter": integer(x.findtext("pitch/alter"), 0), "octave": integer(x.findtext("pitch/octave"), 4), "type": x.findtext("type") or ("whole" if whole else "quarter"), "dot": x.find("dot") is not None, "tie_start": "start" in ties, "tie_stop": "stop" in ties, "slash": grace is not None and grace.get("slash") == "yes",
+                            "staccato": staccato, "play_duration": max(1, row["duration"] // 2) if staccato and row["duration"] else row["duration"], "full_measure": whole}
                 yield row
                 at += 1
 

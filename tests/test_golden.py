@@ -292,6 +292,7 @@ def test_a_document_read_and_written(spark):
     assert {k: m[0][k] for k in first} == first and (m[1]["number"], m[1]["repeat_start"], m[1]["repeat_times"]) == (1, False, 3)
     notes = rows.filter("tag = 'note'").orderBy("elem_idx").collect()
     assert [(r.staccato, r.play_duration, r.full_measure, r.staff) for r in notes] == [(True, 2, False, 2), (False, 4, True, 1)]
+    assert [(r.type, r.note_duration) for r in notes] == [("quarter", 4), ("whole", 4)]
     assert [(c.staff, c.sign, c.line) for c in S.parsed_clefs(rows).collect()] == [(2, "F", 4)]
     assert sorted(r.score_id for r in rows.filter("error is not null").collect()) == [2, 3]
     clefs = S.parsed_clefs(rows).groupBy("score_id", "part_idx", "measure_idx").agg(F.collect_list(F.struct("staff", "sign", "line")).alias("clefs"))
@@ -300,6 +301,15 @@ def test_a_document_read_and_written(spark):
     assert [tuple(r) for r in again.drop("error").orderBy(*key).collect()] == [tuple(r) for r in rows.filter("error is null").drop("error").orderBy(*key).collect()]
 
 
+def test_notes_that_do_not_say_how_long_they_are(spark):
+    """They last 4, but the cursor stays; a grace lasts nothing, and a length that is no number is null."""
+    from stavework.sources import scores as S
+
+    notes = "<note/><note><grace/><duration>3</duration></note><note><duration>x</duration></note><note><duration>4.7</duration></note><backup/>"
+    rows = S.parsed(spark.createDataFrame([(1, f"<s><part><measure>{notes}</measure></part></s>")], "score_id long, text string")).filter("tag is not null").orderBy("elem_idx").collect()
+    assert [(r.tag, r.duration, r.note_duration) for r in rows] == [("note", 0, 4), ("note", 3, 0), ("note", 0, None), ("note", 4, 4), ("backup", 0, None)]
+
+
 @pytest.mark.parametrize("before,tempo,after", [(None, 99.5, "100"), ("80", 120.0, "120"), ("80", None, None), ("80", -1.0, None), (None, None, None)])
 def test_tempo_marks(spark, before, tempo, after):
     from stavework.sources import scores as S
