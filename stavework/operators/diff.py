@@ -236,6 +236,7 @@ def checked(expected: DataFrame, actual: DataFrame, by: list[str], attribute_kin
 
 def described(found: DataFrame) -> DataFrame:
     """Differences (kind, measure_idx, source, recovered) with a text each; measures are counted from 1."""
+    # The wording of each kind of difference.
     kind, m = C("kind"), (C("measure_idx") + 1).cast("string")
     both = lambda name: F.concat(F.lit(f"{name}: source "), "source", F.lit(", recovered "), "recovered")
     where = lambda name: F.concat(F.lit(f"{name}: recovered "), "recovered", F.lit(" where source has "), "source", F.lit(" (m"), m, F.lit(")"))

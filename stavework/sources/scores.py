@@ -277,7 +277,7 @@ def exported(elements: DataFrame, measures: DataFrame, metadata: DataFrame | Non
     return texts.select("score_id", F.concat(F.lit('<score-partwise version="4.0">'), head, C("parts"), F.lit("</score-partwise>")).alias("text"))
 
 
-#: Fields of a score's metadata and where they stand in its document.
+#: Fields of a score's metadata, named as the elements, types and names of the document format that hold them.
 CREATORS = ("composer", "lyricist", "arranger")
 ENCODING = ("software", "encoding_date", "encoding_description", "encoder")
 IMPORTS = ("import_method", "import_source_file", "import_date")
