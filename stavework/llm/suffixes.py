@@ -1,11 +1,11 @@
 """Removal of long byte strings that occur twice or more, by prefix doubling that Spark sorts.
 
 A position is ranked by the ``LENGTH`` bytes that start there, and is repeated if its rank is not its own alone. Ranks come from
-doubling: at first by the fingerprint of ``FIRST`` bytes, then by pairs of the rank at a position and the rank at an offset
+doubling: at first by the fingerprint of ``first`` bytes (half of ``LENGTH``), then by pairs of the rank at a position and the rank at an offset
 that grows with what is covered, until ``LENGTH`` is passed. Spark counts the pairs, sorts those that occur again and numbers
 them; positions whose pair is unique drop out at every round.
 
-Most positions drop out before the first pair is made. The least fingerprint among all strings of ``ANCHOR`` bytes within a
+Most positions drop out before the first pair is made. The least fingerprint among all strings of ``anchor`` bytes (five eighths) within a
 position's ``LENGTH`` bytes is its anchor. Equal strings have equal anchors, so a position whose anchor occurs once is unique.
 Neighbouring positions with one anchor are a stretch; where all stretches of an anchor are equal they are repeated as a whole, and of
 equal stretches one alone is doubled. What is left is in proportion to the number of ends of repeats, not to the text.

@@ -11,7 +11,7 @@ those of the smallest hashes of id and text, repeated rows once. Everything else
 
 Cases: a null or empty text has no features and gets the score of the bias alone; repeated rows are scored each; an empty
 table gives an empty table; without positives every score is 0; several labels of one id count as toxic if one of
-them is; null labels are none; only doc_id and text of the documents are read.
+them is; null labels are none; rows without an id are scored but never in the sample; only doc_id and text of the documents are read.
 """
 
 from __future__ import annotations
