@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed, row_key, shuffles_removed, spread_join, strings, table
 
-LENGTH, PIECE = 200, 1 << 20
+LENGTH, PIECE, PLACE_BITS = 200, 1 << 20, 24
 #: A place in a text, the positions of its stretch before it, and all positions of it are one number; LENGTH is below PACK.
 PACK = 1 << 12
 _RANDOM = np.random.default_rng(12)
@@ -81,7 +81,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Of ascending starts of strings of that length in data: anchors' fingerprints, stretches' fingerprints, anchors' places, stretches' first starts and numbers of starts."""
-    prints, bits = Fingerprints(data), np.uint64(len(data).bit_length())
+    prints, bits = Fingerprints(data), np.uint64(PLACE_BITS)  # the same for all pieces, or equal strings could have unequal anchors
     h = prints.of_length(anchor)
     place = least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)[starts] & ((np.uint64(1) << bits) - np.uint64(1))
     place = place.astype(np.int64)
