@@ -8,6 +8,8 @@ new template begins where two neighbours differ beyond chance (two proportions,
 node beyond chance and the other does not; branches without labels are one template. A template's purity is its share of labelled urls
 that are good, drawn towards the node's purity by ``PRIOR`` urls; a host's is drawn towards the share over all hosts. Segments that all paths of a node
 share are passed over, since they tell nothing apart. A path whose last template has a purity below ``REJECT`` is rejected.
+Below a node without labels, or all of whose paths have labels of one kind, no branches can differ: that is one pass for all depths, shown as ``**``; so is
+a run of segments that all paths that go on share. The number of rounds is thus that of mixed forks on a path, not that of its levels.
 The labels are the rules' verdicts unless others are given. A template shows the literals that it stands for.
 
 Cases: a null url, or one without ``://``, has an empty host and path, and all such urls share one node; repeated rows
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, spread_join, table
+from .common import Scratch, ascii_lower, checkpointed, spread_join, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 FANOUT, RARE, PRIOR, REJECT, Z = 20, 0.02, 5, 0.35, 1.96
@@ -62,14 +64,63 @@ def apart(g: Column, n: Column, g2: Column, n2: Column) -> Column:
     return off * off * both > F.lit(Z * Z) * (g + g2).cast("double") * (both - g - g2) * n * n2
 
 
+def differs_at(x: Column, y: Column) -> Column:
+    """The first place, from 0, where two arrays differ, an end counting as different; null if they are equal."""
+    return F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True), F.lit(0)) - 1
+
+
+def shown(segments: Column) -> Column:
+    return F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), x)), "")
+
+
 def passed_over(tree: DataFrame) -> DataFrame:
-    """tree, with the segments that all of a node's paths share moved from rest to template; is_last: whether its path is the node's only one."""
-    ends = tree.groupBy("host", "node").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
-    differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
-    ends = ends.select("host", "node", F.when(differs > 0, differs - 1).otherwise(F.size("low")).cast("int").alias("shared"), (F.col("low") == F.col("high")).alias("is_last"))
-    shown = F.transform(F.slice("rest", 1, F.col("shared")), lambda x: F.concat(F.lit("/"), x))
+    """tree, with the segments that all of a node's paths share moved from rest to template, and what is known of the node: is_last: nothing is
+    left to tell its paths apart; plain: none of its urls has a label; pure: all paths have labels, all of one kind; high: the last rest."""
+    ends = tree.groupBy("host", "node").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.min("labelled").alias("least"))
+    shared = F.coalesce(differs_at(F.col("low"), F.col("high")), F.size("low")).cast("int")
+    pure = (F.col("least") > 0) & ((F.col("g") == 0) | (F.col("g") == F.col("l")))
+    ends = ends.select("host", "node", shared.alias("shared"), (F.col("low") == F.col("high")).alias("is_last"), (F.col("l") == 0).alias("plain"), pure.alias("pure"), "l", "g", F.slice("high", shared + 1, F.size("high")).alias("high"))
     rows = spread_join(tree, ends, ["host", "node"], F.col("rest"))
-    return rows.withColumns({"template": F.concat("template", F.array_join(shown, "")), "rest": F.slice("rest", F.col("shared") + 1, F.size("rest"))}).drop("shared")
+    return rows.withColumns({"template": F.concat("template", shown(F.slice("rest", 1, F.col("shared")))), "rest": F.slice("rest", F.col("shared") + 1, F.size("rest"))}).drop("shared")
+
+
+def stepped(state: Column, step: Column) -> Column:
+    """The state of a walk down a node's paths after one depth: the purity of those that go on, their number and labels, and the purity of
+    those that have ended at each depth. The end of a path is a branch, and so is what goes on: they are one template unless they differ."""
+    n, l, g = state.n - step.n, state.l - step.l, state.g - step.g
+    split = step.differs | ((step.n > 0) & (n > 0))
+
+    def side(l: Column, g: Column) -> Column:
+        own = apart(g, l, state.g, state.l)
+        return F.when(l == 0, F.lit(None)).when(own & (g * state.l > state.g * l), 1).when(own, -1).otherwise(0)
+
+    one = side(step.l, step.g).eqNullSafe(side(l, g)) & ~apart(step.g, step.l, g, l)
+    last, on = (F.when(~split, state.p).when(one, purity(state.g, state.l, state.p)).otherwise(purity(y, x, state.p)) for x, y in ((step.l, step.g), (l, g)))
+    return F.struct(on.alias("p"), n.alias("n"), l.alias("l"), g.alias("g"), F.concat(state.out, F.array(F.struct(step.d.alias("d"), last.alias("p")))).alias("out"))
+
+
+def walked_down(tree: DataFrame) -> DataFrame:
+    """tree (of nodes that are not plain), as far down as what goes on is known without the branches' counts, in one pass for all depths: all the way where
+    the node is pure, as its branches are then one template, and else while all paths that go on share their segments. ended: whether the path ends there."""
+    fork = differs_at(F.col("rest"), F.col("high"))
+    tree = tree.withColumn("size", F.size("rest"))
+    forks = tree.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.first("l").alias("l"), F.first("g").alias("g"), F.first("purity").alias("p"),
+        F.when(F.first("pure"), F.max("size") + 1).otherwise(F.coalesce(F.min(F.when(fork < F.col("size"), fork)), F.max("size"))).cast("int").alias("upto"), F.max(F.coalesce(fork < F.col("size"), F.lit(False))).alias("forks"))
+    forks = checkpointed(forks)
+    tree = checkpointed(spread_join(tree.drop("high", "l", "g"), forks.select("host", "node", "upto", "forks"), ["host", "node"], F.col("rest")))
+    end = F.struct(F.col("size").alias("d"), F.lit(None).cast("string").alias("segment"), F.lit(True).alias("ends"))
+    on = F.transform("rest", lambda x, i: F.struct(i.alias("d"), x.alias("segment"), F.lit(False).alias("ends")))
+    places = tree.filter("size < upto").select("host", "node", "labelled", "good", F.explode(F.when(F.col("pure"), F.concat(on, F.array(end))).otherwise(F.array(end))).alias("x")).select("host", "node", "labelled", "good", "x.*")
+    ended = {x: F.coalesce(F.sum(F.when(F.col("ends"), y)), F.lit(0)).alias(x) for x, y in (("n", F.lit(1)), ("l", F.col("labelled")), ("g", F.col("good")))}
+    steps = places.groupBy("host", "node", "d").agg(*ended.values(), F.coalesce(F.min("segment") < F.max("segment"), F.lit(False)).alias("differs")).filter("n > 0 or differs")
+    steps = steps.groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct("d", "n", "l", "g", "differs"))).alias("steps"))  # one for each depth
+    start = F.struct("p", "n", "l", "g", F.array().cast("array<struct<d:int,p:double>>").alias("out"))
+    walk = forks.join(steps, ["host", "node"]).select("host", "node", F.aggregate("steps", start, stepped).alias("w"))
+    walk = forks.select("host", "node", "p").join(walk, ["host", "node"], "left").select("host", "node", F.coalesce("w.p", "p").alias("p"), F.map_from_entries(F.coalesce("w.out", F.array().cast("array<struct<d:int,p:double>>"))).alias("out"))
+    rows = spread_join(tree, walk, ["host", "node"], F.col("rest"))
+    above = F.col("size") < F.col("upto")
+    name = F.concat("template", F.when(F.col("pure"), "/**").otherwise(shown(F.slice("rest", 1, F.col("upto")))))
+    return rows.select("host", "shape", "n", "labelled", "good", F.when(above, F.try_element_at("out", "size")).otherwise(F.col("p")).alias("purity"), "node", name.alias("template"), F.slice("rest", F.col("upto") + 1, F.col("size") + 1).alias("rest"), (above | ~F.col("forks")).alias("ended"))
 
 
 def merged_branches(tree: DataFrame) -> DataFrame:
@@ -94,24 +145,32 @@ def merged_branches(tree: DataFrame) -> DataFrame:
     return spread_join(b.select("host", "node", "segment", "kind", "name"), few, ["host", "node", "kind", "name"], F.col("segment")).drop("kind", "name")
 
 
-def template_purities(paths: DataFrame) -> DataFrame:
-    """paths (host, shape, n, labelled, good; one row a shape) with the path's template and its purity."""
-    paths = checkpointed(paths)
+def template_purities(paths: DataFrame, scratch: Scratch) -> DataFrame:
+    """paths (host, shape, n, labelled, good; one row a shape) with the path's template and its purity. Rounds are written as tables: a
+    checkpoint keeps Spark's estimate of its size, a product over all joins, whose digits would double with each round."""
+    paths = scratch.write(paths)
     root = paths.groupBy().agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("root"))
     hosts = paths.groupBy("host").agg(F.sum("labelled").alias("l0"), F.sum("good").alias("g0")).join(F.broadcast(root))  # root is one row
     hosts = hosts.select("host", purity(F.col("g0"), F.col("l0"), F.col("root")).alias("purity"))
     tree = spread_join(paths, hosts, ["host"], F.col("shape")).withColumns({"node": F.lit(""), "template": F.lit(""), "rest": F.col("shape")})
     done = []
-    while True:  # a round a level at which some node has two paths left or more
-        tree = checkpointed(passed_over(tree))
-        done.append(tree.filter("is_last").select("host", "shape", "template", "purity"))
-        tree = tree.filter("not is_last").drop("is_last").withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+    found = ["host", "shape", "template", "purity"]
+    while True:  # a round a level at which good urls are mixed with others below one node, and the paths that go on differ
+        tree = scratch.write(passed_over(tree))
+        done.append(tree.filter("is_last").select(found))
+        done.append(tree.filter("plain and not is_last").withColumn("template", F.concat("template", F.lit("/**"))).select(found))
+        tree = tree.filter("not plain and not is_last")
+        if tree.isEmpty():
+            break
+        tree = scratch.write(walked_down(tree))
+        done.append(tree.filter("ended").select(found))
+        tree = tree.filter("not ended").withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
         if tree.isEmpty():
             break
-        tree = checkpointed(spread_join(tree, merged_branches(tree), ["host", "node", "segment"], F.col("rest")).select(
+        tree = scratch.write(spread_join(tree, merged_branches(tree), ["host", "node", "segment"], F.col("rest")).select(
             "host", "shape", "n", "labelled", "good", purity(F.col("t_g"), F.col("t_l"), F.col("purity")).alias("purity"), F.concat_ws("/", "node", "number").alias("node"),
             F.concat_ws("/", "template", "shown").alias("template"), F.slice("rest", 2, F.size("rest") + 1).alias("rest"), (F.col("segment") == "").alias("ended")))
-        done.append(tree.filter("ended").select("host", "shape", "template", "purity"))
+        done.append(tree.filter("ended").select(found))
         tree = tree.filter("not ended").drop("ended")
     return reduce(DataFrame.unionByName, done)
 
@@ -124,7 +183,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = Non
     if labels is not None:
         seen, label = seen.join(labels.groupBy("page_id").agg(F.max("good").alias("good")), "page_id", "left"), F.col("good")
     paths = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.count(F.when(label, 1)).alias("good"))
-    judged = checkpointed(template_purities(paths))
+    with Scratch(pages.sparkSession) as scratch:
+        judged = checkpointed(template_purities(paths, scratch))
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") < REJECT, "block").otherwise("allow"))
     return spread_join(seen, judged, ["host", "shape"], F.col("page_id")).select(F.col("page_id").cast("long"), "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stavework.llm import phrases, registry, secrets, suffixes, whitening
+from stavework.llm import common, phrases, registry, secrets, suffixes, urls, whitening
 
 from test_small_cases import LOWER, SF
 
@@ -227,3 +227,71 @@ def test_lookups_are_seen_within_brackets():
     key = "Xk9QpL0zzA1b"
     assert not secrets.lexed_spans(f'password = os.environ.get("{key}")') and not secrets.lexed_spans(f'password = (environ["{key}"])')
     assert secrets.lexed_spans(f'password = (environ["NAME"], ["{key}"])') or secrets.lexed_spans(f'password = wrap(("{key}"))')
+
+
+def tree_by_loop(paths):
+    """The purity of each path (a tuple of segments) with its (labelled, good), level by level; for nodes of few branches."""
+    out = {}
+
+    def purity(g, n, prior):
+        return (g + urls.PRIOR * prior) / (n + urls.PRIOR)
+
+    def apart(g, n, g2, n2):
+        return (g * n2 - g2 * n) ** 2 * (n + n2) > urls.Z**2 * (g + g2) * (n + n2 - g - g2) * n * n2
+
+    def walk(node, p):
+        if len({rest for _, rest in node}) == 1:
+            out.update({path: p for path, _ in node})
+            return
+        while all(rest for _, rest in node) and len({rest[0] for _, rest in node}) == 1:
+            node = [(path, rest[1:]) for path, rest in node]
+        branches = {}
+        for path, rest in node:
+            branches.setdefault(rest[0] if rest else "", []).append((path, rest[1:]))
+        labels = {s: tuple(sum(paths[path][i] for path, _ in b) for i in (0, 1)) for s, b in branches.items()}
+        nl, ng = (sum(x[i] for x in labels.values()) for i in (0, 1))
+        last, groups = None, []
+        for s in sorted(branches, key=lambda s: (labels[s][0] > 0, labels[s][1] / max(labels[s][0], 1), s)):
+            l, g = labels[s]
+            side = None if not l else 0 if not apart(g, l, ng, nl) else 1 if g * nl > ng * l else -1
+            if last is None or last[0] != side or apart(g, l, *last[1]):
+                groups.append([])
+            groups[-1].append(s)
+            last = side, (g, l)
+        for group in groups:
+            t = purity(sum(labels[s][1] for s in group), sum(labels[s][0] for s in group), p)
+            out.update({path: t for s in group if not s for path, _ in branches[s]})
+            if on := [x for s in group if s for x in branches[s]]:
+                walk(on, t)
+
+    l, g = (sum(x[i] for x in paths.values()) for i in (0, 1))
+    walk([(path, path) for path in paths], purity(g, l, (g + 1) / (l + 2)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "pure", "few"])
+def test_url_trees_against_a_loop(spark, kind):
+    rng = random.Random(kind)
+    paths = {}
+    for _ in range(60):
+        n = rng.randrange(5 if kind == "random" else 7)
+        path = tuple("ab" * 4)[:n] if kind == "chain" else tuple(rng.choice("abc") for _ in range(n))
+        labelled = {"random": rng.randrange(9), "chain": rng.randrange(40), "pure": 3, "few": 9 * (path[:2] == ("a", "b"))}[kind]
+        good = 0 if kind == "pure" and path[:1] == ("b",) else labelled if kind in ("pure", "few") else rng.randrange(labelled + 1)
+        paths[path] = (labelled, good)
+    rows = [("h", list(path), l + 1, l, g) for path, (l, g) in paths.items()]
+    with common.Scratch(spark) as scratch:
+        got = urls.template_purities(spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, good long"), scratch).collect()
+    want = tree_by_loop(paths)
+    assert len(got) == len(paths)
+    for r in got:
+        assert r.purity == pytest.approx(want[tuple(r.shape)], rel=1e-12), r
+
+
+def test_urls_of_one_to_three_hundred_levels(spark):
+    """Traps of crawls: the rounds don't grow with the levels, so that it takes well under a minute."""
+    rows = [(1000 * h + n, f"https://{host}/" + "/".join((first + "ab" * n)[:n])) for h, (host, first) in enumerate([("x.org", "a"), ("y.net", "b"), ("example.org", "e")]) for n in range(1, 301)]
+    begun = time.time()
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 900 and all(r.verdict == "allow" for r in got if r.host != "y.net")
+    assert time.time() - begun < 60
