@@ -157,3 +157,42 @@ def test_engraved_documents(spark):
     assert [n.findtext("accidental") for n in notes] == ["sharp", None, "natural"] and [n.findtext("beam") for n in notes] == ["begin", "end", None]
     assert [[t.get("type") for t in n.iter("tied")] for n in notes] == [["start"], ["stop"], []]
     assert [c.tag for c in root.find("part/measure")] == ["attributes", "direction", "note", "note", "note"]
+
+
+def test_collections_of_scores(spark, tmp_path):
+    """Many documents a file, whatever they hold: lines, a broken one, none; their rows are those of the documents."""
+    from test_golden import XML
+
+    texts = [("a/1.xml", BLANK), ("b/2.xml", XML), ("broken.xml", "<s><part>"), ("none.xml", None), ("lines.xml", "<s>\n\t<part>\r\n<measure/></part></s>")]
+    S.write_collection(spark.createDataFrame(texts, "path string, text string").coalesce(1), str(tmp_path / "all"))
+    assert len(list((tmp_path / "all").glob("part-*"))) == 1
+    rows = S.read_collection(spark, str(tmp_path / "all")).cache()
+    assert {r.path for r in rows.filter("error is not null").collect()} == {"broken.xml", "none.xml"}
+    one = S.parsed(spark.createDataFrame([texts[1]], "path string, text string").withColumn("score_id", F.lit(0)))
+    assert rows.filter("path = 'b/2.xml'").drop("path", "score_id").exceptAll(one.drop("score_id")).count() == 0 and rows.filter("path = 'b/2.xml'").count() == one.count()
+    assert rows.filter("path = 'lines.xml' and tag is null").count() == 1
+
+
+def test_documents_are_read_in_large_batches(spark):
+    """Rows of many documents leave a task together, and only wanted elements become rows; a document without any keeps its place."""
+    texts = spark.createDataFrame([(i, scored("<note/>" * 3) if i else "<broken") for i in range(500)], "score_id long, text string").coalesce(1)
+    batches = lambda df: df.mapInArrow(lambda it: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert len(batches(S.parsed(texts))) == 1 and S.parsed(texts).count() == 1 + 499 * 5
+    assert [r["tag"] for r in X.node_rows(scored("<sound/>"), wanted=lambda path: path.endswith("/sound"))] == ["sound"]
+    meta = S.metadata(texts)
+    assert meta.count() == 500 and meta.select("score_id").distinct().count() == 500
+
+
+def test_elements_without_a_measure_are_left_out(spark):
+    from test_golden import ELEMENT, MEASURE
+
+    e = spark.createDataFrame([(1, 0, k, 0, "forward", False, False, False, 2, 1, 1, None, None, None, None, False, False, False, False) for k in (0, 5)], ELEMENT)
+    text = S.exported(e, spark.createDataFrame([(1, 0, 0, None, None, None, None, False, None), (2, 0, 0, None, None, None, None, False, None)], MEASURE)).orderBy("score_id").collect()
+    assert [(r.score_id, r.text.count("<forward>"), r.text.count("<measure ")) for r in text] == [(1, 1, 1), (2, 0, 1)]
+
+
+def test_repeated_and_nested_children(spark):
+    """Of children of one tag the first counts, of pitches whichever has the value, and ties at any depth."""
+    note = "<note><duration> +3 </duration><duration>9</duration><pitch><octave>5</octave><octave>1</octave></pitch><pitch><step>G</step></pitch><x><tie type='stop'/></x><tie type='start'/></note>"
+    r = S.parsed(spark.createDataFrame([(1, scored(note))], "score_id long, text string")).filter("elem_idx = 0").first()
+    assert (r.duration, r.step, r.octave, r.alter, r.tie_start, r.tie_stop, r.note_duration) == (3, "G", 5, 0, True, True, 3)
