@@ -91,3 +91,22 @@ def test_a_note_handed_on_through_measures(spark):
 def test_no_edits(spark):
     notes, _, lengths = random_log(random.Random(3), 1, 2, 0)
     assert through_spark(spark, notes, [], lengths) == loop(notes, [], lengths)
+
+
+def test_measures_are_folded_together(spark):
+    """Many small measures are rows of common batches, not a call of pandas each, which took some milliseconds a measure."""
+    from stavework.operators.replay import replayed
+
+    n = 300
+    notes = spark.createDataFrame([(1, 0, m, 0, 0, 4, 1, 1, "C", 0, 4) for m in range(n)], "score_id long, part_idx int, measure_idx int, elem_idx int, onset long, duration long, staff int, voice int, step string, alter int, octave int")
+    log = spark.createDataFrame([(1, 0, m, m, "pitch", 0, None, None, None, None, None, "G", None, None) for m in range(n)], "score_id long, part_idx int, measure_idx int, seq long, op string, elem_idx int, at long, wanted long, to_measure int, staff int, voice int, step string, alter int, octave int")
+    lengths = spark.createDataFrame([(1, 0, m, 16) for m in range(n)], "score_id long, part_idx int, measure_idx int, length long")
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return df.localCheckpoint()
+
+    rows = replayed(notes, log, lengths, keep=keep).collect()
+    assert len(rows) == n and {(r.step, r.alter, r.octave, r.duration) for r in rows} == {("G", 0, 4, 4)}
+    assert any("MapInArrow" in p for p in plans) and not any("CoGroup" in p for p in plans)
