@@ -63,3 +63,27 @@ def test_a_tile_keeps_its_edges():
     b3, r3 = D.edges(x[5:], y[:4], b1, left[5:])
     b4, r4 = D.edges(x[5:], y[4:], b2, r3)
     assert (b4 == bottom[4:]).all() and (r4 == right[5:]).all()
+
+
+def test_small_tiles_go_the_same_way(monkeypatch):
+    """A small tile keeps all its scores; its way back is that of one that fills them in again."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        x, y = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(0, 4, rng.integers(1, 30))
+        top, left = -np.arange(len(y) + 1, dtype=np.int32), -np.arange(len(x) + 1, dtype=np.int32)
+        ways = []
+        for cells in (0, 1 << 18):
+            monkeypatch.setattr(D, "SMALL", cells)
+            ways.append(D.way_back(x, y, top, left))
+        assert ways[0] == ways[1]
+
+
+def test_tiles_leave_a_task_together(spark):
+    """The ways of the tiles of a batch are one batch."""
+    n = 200
+    rows = [(i, 0, 0, [1, 2, 3], [1, 3], [0, -1, -2], [0, -1, -2, -3]) for i in range(n)]
+    tiles = spark.createDataFrame(rows, "score_id long, i0 long, j0 long, x array<int>, y array<int>, top array<int>, left_ array<int>").coalesce(1)
+    found = D._tile_ways(tiles).mapInArrow(lambda it: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert sum(r.n for r in found) == n and len(found) == 1
