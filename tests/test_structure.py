@@ -3,6 +3,7 @@
 import random
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,11 +174,10 @@ def test_collections_of_scores(spark, tmp_path):
     assert rows.filter("path = 'lines.xml' and tag is null").count() == 1
 
 
-def test_documents_are_read_in_large_batches(spark):
-    """Rows of many documents leave a task together, and only wanted elements become rows; a document without any keeps its place."""
+def test_only_wanted_elements_are_rows(spark):
+    """Only wanted elements become rows; a document without any keeps its place."""
     texts = spark.createDataFrame([(i, scored("<note/>" * 3) if i else "<broken") for i in range(500)], "score_id long, text string").coalesce(1)
-    batches = lambda df: df.mapInArrow(lambda it: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
-    assert len(batches(S.parsed(texts))) == 1 and S.parsed(texts).count() == 1 + 499 * 5
+    assert S.parsed(texts).count() == 1 + 499 * 5
     assert [r["tag"] for r in X.node_rows(scored("<sound/>"), wanted=lambda path: path.endswith("/sound"))] == ["sound"]
     meta = S.metadata(texts)
     assert meta.count() == 500 and meta.select("score_id").distinct().count() == 500
@@ -196,3 +196,16 @@ def test_repeated_and_nested_children(spark):
     note = "<note><duration> +3 </duration><duration>9</duration><pitch><octave>5</octave><octave>1</octave></pitch><pitch><step>G</step></pitch><x><tie type='stop'/></x><tie type='start'/></note>"
     r = S.parsed(spark.createDataFrame([(1, scored(note))], "score_id long, text string")).filter("elem_idx = 0").first()
     assert (r.duration, r.step, r.octave, r.alter, r.tie_start, r.tie_stop, r.note_duration) == (3, "G", 5, 0, True, True, 3)
+
+
+def test_few_files_are_packed_at_once(spark):
+    """Files are packed and unpacked in small pieces, however many a batch comes in with; what is no archive is an error."""
+    n = 500
+    texts = spark.createDataFrame([(f"{i}.mxl", BLANK + " " * i) for i in range(n)], "path string, text string").coalesce(1)
+    packed = S.packed(texts).localCheckpoint()
+    batch = pa.RecordBatch.from_pydict({"path": list(range(n))})
+    pieces = list(S._parts([batch, batch]))
+    assert max(p.num_rows for p in pieces) == S.FILES and [x for p in pieces for x in p.column(0).to_pylist()] == [*range(n)] * 2
+    assert S.unpacked(packed).select("path", "text").exceptAll(texts).count() == 0
+    bad = S.unpacked(spark.createDataFrame([("a", b"PK"), ("b", None)], "path string, content binary")).collect()
+    assert [(r.path, r.text, r.error) for r in bad] == [("a", None, "BadZipFile"), ("b", None, "TypeError")]
