@@ -40,6 +40,8 @@ KEY_COST, CANDIDATE_COST = 1.0, 0.02
 BANDS, ROWS = 32, 5
 #: Buckets in which shingles are counted, to put rare ones first.
 BUCKETS = 1 << 20
+#: Where more than CROWD nodes of a key are connected, the others are compared with HUBS of them before all.
+CROWD, HUBS = 32, 8
 #: Columns that tell texts apart, added to documents for a while.
 ROW = ("__text_hash", "__text_hash_2")
 
@@ -327,6 +329,18 @@ def star_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
+def hub_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): the nodes of a crowded key (key, node, root) that are not of its largest root, with HUBS nodes of that root, drawn by hash.
+
+    A set that is near some sets of a large group, but not near the one that its bands were compared with, is thus mostly connected by pairs in
+    proportion to the keys, before it would meet the whole group."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "key", "node"), C("node").alias("hub"))) for i in range(HUBS)]
+    groups = keys.groupBy("key", C("root").alias("of")).agg(F.count("*").alias("c"), F.array(*drawn).alias("hubs")).filter(C("c") > CROWD)
+    crowded = groups.groupBy("key").agg(F.max(F.struct("c", "of", "hubs")).alias("x")).select("key", "x.of", "x.hubs")
+    met = keys.join(crowded, "key").filter(C("root") != C("of")).select("node", F.explode("hubs.hub").alias("hub"))
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def shingle_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (set_id and ROW of one text of each) with h, the set of shingles."""
     texts = rows.select(*ROW, "text").join(wanted, list(ROW)).dropDuplicates(["set_id"])
@@ -390,8 +404,8 @@ def unconnected_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
 def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFrame:
     """(set_id, root): sets of shingles are linked where the share of common ones among those of both is at least similarity.
 
-    First, sets that share a band, or whose fingerprints are within DISTANCE bits, are compared with one of theirs only. Then, among the sets of
-    bands that this leaves unconnected, those of different roots are compared that share one of their rarest shingles: which ones two
+    First, sets that share a band, or whose fingerprints are within DISTANCE bits, are compared with one of theirs only, and those of crowded bands
+    that this leaves unconnected with some more. Then, among the sets of bands that are still unconnected, those of different roots are compared that share one of their rarest shingles: which ones two
     sets of that similarity can't all differ in. All links are verified on the whole sets."""
     sets = each.groupBy("set_id").agg(F.min(F.struct(*ROW, "fp", "bands")).alias("x")).select("set_id", "x.*")
     sets = checkpointed(sets)
@@ -411,13 +425,21 @@ def similar_roots(rows: DataFrame, each: DataFrame, k: int, similarity: float) -
     stars = checkpointed(star_pairs(keys).union(near_bits).filter("a <> b").distinct())
     nodes = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     h = checkpointed(shingle_sets(rows, sets.select("set_id", *ROW).join(nodes, "set_id"), k))  # all sets with a band in common are in a star
-    first = verified(stars, h)
-    roots = components(first).withColumnRenamed("node", "of")
-    known = keys.join(roots, keys.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.join(known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "key", "left_semi")
+    def unconnected(found: DataFrame) -> DataFrame:
+        """key, node and root of the keys whose nodes have several roots."""
+        roots = components(found).withColumnRenamed("node", "of")
+        known = keys.join(roots, keys.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return checkpointed(known.join(known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "key", "left_semi"))
+
+    found = verified(stars, h)
+    mixed = unconnected(found)
+    more = checkpointed(hub_pairs(mixed).join(stars, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found, stars = checkpointed(found.union(verified(more, h))), stars.union(more)
+        mixed = unconnected(found)
     loose = checkpointed(mixed.select(F.col("node").alias("set_id"), "root").distinct())
     pairs = unconnected_pairs(rare_first(h.join(loose, "set_id"), similarity), similarity).join(stars, ["a", "b"], "left_anti")
-    roots = components(first.union(verified(checkpointed(pairs), h)))
+    roots = components(found.union(verified(checkpointed(pairs), h)))
     return sets.join(roots, sets.set_id == roots.node, "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
 
 
