@@ -49,7 +49,8 @@ TOTAL, SURE, TABLE, RENEW, LEAST = 28, 3, 18, 128, 7
 #: Bits of the coder's state and of a code word. The range is at least 2 ** (CODE - WORD), and a share of 1 at least 2 ** 4 of it.
 CODE, WORD = 48, 16
 PART_BYTES = 64 << 20
-CACHE_SIZE = 1_000_000
+#: Words, and pieces, that a worker keeps.
+CACHE_SIZE = 250_000
 #: Words whose characters are composed and have a lower case of one character, and the tokenizer's pattern for such words in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
@@ -284,7 +285,7 @@ class Growing:
 
 class WordEncoder:
     """Ids of texts word by word: the tokenizer's pieces never hold white space, so a word's ids are its own, and a worker keeps those
-    of the words that it has met.
+    of the words that it has met twice in some texts.
 
     A word of plain Latin letters, digits and signs is cut by the tokenizer's own pattern here, and only its pieces go to the tokenizer's
     model, since lower case and composed characters need nothing else; any other word goes through the whole tokenizer."""
@@ -302,47 +303,58 @@ class WordEncoder:
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.begin, self.size = Growing(np.zeros(0, np.uint32)), Growing(np.zeros(1, np.int64)), Growing(np.zeros(1, np.int64))
 
+    def of_piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_characters)
+        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids
+
     def of_plain(self, word: str) -> list[int]:
-        low = word.lower()
+        low, get, of_piece = word.lower(), self.pieces.get, self.of_piece
+        if low.isalpha():
+            return get(low) or of_piece(low)
         out = []
-        for piece in [low] if low.isalpha() else PIECES(low):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_characters)
-                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            out += ids
+        for piece in PIECES(low):
+            out += get(piece) or of_piece(piece)
         return out
 
-    def learn(self, fresh: list[str]) -> None:
-        plain = [self.of_plain(w) if PLAIN(w) else None for w in fresh]
+    def encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words, and how many each has."""
+        if len(self.pieces) > CACHE_SIZE:
+            self.pieces.clear()
+        of_plain = self.of_plain
+        plain = [of_plain(w) if PLAIN(w) else None for w in fresh]
         rest = [w for w, x in zip(fresh, plain) if x is None]
         others = (e.ids for i in range(0, len(rest), 20_000) for e in self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False))
         found = [next(others) if x is None else x for x in plain]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def keep(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        if len(self.number) + len(words) > CACHE_SIZE:
+            self.forget()
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.begin.add(self.flat.size + np.cumsum(size) - size)
-        self.flat.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        self.flat.add(flat)
         self.size.add(size)
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end, and how many each text has."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        distinct, indices = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()  # much faster than to_pylist()
         of = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        flat, begin, size = self.flat.room[: self.flat.size], self.begin.room[of], self.size.room[of]
         missing = np.flatnonzero(of < 0)
         if len(missing):
             fresh = [distinct[i] for i in missing.tolist()]
-            if len(self.number) + max(len(fresh), len(self.pieces) - CACHE_SIZE) > CACHE_SIZE:
-                self.forget()
-                fresh = [w for w in distinct if w]
-                missing = np.flatnonzero([bool(w) for w in distinct])
-            of[missing] = len(self.number) + np.arange(len(fresh))
-            self.learn(fresh)
-        of = of[coded.indices.to_numpy()]
-        n = self.size.room[of]
+            new, new_size = self.encoded(fresh)
+            new_begin = np.cumsum(new_size) - new_size
+            begin[missing], size[missing], flat = len(flat) + new_begin, new_size, np.concatenate([flat, new])
+            again = np.bincount(indices, minlength=len(distinct))[missing] > 1  # most words that these texts have once don't come again
+            self.keep([fresh[i] for i in np.flatnonzero(again).tolist()], new[np.repeat(again, new_size)], new_size[again])
+        n = size[indices]
         stops = np.cumsum(n)
-        ids = self.flat.room[np.repeat(self.begin.room[of] - stops + n, n) + np.arange(len(of) and stops[-1])]
+        ids = flat[np.repeat(begin[indices] - stops + n, n) + np.arange(len(n) and stops[-1])]
         ends = np.append(0, stops)[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]  # of each text, among the ids without ends
         return np.insert(ids, ends, np.uint32(END)), np.diff(ends, prepend=0) + 1
 

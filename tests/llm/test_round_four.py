@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from stavework.llm import simhash
+import pyarrow as pa
+
+from stavework.llm import simhash, token_files
 
 
 def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
@@ -35,3 +37,21 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert {r.doc_id for r in kept} == set(root)
 
     assert sum(seen) < 3000  # 5,693 without that, 1,466 with it
+
+
+def test_words_met_once_are_not_kept(monkeypatch):
+    """Ids are the tokenizer's, whatever a worker keeps; words that come once leave nothing behind, and what is kept is bounded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    monkeypatch.setattr(token_files, "CACHE_SIZE", 300)
+    rng = random.Random(3)
+    for k in range(6):
+        texts = [None, "", *[" ".join(["The", "Été,", f"twice{k}", "日本", *[f"Once{rng.randrange(10**9)}." for _ in range(20)]]) for _ in range(10)]]
+        texts += [" ".join([f"kept{k}x{i}"] * 2) for i in range(80)]
+        ids, n = encoder(pa.array(texts, pa.string()))
+        want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(encoder.number) <= 300 and not any(w.startswith("Once") for w in encoder.number)
