@@ -100,3 +100,24 @@ def test_pages_wait_for_their_turn(spark, tmp_path):
     rows = spark.readStream.schema("doc_id long, page_no long, span long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = stateful.finished(stateful.page_offsets(rows), str(tmp_path / uuid.uuid4().hex)).collect()
     assert sorted(map(tuple, got)) == sorted((d, p, sum(1 + (d + q) % 3 for q in range(p))) for d in range(2) for p in range(6))
+
+
+def test_pairing_calls_python_once_a_bucket(spark, tmp_path, monkeypatch):
+    """Notes of many keys in few buckets over several batches, a key without a track included, against a loop; a bucket's beginnings expire together."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        rows.append((rng.choice([None, 1, 2, 2**60 + 1]), rng.randrange(9), i, i * 7, rng.randrange(99), rng.random() < 0.6, BEGIN + timedelta(seconds=i)))
+    open_, want = {}, []
+    for track, note, seq, tick, velocity, begins, _ in rows:
+        if begins:
+            open_[track, note] = (tick, velocity)
+        elif (track, note) in open_:
+            want.append((track, note, *[open_[track, note][0], tick, open_.pop((track, note))[1]], seq))
+    batches = [rows[k * 100 : k * 100 + 100] for k in range(4)] + [[event(m, False, 99)] for m in (300, 301, 302)]
+    got = stateful.finished(stateful.pairing_events(stream(spark, tmp_path / "in", batches, EVENT, "1 minute"), 3_600_000), str(tmp_path / "run")).collect()
+    by = lambda r: (str(r[0]), *r[1:])
+    assert sorted([(r.track, r.note, r.start, r.end, r.velocity, r.end_seq) for r in got if r.kind == "row"], key=by) == sorted(want, key=by)
+    assert sorted([(r.track, r.note, r.start, r.velocity) for r in got if r.kind == "expired"], key=by) == sorted([(*k, *v) for k, v in open_.items()], key=by)
+    kept = stateful.pairing_events(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour"), 1)
+    assert "bucket" in kept._jdf.queryExecution().analyzed().toString()  # the state's key
