@@ -209,3 +209,26 @@ def test_few_files_are_packed_at_once(spark):
     assert S.unpacked(packed).select("path", "text").exceptAll(texts).count() == 0
     bad = S.unpacked(spark.createDataFrame([("a", b"PK"), ("b", None)], "path string, content binary")).collect()
     assert [(r.path, r.text, r.error) for r in bad] == [("a", None, "BadZipFile"), ("b", None, "TypeError")]
+
+
+def test_export_gathers_a_score_once(spark):
+    """Two parts, an element whose measure is not there, a measure that is given twice, and a plan with one exchange by score and one aggregation."""
+    m = spark.createDataFrame([(1, 0, 0, 4, False, None), (1, 0, 1, None, True, 2), (1, 0, 1, 3, True, None), (1, 1, 0, None, False, None)], "score_id long, part_idx int, measure_idx int, divisions int, repeat_start boolean, repeat_times int").withColumns({"fifths": F.lit(None).cast("int"), "beats": F.lit(None).cast("int"), "beat_type": F.lit(None).cast("int")})
+    e = spark.createDataFrame([(1, p, k, at, "backup", d) for p, k, at, d in ((0, 0, 1, 2), (0, 0, 0, 1), (0, 7, 0, 9), (2, 0, 0, 9), (1, 0, 0, 5))], "score_id long, part_idx int, measure_idx int, elem_idx int, tag string, duration int")
+    e = e.withColumns({**{c: F.lit(False) for c in ("is_chord", "is_grace", "is_rest", "dot", "slash", "tie_start", "tie_stop")}, **{c: F.lit(None).cast("string") for c in ("step", "alter", "octave", "type", "voice", "staff")}})
+    texts = S.exported(e, m, part_list=True)
+    b = lambda n: f"<backup><duration>{n}</duration></backup>"
+    again = '<measure number="2"><attributes><divisions>3</divisions></attributes><barline location="left"><repeat direction="forward"/></barline>'
+    want = f'<part id="P1"><measure number="1"><attributes><divisions>4</divisions></attributes>{b(1)}{b(2)}</measure>{again}'
+    text = texts.first().text
+    assert text.startswith('<score-partwise version="4.0"><part-list><score-part id="P1"><part-name>Part 1</part-name></score-part><score-part id="P2"><part-name>Part 2</part-name></score-part></part-list>')
+    assert want in text and text.endswith(f'</measure></part><part id="P2"><measure number="1">{b(5)}</measure></part></score-partwise>') and b(9) not in text and text.count('<measure number="2">') == 1
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_measures_alone(spark):
+    """Without elements only the rows of measures and errors come; they are the same."""
+    texts = spark.createDataFrame([(1, BLANK), (2, "<a")], "score_id long, text string")
+    every, some = S.parsed(texts), S.parsed(texts, elements=False)
+    assert every.filter("tag is null").exceptAll(some).isEmpty() and some.exceptAll(every.filter("tag is null")).isEmpty() and some.count() > 1
