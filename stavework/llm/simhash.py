@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, row_key, table, words
+from .common import ascii_lower, checkpointed, row_key, shuffles_removed, table, words
 from .components import components
 
 C = F.col
@@ -451,12 +451,13 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: float | None = None)
     docs = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])  # further columns may have any name
     rows = docs.withColumns(dict(zip(ROW, row_key(F.col("text")))))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")  # copies are gathered before the join, so a hot set is one row there
-    if similarity is None:
-        each = checkpointed(fingerprints(rows, k, ROW))
-        named = each.groupBy("fp").agg(first).join(rooted(each.select("fp").distinct()), "fp")
-    else:
-        each = checkpointed(sketches(rows, k))
-        named = each.groupBy("set_id").agg(first).join(similar_roots(rows, each, k, similarity), "set_id")
+    with shuffles_removed(docs.sparkSession):  # many small jobs, whose shuffles have a file for each task
+        if similarity is None:
+            each = checkpointed(fingerprints(rows, k, ROW))
+            named = each.groupBy("fp").agg(first).join(rooted(each.select("fp").distinct()), "fp")
+        else:
+            each = checkpointed(sketches(rows, k))
+            named = each.groupBy("set_id").agg(first).join(similar_roots(rows, each, k, similarity), "set_id")
     # The join and the choice among repeated rows have the same keys, so the texts are shuffled once.
     own = {"id_or_0": lambda c: F.coalesce(c.cast("long"), F.lit(0)), "has_id": lambda c: c.isNotNull()}
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(*[f(F.col("first.doc_id")).alias(x) for x, f in own.items()], *[F.col(f"first.{c}").alias(c) for c in ROW])

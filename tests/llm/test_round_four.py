@@ -55,3 +55,13 @@ def test_words_met_once_are_not_kept(monkeypatch):
         want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
         assert len(encoder.number) <= 300 and not any(w.startswith("Once") for w in encoder.number)
+
+
+def test_near_copies_leave_no_shuffle_files(spark, monkeypatch):
+    """All jobs of the search remove their shuffles when they end; the session's setting is as before afterwards."""
+    key, seen, plain = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], simhash.checkpointed
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: (seen.append(df.sparkSession.conf.get(key, None)), plain(df))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{j}" for j in range(30))) for i in range(9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, 5, 0.8).collect()) == [0, 1, 2]
+    assert len(seen) > 3 and set(seen) == {"true"} and spark.conf.get(key, None) == before
