@@ -232,3 +232,11 @@ def test_measures_alone(spark):
     texts = spark.createDataFrame([(1, BLANK), (2, "<a")], "score_id long, text string")
     every, some = S.parsed(texts), S.parsed(texts, elements=False)
     assert every.filter("tag is null").exceptAll(some).isEmpty() and some.exceptAll(every.filter("tag is null")).isEmpty() and some.count() > 1
+
+
+def test_tagged_elements_are_those_of_the_reader_with_places():
+    """Own text, namespaces, comments, entities and what can't be parsed, as node_rows has them."""
+    wanted = frozenset(("a", "b", "x:a"))
+    for text in ("<r><a>1<b>2</b>3<!-- c -->4</a><c><b/></c></r>", "<a>é🎵<?p q?>t</a>", '<r xmlns="u"><a>1</a></r>', '<r xmlns:x="u"><x:a>1</x:a></r>', "<r><x:a>1</x:a></r>", '<!DOCTYPE r [<!ENTITY q "zz">]><r><a>&q;</a></r>', '<!DOCTYPE r SYSTEM "s"><r><a>&q;1</a></r>', "<r><a>", ""):
+        rows = [r for r in X.node_rows(text) if r["tag"] in wanted]
+        assert X.tagged_values(text, wanted) == ([r["tag"] for r in rows], [r["value"] for r in rows]), text
