@@ -240,3 +240,20 @@ def test_tagged_elements_are_those_of_the_reader_with_places():
     for text in ("<r><a>1<b>2</b>3<!-- c -->4</a><c><b/></c></r>", "<a>é🎵<?p q?>t</a>", '<r xmlns="u"><a>1</a></r>', '<r xmlns:x="u"><x:a>1</x:a></r>', "<r><x:a>1</x:a></r>", '<!DOCTYPE r [<!ENTITY q "zz">]><r><a>&q;</a></r>', '<!DOCTYPE r SYSTEM "s"><r><a>&q;1</a></r>', "<r><a>", ""):
         rows = [r for r in X.node_rows(text) if r["tag"] in wanted]
         assert X.tagged_values(text, wanted) == ([r["tag"] for r in rows], [r["value"] for r in rows]), text
+
+
+def test_documents_are_written_in_as_many_tasks_as_shuffles_have(spark):
+    """Few bytes of measures and elements are much work, so their tasks must not be merged by bytes; scores that are not plain are written as before."""
+    e = spark.sql("select 1L score_id, 0 part_idx, 0 measure_idx, 0 elem_idx, 'note' tag, false is_chord, false is_grace, true is_rest, 1 duration, 1 staff, 1 voice, 'C' step, 0 alter, 4 octave, 'half' type, false dot, false tie_start, false tie_stop, false slash")
+    e = e.unionByName(e.withColumn("measure_idx", F.lit(9))).unionByName(e.withColumn("score_id", F.lit(2).cast("long"))).unionByName(e.withColumn("score_id", F.lit(3).cast("long")).withColumn("part_idx", F.lit(1)))
+    m = spark.sql("select score_id, part_idx, 0 measure_idx, divisions, null fifths, null beats, null beat_type, part_idx = 1 repeat_start, null repeat_times from values (1L, 0, 1), (2L, 0, 1), (2L, 0, 2), (3L, 0, 1), (3L, 1, null) as t (score_id, part_idx, divisions)")
+    texts = S.exported(e, m, part_list=True)
+    note = "<note><rest/><duration>1</duration><voice>1</voice><type>half</type><staff>1</staff></note>"
+    head = lambda d: f'<measure number="1">{f"<attributes><divisions>{d}</divisions></attributes>" if d else ""}'
+    one = lambda p: f'<score-part id="P{p}"><part-name>Part {p}</part-name></score-part>'
+    whole = lambda parts, inner: f'<score-partwise version="4.0"><part-list>{"".join(map(one, parts))}</part-list>{inner}</score-partwise>'
+    repeat = '<barline location="left"><repeat direction="forward"/></barline>'
+    assert {r.score_id: r.text for r in texts.collect()} == {
+        1: whole([1], f'<part id="P1">{head(1)}{note}</measure></part>'), 2: whole([1], f'<part id="P1">{head(2)}{note}</measure></part>'),
+        3: whole([1, 2], f'<part id="P1">{head(1)}</measure></part><part id="P2">{head(0)}{repeat}{note}</measure></part>')}
+    assert texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
