@@ -53,7 +53,7 @@ PART_BYTES = 64 << 20
 CACHE_SIZE = 250_000
 #: Words whose characters are composed and have a lower case of one character, and the tokenizer's pattern for such words in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+").findall  # of words in lines
 TEXTS = 2048
 
 
@@ -293,41 +293,72 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives every task one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.byte_characters = {b: c for c, b in byte_characters().items() if ord(c) != b}
+        self.shown = np.arange(256, dtype="<u4")  # the code point that shows a byte; ends of lines stay
+        for c, b in byte_characters().items():
+            if b != 0x0A:
+                self.shown[b] = ord(c)
+        self.model = Tokenizer(self.tokenizer.model)  # pieces in lines, as their bytes are shown, which are never white space
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {"": 0}  # of the words met so far; the ids of all of them lie in one array
-        self.pieces: dict[str, list[int]] = {}
+        self.no_pieces()
         self.flat, self.begin, self.size = Growing(np.zeros(0, np.uint32)), Growing(np.zeros(1, np.int64)), Growing(np.zeros(1, np.int64))
 
-    def of_piece(self, piece: str) -> list[int]:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_characters)
-        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
+    def no_pieces(self) -> None:
+        self.pieces: dict[str, int] = {"\n": 0}  # the end of a word has no ids
+        self.piece_flat, self.piece_begin, self.piece_size = Growing(np.zeros(0, np.uint32)), Growing(np.zeros(1, np.int64)), Growing(np.zeros(1, np.int64))
+
+    def learn(self, pieces: list[str]) -> None:
+        """The ids of these pieces, new ones, from the tokenizer's model."""
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            lines = "\n".join(part)
+            shown = lines if lines.isascii() else self.shown[np.frombuffer(lines.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            e = self.model.encode(shown, add_special_tokens=False)
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            self.pieces.update(zip(part, range(len(self.pieces), len(self.pieces) + len(part))))
+            self.piece_begin.add(self.piece_flat.size + np.cumsum(size) - size)
+            self.piece_flat.add(np.array(e.ids, np.uint32))
+            self.piece_size.add(size)
 
     def of_plain(self, word: str) -> list[int]:
-        low, get, of_piece = word.lower(), self.pieces.get, self.of_piece
-        if low.isalpha():
-            return get(low) or of_piece(low)
-        out = []
-        for piece in PIECES(low):
-            out += get(piece) or of_piece(piece)
-        return out
+        return self.of_lines([word])[0].tolist()
+
+    def of_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain words, and how many each has."""
+        pieces = PIECES("\n".join(words).lower() + "\n")
+        of = np.fromiter(map(self.pieces.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(of < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys([pieces[i] for i in missing])))
+            of[missing] = [self.pieces[pieces[i]] for i in missing]
+        n = self.piece_size.room[of]
+        stops = np.cumsum(n)
+        ids = self.piece_flat.room[np.repeat(self.piece_begin.room[of] - stops + n, n) + np.arange(stops[-1])]
+        return ids, np.diff(stops[of == 0], prepend=0)
 
     def encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these words, and how many each has."""
         if len(self.pieces) > CACHE_SIZE:
-            self.pieces.clear()
-        of_plain = self.of_plain
-        plain = [of_plain(w) if PLAIN(w) else None for w in fresh]
-        rest = [w for w, x in zip(fresh, plain) if x is None]
-        others = (e.ids for i in range(0, len(rest), 20_000) for e in self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False))
-        found = [next(others) if x is None else x for x in plain]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+            self.no_pieces()
+        plain = np.fromiter([PLAIN(w) is not None for w in fresh], bool, len(fresh))
+        rest = [fresh[i] for i in np.flatnonzero(~plain).tolist()]
+        others = [e.ids for i in range(0, len(rest), 20_000) for e in self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)]
+        size = np.zeros(len(fresh), np.int64)
+        size[~plain] = [len(x) for x in others]
+        if plain.any():
+            ids, size[plain] = self.of_lines(fresh if plain.all() else [fresh[i] for i in np.flatnonzero(plain).tolist()])
+        else:
+            ids = np.zeros(0, np.uint32)
+        out, mine = np.zeros(int(size.sum()), np.uint32), np.repeat(plain, size)
+        out[mine] = ids
+        out[~mine] = np.fromiter(chain.from_iterable(others), np.uint32, len(out) - len(ids))
+        return out, size
 
     def keep(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         if len(self.number) + len(words) > CACHE_SIZE:

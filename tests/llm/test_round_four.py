@@ -65,3 +65,18 @@ def test_near_copies_leave_no_shuffle_files(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{j}" for j in range(30))) for i in range(9)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs, 5, 0.8).collect()) == [0, 1, 2]
     assert len(seen) > 3 and set(seen) == {"true"} and spark.conf.get(key, None) == before
+
+
+def test_pieces_are_tokenized_in_lines():
+    """All new pieces of a batch's words go to the model together, not one by one; words of no piece that is known, of all that are, and other scripts between them."""
+    import public_tokenizers
+
+    e = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["don't", "日本", "ÉTÉ,", "x1y22", "été", "it's", "\u00a0", "İx", "don't", "...''"]
+    want = [x.ids for x in e.tokenizer.encode_batch(words, add_special_tokens=False)]
+    model, lines = e.model, []
+    e.model = type("Counted", (), {"encode": lambda self, text, **more: (lines.append(text), model.encode(text, **more))[1]})()
+    for some in ([0, 1, 2, 3, 4], [0, 3], [1], [5, 6, 7, 8, 9], []):
+        ids, size = e.encoded([words[i] for i in some])
+        assert size.tolist() == [len(want[i]) for i in some] and ids.tolist() == [k for i in some for k in want[i]]
+    assert len(lines) == 2
