@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stavework.functions.rhythm import GRID
 from stavework.operators import cursor as O
 from stavework.operators import lookup as L
+from stavework.operators.windows import MEASURE
 from stavework.sources import adapters as A
 
 from .base import Queries
@@ -21,32 +22,37 @@ def probes(spark, d):
     return A.probes(spark, d).select("event_id", "score_id", F.floor(C("centibeat") * GRID / 100).cast("long").alias("at"), "diatonic")
 
 
-def tables(spark, d):
-    """Elements and measures, each made once however often a plan reads them."""
-    return A.once(A.note_elements(spark, d)), A.once(A.measures(spark, d))
+def probed(spark, d):
+    """The scores that have probes: others find nothing."""
+    return A.probes(spark, d).select("score_id").distinct()
+
+
+def tables(spark, d, scores=None):
+    """Elements and measures, of some scores or of all, each made once however often a plan reads them."""
+    return A.once(A.note_elements(spark, d, scores).drop("voice", "dot", "slash", "tie_start", "tie_stop", "mark")), A.once(A.measures(spark, d, scores))
 
 
 def starts_of(e, m):
     return O.measure_starts(e, m).select("score_id", "measure_idx", "start", "length", "active_divisions")
 
 
-def starts(spark, d):
-    return starts_of(A.note_elements(spark, d), A.measures(spark, d))
+def starts(spark, d, scores=None):
+    return starts_of(A.note_elements(spark, d, scores), A.measures(spark, d, scores))
 
 
 def on_grid(c="onset"):
     return F.floor(C(c) * GRID / C("active_divisions")).cast("long")
 
 
-def slot_rows(spark, d):
+def slot_rows(spark, d, scores=None):
     """Slots of both staves with their absolute positions."""
-    e, m = tables(spark, d)
+    e, m = tables(spark, d, scores)
     return L.slots(O.staff_events(e, m), starts_of(e, m)).select("score_id", "measure_idx", "staff", "onset", "kind", "n_notes", "at")
 
 
-def note_rows(spark, d):
+def note_rows(spark, d, scores=None):
     """Pitched notes with their absolute positions, in order of measure and element."""
-    e, m = tables(spark, d)
+    e, m = tables(spark, d, scores)
     n = O.time_cursor(e).filter("tag = 'note' and not is_rest").withColumn("diatonic", O.diatonic_index(C("step"), C("octave")))
     s = starts_of(e, m)
     return n.join(s, ["score_id", "measure_idx"]).select("score_id", "measure_idx", "elem_idx", "staff", "onset", (C("start") + on_grid()).alias("at"), "diatonic", (C("measure_idx") * 1000 + C("elem_idx")).alias("ord"))
@@ -57,15 +63,15 @@ ABS = "start_ + CAST(floor(onset * 5040.0 / active_divisions) AS BIGINT)"
 SLOTS = "(SELECT e.score_id, e.measure_idx, e.staff, e.onset, e.kind, e.n_notes, start_ + e.onset AS s_at FROM staff_event_rows e JOIN starts s ON s.score_id = e.score_id AND s.measure_idx = e.measure_idx)"
 NOTES = f"(SELECT t.*, {ABS} AS s_at, strpos('CDEFGAB', step) - 1 + 7 * octave AS dia, t.measure_idx * 1000 + elem_idx AS ord FROM timed t JOIN starts s ON s.score_id = t.score_id AND s.measure_idx = t.measure_idx WHERE tag = 'note' AND NOT is_rest)"
 
-Q.add("f1_locate", "event_id:l score_id:l measure_idx:l inside:l", lambda spark, d: L.locate(starts(spark, d).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id"),
+Q.add("f1_locate", "event_id:l score_id:l measure_idx:l inside:l", lambda spark, d: L.locate(starts(spark, d, probed(spark, d)).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id"),
       f"""SELECT event_id, p.score_id, coalesce(max(measure_idx) FILTER (start_ <= p_at), min(measure_idx)) AS measure_idx, p_at - coalesce(max(start_) FILTER (start_ <= p_at), min(start_)) AS inside FROM {P} p JOIN starts s ON s.score_id = p.score_id GROUP BY event_id, p.score_id, p_at""")
-Q.add("f2_nearest_note", "event_id:l score_id:l ord:l cost:l", lambda spark, d: L.nearest_note(note_rows(spark, d), probes(spark, d), "event_id", GRID * 3 // 4, GRID),
+Q.add("f2_nearest_note", "event_id:l score_id:l ord:l cost:l", lambda spark, d: L.nearest_note(note_rows(spark, d, probed(spark, d)), probes(spark, d), "event_id", GRID * 3 // 4, GRID),
       f"SELECT event_id, score_id, arg_min(ord, (cost, ord)) AS ord, min(cost) AS cost FROM (SELECT event_id, p.score_id, ord, 4 * abs(s_at - p_at) + 5040 * abs(dia - p_dia) AS cost FROM {P} p JOIN {NOTES} n ON n.score_id = p.score_id WHERE abs(s_at - p_at) <= 3780 AND abs(dia - p_dia) <= 3) GROUP BY ALL")
 
 
 def _near(which):
     def run(spark, d):
-        s = slot_rows(spark, d).filter("n_notes > 0" if which == "chord" else "true")
+        s = slot_rows(spark, d, probed(spark, d)).filter("n_notes > 0" if which == "chord" else "true")
         first = s.groupBy("score_id", "at").agg(F.min(F.struct("measure_idx", "staff", "onset")).alias("s"))
         return L.nearest_within(first, probes(spark, d), BY, "event_id", GRID * 3 // 2, F.struct("at", "s")).select("event_id", "score_id", C("hit.at").alias("hit_at"), C("hit.s.measure_idx").alias("measure_idx"), C("hit.s.staff").alias("staff"), "distance")
 
@@ -82,7 +88,7 @@ Q.add("f4_nearest_slot", "event_id:l score_id:l hit_at:l measure_idx:l staff:l d
 
 
 def _covering(spark, d):
-    e, m = tables(spark, d)
+    e, m = tables(spark, d, probed(spark, d))
     at = L.locate(starts_of(e, m).select("score_id", "measure_idx", C("start").alias("at")), probes(spark, d), "event_id").select("event_id", "score_id", "measure_idx", "inside")
     points = A.once(O.staff_events(e, m).groupBy("score_id", "measure_idx", "staff", C("onset").alias("at")).agg(F.max("n_notes").alias("n_notes")))
     staves = points.select("score_id", "measure_idx", "staff").distinct()
@@ -94,7 +100,7 @@ Q.add("f5_covering_slots", "event_id:l score_id:l measure_idx:l staff:l slot_at:
       f"""WITH pr AS (SELECT event_id, p.score_id, coalesce(max(measure_idx) FILTER (start_ <= p_at), min(measure_idx)) AS measure_idx, p_at - coalesce(max(start_) FILTER (start_ <= p_at), min(start_)) AS inside FROM {P} p JOIN starts s ON s.score_id = p.score_id GROUP BY event_id, p.score_id, p_at),
       pt AS (SELECT score_id, measure_idx, staff, onset AS x, max(n_notes) AS n_notes FROM staff_event_rows GROUP BY ALL)
       SELECT event_id, pr.score_id, pr.measure_idx, staff, max(x) AS slot_at, arg_max(n_notes, x) AS n_notes FROM pr JOIN pt ON pt.score_id = pr.score_id AND pt.measure_idx = pr.measure_idx AND x <= inside GROUP BY ALL""")
-Q.add("f6_exact_slots", "event_id:l score_id:l measure_idx:l staff:l kind:s", lambda spark, d: L.exact_slots(slot_rows(spark, d), A.probes(spark, d).select("event_id", "score_id", (F.floor(C("centibeat") / 100) * GRID).alias("at")), ["score_id", "at"]),
+Q.add("f6_exact_slots", "event_id:l score_id:l measure_idx:l staff:l kind:s", lambda spark, d: L.exact_slots(slot_rows(spark, d, probed(spark, d)), A.probes(spark, d).select("event_id", "score_id", (F.floor(C("centibeat") / 100) * GRID).alias("at")), ["score_id", "at"]),
       f"SELECT event_id, p.score_id, measure_idx, staff, kind FROM (SELECT event_id, score_id, centibeat // 100 * 5040 AS p_at FROM probes) p JOIN {SLOTS} s ON s.score_id = p.score_id AND s_at = p_at")
 Q.add("f7_slots", "score_id:l measure_idx:l staff:l onset:l kind:s n_notes:l at:l", slot_rows, f'SELECT *, s_at AS "at" FROM {SLOTS}')
 Q.add("f8_handles", "score_id:l measure_idx:l elem_idx:l island:l members:l pitches:s", lambda spark, d: (lambda n: n.select("score_id", "measure_idx", "elem_idx", "island").join(n.groupBy("score_id", "measure_idx", "island").agg(F.count("*").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("diatonic", "elem_idx"))), lambda x: x["diatonic"].cast("string")), " ").alias("pitches")), ["score_id", "measure_idx", "island"]))(O.chord_islands(A.note_elements(spark, d)).filter("not is_rest")),
@@ -102,7 +108,7 @@ Q.add("f8_handles", "score_id:l measure_idx:l elem_idx:l island:l members:l pitc
 
 
 def _axis(spark, d):
-    e, m = tables(spark, d)
+    e, m = tables(spark, d, probed(spark, d))
     axis = A.once(O.spine(e, m))
     return axis, O.measure_offsets(axis), A.once(starts_of(e, m))
 
@@ -133,7 +139,7 @@ Q.add("f10_interpolated_x", "event_id:l score_id:l x:d", _interpolated,
       h AS (SELECT event_id, p.score_id, p_at, max(a) FILTER (a <= p_at) AS a, arg_min(x, a) AS first_x FROM {P} p JOIN pt ON pt.score_id = p.score_id GROUP BY ALL)
       SELECT event_id, h.score_id, CASE WHEN h.a IS NULL THEN first_x WHEN na IS NULL THEN x ELSE x + (nx - x) * (CAST(p_at - h.a AS DOUBLE) / (na - h.a)) END AS x FROM h LEFT JOIN nx ON nx.score_id = h.score_id AND nx.a = h.a""")
 Q.add("f11_top_first", "score_id:l measure_idx:l elem_idx:l top:l", lambda spark, d: L.top_first(O.chord_islands(A.note_elements(spark, d)).filter("not is_rest")), "SELECT *, row_number() OVER (PARTITION BY score_id, measure_idx, island ORDER BY diatonic DESC, elem_idx) - 1 AS top FROM islands WHERE NOT is_rest")
-Q.add("f12_tie_partners", "score_id:l measure_idx:l elem_idx:l ahead:l behind:l", lambda spark, d: L.tie_partners(O.time_cursor(A.note_elements(spark, d)).filter("tag = 'note' and not is_rest and not is_grace")).select("score_id", "measure_idx", "elem_idx", (C("ahead.measure_idx") * 1000 + C("ahead.elem_idx")).alias("ahead"), (C("behind.measure_idx") * 1000 + C("behind.elem_idx")).alias("behind")),
+Q.add("f12_tie_partners", "score_id:l measure_idx:l elem_idx:l ahead:l behind:l", lambda spark, d: L.tie_partners(O.time_cursor(A.note_elements(spark, d)).filter("tag = 'note' and not is_rest and not is_grace").select(*MEASURE, "staff", "elem_idx", "onset", "step", "alter", "octave")).select("score_id", "measure_idx", "elem_idx", (C("ahead.measure_idx") * 1000 + C("ahead.elem_idx")).alias("ahead"), (C("behind.measure_idx") * 1000 + C("behind.elem_idx")).alias("behind")),
       """WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY score_id, staff ORDER BY measure_idx, onset) AS rk, measure_idx * 1000 + elem_idx AS h FROM timed WHERE tag = 'note' AND NOT is_rest AND NOT is_grace)
       SELECT a.score_id, a.measure_idx, a.elem_idx, min(b.h) FILTER (b.rk = a.rk + 1) AS ahead, max(b.h) FILTER (b.rk = a.rk - 1) AS behind FROM r a LEFT JOIN r b ON b.score_id = a.score_id AND b.staff = a.staff AND b.step = a.step AND b.alter_ = a.alter_ AND b.octave = a.octave AND b.rk IN (a.rk - 1, a.rk + 1) GROUP BY ALL""")
 Q.add("f13_grace_hosts", "score_id:l measure_idx:l elem_idx:l grace_group:l host_elem:l", lambda spark, d: L.grace_runs(A.note_elements(spark, d)),
